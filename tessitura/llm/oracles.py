@@ -40,6 +40,19 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+#: Links come from all pairs of sets that share a shingle and whose sizes allow it.
+OP6 = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM t WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS root FROM t UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.x)
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, root AS component_id, t.doc_id = root AS kept
+FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(root) AS root FROM r GROUP BY x) ON x = t.doc_id
+"""
+
 OP10 = r"""
 WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM t)),
@@ -54,4 +67,4 @@ FROM t LEFT JOIN kept USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_formatting": OP7, "op8_quality_rules": OP8, "op10_substring_dedup": OP10}
+    return {"op6_minhash_neardup": OP6, "op7_chat_formatting": OP7, "op8_quality_rules": OP8, "op10_substring_dedup": OP10}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, media, packing, rules, substrings, tokens
-from .common import remainder, table
+from . import chat, classifier, katz, media, neardup, packing, rules, substrings, tokens
+from .common import remainder, remainder_of, table
 
 
 def _path(name: str) -> str:
@@ -21,6 +21,15 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def _op1_held_out(doc_id: int | None) -> bool:
+    return remainder_of(doc_id, 7) == 2
+
+
+def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, model = katz.fit_and_score(table(spark, sf_dir, "documents"), _op1_held_out)
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.scalars.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.media_features(media.store_texts(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.lower(F.hex("hash")).alias("feature"))
@@ -45,6 +54,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, part=85, whole=100, bands=16)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     own = spark.range(2).select(
