@@ -87,27 +87,37 @@ def _best_step(giver: list[int], taker: list[int], room: int, lengths: list[int]
     return best
 
 
-def local_search(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
-    """Empties underfull bins: the emptiest one gives, the fullest others take first. Ends when each underfull bin has
-    been the giver without success."""
+def local_search(bins: list[list[int]], lengths: list[int], size: int, effort: int = 20) -> list[list[int]]:
+    """Empties underfull bins: the emptiest one gives, the fullest others take first. Ends when as few bins are left as the
+    tokens need, when each underfull bin has been the giver without success, or after `effort` exchanges for each
+    piece: any state is a whole packing, so that an end only leaves it as good as it is."""
     fill = [sum(lengths[i] for i in b) for b in bins]
+    least = -(-sum(fill) // size)
+    count = sum(bool(b) for b in bins)
     under = [b for b in range(len(bins)) if fill[b] < size]
     stuck: set[int] = set()
-    while True:
-        givers = [b for b in under if b not in stuck and bins[b]]
-        if len(givers) < 1 or len(under) < 2:
+    steps = effort * max(len(lengths), 1)
+    while count > least and steps > 0:
+        giver = min((b for b in under if b not in stuck and bins[b]), key=lambda b: fill[b], default=None)
+        if giver is None:
             break
-        giver = min(givers, key=lambda b: fill[b])
         moved = False
-        for taker in sorted((b for b in under if b != giver and fill[b] >= fill[giver] and fill[b] < size), key=lambda b: -fill[b]):
-            gain, given, back = _best_step(bins[giver], bins[taker], size - fill[taker], lengths)
-            if gain:
-                bins[giver] = [i for i in bins[giver] if i not in given] + back
-                bins[taker] = [i for i in bins[taker] if i not in back] + given
-                fill[giver] -= gain
-                fill[taker] += gain
-                moved = True
-                if not bins[giver]:
+        takers = [b for b in under if b != giver and fill[b] >= fill[giver]]
+        # The others must have room for all that the giver holds.
+        if sum(size - fill[b] for b in takers) >= fill[giver]:
+            for taker in sorted(takers, key=lambda b: -fill[b]):
+                steps -= 1
+                gain, given, back = _best_step(bins[giver], bins[taker], size - fill[taker], lengths)
+                if gain:
+                    bins[giver] = [i for i in bins[giver] if i not in given] + back
+                    bins[taker] = [i for i in bins[taker] if i not in back] + given
+                    fill[giver] -= gain
+                    fill[taker] += gain
+                    moved = True
+                    if not bins[giver]:
+                        count -= 1
+                        break
+                if steps <= 0:
                     break
         under = [b for b in under if fill[b] < size and bins[b]]
         if not moved:
