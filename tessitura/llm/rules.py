@@ -72,8 +72,11 @@ def measures(docs: DataFrame) -> DataFrame:
     first = id_and_text(docs).select("doc_id", "text", words.alias("_words"), lines.alias("_lines"))
     second = first.select("doc_id", "text", "_words", "_lines", _window_keys(F.col("_words")).alias("_keys"))
     third = second.select("doc_id", "text", "_words", "_lines", _repeated(F.col("_words"), F.col("_keys")).alias("_again"))
+    # One struct, exploded: a filter on the verdict then stays above it. Pushed below, it would repeat the expressions on
+    # the sorted keys for each element of an array.
     counts = third.select(
         "doc_id",
+        F.explode(F.array(F.struct(
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))).cast("long").alias("n_symbols"),
@@ -81,7 +84,8 @@ def measures(docs: DataFrame) -> DataFrame:
         _covered(F.col("_again")).alias("n_repeat_words"),
         F.size("_lines").alias("_n_lines"),
         F.size(F.filter("_words", lambda w: w.isin(stops))).alias("_stops"),
-    )
+        ))).alias("c"),
+    ).select("doc_id", "c.*")
     per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     return counts.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
