@@ -54,11 +54,11 @@ def first_silent_run(rows: DataFrame, flag: str, k: int) -> DataFrame:
     return islands(rows, f"NOT ({flag})").filter(F.col("length") >= k).groupBy("track_id").agg(F.min("first_n").alias("first_n"))
 
 
-def cumulative_times(words: DataFrame) -> DataFrame:
+def cumulative_times(words: DataFrame, digits: int = 3) -> DataFrame:
     """words: track_id, word, n, text, start, end. A word's time split over its parts in proportion to their characters."""
     word = W.Window.partitionBy("track_id", "word")
     share = F.sum(F.length("text")).over(word.orderBy("n")) / F.sum(F.length("text")).over(word)
-    return words.withColumn("part_end", F.round(F.col("start") + (F.col("end") - F.col("start")) * share, 3))
+    return words.withColumn("part_end", F.round(F.col("start") + (F.col("end") - F.col("start")) * share, digits))
 
 
 def line_at(lines_: DataFrame, times: DataFrame) -> DataFrame:

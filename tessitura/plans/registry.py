@@ -260,11 +260,11 @@ query("w10_islands", """SELECT track_id, min(n) AS first_n, max(n) AS last_n, co
 query("w11_silent_runs", """SELECT track_id, min(a) AS first_n FROM (SELECT track_id, min(n) AS a, count(*) AS c FROM (SELECT track_id, n, n - row_number() OVER (PARTITION BY track_id ORDER BY n) AS run FROM syllables WHERE syllable NOT LIKE ' %') GROUP BY track_id, run) WHERE c >= 2 GROUP BY 1""")(
     lambda c: T.first_silent_run(c.syllables(), "syllable LIKE ' %'", 2)
 )
-query("w15_cumulative_time", """SELECT track_id, n, round(s + (e - s) * sum(length(syllable)) OVER (PARTITION BY track_id, word ORDER BY n) / sum(length(syllable)) OVER (PARTITION BY track_id, word), 3) AS part_end
+query("w15_cumulative_time", """SELECT track_id, n, round(s + (e - s) * sum(length(syllable)) OVER (PARTITION BY track_id, word ORDER BY n) / sum(length(syllable)) OVER (PARTITION BY track_id, word), 6) AS part_end
   FROM (SELECT *, n // 4 AS word, min(start) OVER (PARTITION BY track_id, n // 4) AS s, max("end") OVER (PARTITION BY track_id, n // 4) AS e FROM syllables)""")(
     lambda c: T.cumulative_times(
         c.syllables().withColumn("word", F.floor(F.col("n") / 4)).withColumn("s", F.min("start").over(W.Window.partitionBy("track_id", "word"))).withColumn("e", F.max("end").over(W.Window.partitionBy("track_id", "word")))
-        .select("track_id", "word", "n", F.col("syllable").alias("text"), F.col("s").alias("start"), F.col("e").alias("end"))
+        .select("track_id", "word", "n", F.col("syllable").alias("text"), F.col("s").alias("start"), F.col("e").alias("end")), 6
     ).select("track_id", "n", "part_end")
 )
 query("w18_slot_share", """SELECT session_id, cluster_id, rn, slots::BIGINT AS slots FROM (SELECT *, 20 // n + CASE WHEN rn <= 20 % n THEN 1 ELSE 0 END AS slots FROM
