@@ -70,3 +70,41 @@ def line_at(lines_: DataFrame, times: DataFrame) -> DataFrame:
     w = W.Window.partitionBy("track_id").orderBy("at", "kind")
     got = marks.withColumn("line", F.coalesce(F.last("line", ignorenulls=True).over(w), F.lit(0)))
     return got.filter("kind = 1").select("track_id", F.col("at").alias("t"), "line")
+
+
+def gap_at(gaps_: DataFrame, times: DataFrame) -> DataFrame:
+    """times: track_id, t. The gap that holds t and how much of it has passed in per cent; none: no row. Gaps of a track
+    don't overlap, so that the last one that starts at or before t is the only candidate."""
+    marks = gaps_.select("track_id", F.col("start").alias("at"), F.lit(0).alias("kind"), F.struct("start", "end").alias("g")).unionByName(
+        times.select("track_id", F.col("t").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("struct<start:double,end:double>").alias("g"))
+    )
+    w = W.Window.partitionBy("track_id").orderBy("at", "kind")
+    got = marks.withColumn("g", F.last("g", ignorenulls=True).over(w)).filter((F.col("kind") == 1) & (F.col("at") < F.col("g.end")))
+    return got.select("track_id", F.col("at").alias("t"), ((F.col("at") - F.col("g.start")) / (F.col("g.end") - F.col("g.start")) * 100).alias("percent"))
+
+
+def syllable_progress(rows: DataFrame, t: float) -> DataFrame:
+    """At time t of each track: sung, active with its share in per cent, or upcoming."""
+    state = F.when(F.col("end") <= t, "sung").when(F.col("start") <= t, "active").otherwise("upcoming")
+    share = F.least(F.lit(1.0), (F.lit(t) - F.col("start")) / (F.col("end") - F.col("start"))) * 100
+    return rows.withColumn("state", state).withColumn("percent", F.when(F.col("state") == "active", share))
+
+
+def voiced_intervals(frames: DataFrame, top_db: float, frame_seconds: float = 0.02, least_seconds: float = 1.0) -> DataFrame:
+    """frames: track_id, n, rms. Runs of frames louder than the track's peak less top_db; a track with less than
+    least_seconds of them keeps its whole length as one interval."""
+    own = W.Window.partitionBy("track_id")
+    floor = F.max("rms").over(own) * 10 ** (-top_db / 20)
+    marked = frames.select("track_id", "n", (F.col("rms") > floor).alias("voiced"))
+    runs = islands(marked, "voiced").select("track_id", F.col("first_n").alias("start_n"), (F.col("last_n") + 1).alias("end_n"))
+    kept = runs.withColumn("total", F.sum(F.col("end_n") - F.col("start_n")).over(own)).filter(F.col("total") * frame_seconds >= least_seconds).drop("total")
+    whole = frames.groupBy("track_id").agg(F.min("n").alias("start_n"), (F.max("n") + 1).alias("end_n")).join(kept.select("track_id").distinct(), "track_id", "left_anti")
+    return kept.unionByName(whole)
+
+
+def frames_in_span(frames: DataFrame, spans: DataFrame, block: int = 64) -> DataFrame:
+    """spans: track_id, span, start_n, end_n (excluded). The peak rms of the frames inside each: an equi-join on blocks of
+    frames, then the exact test, so that a span meets only the blocks that it touches."""
+    cut = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_n") / block), F.floor((F.col("end_n") - 1) / block))))
+    rows = cut.join(frames.withColumn("_b", F.floor(F.col("n") / block)), ["track_id", "_b"]).filter((F.col("n") >= F.col("start_n")) & (F.col("n") < F.col("end_n")))
+    return rows.groupBy("track_id", "span").agg(F.max("rms").alias("peak"), F.count("*").alias("n_frames"))

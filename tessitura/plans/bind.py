@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
@@ -110,9 +110,16 @@ class Catalog:
         rows = self.table("events").select(F.col("user_id").alias("track_id"), n.alias("n"), k.alias("k"), "event_type")
         return rows.select("track_id", "n", F.when(F.col("k") % 3 != 0, F.concat(F.lit(" "), "event_type")).otherwise(F.col("event_type")).alias("syllable"), start.alias("start"), (start + 0.05).alias("end"))
 
-
-def ordered(*cols: str | Column):
-    return W.Window.orderBy(*cols)
+    def rms_frames(self) -> DataFrame:
+        """Frames by n: from each event's base to the next one's, loud for the first eight."""
+        k = F.get_json_object("props", "$.k").cast("long")
+        order = W.Window.partitionBy("user_id").orderBy("ts", "event_id")
+        pause = F.when(F.col("k") % 10 == 0, 30).when(F.col("k") % 10 == 5, 12).otherwise(0)
+        e = self.table("events").select("user_id", "event_id", "ts", k.alias("k")).withColumn("base", 5 * (F.row_number().over(order) - 1) + F.sum(pause).over(order))
+        e = e.withColumn("next", F.coalesce(F.lead("base").over(order), F.col("base") + 5))
+        f = e.select(F.col("user_id").alias("track_id"), "event_id", "k", "base", "next", F.explode(F.sequence("base", F.col("next") - 1)).alias("n"))
+        loud = (F.col("n") - F.col("base") < 8) | ((F.col("event_id") % 2 == 1) & (F.col("next") - F.col("n") <= 4))
+        return f.select("track_id", "n", F.when(loud, 0.5 + F.col("k") / 200).otherwise(0.01).alias("rms"))
 
 
 BIND = """
@@ -148,5 +155,9 @@ progress AS (SELECT event_id AS id, user_id AS job_id, CASE event_type WHEN 'err
 syl AS (SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, (props::JSON ->> '$.k')::BIGINT AS k, event_type FROM events),
 syllables AS (SELECT track_id, n, CASE WHEN k % 3 <> 0 THEN ' ' || event_type ELSE event_type END AS syllable,
   n * 0.25::DOUBLE + (k % 7) * 0.03::DOUBLE + 1.5::DOUBLE * floor(n / 9) + 5 * floor(n / 27) AS start,
-  n * 0.25::DOUBLE + (k % 7) * 0.03::DOUBLE + 1.5::DOUBLE * floor(n / 9) + 5 * floor(n / 27) + 0.05::DOUBLE AS "end" FROM syl)
+  n * 0.25::DOUBLE + (k % 7) * 0.03::DOUBLE + 1.5::DOUBLE * floor(n / 9) + 5 * floor(n / 27) + 0.05::DOUBLE AS "end" FROM syl),
+ev AS (SELECT user_id AS track_id, event_id, ts, (props::JSON ->> '$.k')::BIGINT AS k FROM events),
+eb AS (SELECT *, 5 * (row_number() OVER w - 1) + (sum(CASE WHEN k % 10 = 0 THEN 30 WHEN k % 10 = 5 THEN 12 ELSE 0 END) OVER w)::BIGINT AS base FROM ev WINDOW w AS (PARTITION BY track_id ORDER BY ts, event_id)),
+en AS (SELECT *, coalesce(lead(base) OVER (PARTITION BY track_id ORDER BY ts, event_id), base + 5) AS nxt FROM eb),
+rms_frames AS (SELECT track_id, n, CASE WHEN n - base < 8 OR (event_id % 2 = 1 AND nxt - n <= 4) THEN 0.5::DOUBLE + k / 200 ELSE 0.01::DOUBLE END AS rms FROM (SELECT *, unnest(range(base, nxt)) AS n FROM en))
 """
