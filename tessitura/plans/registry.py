@@ -38,8 +38,8 @@ query("f01_filter_status", "SELECT track_id, artist, title FROM tracks WHERE sta
 query("f02_filter_in", "SELECT track_id, popularity_category FROM tracks WHERE popularity_category IN ('eternal_hit', 'artist_best')")(
     lambda c: c.tracks().filter(F.col("popularity_category").isin("eternal_hit", "artist_best")).select("track_id", "popularity_category")
 )
-query("f03_filter_not_in", "SELECT track_id, rec_cluster_id FROM tracks WHERE rec_cluster_id IS NULL OR rec_cluster_id NOT IN (1, 2, 3)")(
-    lambda c: R.filter_not_in(c.tracks(), "rec_cluster_id", [1, 2, 3]).select("track_id", "rec_cluster_id")
+query("f03_filter_not_in", "SELECT track_id, coalesce(rec_cluster_id, -1) AS rec_cluster_id FROM tracks WHERE rec_cluster_id IS NULL OR rec_cluster_id NOT IN (1, 2, 3)")(
+    lambda c: R.filter_not_in(c.tracks(), "rec_cluster_id", [1, 2, 3]).select("track_id", F.coalesce("rec_cluster_id", F.lit(-1)).alias("rec_cluster_id"))
 )
 query("f04_filter_optional", "SELECT track_id, language FROM tracks WHERE language = 'fr'")(lambda c: R.filter_optional(R.filter_optional(c.tracks(), "language", "fr"), "artist", None).select("track_id", "language"))
 query("f05_filter_payload", "SELECT track_id FROM tracks WHERE status = 'ready' AND rec_cluster_id = 4 AND popularity_category = 'regular'")(
