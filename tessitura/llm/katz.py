@@ -115,8 +115,9 @@ class Block:
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.word_at[self.train], minlength=len(self.words)).astype(np.int64)
 
-    def pair_up(self, buckets: int) -> None:
-        order = np.lexsort((self.token, self.before))
+    def pair_up(self, buckets: int, c1: np.ndarray) -> None:
+        """A history's words are in order of their counts: equal numbers then stand together and cost little to send."""
+        order = np.lexsort((self.token, c1[self.word_at], self.before))
         h, w = self.before[order], self.token[order]
         fresh = np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])) if len(h) else np.empty(0, bool)
         self.pair_at = np.empty(len(order), np.int64)
@@ -186,7 +187,7 @@ def _ask_pairs(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame
     def ask(block: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         x = Block(block["payload"].iloc[0], buckets)
         (c1,) = _in_order(answer, np.int64)
-        x.pair_up(buckets)
+        x.pair_up(buckets, c1)
         hc, pc = x.history_cuts.tolist(), x.pair_cuts.tolist()
         some = [k for k in range(buckets) if hc[k] < hc[k + 1]]
         low = (x.words[x.pair_word] & LOW48).view(np.uint16).reshape(-1, 4)[:, :3]
@@ -253,7 +254,7 @@ def _scored(blocks: DataFrame, answers: DataFrame, s: Scalars, buckets: int) ->
     def score(block: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         x = Block(block["payload"].iloc[0], buckets)
         (c1,) = _in_order(answer[answer["level"] == 1], np.int64)
-        x.pair_up(buckets)
+        x.pair_up(buckets, c1)
         c2, lacking, none_low, mass, *low = _in_order(answer[answer["level"] == 2], np.int64, np.uint8, np.uint8, np.float64, *[np.int32] * K)
         ch = np.where(x.histories == START, s.texts, 0).astype(np.float64)
         at = np.searchsorted(x.words, x.histories)
@@ -303,13 +304,15 @@ def _counts_of_counts(counts: DataFrame) -> tuple[list[int], int, int]:
     return [r[f"n{k}"] for k in range(1, K + 2)], r["n"] or 0, r["v"]
 
 
-def fit_and_score(docs: DataFrame, held_out: Callable[[int | None], bool], limit: int = 8 << 20) -> tuple[DataFrame, Model]:
-    """A row for each document, and the model that the documents which aren't held out give."""
+def fit_and_score(docs: DataFrame, held_out: Callable[[int | None], bool], limit: int = 8 << 20, spread: int = 4) -> tuple[DataFrame, Model]:
+    """A row for each document, and the model that the documents which aren't held out give. spread: buckets of hashes for
+    each shuffle partition; a task works on one at a time."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = spread * partitions
     name = f"llm_blocks_{uuid.uuid4().hex}"
     # Bucketed by block: the joins below then move the answers only, never the texts.
-    _blocks(docs, held_out, limit).write.format("parquet").option("path", shared_dir(spark)).option("compression", "uncompressed").bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
+    _blocks(docs, held_out, limit).write.format("parquet").option("path", shared_dir(spark)).option("compression", "uncompressed").bucketBy(partitions, "block").sortBy("block").saveAsTable(name)
     blocks = spark.table(name)
     texts = blocks.select("payload").mapInArrow(_training_texts, "n long").agg(F.sum("n")).first()[0] or 0
     schema = "kind string, bucket int, block long, payload binary, word long, count long"
