@@ -66,11 +66,11 @@ query(
     )
 )
 query("q16_clear_clusters", "SELECT count(*) AS n, count(CASE WHEN false THEN 1 END) AS assigned FROM tracks")(lambda c: U.clear_clusters(c.tracks()).agg(F.count("*").alias("n"), F.count("rec_cluster_id").alias("assigned")))
-query("z08_indexed_to_tracks", "SELECT track_id, CASE WHEN track_id % 2 = 0 THEN 77 ELSE rec_cluster_id END AS rec_cluster_id, track_id % 6 < 4 AS synced FROM (SELECT track_id, rec_cluster_id FROM tracks WHERE track_id % 6 < 4 AND track_id % 2 = 0 UNION ALL SELECT track_id, rec_cluster_id FROM tracks WHERE track_id % 2 = 1)")(
+query("z08_indexed_to_tracks", "SELECT track_id, coalesce(CASE WHEN track_id % 2 = 0 THEN 77 ELSE rec_cluster_id END, -1) AS rec_cluster_id, track_id % 6 < 4 AS synced FROM (SELECT track_id, rec_cluster_id FROM tracks WHERE track_id % 6 < 4 AND track_id % 2 = 0 UNION ALL SELECT track_id, rec_cluster_id FROM tracks WHERE track_id % 2 = 1)")(
     lambda c: U.indexed_to_tracks(
         c.tracks().select("track_id", "rec_cluster_id").filter("track_id % 2 = 1 or track_id % 6 < 4"),
         c.tracks().filter("track_id % 6 < 4").select("track_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")).select("track_id", "seq", F.expr("CASE WHEN seq = 1 THEN 5 WHEN track_id % 2 = 0 THEN 77 END").alias("cluster_id")),
-    )
+    ).withColumn("rec_cluster_id", F.coalesce("rec_cluster_id", F.lit(-1)))
 )
 query("z10_job_results", "SELECT id, CASE WHEN id % 3 = 0 THEN 'failed' WHEN id % 3 = 1 THEN 'completed' ELSE status END AS status, CASE WHEN id % 3 = 2 THEN locked_by END AS locked_by, CASE WHEN id % 3 = 1 THEN 'ok' END AS result, CASE WHEN id % 3 = 0 THEN 'bad' END AS error_message FROM jobs")(
     lambda c: U.job_results(c.jobs(), c.jobs().filter("id % 3 < 2").select("id", F.expr("CASE WHEN id % 3 = 1 THEN 'ok' END").alias("result"), F.expr("CASE WHEN id % 3 = 0 THEN 'bad' END").alias("error_message"))).select("id", "status", "locked_by", "result", "error_message")
