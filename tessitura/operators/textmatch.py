@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.similarity import best_part_ratio, hint_score, similarity_ratio
 from ..functions.text import composite, decision, harmonic_mean, length_penalty, ngrams, tokenize
 
 
@@ -98,3 +99,23 @@ def text_search(index: DataFrame, q: str) -> DataFrame:
     weight = F.when(F.col("field") == "artist", 1.0).when(F.col("field") == "title", 0.4).otherwise(0.1)
     hits = index.filter(F.col("token").isin(tokens)).groupBy("track_id").agg(F.count_distinct("token").alias("n"), F.round(F.sum(weight * F.col("tf")), 6).alias("score"))
     return hits.filter(F.col("n") == len(tokens)).select("track_id", "score")
+
+
+def fuzzy_tokens(pairs: DataFrame, requests: DataFrame, candidates: DataFrame, band: int = 2) -> DataFrame:
+    """request_id, candidate_id, token, best: for each distinct word of a request the highest similarity ratio among the
+    candidate's words whose length differs by at most `band`. The join is on pair and length; a ratio is
+    computed once for each distinct pair of words, equal words need none."""
+    words = lambda x, i, w: x.select(F.col("id").alias(i), F.explode(F.array_distinct(tokenize(F.lower("text")))).alias(w))
+    left = pairs.select("request_id", "candidate_id").join(words(requests, "request_id", "token"), "request_id")
+    left = left.withColumn("n", F.explode(F.sequence(F.length("token") - band, F.length("token") + band)))
+    right = pairs.select("request_id", "candidate_id").join(words(candidates, "candidate_id", "other"), "candidate_id").withColumn("n", F.length("other"))
+    both = left.join(right, ["request_id", "candidate_id", "n"]).select("request_id", "candidate_id", "token", "other")
+    ratios = both.select("token", "other").filter("token <> other").distinct().withColumn("ratio", similarity_ratio(F.col("token"), F.col("other")))
+    scored_ = both.join(ratios, ["token", "other"], "left").withColumn("ratio", F.coalesce("ratio", F.lit(100.0)))
+    return scored_.groupBy("request_id", "candidate_id", "token").agg(F.round(F.max("ratio"), 6).alias("best"))
+
+
+def hints(pairs: DataFrame) -> DataFrame:
+    """pairs: hint, name. The score of each distinct pair by the best part of the longer one."""
+    one = pairs.select("hint", "name").distinct()
+    return one.select("hint", "name", F.round(hint_score(best_part_ratio(F.col("hint"), F.col("name"))), 6).alias("score"))

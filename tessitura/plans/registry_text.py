@@ -154,3 +154,20 @@ query("w17_spread_pick", "SELECT track_id, i, round_even(i * (max_n / 4.0), 0)::
 query("k06_enrich_payloads", "SELECT track_id, artist, title, language, popularity_category FROM audio_vectors JOIN tracks USING (track_id) WHERE status = 'ready'")(
     lambda c: c.vectors("audio").select("track_id").join(R.ready(c.tracks()), "track_id").select("track_id", "artist", "title", "language", "popularity_category")
 )
+
+
+def progress_stream(c: Catalog) -> DataFrame:
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").otherwise("running")
+    return Z.event_stream(c.spark, c.sf_dir).select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("job_id"), status.alias("status"), F.col("event_type").alias("step"), F.get_json_object("props", "$.k").cast("long").alias("progress"), "ts"
+    )
+
+
+query("z03_emit_on_change_stream", "SELECT id FROM (SELECT *, lag(step) OVER w AS s, lag(progress) OVER w AS p FROM progress WINDOW w AS (PARTITION BY job_id ORDER BY ts, id)) WHERE s IS NULL OR s <> step OR p <> progress")(
+    lambda c: Z.run(Z.emit_on_change(progress_stream(c))).select("id")
+)
+query("z04_terminal_event_stream", "SELECT job_id, arg_min(id, (ts, id)) AS id, arg_min(status, (ts, id)) AS status FROM progress WHERE status <> 'running' GROUP BY 1")(
+    lambda c: Z.run(Z.terminal_events(progress_stream(c))).select("job_id", "id", "status")
+)
+query("j15_fuzzy_tokens")(lambda c: M.fuzzy_tokens(M.candidate_pairs(c.table("benchmark").select(F.col("item_id").alias("id"), "text"), candidates(c)), c.table("benchmark").select(F.col("item_id").alias("id"), "text"), candidates(c)))
+query("x11_x12_hints")(lambda c: M.hints(c.tracks().select(F.col("artist").alias("hint"), F.col("title").alias("name"))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +67,33 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # A pattern: the stream source takes a single file as well as a folder by it.
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def emit_on_change(progress: DataFrame) -> DataFrame:
+    """A stream of the events whose step or progress differs from the job's last one. State: one row for each job."""
+
+    def changed(key, batches, state):
+        step, at = state.get if state.exists else (None, None)
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        out = []
+        for i, s, p in zip(rows["id"], rows["step"], rows["progress"], strict=True):
+            if (s, p) != (step, at):
+                out.append((key[0], i, s, p))
+            step, at = s, p
+        state.update((step, int(at)))
+        yield pd.DataFrame(out, columns=["job_id", "id", "step", "progress"])
+
+    return progress.groupBy("job_id").applyInPandasWithState(changed, "job_id long, id long, step string, progress long", "step string, progress long", "append", "NoTimeout")
+
+
+def terminal_events(progress: DataFrame) -> DataFrame:
+    """A stream of each job's first completed or failed event; what follows it is ignored. State: one flag for each job."""
+
+    def ended(key, batches, state):
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        last = rows[rows["status"].isin(["completed", "failed"])].head(1)
+        if not state.exists and len(last):
+            state.update((True,))
+            yield last[["id", "status"]].assign(job_id=key[0])[["job_id", "id", "status"]]
+
+    return progress.groupBy("job_id").applyInPandasWithState(ended, "job_id long, id long, status string", "ended boolean", "append", "NoTimeout")
