@@ -178,11 +178,13 @@ def repeated_ranges(docs: DataFrame, size: int = 20, mini: int = 5, limit: int =
     return _dealt(docs, size, mini, buckets, limit).groupBy("bucket").applyInPandas(compare, "key long, low long, high long")
 
 
-def remove_repeats(docs: DataFrame, size: int = 20, mini: int = 5) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), kept_text (the text itself where nothing goes)."""
+def remove_repeats(docs: DataFrame, size: int = 20, mini: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), kept_text (the text itself where
+    nothing goes), and the columns in `carry`, which go with their rows so that no join has to bring them back."""
     ranges = repeated_ranges(docs, size, mini).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    rows = id_and_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(NONE)))
-    both = rows.join(ranges, "key", "left").select("doc_id", "text", F.col("ranges.low").alias("low"), F.col("ranges.high").alias("high"))
+    rows = id_and_text(docs, F.struct(F.lit(0).alias("_"), *carry).alias("carried")).withColumn("key", F.coalesce("doc_id", F.lit(NONE)))
+    both = rows.join(ranges, "key", "left").select("doc_id", "text", F.col("ranges.low").alias("low"), F.col("ranges.high").alias("high"), "carried")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,8 +201,8 @@ def remove_repeats(docs: DataFrame, size: int = 20, mini: int = 5) -> DataFrame:
                 joined = b" ".join(words)
                 out.append((doc, n, gone, hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "replace") if gone else text))
             cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
-            )
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)), b["carried"]], [*(x.split()[0] for x in schema.split(", ")), "carried"])
 
-    return both.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    done = both.mapInArrow(cut, f"{schema}, carried {both.schema['carried'].dataType.simpleString()}")
+    return done.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *(F.col(f"carried.{c}").alias(c) for c in carry))
