@@ -36,8 +36,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that lose words are their kept words joined by one space; others stay as they are. A text of which
     nothing is left stays as an empty one."""
-    out = substrings.remove_repeats(docs).select("doc_id", F.col("kept_text").alias("text"))
-    return docs.select("doc_id", "lang", "source").join(out, "doc_id").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    out = substrings.remove_repeats(docs, carry=("lang", "source"))
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
