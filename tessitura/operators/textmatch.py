@@ -35,6 +35,29 @@ def candidate_pairs(requests: DataFrame, candidates: DataFrame, n: int = 4, max_
     return pairs.filter(F.col("shared") >= least)
 
 
+def whole_pairs(requests: DataFrame, candidates: DataFrame, n: int = 4, least: int = 3, block: int = 1024) -> DataFrame:
+    """request_id, candidate_id, shared: all other texts with at least `least` n-grams in common, however frequent those are;
+    shared counts all of them. Each class of equal texts is compared once, and its members take over the result. An
+    n-gram's classes are dealt into blocks of about `block` on both sides, so that no join key holds more; counts are sums
+    over the blocks. Classes that share n-grams with many others cost a row for each pair and n-gram."""
+
+    def sides(texts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        named = texts.select("id", "text", F.sha2(F.array_join(tokenize(F.lower("text")), " ").cast("binary"), 256).alias("class"))
+        one = named.groupBy("class").agg(F.first("text").alias("text")).select(F.col("class").alias("id"), "text")
+        return named.select(F.col("id").alias(f"{name}_id"), F.col("class").alias(f"{name}_class")), grams(one, n).withColumnRenamed("id", f"{name}_class")
+
+    asked, left = sides(requests, "request")
+    held, right = sides(candidates, "candidate")
+    blocks = lambda x, c: x.groupBy("gram").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(c))
+    sizes = blocks(left, "nl").join(blocks(right, "nr"), "gram")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    deal = lambda x, c: F.pmod(F.xxhash64(x), F.col(c))
+    left = left.join(sizes, "gram").select("gram", "request_class", deal("request_class", "nl").alias("i"), each("nr").alias("j"))
+    right = right.join(sizes, "gram").select("gram", "candidate_class", deal("candidate_class", "nr").alias("j"), each("nl").alias("i"))
+    shared = left.join(right, ["gram", "i", "j"]).groupBy("request_class", "candidate_class").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    return shared.join(asked, "request_class").join(held, "candidate_class").filter("request_id <> candidate_id").select("request_id", "candidate_id", "shared")
+
+
 def pair_measures(pairs: DataFrame, requests: DataFrame, candidates: DataFrame, n: int = 4) -> DataFrame:
     """For each pair: shares of the distinct tokens that the other text holds too, n-gram Jaccard, anchor, length penalty."""
     cols = lambda p: [F.array_distinct("t").alias(f"{p}_words"), F.array_distinct(ngrams(F.col("t"), n)).alias(f"{p}_grams"), F.size("t").alias(f"{p}_n")]

@@ -20,6 +20,9 @@ D4, B4, R4 = (GRAMS.format(m=3, id=i, table=t) for i, t in (("doc_id", "document
 PAIRS = """(SELECT r.id AS request_id, c.id AS candidate_id, count(*) AS shared FROM {r} r JOIN {c} c USING (gram)
   WHERE gram IN (SELECT gram FROM {c} GROUP BY gram HAVING count(*) <= 20) AND r.id <> c.id GROUP BY ALL HAVING count(*) >= 3)"""
 
+#: Without a bound on how many candidates hold an n-gram.
+ALL_PAIRS = "(SELECT r.id AS request_id, c.id AS candidate_id, count(*) AS shared FROM {r} r JOIN {c} c USING (gram) WHERE r.id <> c.id GROUP BY ALL HAVING count(*) >= 3)"
+
 
 def requests(c: Catalog) -> DataFrame:
     return candidates(c).filter("id % 5 = 0")
@@ -33,6 +36,14 @@ def pairs(c: Catalog) -> DataFrame:
     return M.candidate_pairs(requests(c), candidates(c))
 
 
+def items(c: Catalog) -> DataFrame:
+    return c.table("benchmark").select(F.col("item_id").alias("id"), "text")
+
+
+def whole_pairs(c: Catalog) -> DataFrame:
+    return M.whole_pairs(requests(c), candidates(c))
+
+
 query("x07_tokenize", f"SELECT doc_id, len({WS.format(t='text')}) AS n, array_to_string({WS.format(t='text')}[1:5], '|') AS head FROM documents")(
     lambda c: c.table("documents").select("doc_id", F.size(X.tokenize(F.col("text"))).cast("long").alias("n"), F.array_join(F.slice(X.tokenize(F.col("text")), 1, 5), "|").alias("head"))
 )
@@ -105,6 +116,21 @@ query(
     f"""{CTES2} SELECT request_id, candidate_id, round(score, 6) AS score, CASE WHEN score >= 0.65 AND (gap IS NULL OR gap >= 0.05) THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'reject' END AS decision
     FROM (SELECT *, round(score - lead(score) OVER w, 9) AS gap, row_number() OVER w AS k FROM {SCORES} WINDOW w AS (PARTITION BY request_id ORDER BY score DESC, candidate_id)) WHERE k = 1""",
 )(lambda c: M.decide(M.top_two(M.scored(pairs(c), requests(c), candidates(c)))).select("request_id", "candidate_id", F.round("score", 6).alias("score"), "decision"))
+# The same over all pairs: no n-gram is too frequent to count.
+query("q07_whole_pairs_benchmark", f"SELECT request_id, candidate_id, shared FROM {ALL_PAIRS.format(r=B4, c=D4)}")(lambda c: M.whole_pairs(items(c), candidates(c)))
+query("q07_whole_pairs_documents", f"SELECT request_id, candidate_id, shared FROM {ALL_PAIRS.format(r=R4, c=D4)}")(whole_pairs)
+_all = lambda sql: sql.replace(PAIRS.format(r=R4, c="d4"), ALL_PAIRS.format(r=R4, c="d4"))
+query("a16_u02_whole_pair_measures", f"{_all(CTES)} SELECT request_id, candidate_id, round(coverage_request, 6) AS coverage_request, round(coverage_candidate, 6) AS coverage_candidate, round(ngram, 6) AS ngram, round(length, 6) AS length FROM {MEASURES}")(
+    lambda c: M.pair_measures(whole_pairs(c), requests(c), candidates(c)).select("request_id", "candidate_id", *(F.round(x, 6).alias(x) for x in ("coverage_request", "coverage_candidate", "ngram", "length")))
+)
+query("x16_whole_rare_anchor", f"{_all(CTES2)} SELECT request_id, candidate_id, round(anchor, 6) AS anchor FROM {ANCHOR}")(
+    lambda c: M.rare_anchor(whole_pairs(c), requests(c), candidates(c)).select("request_id", "candidate_id", F.round("anchor", 6).alias("anchor"))
+)
+query(
+    "q07_whole_lyrics_match",
+    f"""{_all(CTES2)} SELECT request_id, candidate_id, round(score, 6) AS score, CASE WHEN score >= 0.65 AND (gap IS NULL OR gap >= 0.05) THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'reject' END AS decision
+    FROM (SELECT *, round(score - lead(score) OVER w, 9) AS gap, row_number() OVER w AS k FROM {SCORES} WINDOW w AS (PARTITION BY request_id ORDER BY score DESC, candidate_id)) WHERE k = 1""",
+)(lambda c: M.decide(M.top_two(M.scored(whole_pairs(c), requests(c), candidates(c)))).select("request_id", "candidate_id", F.round("score", 6).alias("score"), "decision"))
 _tok = r"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 SEARCH = f"""(SELECT track_id, round(sum(w), 6) AS score FROM (
   SELECT track_id, unnest({_tok.format(c="artist")}) AS token, 1.0::DOUBLE AS w FROM tracks UNION ALL SELECT track_id, unnest({_tok.format(c="title")}), 0.4::DOUBLE FROM tracks
@@ -169,5 +195,5 @@ query("z03_emit_on_change_stream", "SELECT id FROM (SELECT *, lag(step) OVER w A
 query("z04_terminal_event_stream", "SELECT job_id, arg_min(id, (ts, id)) AS id, arg_min(status, (ts, id)) AS status FROM progress WHERE status <> 'running' GROUP BY 1")(
     lambda c: Z.run(Z.terminal_events(progress_stream(c))).select("job_id", "id", "status")
 )
-query("j15_fuzzy_tokens")(lambda c: M.fuzzy_tokens(M.candidate_pairs(c.table("benchmark").select(F.col("item_id").alias("id"), "text"), candidates(c)), c.table("benchmark").select(F.col("item_id").alias("id"), "text"), candidates(c)))
+query("j15_fuzzy_tokens")(lambda c: M.fuzzy_tokens(M.whole_pairs(items(c), candidates(c)), items(c), candidates(c)))
 query("x11_x12_hints")(lambda c: M.hints(c.tracks().select(F.col("artist").alias("hint"), F.col("title").alias("name"))))
