@@ -125,6 +125,9 @@ query("j08_exclude_seen", "SELECT q.id, q.session_id, q.track_id FROM queue_entr
 query("j10_tag_cluster", "SELECT tag_id, track_id FROM mood_tags m JOIN tracks t ON t.rec_cluster_id = m.cluster_id WHERE tag_id % 2 = 0")(
     lambda c: c.mood_tags().filter("tag_id % 2 = 0").join(c.tracks().select("track_id", F.col("rec_cluster_id").alias("cluster_id")), "cluster_id").select("tag_id", "track_id")
 )
+query("j10_tag_cluster_all", "SELECT tag_id, track_id FROM mood_tags m JOIN tracks t ON t.rec_cluster_id = m.cluster_id")(
+    lambda c: c.mood_tags().join(c.tracks().select("track_id", F.col("rec_cluster_id").alias("cluster_id")), "cluster_id").select("tag_id", "track_id")
+)
 query(
     "j13_verify_object_refs",
     "SELECT count(*) AS rows, count(mp3_key) AS with_key, count(*) FILTER (status = 'ready' AND mp3_key IS NULL) AS ready_without_key FROM tracks",

@@ -107,6 +107,9 @@ def _hit_priority(hits: DataFrame, limit: int) -> DataFrame:
 query("x31_quoted_phrase", r"""SELECT doc_id, len(list_filter(regexp_extract_all(q, '"([^"]*)"', 1), lambda p: len(list_filter(regexp_split_to_array(p, '\s+'), lambda x: x <> '')) > 3)) > 0 AS too_long FROM (SELECT doc_id, '"' || text[1:20] || '" by someone' AS q FROM documents)""")(
     lambda c: c.table("documents").select("doc_id", X.quoted_phrase_too_long(F.concat(F.lit('"'), F.left("text", F.lit(20)), F.lit('" by someone'))).alias("too_long"))
 )
+query("x31_quoted_phrase_whole", r"""SELECT doc_id, len(list_filter(regexp_extract_all(text, '"([^"]*)"', 1), lambda p: len(list_filter(regexp_split_to_array(p, '\s+'), lambda x: x <> '')) > 3)) > 0 AS too_long FROM documents""")(
+    lambda c: c.table("documents").select("doc_id", X.quoted_phrase_too_long(F.col("text")).alias("too_long"))
+)
 query("s11_search_results", "SELECT user_id AS id, least(count(*), 10) AS n FROM events GROUP BY 1")(
     lambda c: P.search_results(
         c.table("events").groupBy(F.col("user_id").alias("id")).agg(F.to_json(F.collect_list(F.struct(F.col("event_type").alias("title"), F.lit("http://x").alias("href"), F.col("props").alias("body")))).alias("reply"))
