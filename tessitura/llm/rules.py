@@ -30,36 +30,32 @@ THRESHOLDS: list[tuple[str, float | None, float | None]] = [
 ]
 
 
-#: The low bits of a window's key hold its place in the text, the other bits its hash.
-PLACE_BITS = 21
-
-
-def _window_keys(words: Column) -> Column:
-    """A long for each 3-word window, sorted: 43 bits of its hash, then its place. Equal windows become neighbours."""
-    mask = (1 << PLACE_BITS) - 1
+def _windows(words: Column) -> Column:
+    """A struct for each 3-word window, sorted: its hash, its words, its place. Equal windows become neighbours, whatever
+    other windows have the same hash."""
     return F.sort_array(
         F.transform(
             F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
-            lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.lit(~mask)).bitwiseOR(i.bitwiseAND(F.lit(mask))),
+            lambda w, i: F.struct(
+                F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("hash"),
+                w.alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c"), i.alias("place"),
+            ),
         )
-    )
+    )
 
 
-def _repeated(words: Column, keys: Column) -> Column:
-    """The keys of the windows that are found twice or more: equal to a neighbour, and then word by word too."""
-    place = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
-    high = lambda x: F.shiftright(x, PLACE_BITS)
+def _repeated(windows: Column) -> Column:
+    """The places of the windows that are found twice or more: equal to a neighbour."""
 
     def equal(x: Column, y: Column) -> Column:
-        return (high(x) == high(y)) & F.forall(F.array(*map(F.lit, range(3))), lambda k: F.get(words, place(x) + k) == F.get(words, place(y) + k))
+        return (x["hash"] == y["hash"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
 
-    return F.filter(keys, lambda x, i: equal(x, F.get(keys, i + 1)) | equal(x, F.get(keys, i - 1)))
+    return F.transform(F.filter(windows, lambda x, i: equal(x, F.get(windows, i + 1)) | equal(x, F.get(windows, i - 1))), lambda x: x["place"])
 
 
-def _covered(again: Column) -> Column:
-    """How many words the windows in `again` cover."""
-    mask = F.lit((1 << PLACE_BITS) - 1)
-    return F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(*[x.bitwiseAND(mask) + k for k in range(3)]))))).cast("long")
+def _covered(places: Column) -> Column:
+    """How many words the windows at these places cover."""
+    return F.size(F.array_distinct(F.flatten(F.transform(places, lambda x: F.array(*[x + k for k in range(3)]))))).cast("long")
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -70,10 +66,10 @@ def measures(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     stops = sorted({w for x in STOP_WORDS.values() for w in x.split()})
     first = id_and_text(docs).select("doc_id", "text", words.alias("_words"), lines.alias("_lines"))
-    second = first.select("doc_id", "text", "_words", "_lines", _window_keys(F.col("_words")).alias("_keys"))
-    third = second.select("doc_id", "text", "_words", "_lines", _repeated(F.col("_words"), F.col("_keys")).alias("_again"))
+    second = first.select("doc_id", "text", "_words", "_lines", _windows(F.col("_words")).alias("_windows"))
+    third = second.select("doc_id", "text", "_words", "_lines", _repeated(F.col("_windows")).alias("_again"))
     # One struct, exploded: a filter on the verdict then stays above it. Pushed below, it would repeat the expressions on
-    # the sorted keys for each element of an array.
+    # the sorted windows for each element of an array.
     counts = third.select(
         "doc_id",
         F.explode(F.array(F.struct(
