@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each calling one operator of tessitura.llm on all that the stage before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents
-(doc_id, text, lang, source, n_chars). run() applies them to documents, writing and rereading between the stages.
+(doc_id, text, lang, source, n_chars). Every row is a document of its own, also where doc_ids are null or repeated.
+run() applies them to documents, writing and rereading between the stages.
 """
 
 from __future__ import annotations
@@ -15,29 +16,38 @@ from tessitura.llm.common import table, written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents whose id the operator kept. doc_id is unique, so the join keeps rows as they are."""
-    return docs.select(*COLUMNS).join(verdicts.select("doc_id"), "doc_id", "left_semi")
+def _rows(docs: DataFrame) -> DataFrame:
+    """The columns of documents, and row: a number that no other row has, in the order of doc_id (nulls first). It is doc_id
+    itself where that is unique and never null; else the rows are written with their numbers, so that these don't change."""
+    docs = docs.select(*COLUMNS)
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn("row", F.col("doc_id").cast("long"))
+    order = (F.col("doc_id"), F.xxhash64("text"))
+    return written(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id()))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, rules.quality_rules(docs).filter("kept"))
+    return rules.quality_rules(docs, carry=COLUMNS[1:]).filter("kept").select(*COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Trained on labelled rows of the whole table: the stage before has taken out most bad examples."""
-    return _kept(docs, classifier.classify(docs, queries.quality_weights(spark, sf_dir)).filter("predicted = 1"))
+    return classifier.classify(docs, queries.quality_weights(spark, sf_dir), carry=COLUMNS[1:]).filter("predicted = 1").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, neardup.near_duplicates(docs).filter("kept"))
+    """One row of each group stays, of smallest doc_id (null first), also where rows share a doc_id or have none."""
+    rows = _rows(docs)
+    kept = neardup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).filter("kept")
+    return rows.join(kept.select(F.col("doc_id").alias("row")), "row", "left_semi").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that lose words are their kept words joined by one space; others stay as they are. A text of which
     nothing is left stays as an empty one."""
-    out = substrings.remove_repeats(docs, carry=("lang", "source"))
-    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+    rows = _rows(docs).select(F.col("row").alias("doc_id"), "text", F.col("doc_id").alias("own"), "lang", "source")
+    out = substrings.remove_repeats(rows, carry=("own", "lang", "source"))
+    return out.select(F.col("own").alias("doc_id"), F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

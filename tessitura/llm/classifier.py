@@ -5,7 +5,7 @@ Training takes at most `max_rows` labelled rows (a documented bound: the smalles
 texts. Labels are the only other input; lang, source and ids never enter a score.
 Defined results: a null or empty text has no n-grams and is scored by the bias alone; repeated labels of one document
 count once, the larger value; without any labelled row each score is 0.5; repeated rows give a row each;
-an empty table gives no rows; extra columns are not read.
+an empty table gives no rows; extra columns are not read, but for those in `carry`.
 """
 
 from __future__ import annotations
@@ -90,18 +90,29 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = 16
     return sum(np.frombuffer(p["w"], np.float32) * np.float32(p["n"] / total) for p in parts)
 
 
-def classify(docs: DataFrame, weights: np.ndarray | None, threshold: float = 0.7) -> DataFrame:
-    """doc_id, score, predicted for every text."""
+def classify(docs: DataFrame, weights: np.ndarray | None, threshold: float = 0.7, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score, predicted for every text, and the columns in `carry`, which go with their rows."""
     model = docs.sparkSession.sparkContext.broadcast(weights)
 
+    rows = id_and_text(docs, *([F.struct(F.col("text").isNull().alias("_null"), *(c for c in carry if c != "text")).alias("_carried")] if carry else []))
+    more = ["text", "_carried"] if carry else []
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.value
-        for ids, texts in in_slices(batches):
-            if w is None:
-                p = np.full(len(ids), 0.5)
-            else:
-                rows, at, value = features(texts)
-                p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[at] * value, minlength=len(ids)) + w[-1], -35, 35)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
-
-    return id_and_text(docs).mapInArrow(score, "doc_id long, score double, predicted int")
+        for batch in batches:
+            got = [np.empty(0)]
+            for ids, texts in in_slices([batch]):
+                if w is None:
+                    p = np.full(len(ids), 0.5)
+                else:
+                    at_row, at, value = features(texts)
+                    p = 1 / (1 + np.exp(-np.clip(np.bincount(at_row, w[at] * value, minlength=len(ids)) + w[-1], -35, 35)))
+                got.append(p)
+            p = np.concatenate(got)
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32)), *(batch[c] for c in more)], ["doc_id", "score", "predicted", *more]
+            )
+
+    done = rows.mapInArrow(score, ", ".join(["doc_id long, score double, predicted int", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in more)]))
+    back = lambda c: F.when(~F.col("_carried._null"), F.col("text")).alias(c) if c == "text" else F.col(f"_carried.{c}").alias(c)
+    return done.select("doc_id", "score", "predicted", *map(back, carry))

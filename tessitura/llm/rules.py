@@ -2,7 +2,7 @@
 
 Defined results: a null or empty text has no words, fails the base rule and isn't kept. Lines and
 windows are counted over the whole text whatever its length. Repeated rows get equal results, one
-each. Extra columns of the input are not read.
+each. Extra columns of the input are not read, but for those in `carry`, which go with their rows.
 """
 
 from __future__ import annotations
@@ -58,20 +58,22 @@ def _covered(places: Column) -> Column:
     return F.size(F.array_distinct(F.flatten(F.transform(places, lambda x: F.array(*[x + k for k in range(3)]))))).cast("long")
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id and all counts and ratios that the rules use."""
+def measures(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, all counts and ratios that the rules use, and the columns in `carry`."""
     text = F.col("text")
     whole = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     words = F.when(whole == "", F.array().cast("array<string>")).otherwise(F.split(whole, WORD_GAP))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     stops = sorted({w for x in STOP_WORDS.values() for w in x.split()})
-    first = id_and_text(docs).select("doc_id", "text", words.alias("_words"), lines.alias("_lines"))
-    second = first.select("doc_id", "text", "_words", "_lines", _windows(F.col("_words")).alias("_windows"))
-    third = second.select("doc_id", "text", "_words", "_lines", _repeated(F.col("_windows")).alias("_again"))
+    carried = ["_carried"] if carry else []
+    rows = id_and_text(docs, *([F.struct(*carry).alias("_carried")] if carry else []))
+    first = rows.select("doc_id", "text", *carried, words.alias("_words"), lines.alias("_lines"))
+    second = first.select("doc_id", "text", *carried, "_words", "_lines", _windows(F.col("_words")).alias("_windows"))
+    third = second.select("doc_id", "text", *carried, "_words", "_lines", _repeated(F.col("_windows")).alias("_again"))
     # One struct, exploded: a filter on the verdict then stays above it. Pushed below, it would repeat the expressions on
     # the sorted windows for each element of an array.
     counts = third.select(
-        "doc_id",
+        "doc_id", *carried,
         F.explode(F.array(F.struct(
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
@@ -81,7 +83,7 @@ def measures(docs: DataFrame) -> DataFrame:
         F.size("_lines").alias("_n_lines"),
         F.size(F.filter("_words", lambda w: w.isin(stops))).alias("_stops"),
         ))).alias("c"),
-    ).select("doc_id", "c.*")
+    ).select("doc_id", *carried, "c.*")
     per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     return counts.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -89,6 +91,7 @@ def measures(docs: DataFrame) -> DataFrame:
         per(F.col("n_symbols"), F.col("n_words")).alias("symbols_per_word"),
         per(F.col("_stops"), F.col("n_words")).alias("stop_word_ratio"),
         per(F.col("n_dup_lines"), F.col("_n_lines")).alias("dup_line_ratio"),
+        *(F.col(f"_carried.{c}").alias(c) for c in carry),
     )
 
 
@@ -101,7 +104,7 @@ def verdict(thresholds=THRESHOLDS) -> Column:
     return ok
 
 
-def quality_rules(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
-    """A row for each document: counts, ratios, base_failed and kept."""
+def quality_rules(docs: DataFrame, thresholds=THRESHOLDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each document: counts, ratios, base_failed, kept and the columns in `carry`."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return measures(docs).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict(thresholds))
+    return measures(docs, carry).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict(thresholds))
