@@ -23,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
+    """A new folder name below spark.checkpoint.dir, which all executors share. Without that setting only a session in one
+    process (tests, bench) gets a folder, its own; a cluster has to name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/{uuid.uuid4().hex}"
@@ -88,8 +91,9 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def packed(*arrays: np.ndarray | bytes) -> bytes:
-    """Arrays as one compressed value; unpacked() needs their types."""
-    parts = [x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in arrays]
+    """Arrays as one compressed value; unpacked() needs their types. The first bytes of all numbers stand together, then
+    the second ones and so on: bytes that are alike compress well there."""
+    parts = [x if isinstance(x, bytes) else np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in arrays]
     head = np.array([len(parts), *map(len, parts)], np.int64).tobytes()
     return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
 
@@ -101,11 +105,20 @@ def unpacked(value: bytes, *types) -> list:
     sizes = np.frombuffer(raw, np.int64, n, 8)
     at, out = 8 * (n + 1), []
     for kind, size in zip(types, sizes.tolist(), strict=True):
-        out.append(raw[at : at + size] if kind is None else np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        if kind is None:
+            out.append(raw[at : at + size])
+        else:
+            planes = np.frombuffer(raw, np.uint8, size, at).reshape(np.dtype(kind).itemsize, -1)
+            out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
         at += size
     return out
 
 
+def gaps(x: np.ndarray) -> np.ndarray:
+    """Differences between sorted numbers, the first from 0: they compress better. np.cumsum() undoes it."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:
     """(doc_ids, texts) of at most about `limit` characters, so that a task's memory doesn't follow Arrow's batches."""
     for batch in batches:

@@ -4,16 +4,15 @@ Tokens are the words of a text, lower-cased A-Z, then one end; a text's first hi
 d(c) * c / c(history); an unseen one has alpha(history) * P(word); an unseen word has what the discounts of the unigrams
 leave, as one event. alpha = (1 - mass of the seen) / (1 - P of the seen), so that each history's probabilities add up to 1.
 
-Counts go through two exchanges of packed values, however large the vocabulary, and nothing of the vocabulary is broadcast:
-
-* Documents are cut into blocks, written once as a table bucketed by block. A block's distinct words go to the buckets of
-  their hashes with their counts in training texts; each bucket adds up and answers every block in the order it was asked.
-* With these answers a block sends its distinct bigrams to the buckets of their histories, with the word's count;
-  each bucket adds up, writes the bigrams and what the backoff weight of a history needs, and answers again.
-* A block joins both answers with its texts and scores them token by token.
-
-Words and histories are held as 64-bit hashes, the words inside a history's list by 48 bits. All tables lie in the
-shared folder, partitioned by kind. Only sums over the tables (counts of counts) reach the driver.
+blocks_of() turns documents into blocks: the distinct words of many texts and the texts as places in that list.
+fit() counts the texts that aren't held out and stores a Model: two tables, a row for each bucket of hashes, and the
+figures that all texts share. score() needs blocks and a stored model alone: it looks up each block's distinct words
+(their id, count and backoff weight), then its distinct bigrams, and evaluates its texts token by token.
+
+Everything moves as packed arrays between blocks and buckets, whatever the size of the vocabulary; nothing of it is
+broadcast, and only sums over the tables (counts of counts) reach the driver. The number of buckets follows the input: about
+`per_bucket` words or tokens each. A history that occurs more than `hot` times is spread over several buckets by its followers;
+their sums for the backoff weight are added up. Words are told apart by 64-bit hashes, bigrams by two word ids.
 Defined results: a null or empty text has one token, its end; without training texts every probability is 1 (score
 0); a null doc_id counts as an empty id text; repeated rows give a row each; an empty table gives no rows; extra
 columns are not read.
@@ -21,23 +20,28 @@ columns are not read.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashes_of, id_and_text, in_slices, packed, shared_dir, unpacked, words_of, written
+from .common import gaps, hashes_of, id_and_text, in_slices, packed, shared_dir, unpacked, words_of, written
 
 START, END = hashes_of([b"\n<s>", b"\n</s>"])  # no word holds a line feed
-LOW48 = np.uint64((1 << 48) - 1)
 #: Counts up to this one are discounted.
 K = 5
+#: Id of a word that the model doesn't know.
+NO_ID = (1 << 32) - 1
+ODD = 0x9E3779B1
+MESSAGE = "block long, bucket int, payload binary"
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -52,9 +56,18 @@ def discounts(n: list[int]) -> list[float]:
     return [(r - off) / r for r in range(1, K + 1)]
 
 
+def discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
+    return c * np.array([1.0, *d, 1.0])[np.minimum(c, K + 1).astype(np.int64)]
+
+
+def counts_of_counts(c: np.ndarray) -> list[int]:
+    return [int((c == r).sum()) for r in range(1, K + 2)]
+
+
 @dataclass
 class Scalars:
-    """What all texts share: training tokens, distinct ones, training texts, discounts, the unseen words' probability."""
+    """What all texts share: training tokens, distinct ones, training texts, discounts, the unseen words' probability; the
+    numbers of buckets, and how often a history must occur to be spread."""
 
     tokens: int
     types: int
@@ -62,6 +75,10 @@ class Scalars:
     d1: list[float]
     scale: float
     unseen: float
+    word_buckets: int
+    pair_buckets: int
+    bits: int
+    hot: int
     d2: list[float] | None = None
 
     def word(self, c: np.ndarray) -> np.ndarray:
@@ -71,15 +88,28 @@ class Scalars:
             return np.ones(len(c))
         return np.where(c > 0, discounted(c, self.d1) * self.scale / self.tokens, self.unseen)
 
+    def key(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """One number for a bigram of ids, different for different ones: the history's bits dealt anew, then the word's."""
+        low = np.uint64((1 << self.bits) - 1)
+        return (((h * np.uint64(ODD)) & low) << np.uint64(self.bits)) | w
 
-def discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
-    return c * np.array([1.0, *d, 1.0])[np.minimum(c, K + 1).astype(np.int64)]
+    def parts_of(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The dealt history and the word of a key."""
+        return key >> np.uint64(self.bits), key & np.uint64((1 << self.bits) - 1)
 
+    def history(self, dealt: np.ndarray) -> np.ndarray:
+        return (dealt * np.uint64(pow(ODD, -1, 1 << self.bits))) & np.uint64((1 << self.bits) - 1)
 
-def scalars(n: list[int], tokens: int, types: int, texts: int) -> Scalars:
-    d = discounts(n)
-    left = sum((1 - d[r - 1]) * r * n[r - 1] for r in range(1, K + 1)) / tokens if tokens else 1.0
-    return Scalars(tokens, types, texts, d, 1.0, left) if left > 0 else Scalars(tokens, types, texts, d, tokens / (tokens + 1), 1 / (tokens + 1))
+    def pair_bucket(self, key: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The bucket of bigrams whose history occurs `count` times."""
+        dealt, w = self.parts_of(key)
+        bucket = (dealt * np.uint64(self.pair_buckets)) >> np.uint64(self.bits)
+        parts = (count // self.hot + 1).astype(np.uint64)
+        many = parts > 1
+        if many.any():
+            salt = ((((w[many] * np.uint64(ODD)) & np.uint64(0xFFFFFFFF)) * np.minimum(parts[many], self.pair_buckets)) >> np.uint64(32)).astype(np.uint64)
+            bucket[many] = (bucket[many] + salt) % np.uint64(self.pair_buckets)
+        return bucket.astype(np.int64)
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -88,49 +118,60 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class Block:
-    """The texts of one block as arrays: for each token its document, its hash, the hash before it; and the distinct words
-    and bigrams in the order in which they are asked for."""
-
-    def __init__(self, payload: bytes, buckets: int):
-        self.ids, self.null, self.held, n, text = unpacked(payload, np.int64, np.uint8, np.uint8, np.int32, None)
-        size = n.astype(np.int64) + 1
-        self.sizes, self.ends = size, np.cumsum(size)
-        token = np.empty(int(size.sum()), np.uint64)
-        last = self.ends - 1
-        inner = np.ones(len(token), bool)
-        inner[last] = False
-        token[inner] = hashes_of(text.split())
-        token[last] = END
-        before = np.concatenate([[START], token[:-1]]).astype(np.uint64)
-        before[self.ends - size] = START
-        self.token, self.before = token, before
-        self.train = np.repeat(self.held == 0, size)
-        self.words, self.word_at = np.unique(token, return_inverse=True)
-        self.word_cuts = self._cuts(self.words, buckets)
+    """Some texts: their distinct words (start and end among them) in order, and for each token its place there."""
+
+    KINDS = (np.int64, np.uint8, np.uint8, np.int64, np.uint64, np.uint32)
+
+    def __init__(self, payload: bytes):
+        self.ids, self.null, self.held, self.sizes, words, self.at = unpacked(payload, *self.KINDS)
+        self.words = np.cumsum(words, dtype=np.uint64)
+        self.before = np.roll(self.at, 1)
+        self.before[np.cumsum(self.sizes) - self.sizes] = np.searchsorted(self.words, START)
+        self.learnt = np.repeat(self.held == 0, self.sizes)
 
     @staticmethod
-    def _cuts(h: np.ndarray, buckets: int) -> np.ndarray:
-        return np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
+    def packed(ids: list, held: list, sizes: np.ndarray, token: np.ndarray) -> bytes:
+        words = np.unique(np.append(token, [START, END]).astype(np.uint64))
+        return packed(np.array([d or 0 for d in ids], np.int64), np.array([d is None for d in ids], np.uint8), np.array(held, np.uint8), sizes, gaps(words), np.searchsorted(words, token).astype(np.uint32))
+
+    def cuts(self, buckets: int) -> np.ndarray:
+        return np.searchsorted(bucket_of(self.words, buckets), np.arange(buckets + 1))
 
     def word_counts(self) -> np.ndarray:
-        return np.bincount(self.word_at[self.train], minlength=len(self.words)).astype(np.int64)
-
-    def pair_up(self, buckets: int, c1: np.ndarray) -> None:
-        """A history's words are in order of their counts: equal numbers then stand together and cost little to send."""
-        order = np.lexsort((self.token, c1[self.word_at], self.before))
-        h, w = self.before[order], self.token[order]
-        fresh = np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])) if len(h) else np.empty(0, bool)
-        self.pair_at = np.empty(len(order), np.int64)
-        self.pair_at[order] = np.cumsum(fresh) - 1
-        first = order[fresh]
-        self.pair_word = self.word_at[first]
-        h = h[fresh]
-        new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        self.histories, self.history_sizes = h[new], np.diff(np.append(new, len(h)))
-        self.pair_history = np.repeat(np.arange(len(new)), self.history_sizes)
-        self.history_cuts = self._cuts(self.histories, buckets)
-        self.pair_cuts = np.append(new, len(h))[self.history_cuts]
-        self.pair_counts = np.bincount(self.pair_at[self.train], minlength=len(h)).astype(np.int64)
+        """In the texts to learn from; the start counts once a text."""
+        c = np.bincount(self.at[self.learnt], minlength=len(self.words)).astype(np.int64)
+        c[np.searchsorted(self.words, START)] = int((self.held == 0).sum())
+        return c
+
+    def doc_ids(self) -> pd.api.extensions.ExtensionArray:
+        return pd.arrays.IntegerArray(self.ids.copy(), self.null > 0)
+
+
+class Pairs:
+    """The distinct bigrams of known words among some tokens, by bucket."""
+
+    def __init__(self, x: Block, tokens: np.ndarray, ids: np.ndarray, c1: np.ndarray, s: Scalars):
+        ids = ids.astype(np.uint64)
+        h, w = ids[x.before[tokens]], ids[x.at[tokens]]
+        known = (h != NO_ID) & (w != NO_ID)
+        self.tokens = tokens[known]
+        key = s.key(h[known], w[known])
+        bucket = s.pair_bucket(key, c1[x.before[self.tokens]])
+        order = np.argsort(key)
+        if (np.diff(bucket[order]) < 0).any():  # some histories are spread
+            order = order[np.argsort(bucket[order], kind="stable")]
+        fresh = np.append(True, np.diff(key[order]) != 0)[: len(order)]
+        self.order, self.place, self.starts = order, np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+        self.first = self.tokens[order[self.starts]]
+        self.key, bucket = key[order[self.starts]], bucket[order[self.starts]]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        self.slices = list(zip(bucket[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True)) if len(bucket) else []
+
+    def to_tokens(self, value: np.ndarray, n: int) -> np.ndarray:
+        """A value for each distinct bigram as one for each of n tokens, 0 where none was asked for."""
+        out = np.zeros(n, value.dtype)
+        out[self.tokens[self.order]] = value[self.place]
+        return out
 
 
 def _in_order(answers: pd.DataFrame, *types) -> list[np.ndarray]:
@@ -139,206 +180,347 @@ def _in_order(answers: pd.DataFrame, *types) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, t) for t in types]
 
 
-def _blocks(docs: DataFrame, held_out: Callable[[int | None], bool], limit: int) -> DataFrame:
+@contextmanager
+def blocks_of(docs: DataFrame, held_out: Callable[[int | None], bool], limit: int = 16 << 20):
+    """block, types, tokens, texts (the last two to learn from), payload: a table bucketed by block, so that joins by block move
+    answers only, never the texts. Gone from the catalog when the context ends. A block has about `limit` characters."""
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"llm_blocks_{uuid.uuid4().hex}"
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for ids, texts in in_slices(batches, limit):
-            words = [words_of(t, lower=True) for t in texts]
-            payload = packed(
-                np.array([d or 0 for d in ids], np.int64), np.array([d is None for d in ids], np.uint8), np.array([held_out(d) for d in ids], np.uint8),
-                np.array([len(w) for w in words], np.int32), b" ".join(w for ws in words for w in ws),
-            )
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([payload], pa.binary())], ["block", "payload"])
-            number += 1
+        number, size = TaskContext.get().partitionId() << 32, 0
+        ids, sizes, token = [], [], []
 
-    return id_and_text(docs).mapInArrow(cut, "block long, payload binary")
+        def block() -> pa.RecordBatch:
+            held, n = [held_out(d) for d in ids], np.concatenate(sizes)
+            payload = Block.packed(ids, held, n, np.concatenate(token))
+            learnt = np.array(held) == 0
+            cols = [[number], [sum(map(len, token))], [int(n[learnt].sum())], [int(learnt.sum())]]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([payload], pa.binary())], ["block", "all_tokens", "tokens", "texts", "payload"])
 
+        for some, texts in in_slices(batches, min(limit, 2 << 20)):
+            words = [words_of(t, lower=True) for t in texts]
+            n = np.fromiter(map(len, words), np.int64, len(words)) + 1
+            t = np.full(int(n.sum()), END)
+            inner = np.ones(len(t), bool)
+            inner[np.cumsum(n) - 1] = False
+            t[inner] = hashes_of([w for ws in words for w in ws])
+            ids += some
+            sizes.append(n)
+            token.append(t)
+            size += sum(map(len, texts))
+            if size >= limit:
+                yield block()
+                number, size = number + 1, 0
+                ids, sizes, token = [], [], []
+        if ids:
+            yield block()
+
+    made = id_and_text(docs).mapInArrow(cut, "block long, all_tokens long, tokens long, texts long, payload binary")
+    try:
+        made.write.format("parquet").option("path", shared_dir(spark)).option("compression", "uncompressed").bucketBy(partitions, "block").sortBy("block").saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _messages(to: list[int], block: int, payloads: list[bytes]) -> pd.DataFrame:
+    return pd.DataFrame({"block": block, "bucket": to, "payload": payloads})
+
+
+def _ask_words(blocks: DataFrame, buckets: int, what: Callable[[Block], np.ndarray]) -> DataFrame:
+    """Each block's distinct words and a number for each, to the buckets of their hashes."""
 
-def _ask_words(blocks: DataFrame, buckets: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, payload in zip(b["block"].to_pylist(), b["payload"].to_pylist(), strict=True):
-                x = Block(payload, buckets)
-                c, cuts = x.word_counts(), x.word_cuts.tolist()
+                x = Block(payload)
+                c, cuts = what(x), x.cuts(buckets).tolist()
                 some = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
-                out = [packed(x.words[cuts[k] : cuts[k + 1]], c[cuts[k] : cuts[k + 1]]) for k in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([number] * len(some), pa.int64()), pa.array(out, pa.binary())], ["bucket", "block", "payload"])
+                out = [packed(gaps(x.words[cuts[k] : cuts[k + 1]]), c[cuts[k] : cuts[k + 1]]) for k in some]
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(out, pa.binary())], ["block", "bucket", "payload"])
+
+    return blocks.select("block", "payload").mapInArrow(ask, MESSAGE)
+
+
+COUNTED = "kind string, block long, bucket int, payload binary, tokens long, types long, " + ", ".join(f"n{r} long" for r in range(1, K + 2))
+
 
-    return blocks.mapInArrow(ask, "bucket int, block long, payload binary")
+def _counted(kind: str, bucket: int, payload: bytes, counts: np.ndarray, types: int) -> pd.DataFrame:
+    return pd.DataFrame({"kind": [kind], "bucket": [bucket], "payload": [payload], "tokens": [int(counts.sum())], "types": [types]} | {f"n{r}": [n] for r, n in enumerate(counts_of_counts(counts), 1)})
 
 
-def _add_words(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: the words' totals, and the answer to each block."""
-    asked = [unpacked(x, np.uint64, np.int64) for x in pdf["payload"]]
-    words, at = np.unique(np.concatenate([w for w, _ in asked]), return_inverse=True)
-    total = np.bincount(at, np.concatenate([c for _, c in asked]), minlength=len(words)).astype(np.int64)
-    ends = np.cumsum([len(w) for w, _ in asked])
-    answers = [packed(total[a]) for a in np.split(at, ends[:-1])]
-    known = total > 0
-    return pd.concat(
-        [
-            pd.DataFrame({"kind": "answer", "bucket": pdf["bucket"], "block": pdf["block"], "payload": answers}),
-            pd.DataFrame({"kind": "word", "word": words[known].view(np.int64), "count": total[known]}),
-        ]
-    ).astype({"bucket": "Int32", "block": "Int64", "word": "Int64", "count": "Int64"})
+def _word_adder(buckets: int):
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One bucket: the words' totals and ids, and these as an answer to each block."""
+        bucket = int(pdf["bucket"].iloc[0])
+        asked = [unpacked(x, np.uint64, np.int64) for x in pdf["payload"]]
+        words, at = np.unique(np.concatenate([np.cumsum(w, dtype=np.uint64) for w, _ in asked]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([c for _, c in asked]), minlength=len(words)).astype(np.int64)
+        known = total > 0
+        ids = np.where(known, (np.cumsum(known) - 1) * buckets + bucket, NO_ID).astype(np.uint32)
+        ends = np.cumsum([len(w) for w, _ in asked])
+        answers = [packed(ids[a], total[a]) for a in np.split(at, ends[:-1])]
+        real = total[known & (words != START)]
+        table = _counted("word", bucket, packed(gaps(words[known]), total[known]), real, len(real))
+        return pd.concat([table, pd.DataFrame({"kind": "answer", "block": pdf["block"], "bucket": bucket, "payload": answers})])[[c.split()[0] for c in COUNTED.split(", ")]].astype(
+            {c: "Int64" for c in ("block", "tokens", "types", *(f"n{r}" for r in range(1, K + 2)))}
+        )
+
+    return add
+
 
+def _ask_pairs(blocks: DataFrame, answers: DataFrame, s: Scalars, fit: bool) -> DataFrame:
+    """Each block's distinct bigrams to their buckets; fit: those to learn from, with their counts and the words' counts."""
 
-def _ask_pairs(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
     def ask(block: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
-        x = Block(block["payload"].iloc[0], buckets)
-        (c1,) = _in_order(answer, np.int64)
-        x.pair_up(buckets, c1)
-        hc, pc = x.history_cuts.tolist(), x.pair_cuts.tolist()
-        some = [k for k in range(buckets) if hc[k] < hc[k + 1]]
-        low = (x.words[x.pair_word] & LOW48).view(np.uint16).reshape(-1, 4)[:, :3]
-        out = [
-            packed(x.histories[hc[k] : hc[k + 1]], x.history_sizes[hc[k] : hc[k + 1]].astype(np.int32), low[pc[k] : pc[k + 1]], x.pair_counts[pc[k] : pc[k + 1]], c1[x.pair_word[pc[k] : pc[k + 1]]])
-            for k in some
-        ]
-        return pd.DataFrame({"bucket": some, "block": int(block["block"].iloc[0]), "payload": out})
+        if not len(block):
+            return _messages([], 0, [])
+        x = Block(block["payload"].iloc[0])
+        ids, c1, *_ = _in_order(answer, *((np.uint32, np.int64) if fit else WORD_ANSWER))
+        p = Pairs(x, np.flatnonzero(x.learnt) if fit else np.arange(len(x.at)), ids, c1, s)
+        more = []
+        if fit:
+            n = np.diff(np.append(p.starts, len(p.order)))
+            more = [n.astype(np.int64), c1[x.at[p.first]]]
+        out = [packed(gaps(p.key[a:b]), *(m[a:b] for m in more)) for _, a, b in p.slices]
+        return _messages([k for k, _, _ in p.slices], int(block["block"].iloc[0]), out)
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(ask, "bucket int, block long, payload binary")
+    return blocks.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(ask, MESSAGE)
+
+
+STATS = (np.uint32, np.float64, *[np.int32] * K)
 
 
 def _pair_adder(s: Scalars):
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One bucket of histories: its bigrams' totals, what each history leaves, the answer to each block."""
-        asked = [unpacked(x, np.uint64, np.int32, np.uint16, np.int64, np.int64) for x in pdf["payload"]]
-        h = np.concatenate([np.repeat(a[0], a[1]) for a in asked])
-        w = np.zeros((len(h), 4), np.uint16)
-        w[:, :3] = np.concatenate([a[2] for a in asked]).reshape(-1, 3)
-        w = w.view(np.uint64).ravel()
-        c, c1 = (np.concatenate([a[k] for a in asked]) for k in (3, 4))
-        order = np.lexsort((w, h))
-        hs, ws = h[order], w[order]
-        fresh = np.append(True, (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1]))
-        at = np.empty(len(h), np.int64)
-        at[order] = np.cumsum(fresh) - 1
-        del order
-        total = np.bincount(at, c, minlength=int(fresh.sum())).astype(np.int64)
-        hp, wp = hs[fresh], ws[fresh]
-        p1 = np.zeros(len(total))
-        p1[at] = s.word(c1)
-        new = np.flatnonzero(np.append(True, hp[1:] != hp[:-1]))
-        of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(hp))))
-        seen = total > 0
-        low = [np.bincount(of[total == r], minlength=len(new)) for r in range(1, K + 1)]
-        mass = np.bincount(of[seen], p1[seen], minlength=len(new))
-        known = np.bincount(of[seen], total[seen], minlength=len(new)) > 0
-        none_low = known & (sum(low) == 0)
-        answers, ends = [], np.cumsum([len(a[3]) for a in asked])
-        for a, part in zip(asked, np.split(at, ends[:-1]), strict=True):
-            mine = np.repeat(np.arange(len(a[0])), a[1])
-            got = total[part]
-            history = of[part[np.cumsum(a[1]) - a[1]]]
-            lacking = np.bincount(mine[got == 0], minlength=len(a[0])) > 0
-            need = history[lacking]
-            answers.append(packed(got, lacking.astype(np.uint8), none_low[history].astype(np.uint8), mass[need], *(x[need].astype(np.int32) for x in low)))
-        model = {"kind": "history", "history": hp[new][known].view(np.int64), "mass": mass[known]} | {f"n{r}": low[r - 1][known] for r in range(1, K + 1)}
-        return pd.concat(
-            [
-                pd.DataFrame({"kind": "answer", "bucket": pdf["bucket"], "block": pdf["block"], "payload": answers}),
-                pd.DataFrame({"kind": "bigram", "history": hp[seen].view(np.int64), "word": wp[seen].view(np.int64), "count": total[seen]}),
-                pd.DataFrame(model),
-            ]
-        ).astype({"bucket": "Int32"} | {k: "Int64" for k in ("block", "history", "word", "count", *(f"n{r}" for r in range(1, K + 1)))})
+        """One bucket of bigrams: their totals; and for each history's word bucket the P of what it has seen, and how many of
+        that it has seen once, twice and so on."""
+        asked = [unpacked(x, np.uint64, np.int64, np.int64) for x in pdf["payload"]]
+        key = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
+        c, c1 = (np.concatenate([a[k] for a in asked]) for k in (1, 2))
+        del asked
+        order = np.argsort(key)
+        starts = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+        total = np.add.reduceat(c[order], starts)
+        p1 = s.word(c1[order[starts]])
+        key = key[order[starts]]
+        del order, c, c1
+        dealt = s.parts_of(key)[0]
+        new = np.flatnonzero(np.append(True, np.diff(dealt) != 0))
+        h = s.history(dealt[new])
+        mass = np.add.reduceat(p1, new)
+        low = [np.add.reduceat(total == r, new, dtype=np.int32) for r in range(1, K + 1)]
+        to = (h % np.uint64(s.word_buckets)).astype(np.int64)
+        by = np.argsort(to, kind="stable")
+        cuts = np.flatnonzero(np.diff(to[by], prepend=-1)).tolist()
+        home, stats = [], []
+        for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True):
+            mine = by[a:b]
+            home.append(int(to[mine[0]]))
+            stats.append(packed(h[mine].astype(np.uint32), mass[mine], *(x[mine] for x in low)))
+        table = _counted("bigram", int(pdf["bucket"].iloc[0]), packed(gaps(key), total), total, len(total))
+        return pd.concat([table, pd.DataFrame({"kind": "stats", "bucket": home, "payload": stats})]).assign(block=0)[[c.split()[0] for c in COUNTED.split(", ")]].astype(
+            {c: "Int64" for c in ("tokens", "types", *(f"n{r}" for r in range(1, K + 2)))}
+        )
 
     return add
 
 
-PAIRS = "kind string, bucket int, block long, payload binary, history long, word long, count long, mass double, " + ", ".join(f"n{r} long" for r in range(1, K + 1))
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+#: A row of the stored words: hash, count, 1 where the history leaves one in count + 1, backoff weight.
+WORDS = (np.uint64, np.int64, np.uint8, np.float64)
 
 
-def _scored(blocks: DataFrame, answers: DataFrame, s: Scalars, buckets: int) -> DataFrame:
-    def score(block: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
-        x = Block(block["payload"].iloc[0], buckets)
-        (c1,) = _in_order(answer[answer["level"] == 1], np.int64)
-        x.pair_up(buckets, c1)
-        c2, lacking, none_low, mass, *low = _in_order(answer[answer["level"] == 2], np.int64, np.uint8, np.uint8, np.float64, *[np.int32] * K)
-        ch = np.where(x.histories == START, s.texts, 0).astype(np.float64)
-        at = np.searchsorted(x.words, x.histories)
-        found = (at < len(x.words)) & (x.words[np.minimum(at, len(x.words) - 1)] == x.histories)
-        ch[found] = c1[at[found]]  # a word is a history as often as it is a word
-        whole = ch + (none_low > 0)  # a history without low counts leaves one in c + 1
-        left, taken = np.zeros(len(ch)), np.zeros(len(ch))
-        need = lacking > 0
-        left[need] = sum((1 - s.d2[r]) * (r + 1) * low[r] for r in range(K))
-        left += none_low
-        taken[need] = mass
-        with np.errstate(divide="ignore", invalid="ignore"):
-            alpha = np.where(ch > 0, left / whole / (1 - taken), 1.0)
-            p = np.where(c2 > 0, discounted(c2.astype(np.float64), s.d2) / whole[x.pair_history], alpha[x.pair_history] * s.word(c1)[x.pair_word])
-        p1 = (c1 + 1) / (s.tokens + s.types + 1)
-        doc = np.repeat(np.arange(len(x.ids)), x.sizes)
-        add = lambda v: np.bincount(doc, v, minlength=len(x.ids))
-        return pd.DataFrame(
-            {
-                "doc_id": pd.array(x.ids, "Int64").copy() if not x.null.any() else pd.array([None if n else int(d) for d, n in zip(x.ids, x.null, strict=True)], "Int64"),
-                "held_out": x.held > 0, "n_tokens": x.sizes, "n_known": add((c1 > 0)[x.word_at]).astype(np.int64),
-                "base_score": add(np.log10(p1)[x.word_at]), "score": add(np.log10(p)[x.pair_at]),
-            }
-        )
+def _word_rows(s: Scalars):
+    """The only place where backoff weights come from."""
+
+    def rows(words: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
+        if not len(words):
+            return pd.DataFrame({"bucket": [], "payload": []})
+        hashes, c = unpacked(words["payload"].iloc[0], np.uint64, np.int64)
+        mass, low, seen = np.zeros(len(c)), np.zeros(len(c)), np.zeros(len(c), bool)
+        for x in stats["payload"]:
+            h, m, *n = unpacked(x, *STATS)
+            at = h.astype(np.int64) // s.word_buckets
+            mass[at] += m  # a history is once in a message
+            low[at] += sum((1 - s.d2[r]) * (r + 1) * n[r] for r in range(K))
+            seen[at] = True
+        none_low = seen & (low == 0)
+        left = np.where(none_low, 1.0, low) / (c + none_low)
+        alpha = np.where(seen, left / (1 - mass), 1.0)
+        return pd.DataFrame({"bucket": words["bucket"].iloc[:1], "payload": [packed(hashes, c, none_low.astype(np.uint8), alpha)]})
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, SCORES)
+    return rows
 
 
 @dataclass
 class Model:
-    """words (word, count), bigrams (history, word: 48 bits, count), histories (history, alpha): tables in the shared folder."""
+    """A stored model: words (bucket, payload: WORDS) and bigrams (bucket, payload: gaps of keys, counts) below one folder."""
 
-    words: DataFrame
-    bigrams: DataFrame
-    histories: DataFrame
+    spark: SparkSession
+    path: str
     scalars: Scalars
 
+    @property
+    def words(self) -> DataFrame:
+        return self.spark.read.schema("bucket int, payload binary").parquet(f"{self.path}/words")
+
+    @property
+    def bigrams(self) -> DataFrame:
+        return self.spark.read.schema("bucket int, payload binary, kind string").parquet(f"{self.path}/counts").filter("kind = 'bigram'").select("bucket", "payload")
+
+    def word_table(self) -> DataFrame:
+        """hash, id, count, alpha as rows, the start among them."""
+        buckets = self.scalars.word_buckets
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for bucket, x in zip(b["bucket"].to_pylist(), b["payload"].to_pylist(), strict=True):
+                    h, c, _, alpha = unpacked(x, *WORDS)
+                    h = np.cumsum(h, dtype=np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.arange(len(h)) * buckets + bucket), pa.array(c), pa.array(alpha)], ["hash", "id", "count", "alpha"])
+
+        return self.words.mapInArrow(rows, "hash long, id long, count long, alpha double")
+
+    def bigram_table(self) -> DataFrame:
+        """history, word (ids), count as rows."""
+        s = self.scalars
 
-def _by_kind(df: DataFrame) -> DataFrame:
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for x in b["payload"].to_pylist():
+                    key, c = unpacked(x, np.uint64, np.int64)
+                    h, w = s.parts_of(np.cumsum(key, dtype=np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(s.history(h).view(np.int64)), pa.array(w.view(np.int64)), pa.array(c)], ["history", "word", "count"])
 
+        return self.bigrams.mapInArrow(rows, "history long, word long, count long")
 
-def _counts_of_counts(counts: DataFrame) -> tuple[list[int], int, int]:
-    r = counts.agg(F.sum("count").alias("n"), F.count("*").alias("v"), *(F.count(F.when(F.col("count") == k, 1)).alias(f"n{k}") for k in range(1, K + 2))).first()
-    return [r[f"n{k}"] for k in range(1, K + 2)], r["n"] or 0, r["v"]
 
+def load(spark: SparkSession, path: str) -> Model:
+    return Model(spark, path, Scalars(**json.loads(spark.read.text(f"{path}/scalars").first()[0])))
 
-def fit_and_score(docs: DataFrame, held_out: Callable[[int | None], bool], limit: int = 8 << 20, spread: int = 4) -> tuple[DataFrame, Model]:
-    """A row for each document, and the model that the documents which aren't held out give. spread: buckets of hashes for
-    each shuffle partition; a task works on one at a time."""
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = spread * partitions
-    name = f"llm_blocks_{uuid.uuid4().hex}"
-    # Bucketed by block: the joins below then move the answers only, never the texts.
-    _blocks(docs, held_out, limit).write.format("parquet").option("path", shared_dir(spark)).option("compression", "uncompressed").bucketBy(partitions, "block").sortBy("block").saveAsTable(name)
-    blocks = spark.table(name)
-    texts = blocks.select("payload").mapInArrow(_training_texts, "n long").agg(F.sum("n")).first()[0] or 0
-    schema = "kind string, bucket int, block long, payload binary, word long, count long"
-    level1 = _by_kind(_ask_words(blocks, buckets).groupBy("bucket").applyInPandas(_add_words, schema))
-    words = level1.filter("kind = 'word'").select("word", "count")
-    s = scalars(*_counts_of_counts(words), texts)
-    answers1 = level1.filter("kind = 'answer'").select("block", "bucket", "payload")
-    level2 = _by_kind(_ask_pairs(blocks, answers1, buckets).groupBy("bucket").applyInPandas(_pair_adder(s), PAIRS))
-    bigrams = level2.filter("kind = 'bigram'").select("history", "word", "count")
-    s.d2 = discounts(_counts_of_counts(bigrams)[0])
-    answers2 = level2.filter("kind = 'answer'").select("block", "bucket", "payload")
-    answers = answers1.withColumn("level", F.lit(1)).unionByName(answers2.withColumn("level", F.lit(2)))
-    scores = written(_scored(blocks, answers, s, buckets))
-    spark.sql(f"DROP TABLE {name}")
-    return scores, Model(words, bigrams, _histories(level2, words, s), s)
-
-
-def _training_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n = [int((unpacked(x, np.int64, np.uint8, np.uint8, np.int32, None)[2] == 0).sum()) for x in b["payload"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
-
-
-def _histories(level2: DataFrame, words: DataFrame, s: Scalars) -> DataFrame:
-    low = sum((F.lit((1 - s.d2[r - 1]) * r) * F.col(f"n{r}") for r in range(1, K + 1)), F.lit(0.0))
-    own = level2.filter("kind = 'history'").join(words.withColumnRenamed("word", "history").select("history", F.col("count").alias("c")), "history", "left")
-    c = F.coalesce("c", F.lit(s.texts))  # the start
-    left = F.when(low > 0, low / c).otherwise(1.0 / (c + 1))
-    return own.select("history", (left / (1 - F.col("mass"))).alias("alpha"))
+
+def _sums(df: DataFrame, kind: str) -> dict[str, int]:
+    names = ["tokens", "types", *(f"n{r}" for r in range(1, K + 2))]
+    r = df.filter(F.col("kind") == kind).agg(*(F.sum(c).alias(c) for c in names), F.max("types").alias("most")).first()
+    return {k: r[k] or 0 for k in (*names, "most")}
+
+
+def _by_kind(df: DataFrame, path: str) -> DataFrame:
+    df.write.partitionBy("kind").option("compression", "uncompressed").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fit(blocks: DataFrame, per_bucket: int = 1 << 20, hot: int = 1 << 20) -> Model:
+    """Counts the texts to learn from and stores the model in the shared folder."""
+    spark = blocks.sparkSession
+    path = shared_dir(spark)
+    r = blocks.agg(F.sum("all_tokens").alias("all"), F.sum("texts").alias("texts")).first()
+    buckets = max(1, -(-(r["all"] or 0) // per_bucket))
+    word_buckets = max(1, buckets // 4)
+    asked = _ask_words(blocks, word_buckets, Block.word_counts)
+    counted = _by_kind(asked.groupBy("bucket").applyInPandas(_word_adder(word_buckets), COUNTED), shared_dir(spark))
+    sums = _sums(counted, "word")
+    tokens, d1 = sums["tokens"], discounts([sums[f"n{k}"] for k in range(1, K + 2)])
+    left = sum((1 - d1[r - 1]) * r * sums[f"n{r}"] for r in range(1, K + 1)) / tokens if tokens else 1.0
+    scale, unseen = (1.0, left) if left > 0 else (tokens / (tokens + 1), 1 / (tokens + 1))
+    # Ids are rank * buckets + bucket; the start is one more word.
+    bits = max(int((sums["most"] + 2) * word_buckets).bit_length(), 1)
+    if bits > 32:
+        raise ValueError("more than 2^32 word ids")
+    s = Scalars(tokens, sums["types"], r["texts"] or 0, d1, scale, unseen, word_buckets, buckets, bits, hot)
+    answers = counted.filter("kind = 'answer'").select("block", "bucket", "payload")
+    pairs = _by_kind(_ask_pairs(blocks, answers, s, True).groupBy("bucket").applyInPandas(_pair_adder(s), COUNTED), f"{path}/counts")
+    sums = _sums(pairs, "bigram")
+    s.d2 = discounts([sums[f"n{k}"] for k in range(1, K + 2)])
+    words, stats = counted.filter("kind = 'word'").select("bucket", "payload"), pairs.filter("kind = 'stats'").select("bucket", "payload")
+    words.groupBy("bucket").cogroup(stats.groupBy("bucket")).applyInPandas(_word_rows(s), "bucket int, payload binary").write.option("compression", "uncompressed").parquet(f"{path}/words")
+    spark.createDataFrame([(json.dumps(asdict(s)),)], "value string").coalesce(1).write.text(f"{path}/scalars")
+    return load(spark, path)
+
+
+#: id, count, leaves one in count + 1; then the backoff weights of those that were asked for.
+WORD_ANSWER = (np.uint32, np.int64, np.uint8, np.float64)
+
+
+def _needs_weight(x: Block) -> np.ndarray:
+    """1 for histories in texts that the model hasn't learnt from: all bigrams of the others are seen."""
+    out = np.zeros(len(x.words), np.uint8)
+    out[x.before[~x.learnt]] = 1
+    return out
+
+
+def _find_words(asked: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
+    def find(ask: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        h, c, none_low, alpha = unpacked(table["payload"].iloc[0], *WORDS) if len(table) else [np.empty(0, t) for t in WORDS]
+        h, out = np.cumsum(h, dtype=np.uint64), []
+        for x in ask["payload"]:
+            w, need = unpacked(x, np.uint64, np.uint8)
+            at, known = _found(h, np.cumsum(w, dtype=np.uint64))
+            bucket = int(ask["bucket"].iloc[0])
+            got = lambda v: np.where(known, v[at], 0).astype(v.dtype) if len(v) else np.zeros(len(at), v.dtype)  # noqa: E731, B023
+            out.append(packed(np.where(known, at * buckets + bucket, NO_ID).astype(np.uint32), got(c), got(none_low), got(alpha)[need > 0]))
+        return ask[["block", "bucket"]].assign(payload=out)
+
+    return asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInPandas(find, MESSAGE)
+
+
+def _found(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted number in a sorted table, and whether it is there."""
+    at = np.minimum(np.searchsorted(table, wanted), max(len(table) - 1, 0))
+    return at, table[at] == wanted if len(table) else np.zeros(len(wanted), bool)
+
+
+def _find_pairs(asked: DataFrame, bigrams: DataFrame) -> DataFrame:
+    def find(ask: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        key, c = unpacked(table["payload"].iloc[0], np.uint64, np.int64) if len(table) else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        key, out = np.cumsum(key, dtype=np.uint64), []
+        for x in ask["payload"]:
+            at, known = _found(key, np.cumsum(unpacked(x, np.uint64)[0], dtype=np.uint64))
+            out.append(packed(np.where(known, c[at], 0) if len(c) else np.zeros(len(at), np.int64)))
+        return ask[["block", "bucket"]].assign(payload=out)
+
+    return asked.groupBy("bucket").cogroup(bigrams.groupBy("bucket")).applyInPandas(find, MESSAGE)
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def score(blocks: DataFrame, model: Model) -> DataFrame:
+    """A row for each document, from the stored tables alone: a bigram's discounted share, else its history's weight times the
+    word's discounted share, else what is left for unseen words."""
+    s = model.scalars
+    words = written(_find_words(_ask_words(blocks, s.word_buckets, _needs_weight), model.words, s.word_buckets))
+    pairs = _find_pairs(_ask_pairs(blocks, words, s, False), model.bigrams)
+
+    def evaluate(block: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
+        x = Block(block["payload"].iloc[0])
+        ids, c1, none_low, weights = _in_order(answer[answer["level"] == 1], *WORD_ANSWER)
+        (c2,) = _in_order(answer[answer["level"] == 2], np.int64)
+        c2 = Pairs(x, np.arange(len(x.at)), ids, c1, s).to_tokens(c2, len(x.at)).astype(np.float64)
+        alpha = np.ones(len(x.words))
+        alpha[_needs_weight(x) > 0] = weights
+        alpha[c1 == 0] = 1.0
+        whole = (c1 + none_low)[x.before]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = np.where(c2 > 0, discounted(c2, s.d2) / whole, alpha[x.before] * s.word(c1)[x.at])
+        base = np.log10((c1 + 1) / (s.tokens + s.types + 1))
+        doc = np.repeat(np.arange(len(x.ids)), x.sizes)
+        add = lambda v: np.bincount(doc, v, minlength=len(x.ids))
+        return pd.DataFrame(
+            {
+                "doc_id": x.doc_ids(), "held_out": x.held > 0, "n_tokens": x.sizes, "n_known": add((c1 > 0)[x.at]).astype(np.int64),
+                "base_score": add(base[x.at]), "score": add(np.log10(p)),
+            }
+        )
+
+    answers = words.withColumn("level", F.lit(1)).unionByName(pairs.withColumn("level", F.lit(2)))
+    return blocks.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(evaluate, SCORES)
+
+
+def fit_and_score(docs: DataFrame, held_out: Callable[[int | None], bool], limit: int = 16 << 20, per_bucket: int = 1 << 20, hot: int = 1 << 20) -> tuple[DataFrame, Model]:
+    """A row for each document, and the stored model that the documents which aren't held out give."""
+    with blocks_of(docs, held_out, limit) as blocks:
+        model = fit(blocks, per_bucket, hot)
+        return written(score(blocks, model)), model

@@ -99,10 +99,43 @@ def test_odd_texts_and_small_blocks(spark, limit):
     docs = documents(spark, rows).withColumn("block", F.lit(1)).withColumn("payload", F.lit("x"))
     scores, model = katz.fit_and_score(docs, held, limit)
     plain = check(scores.collect(), rows)
-    got = {r["history"]: r["alpha"] for r in model.histories.collect()}
-    assert len(got) == len(plain.c2)
-    assert {r["count"] for r in model.words.collect()} == set(plain.c1.values())
-    assert sum(r["count"] for r in model.bigrams.collect()) == plain.n
+    stored = {r["id"]: r for r in model.word_table().collect()}
+    assert len(stored) == len(plain.c1) + 1  # the start
+    assert sum(r["count"] for r in stored.values()) == plain.n + model.scalars.texts
+    assert sum(r["count"] for r in model.bigram_table().collect()) == plain.n
+
+
+@pytest.mark.parametrize(("per_bucket", "hot"), [(10, 3), (50, 20), (1 << 20, 1)])
+def test_spread_histories_and_many_buckets(spark, per_bucket, hot):
+    """Histories spread over buckets by their followers give the same probabilities; stored weights make each history add up to 1."""
+    rnd = random.Random(per_bucket)
+    rows = [(k, " ".join(rnd.choice("the the the a b c d e f g h i j k l m n o p".split()) for _ in range(rnd.randrange(30)))) for k in range(60)]
+    scores, model = katz.fit_and_score(documents(spark, rows), held, 300, per_bucket, hot)
+    plain = check(scores.collect(), rows)
+    words = {r["id"]: r for r in model.word_table().collect()}
+    seen = defaultdict(dict)
+    for r in model.bigram_table().collect():
+        seen[r["history"]][r["word"]] = r["count"]
+    s = model.scalars
+    own = {i: float(s.word([r["count"]])[0]) for i, r in words.items() if r["hash"] != int(katz.START.astype("int64"))}
+    assert math.isclose(sum(own.values()) + (s.unseen if sum(own.values()) < 1 - 1e-12 else 0), 1, rel_tol=1e-9)
+    for h, followers in seen.items():
+        told = sum(katz.discounted(katz.np.array([c]), s.d2)[0] / words[h]["count"] for c in followers.values())
+        rest = sum(p for w, p in own.items() if w not in followers) + s.unseen
+        assert math.isclose(told + words[h]["alpha"] * rest, 1, rel_tol=1e-6)
+    assert len(seen) == len(plain.c2)
+
+
+def test_a_stored_model_scores_other_documents(spark):
+    rows = [(k, f"some words {k % 3} and more words") for k in range(40)]
+    with katz.blocks_of(documents(spark, rows), lambda d: False) as blocks:
+        path = katz.fit(blocks).path
+    other = [(100, "some words 1 and unheard words"), (101, None), (102, "some more")]
+    with katz.blocks_of(documents(spark, other), lambda d: True) as blocks:
+        got = {r["doc_id"]: r["score"] for r in katz.score(blocks, katz.load(spark, path)).collect()}
+    plain = Plain([words(t) for _, t in rows])
+    assert all(math.isclose(got[d], plain.score(words(t)), rel_tol=1e-9) for d, t in other)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("llm_blocks")]
 
 
 def test_no_training_texts_and_no_texts(spark):
