@@ -51,7 +51,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, queries._path("byte_bpe_50k.tiktoken"), queries._pattern())
+    return packing.pack_documents(docs, queries._path("byte_bpe_50k.tiktoken"), queries._path("byte_bpe_50k.json"), queries._pattern())
 
 
 STAGES = [

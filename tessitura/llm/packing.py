@@ -1,19 +1,21 @@
-"""Best-fit packing of documents into sequences of a fixed number of tokens.
+"""Best-fit packing of documents into sequences of a fixed number of tokens, by swap-based local search.
 
 A document longer than a sequence is cut into pieces of which only the first may be shorter; full pieces are sequences
 by themselves. The others are dealt into groups of about `group` pieces by a hash, so that a task's work is bounded and the
-number of groups follows the input. In a group, pieces go longest first into the fullest sequence that takes
-them; then a local search moves one, exchanges one for one or two for one between the emptiest underfull sequence
-and the others, whenever that increases the sum of squared fills, and so empties sequences.
+number of groups follows the input. In a group, pieces go in the order of their documents (those over half a sequence
+first) into the fullest sequence that takes them. Then the local search empties sequences: the emptiest underfull one gives, and a fuller one takes a piece, or
+one or two pieces for a smaller one of its own. Each exchange increases the sum of squared fills, so that the search ends; it ends
+when as few sequences are left as the tokens need, or when no underfull one can give anything to a fuller one.
 Defined results: a null text counts as empty: one end token; repeated rows are pieces of their own; an empty
 table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,17 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, in_slices, written
-from .tokens import SPECIAL, encoding
+from .tokens import added_tokens, encoding
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut(docs: DataFrame, path: str, pattern: str, size: int, end: int) -> DataFrame:
-    """A row for each piece. path: the ranks of the vocabulary; its end-of-text string inside a text is one token."""
+def cut(docs: DataFrame, path: str, json_path: str, pattern: str, size: int, end: int) -> DataFrame:
+    """A row for each piece. path: the ranks of the vocabulary; a token that its json file adds is one token inside a text."""
+    added = added_tokens(json_path)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path, pattern, SPECIAL)
-        names = {s for s, _ in SPECIAL}
+        enc = encoding(path, pattern, added)
+        names = {s for s, _ in added}
         for ids, texts in in_slices(batches):
             out: list[tuple] = []
             for doc, text in zip(ids, texts, strict=True):
@@ -50,11 +53,11 @@ def cut(docs: DataFrame, path: str, pattern: str, size: int, end: int) -> DataFr
 
 
 def best_fit(lengths: list[int], size: int) -> list[list[int]]:
-    """Bins of indices: longest first, each into the fullest bin that takes it. One bit for each free length that some bin has."""
+    """Bins of indices: in the given order, each piece into the fullest bin that takes it. One bit for each free length
+    that some bin has."""
     free: list[list[int]] = [[] for _ in range(size + 1)]
     have, bins = 0, []
-    for i in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
-        n = lengths[i]
+    for i, n in enumerate(lengths):
         fitting = have >> n
         if fitting:
             room = n + (fitting & -fitting).bit_length() - 1
@@ -71,67 +74,118 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def _best_step(giver: list[int], taker: list[int], room: int, lengths: list[int]) -> tuple[int, list[int], list[int]]:
-    """The exchange that fills the taker most, at most by `room`: (gain, what the giver gives, what it gets back)."""
-    best: tuple[int, list[int], list[int]] = (0, [], [])
-    singles = sorted((lengths[i], [i]) for i in giver)
-    pairs = sorted((lengths[i] + lengths[j], [i, j]) for k, i in enumerate(giver[:64]) for j in giver[:k])
-    for back in [[], *([j] for j in taker)]:
-        least = sum(lengths[j] for j in back)
-        for offers in (singles, pairs) if back else (singles,):
-            k = bisect_right(offers, least + room, key=lambda x: x[0]) - 1
-            if k >= 0 and offers[k][0] - least > best[0]:
-                best = (offers[k][0] - least, offers[k][1], back)
-                if best[0] == room:
-                    return best
-    return best
-
-
-def local_search(bins: list[list[int]], lengths: list[int], size: int, effort: int = 20) -> list[list[int]]:
-    """Empties underfull bins: the emptiest one gives, the fullest others take first. Ends when as few bins are left as the
-    tokens need, when each underfull bin has been the giver without success, or after `effort` exchanges for each
-    piece: any state is a whole packing, so that an end only leaves it as good as it is."""
+class _Offers:
+    """What underfull bins could take, by length: bit n is set where some bin takes n at most, either into its free room or
+    for one of its own pieces. For n itself an ordered set of (bin, piece), piece -1 for free room."""
+
+    def __init__(self, size: int):
+        self.at: list[dict[tuple[int, int], None]] = [{} for _ in range(size + 1)]
+        self.have = 0
+
+    def put(self, n: int, offer: tuple[int, int]) -> None:
+        self.at[n][offer] = None
+        self.have |= 1 << n
+
+    def drop(self, n: int, offer: tuple[int, int]) -> None:
+        del self.at[n][offer]
+        if not self.at[n]:
+            self.have &= ~(1 << n)
+
+    def least(self, n: int, usable) -> tuple[int, tuple[int, int]] | None:
+        """The offer nearest to n, not below, that is usable."""
+        left = self.have >> n
+        while left:
+            m = n + (left & -left).bit_length() - 1
+            for offer in self.at[m]:
+                if usable(offer):
+                    return m, offer
+            left &= left - 1 if m == n else ~((1 << (m - n + 1)) - 1)
+        return None
+
+
+def local_search(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
+    """Empties underfull bins by exchanges; each takes what fills a fuller bin best."""
+    bins = [list(b) for b in bins]
     fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // size)
-    count = sum(bool(b) for b in bins)
-    under = [b for b in range(len(bins)) if fill[b] < size]
-    stuck: set[int] = set()
-    steps = effort * max(len(lengths), 1)
-    while count > least and steps > 0:
-        giver = min((b for b in under if b not in stuck and bins[b]), key=lambda b: fill[b], default=None)
-        if giver is None:
-            break
-        moved = False
-        takers = [b for b in under if b != giver and fill[b] >= fill[giver]]
-        # The others must have room for all that the giver holds.
-        if sum(size - fill[b] for b in takers) >= fill[giver]:
-            for taker in sorted(takers, key=lambda b: -fill[b]):
-                steps -= 1
-                gain, given, back = _best_step(bins[giver], bins[taker], size - fill[taker], lengths)
-                if gain:
-                    bins[giver] = [i for i in bins[giver] if i not in given] + back
-                    bins[taker] = [i for i in bins[taker] if i not in back] + given
-                    fill[giver] -= gain
-                    fill[taker] += gain
-                    moved = True
-                    if not bins[giver]:
-                        count -= 1
-                        break
-                if steps <= 0:
+    least, count = -(-sum(fill) // size), sum(bool(b) for b in bins)
+    rooms, slots = _Offers(size), _Offers(size)
+
+    def offers(b: int, change) -> None:
+        """All that bin b could take; each length of its pieces once."""
+        room = size - fill[b]
+        if not room or not bins[b]:
+            return
+        change(rooms, room, (b, -1))
+        for n in sorted({lengths[i] for i in bins[b]}):
+            change(slots, n + room, (b, n))
+
+    for b in range(len(bins)):
+        offers(b, _Offers.put)
+    order = [(fill[b], b) for b in range(len(bins)) if 0 < fill[b] < size]
+    heapq.heapify(order)
+    idle: set[int] = set()  # bins that could give nothing since the last exchange
+
+    def step(giver: int) -> bool:
+        own = sorted({lengths[i] for i in bins[giver]}, reverse=True)
+        fuller = lambda o: o[0] != giver and fill[o[0]] >= fill[giver]
+        pairs = lambda: (own[k] + own[j] for k in range(len(own)) for j in range(k + 1, len(own)) if own[k] + own[j] <= size)
+        best: tuple[int, int, tuple[int, int]] | None = None  # what stays free in the taker, what is given, offer
+        for given, table in chain(((n, rooms) for n in own), ((n, slots) for n in own), ((n, slots) for n in pairs())):
+            found = table.least(given, lambda o, given=given: fuller(o) and o[1] < given)
+            if found and (best is None or found[0] - given < best[0]):
+                best = (found[0] - given, given, found[1])
+                if not best[0]:
                     break
-        under = [b for b in under if fill[b] < size and bins[b]]
-        if not moved:
-            stuck.add(giver)
+        if best is None:
+            return False
+        _, given, (taker, back) = best
+        offers(giver, _Offers.drop)
+        offers(taker, _Offers.drop)
+        gone = [i for i in bins[giver] if lengths[i] == given][:1]
+        if not gone:
+            by = {lengths[i]: i for i in bins[giver]}
+            gone = next([by[n], by[given - n]] for n in own if given - n in by and given - n != n)
+        returned = [i for i in bins[taker] if lengths[i] == back][:1]
+        bins[giver] = [i for i in bins[giver] if i not in gone] + returned
+        bins[taker] = [i for i in bins[taker] if i not in returned] + gone
+        gain = given - max(back, 0)
+        fill[giver] -= gain
+        fill[taker] += gain
+        offers(giver, _Offers.put)
+        offers(taker, _Offers.put)
+        return True
+
+    while count > least and order:
+        known, giver = heapq.heappop(order)
+        if known != fill[giver] or giver in idle or not bins[giver] or fill[giver] == size:
+            continue
+        moved = step(giver)
+        if moved:
+            if bins[giver]:
+                heapq.heappush(order, (fill[giver], giver))
+            else:
+                count -= 1
+            for b in idle:
+                heapq.heappush(order, (fill[b], b))
+            idle.clear()
+        else:
+            idle.add(giver)
     return [b for b in bins if b]
 
 
+def first_deal(lengths: list[int], size: int) -> list[list[int]]:
+    """Best fit in the given order, the pieces first that are longer than half a sequence: no two of them fit together."""
+    order = sorted(range(len(lengths)), key=lambda i: 2 * lengths[i] <= size)
+    return [[order[k] for k in b] for b in best_fit([lengths[i] for i in order], size)]
+
+
 def pack_lengths(lengths: list[int], size: int) -> list[list[int]]:
-    return local_search(best_fit(lengths, size), lengths, size)
+    return local_search(first_deal(lengths, size), lengths, size)
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, size: int = 2048, end: int = 0, group: int = 16384) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, json_path: str, pattern: str, size: int = 2048, end: int = 0, group: int = 16384) -> DataFrame:
     """PIECE and sequence_id, offset. Every piece has a place; sequences have no gaps."""
-    pieces = written(cut(docs, path, pattern, size, end))
+    pieces = written(cut(docs, path, json_path, pattern, size, end))
     n = pieces.filter(F.col("length") < size).count()
     groups = max(1, -(-n // group))
     full = pieces.filter(F.col("length") == size).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -42,7 +42,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The ranks are the json file's vocabulary; tests compare the ids with those of its own library.
-    return packing.pack_documents(table(spark, sf_dir, "documents"), _path("byte_bpe_50k.tiktoken"), _pattern())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), _path("byte_bpe_50k.tiktoken"), _path("byte_bpe_50k.json"), _pattern())
 
 
 def quality_weights(spark: SparkSession, sf_dir: str):
@@ -82,7 +82,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, sf_dir, "documents"), _path("byte_bpe_50k.tiktoken"), _pattern())
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), _path("byte_bpe_50k.tiktoken"), _path("byte_bpe_50k.json"), _pattern())
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from tessitura.llm import packing, queries, tokens
 from .helpers import ODD, SF, documents, texts
 
 MULTI = P.path("byte_bpe_multi_50k.tiktoken")
+RANKS, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
 
 
 def test_encoding_equals_the_library_on_odd_texts_and_small_chunks(spark):
@@ -35,8 +36,19 @@ def test_stitching_random_texts():
     for _ in range(150):
         text = "".join(rnd.choice(["a", "b ", " ", "\n", "'s", "'r", "e", "1", "!", "é", "  ", "漢"]) for _ in range(rnd.randrange(1, 300)))
         for chunk, overlap in ((11, 3), (30, 10), (64, 1)):
-            parts = [(s, t, *tokens.encode_chunk(t, MULTI, P.PATTERN)) for s, t in tokens.chunks(text, chunk, overlap)]
-            assert tokens.stitch(parts, MULTI, P.PATTERN).tolist() == enc.encode_ordinary(text), text
+            parts = [(s, t, tokens.boundaries(t, P.PATTERN)) for s, t in tokens.chunks(text, chunk, overlap)]
+            pieces = tokens.stitch(parts, P.PATTERN)
+            assert "".join(t for t, _ in pieces) == text
+            known = tokens.known_ids(MULTI, P.PATTERN)
+            assert [i for t, ends in pieces for i in tokens.encode_piece(t, ends, known)] == enc.encode_ordinary(text), text
+
+
+def test_caches_stay_bounded():
+    made = []
+    cache = tokens.Bounded(lambda p: made.append(p) or len(p), {"the": 3}, most=5)
+    assert [cache[p] for p in ["the", "a", "bb", "a", "c", "d", "e", "f", "bb", "the"]] == [3, 1, 2, 1, 1, 1, 1, 1, 2, 3]
+    assert len(cache) <= 6
+    assert "the" not in made
 
 
 def test_query_on_the_table(spark):
@@ -58,7 +70,7 @@ def _library():
 def test_counts_equal_the_library(spark):
     lib = _library()
     for got, want in (
-        (tokens.count_tokens(documents(spark, ODD), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, per_task=3, size=5), dict(ODD)),
+        (tokens.count_tokens(documents(spark, ODD), RANKS, JSON, P.PATTERN, sample=4, size=5), dict(ODD)),
         (queries.op9_token_counts(spark, SF), texts(spark)),
     ):
         rows = got.collect()
@@ -72,7 +84,7 @@ def test_counts_equal_the_library(spark):
 def test_empty_table_and_clashing_columns(spark):
     empty = documents(spark, [])
     assert tokens.encode_documents(empty, MULTI, P.PATTERN).count() == 0
-    assert tokens.count_tokens(empty, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+    assert tokens.count_tokens(empty, RANKS, JSON, P.PATTERN).count() == 0
     more = documents(spark, [(1, "a b"), (1, "a b"), (None, "c")]).withColumn("key", F.lit("x")).withColumn("ids", F.lit(1)).withColumn("n_tokens", F.lit(2))
     assert sorted(r["n_tokens"] for r in tokens.encode_documents(more, MULTI, P.PATTERN, chunk=2, overlap=1).collect()) == [1, 2, 2]
 
@@ -108,9 +120,9 @@ def _check_packing(rows, want: dict, size: int):
 def test_packing(spark):
     used, least = _check_packing(queries.op4_best_fit_packing(spark, SF).collect(), texts(spark), 2048)
     assert used <= least + 1
-    odd = packing.pack_documents(documents(spark, ODD), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, size=64, group=5)
+    odd = packing.pack_documents(documents(spark, ODD), RANKS, JSON, P.PATTERN, size=64, group=5)
     _check_packing(odd.collect(), dict(ODD), 64)
-    assert packing.pack_documents(documents(spark, []), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+    assert packing.pack_documents(documents(spark, []), RANKS, JSON, P.PATTERN).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -123,5 +135,63 @@ def test_local_search_keeps_pieces_and_fits(seed):
         assert sorted(i for b in bins for i in b) == list(range(400))
         assert all(sum(lengths[i] for i in b) <= 100 for b in bins)
     assert len(done) <= len(first)
-    # Three pairs that only an exchange brings together: 60+30 and 70+40 become 60+40 and 70+30; then one bin less.
-    assert len(packing.local_search([[0, 1], [2, 3], [4]], [60, 20, 70, 40, 10], 100)) == 2
+    # Only an exchange makes room for the last piece: 60+30 and 70+25 become 60+25 and 70+30; then 15 moves.
+    assert len(packing.local_search([[0, 1], [2, 3], [4]], [60, 30, 70, 25, 15], 100)) == 2
+    # Two for one: 50+30 go for 75, so that the other bin is full.
+    assert len(packing.local_search([[0, 1], [2, 3], [4]], [75, 20, 50, 30, 25], 100)) == 2
+
+
+def _fewest(lengths, size):
+    """By trying all ways to put the pieces into bins, longest first."""
+    best = [len(lengths)]
+
+    def go(k, fills):
+        if len(fills) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(fills)
+            return
+        for b in range(len(fills)):
+            if fills[b] + lengths[k] <= size:
+                go(k + 1, [*fills[:b], fills[b] + lengths[k], *fills[b + 1 :]])
+        go(k + 1, [*fills, lengths[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_against_brute_force():
+    rnd = random.Random(11)
+    over = 0
+    for _ in range(200):
+        lengths = sorted((rnd.randint(1, 100) for _ in range(rnd.randrange(1, 9))), reverse=True)
+        rnd.shuffle(lengths)
+        got, want = len(packing.pack_lengths(lengths, 100)), _fewest(sorted(lengths, reverse=True), 100)
+        assert want <= got <= want + 1
+        over += got > want
+    assert over <= 10
+
+
+@pytest.mark.parametrize("lengths", [[], [100], [1] * 500, [50] * 40, [51] * 20, [*[99] * 30, *[1] * 30]])
+def test_ties_and_extremes(lengths):
+    done = packing.pack_lengths(lengths, 100)
+    assert sorted(i for b in done for i in b) == list(range(len(lengths)))
+    assert len(done) == (20 if lengths == [51] * 20 else -(-sum(lengths) // 100))
+
+
+def test_the_search_empties_bins_that_the_first_deal_leaves():
+    rnd = random.Random(5)
+    lengths = [rnd.randint(20, 1500) for _ in range(3000)]
+    first = packing.first_deal(lengths, 2048)
+    assert len(packing.local_search(first, lengths, 2048)) < len(first)
+
+
+def test_packing_reads_neither_clashing_columns_nor_nulls(spark):
+    rows = [(None, "a b"), (None, "a b"), (1, None), (1, "x")]
+    docs = documents(spark, rows)
+    for c in ("piece", "length", "sequence_id", "_group", "offset"):
+        docs = docs.withColumn(c, F.lit("x"))
+    got = packing.pack_documents(docs, RANKS, JSON, P.PATTERN, size=64).collect()
+    assert len(got) == 4
+    assert {r["sequence_id"] for r in got} == {got[0]["sequence_id"]}
+    assert sorted(r["offset"] for r in got)[0] == 0
