@@ -46,6 +46,22 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def numbered(docs: DataFrame, *more: str, equal_as_one: bool = False) -> DataFrame:
+    """row, doc_id, text and the columns in `more`: row is a number that no other row has, in the order of doc_id (nulls first)
+    and of a hash of the text. It is doc_id itself where that is unique and never null; else the rows are written with their
+    numbers, so that these don't change. equal_as_one: rows of one doc_id and text share a number."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+    if rows.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        return rows.withColumn("row", F.col("doc_id"))
+    order = (F.col("doc_id"), F.xxhash64("text"))
+    out = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id()))
+    if not equal_as_one:
+        return out
+    first = out.groupBy(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash")).agg(F.min("row").alias("_first"))
+    same = out["doc_id"].eqNullSafe(first["_id"]) & (F.xxhash64(out["text"]) == first["_hash"])
+    return out.join(first, same).select(*rows.columns, F.col("_first").alias("row"))
+
+
 def remainder(doc_id, n: int):
     """crc32(doc_id as text) mod n, as a column; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -6,10 +6,11 @@ bucket key, and the low `bits` bits of all minima are packed into longs. Links a
 
 1. In each bucket every class is compared with the one of smallest id, by the collision-corrected estimate of bit counts,
    and above a margin below the threshold on the full sets. Links give components.
-2. Buckets whose classes still lie in different components are finished exactly: each class outside the bucket's
-   most frequent component is compared with every class of another component. Such buckets are cut into blocks, so that a
-   task's work and memory are bounded. Nothing is dropped: a bucket is done when it lies in one component or all its
-   pairs between components were compared.
+2. Buckets whose classes still lie in different components are finished: each class outside the bucket's most
+   frequent component is compared with every class of another component, first by sizes and bit counts alone; only classes
+   with a near one among these get their full sets for the exact comparison. Such buckets are cut into blocks, so that a
+   task's work and memory are bounded. A bucket is done when it lies in one component or all its pairs between components
+   were compared.
 
 A pair at the threshold shares no bucket with a probability of (1 - s^rows)^bands: under 1 in 100,000 at
 0.85 with 16 bands and at 0.8 with 24. bits: 2, 4 or 8; bands * rows * bits is a multiple of 64.
@@ -147,6 +148,36 @@ def links_in_group(ids: np.ndarray, labels: np.ndarray, asks: np.ndarray, sets:
     return out
 
 
+def estimated(own: np.ndarray, others: np.ndarray, bits: int) -> np.ndarray:
+    """estimate() of one packed signature with many."""
+    ones = np.uint64(int("1".rjust(bits, "0") * (64 // bits), 2))
+    x = own ^ others
+    folded = x
+    for s in range(1, bits):
+        folded = folded | (x >> np.uint64(s))
+    share = 1 - np.bitwise_count(folded & ones).sum(axis=1, dtype=np.int64) / (others.shape[1] * (64 // bits))
+    return (share - 2.0**-bits) / (1 - 2.0**-bits)
+
+
+def _near(groups: DataFrame, part: int, whole: int, bits: int, margin: float) -> DataFrame:
+    """groups: g, id, label, asks, n, sig. Of these the rows that have a near one under another label: near by size and bit
+    counts. Rows that don't ask stay for those that do."""
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["asks", "id"], ascending=[False, True]).drop_duplicates("id", ignore_index=True)
+        sig = np.stack(pdf["sig"].to_numpy()).astype(np.int64).view(np.uint64)
+        n, label, keep = pdf["n"].to_numpy(), pdf["label"].to_numpy(), np.zeros(len(pdf), bool)
+        for k in np.flatnonzero(pdf["asks"].to_numpy()).tolist():
+            other = np.flatnonzero((label != label[k]) & (whole * np.minimum(n, n[k]) >= part * np.maximum(n, n[k])))
+            other = other[estimated(sig[k], sig[other], bits) >= part / whole - margin] if len(other) else other
+            if len(other):
+                keep[k] = True
+                keep[other] = True
+        return pdf.loc[keep, ["g", "id", "label", "asks"]]
+
+    return groups.groupBy("g").applyInPandas(find, "g long, id long, label long, asks boolean")
+
+
 def _compared(groups: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
     """groups: g, id, label, asks. Links (a, b) found inside each g."""
 
@@ -174,7 +205,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, part: int = 80, whole: int = 100, bands: int = 24, rows: int = 4, bits: int = 4, margin: float = 0.25, block: int = 1024
+    docs: DataFrame, shingle: int = 5, part: int = 80, whole: int = 100, bands: int = 24, rows: int = 4, bits: int = 4, margin: float = 0.25, block: int = 512
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept. Links: whole * intersection >= part * union, on full sets."""
     longs = bands * rows * bits // 64
@@ -185,7 +216,8 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     )
     places = classes.select("id", F.explode("bands").alias("key"))
-    shared = places.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).filter("size > 1")
+    # Written, so that the join has an exchange of its own on both sides, of which large keys can be split.
+    shared = written(places.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).filter("size > 1"))
     members = written(places.join(shared, "key"))
 
     # The sets of all classes that share a bucket: the only ones whose texts are needed again.
@@ -207,7 +239,7 @@ def near_duplicates(
         .select("hub", "id")
     )
     close = written(close)
-    many = close.groupBy("hub").agg(F.count("*").alias("of_hub"))
+    many = written(close.groupBy("hub").agg(F.count("*").alias("of_hub")))
     dealt = close.join(many, "hub").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("of_hub") / F.lit(block))))
     asked = dealt.select(F.xxhash64("hub", "salt").alias("g"), "id", F.col("id").alias("label"), F.lit(False).alias("asks"))
     asking = dealt.select(F.xxhash64("hub", "salt").alias("g"), F.col("hub").alias("id"), F.col("hub").alias("label"), F.lit(True).alias("asks")).distinct()
@@ -215,17 +247,17 @@ def near_duplicates(
     labels = components(links)
 
     # Round 2: what the buckets still hold of several components.
-    own = members.join(labels, "id", "left").select("key", "id", "size", F.coalesce("label", "id").alias("label"))
+    own = written(members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")))
     counts = own.groupBy("key", "label").agg(F.count("*").alias("c"))
-    open_keys = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most")).filter("size > most AND size > 2")
-    rest = own.drop("size").join(open_keys, "key").withColumn("asks", F.col("label") != F.col("main"))
+    open_keys = written(counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most")).filter("size > most AND size > 2"))
+    rest = own.join(open_keys, "key").join(sig, "id").withColumn("asks", F.col("label") != F.col("main"))
     ask_blocks, all_blocks = F.ceil((F.col("size") - F.col("most")) / F.lit(block)), F.ceil(F.col("size") / F.lit(block))
     rest = rest.withColumn("na", ask_blocks.cast("int")).withColumn("nm", all_blocks.cast("int"))
     at = F.xxhash64("id", F.lit(1))
-    as_ask = rest.filter("asks").select("key", "id", "label", "asks", F.pmod(at, "na").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("j"))
-    as_member = rest.select("key", "id", "label", F.lit(False).alias("asks"), F.pmod(at, "nm").alias("j"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"))
-    groups = as_ask.unionByName(as_member).select(F.xxhash64("key", "i", "j").alias("g"), "id", "label", "asks")
-    more = written(_compared(groups, sets, part, whole))
+    as_ask = rest.filter("asks").select("key", "id", "label", "asks", "n", "sig", F.pmod(at, "na").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("j"))
+    as_member = rest.select("key", "id", "label", F.lit(False).alias("asks"), "n", "sig", F.pmod(at, "nm").alias("j"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"))
+    groups = as_ask.unionByName(as_member).select(F.xxhash64("key", "i", "j").alias("g"), "id", "label", "asks", "n", "sig")
+    more = written(_compared(written(_near(groups, part, whole, bits, margin)), sets, part, whole))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 

@@ -6,10 +6,11 @@ minimisers, so they meet in one bucket, where the windows of minimisers that cam
 All but the first place of a sequence are removed; equal hashes are compared word by word. A task packs what it sends to a bucket
 into one compressed value; a super-k-mer that equals an earlier one of the same slice is removed there and
 sends only its place, so that copies of a passage cost one text a slice, not one a document.
-Earlier means: smaller doc_id, or the same document and an earlier start.
-Defined results: null and empty texts and texts shorter than a window keep all words; a null doc_id comes first; doc_id
-should be unique, repeated equal rows count as one document and get equal results; an empty table gives no rows;
-extra columns are not read.
+Earlier means: smaller doc_id, or the same document and an earlier start. The number of buckets follows the bytes of the
+input (`per_bucket` each), and so does the number of tasks that compare them.
+Defined results: null and empty texts and texts shorter than a window keep all words; every row is a document of its own, also
+where doc_ids are null (these come first) or repeated (then in the order of a hash of their texts), but rows of one doc_id
+and text count as one and get equal results; an empty table gives no rows; extra columns are not read, but for those in `carry`.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes_of, id_and_text, in_slices, packed, unpacked, window_hashes, words_of
+from .common import hashes_of, id_and_text, in_slices, numbered, packed, unpacked, window_hashes, words_of
 
-NONE = -(1 << 63)
 KINDS = (np.uint64, np.int64, np.int64, np.int32, np.int32, None, np.int64, np.int64, np.int32)
 
 
@@ -60,14 +60,13 @@ def _dealt(docs: DataFrame, size: int, mini: int, buckets: int, limit: int) -> D
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in in_slices(batches, limit):
-            keys = [NONE if d is None else d for d in ids]
             words, sizes, of = [], [], []
-            for k in sorted(range(len(ids)), key=keys.__getitem__):
+            for k in sorted(range(len(ids)), key=ids.__getitem__):
                 w = words_of(texts[k])
                 if len(w) >= size:
                     words += w
                     sizes.append(len(w))
-                    of.append(keys[k])
+                    of.append(ids[k])
             if not words:
                 continue
             count = np.array(sizes, np.int64)
@@ -145,9 +144,10 @@ def _merged(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndar
     return doc[fresh], low[fresh], (far - lift)[ends]
 
 
-def repeated_ranges(docs: DataFrame, size: int = 20, mini: int = 5, limit: int = 8 << 20) -> DataFrame:
-    """key (doc_id, a null one as the least long), low, high: ranges of words to remove, high excluded."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def repeated_ranges(docs: DataFrame, size: int = 20, mini: int = 5, limit: int = 8 << 20, per_bucket: int = 16 << 20) -> DataFrame:
+    """key (a doc_id, unique and not null), low, high: ranges of words to remove, high excluded."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-total // per_bucket))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         cols = list(zip(*(unpacked(x, *KINDS) for x in pdf["payload"]), strict=True))
@@ -175,14 +175,15 @@ def repeated_ranges(docs: DataFrame, size: int = 20, mini: int = 5, limit: int =
         d, low, high = _merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
         return pd.DataFrame({"key": d, "low": low, "high": high})
 
-    return _dealt(docs, size, mini, buckets, limit).groupBy("bucket").applyInPandas(compare, "key long, low long, high long")
+    return _dealt(docs, size, mini, buckets, limit).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(compare, "key long, low long, high long")
 
 
 def remove_repeats(docs: DataFrame, size: int = 20, mini: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), kept_text (the text itself where
     nothing goes), and the columns in `carry`, which go with their rows so that no join has to bring them back."""
-    ranges = repeated_ranges(docs, size, mini).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    rows = id_and_text(docs, F.struct(F.lit(0).alias("_"), *carry).alias("carried")).withColumn("key", F.coalesce("doc_id", F.lit(NONE)))
+    own = numbered(docs, *(c for c in carry if c != "doc_id"), equal_as_one=True)
+    ranges = repeated_ranges(own.select(F.col("row").alias("doc_id"), "text"), size, mini).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    rows = own.select(F.col("row").alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
     both = rows.join(ranges, "key", "left").select("doc_id", "text", F.col("ranges.low").alias("low"), F.col("ranges.high").alias("high"), "carried")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 

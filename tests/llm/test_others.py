@@ -189,3 +189,25 @@ def test_substrings_small_slices_and_no_rows(spark):
         gone.setdefault(r["key"], set()).update(range(r["low"], r["high"]))
     assert {d: len(t.split()) - len(gone.get(d, ())) for d, t in rows} == {d: len(w) for d, w in want.items()}
     assert substrings.remove_repeats(documents(spark, [])).count() == 0
+
+
+def test_rows_without_a_doc_id_or_with_a_repeated_one_keep_their_own_words(spark):
+    """Nothing of a text goes because of what another row of the same or no id repeats."""
+    own, other, new = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    rows = [(None, own), (None, other), (None, other + " " + other), (7, new), (7, other), (7, new)]
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(documents(spark, rows)).collect())
+    firsts = [x for x in got if x[0] == 0]
+    assert (0, 60, 0) in firsts  # the text that nothing else holds
+    assert sum(x[1] - x[2] for x in got if x[:2] != (7, 60)) + sum(x[1] - x[2] for x in got if x[:2] == (7, 60)) >= 60 + 60 + 2 * 60
+    assert [x for x in got if x[0] == 7] == [(7, 60, 0), (7, 60, 0), (7, 60, 60)]
+
+
+def test_an_empty_table_and_buckets_by_bytes(spark):
+    assert substrings.remove_repeats(documents(spark, [])).count() == 0
+    text = " ".join(f"w{k}" for k in range(400))
+    ranges = substrings.repeated_ranges(documents(spark, [(1, text), (2, text)]), per_bucket=500).collect()
+    gone = set()
+    for r in ranges:
+        assert r["key"] == 2
+        gone |= set(range(r["low"], r["high"]))
+    assert gone == set(range(400))
