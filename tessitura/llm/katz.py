@@ -185,7 +185,8 @@ def blocks_of(docs: DataFrame, held_out: Callable[[int | None], bool], limit: in
     """block, types, tokens, texts (the last two to learn from), payload: a table bucketed by block, so that joins by block move
     answers only, never the texts. Gone from the catalog when the context ends. A block has about `limit` characters."""
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = max(1, -(-total // limit))
     name = f"llm_blocks_{uuid.uuid4().hex}"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,7 +421,7 @@ def fit(blocks: DataFrame, per_bucket: int = 1 << 20, hot: int = 1 << 20) -> Mod
     buckets = max(1, -(-(r["all"] or 0) // per_bucket))
     word_buckets = max(1, buckets // 4)
     asked = _ask_words(blocks, word_buckets, Block.word_counts)
-    counted = _by_kind(asked.groupBy("bucket").applyInPandas(_word_adder(word_buckets), COUNTED), shared_dir(spark))
+    counted = _by_kind(asked.repartitionById(word_buckets, F.col("bucket")).groupBy("bucket").applyInPandas(_word_adder(word_buckets), COUNTED), shared_dir(spark))
     sums = _sums(counted, "word")
     tokens, d1 = sums["tokens"], discounts([sums[f"n{k}"] for k in range(1, K + 2)])
     left = sum((1 - d1[r - 1]) * r * sums[f"n{r}"] for r in range(1, K + 1)) / tokens if tokens else 1.0
@@ -431,11 +432,11 @@ def fit(blocks: DataFrame, per_bucket: int = 1 << 20, hot: int = 1 << 20) -> Mod
         raise ValueError("more than 2^32 word ids")
     s = Scalars(tokens, sums["types"], r["texts"] or 0, d1, scale, unseen, word_buckets, buckets, bits, hot)
     answers = counted.filter("kind = 'answer'").select("block", "bucket", "payload")
-    pairs = _by_kind(_ask_pairs(blocks, answers, s, True).groupBy("bucket").applyInPandas(_pair_adder(s), COUNTED), f"{path}/counts")
+    pairs = _by_kind(_ask_pairs(blocks, answers, s, True).repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInPandas(_pair_adder(s), COUNTED), f"{path}/counts")
     sums = _sums(pairs, "bigram")
     s.d2 = discounts([sums[f"n{k}"] for k in range(1, K + 2)])
     words, stats = counted.filter("kind = 'word'").select("bucket", "payload"), pairs.filter("kind = 'stats'").select("bucket", "payload")
-    words.groupBy("bucket").cogroup(stats.groupBy("bucket")).applyInPandas(_word_rows(s), "bucket int, payload binary").write.option("compression", "uncompressed").parquet(f"{path}/words")
+    _together(words, stats, word_buckets).applyInPandas(_word_rows(s), "bucket int, payload binary").write.option("compression", "uncompressed").parquet(f"{path}/words")
     spark.createDataFrame([(json.dumps(asdict(s)),)], "value string").coalesce(1).write.text(f"{path}/scalars")
     return load(spark, path)
 
@@ -451,6 +452,11 @@ def _needs_weight(x: Block) -> np.ndarray:
     return out
 
 
+def _together(a: DataFrame, b: DataFrame, buckets: int):
+    """Both by bucket, in as many partitions as there are buckets."""
+    return a.repartition(buckets, "bucket").groupBy("bucket").cogroup(b.repartition(buckets, "bucket").groupBy("bucket"))
+
+
 def _find_words(asked: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
     def find(ask: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         h, c, none_low, alpha = unpacked(table["payload"].iloc[0], *WORDS) if len(table) else [np.empty(0, t) for t in WORDS]
@@ -463,7 +469,7 @@ def _find_words(asked: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
             out.append(packed(np.where(known, at * buckets + bucket, NO_ID).astype(np.uint32), got(c), got(none_low), got(alpha)[need > 0]))
         return ask[["block", "bucket"]].assign(payload=out)
 
-    return asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInPandas(find, MESSAGE)
+    return _together(asked, words, buckets).applyInPandas(find, MESSAGE)
 
 
 def _found(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -472,7 +478,7 @@ def _found(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, table[at] == wanted if len(table) else np.zeros(len(wanted), bool)
 
 
-def _find_pairs(asked: DataFrame, bigrams: DataFrame) -> DataFrame:
+def _find_pairs(asked: DataFrame, bigrams: DataFrame, buckets: int) -> DataFrame:
     def find(ask: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         key, c = unpacked(table["payload"].iloc[0], np.uint64, np.int64) if len(table) else (np.empty(0, np.uint64), np.empty(0, np.int64))
         key, out = np.cumsum(key, dtype=np.uint64), []
@@ -481,7 +487,7 @@ def _find_pairs(asked: DataFrame, bigrams: DataFrame) -> DataFrame:
             out.append(packed(np.where(known, c[at], 0) if len(c) else np.zeros(len(at), np.int64)))
         return ask[["block", "bucket"]].assign(payload=out)
 
-    return asked.groupBy("bucket").cogroup(bigrams.groupBy("bucket")).applyInPandas(find, MESSAGE)
+    return _together(asked, bigrams, buckets).applyInPandas(find, MESSAGE)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -492,7 +498,7 @@ def score(blocks: DataFrame, model: Model) -> DataFrame:
     word's discounted share, else what is left for unseen words."""
     s = model.scalars
     words = written(_find_words(_ask_words(blocks, s.word_buckets, _needs_weight), model.words, s.word_buckets))
-    pairs = _find_pairs(_ask_pairs(blocks, words, s, False), model.bigrams)
+    pairs = _find_pairs(_ask_pairs(blocks, words, s, False), model.bigrams, s.pair_buckets)
 
     def evaluate(block: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         x = Block(block["payload"].iloc[0])

@@ -175,7 +175,7 @@ def repeated_ranges(docs: DataFrame, size: int = 20, mini: int = 5, limit: int =
         d, low, high = _merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
         return pd.DataFrame({"key": d, "low": low, "high": high})
 
-    return _dealt(docs, size, mini, buckets, limit).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(compare, "key long, low long, high long")
+    return _dealt(docs, size, mini, buckets, limit).repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInPandas(compare, "key long, low long, high long")
 
 
 def remove_repeats(docs: DataFrame, size: int = 20, mini: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
