@@ -62,16 +62,22 @@ def decision(top: Column, gap: Column, chosen: Column) -> Column:
     return F.when((top >= 0.65) & clear, "high").when(top >= 0.45, "medium").otherwise("reject")
 
 
+#: An instruction to repeat a part that no rule has written out, in two languages.
+INSTRUCTION = r"(?iu)(?<![\p{L}\p{N}_])(?:repeat|повтор[\p{L}\p{N}_]*|снова)\s+(?:chorus|verse|bridge|припев|куплет|бридж)"
+
+
 def clean_lyrics(text: Column) -> Column:
-    """Bracketed parts go, also across lines; lines wrapped behind a comma or before a small letter are joined; at most one blank line."""
-    out = F.regexp_replace(text, r"(?s)\[.*?\]", "")
-    for pattern, by in ((r",\n(?=\S)", ", "), (r"(?<=\p{L})\n(?=\p{Ll})", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")):
+    """Bracketed parts go, also across lines, and blanks around the text; a line that begins with closing punctuation or with blanks,
+    or follows an opening bracket, joins the one before; two line feeds at most."""
+    out = F.regexp_replace(text, r"(?s)\[.*?\]\n?", "")
+    steps = ((r"^\s+|\s+$", ""), (r"\n+(?=[ \t]*[,.;:!?)\]…—–])", ""), (r"\n+(?=[ \t]+\S)", " "), (r"([(\[])[ \t]*\n+", "$1"), (r"\n{3,}", "\n\n"))
+    for pattern, by in steps:
         out = F.regexp_replace(out, pattern, by)
-    return F.trim(out)
+    return out
 
 
 def needs_rewrite(text: Column) -> Column:
-    return text.rlike(r"(?iU)\b(repeat|chorus)\b.{0,20}\b(x\d+|\d+x|chorus|times)\b")
+    return text.rlike(INSTRUCTION)
 
 
 def quoted_phrase_too_long(q: Column, words: int = 3) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import relational as R
 from ..operators import timing as T
+from ..operators import search as S
 from ..operators import updates as U
 from ..operators import vectors as V
 from ..sources import pages as P
@@ -41,11 +42,10 @@ query("k07_index_track", "SELECT track_id, 'ready' AS status, cluster_id AS rec_
     lambda c: U.index_points(c.tracks(), c.vectors("audio").select("track_id", "cluster_id"))
 )
 query("k08_append_defaults", "SELECT id, 'pending' AS status, coalesce(artist_hint, 'Unknown') AS artist_hint FROM jobs")(lambda c: U.with_defaults(c.jobs().select("id", "artist_hint"), {"status": "pending", "artist_hint": "Unknown"}))
-query("k05_export_catalog", "SELECT count(*) AS tags, sum(tag_id)::BIGINT AS ids, min(tag_id) AS first, max(tag_id) AS last FROM mood_tags")(
-    lambda c: c.mood_tags().agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("tag_id").alias("id"), "name", "cluster_id")))).alias("doc"))
-    .select(F.from_json("doc", "array<struct<id:long,name:string,cluster_id:long>>").alias("t"))
-    .select(F.size("t").cast("long").alias("tags"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x["id"]).alias("ids"), F.get("t", F.lit(0))["id"].alias("first"), F.element_at("t", -1)["id"].alias("last"))
-)
+query("k05_export_catalog", """SELECT cluster_id, to_json({'id': cluster_id, 'track_count': n, 'tags': list({'id': tag_id, 'name': name} ORDER BY tag_id)})::VARCHAR AS document
+  FROM (SELECT cluster_id, count(*) AS n FROM audio_vectors GROUP BY 1) JOIN mood_tags USING (cluster_id) GROUP BY cluster_id, n""")(
+    lambda c: S.export_catalog(c.vectors("audio").groupBy("cluster_id").agg(F.count("*").alias("track_count")), c.mood_tags())
+)
 FIN = "(SELECT *, CASE WHEN id % 6 = 0 THEN 'done' ELSE status END AS s FROM queue_entries)"
 query(
     "q13_finish_play",
@@ -65,7 +65,10 @@ query(
         "id", "status", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started"), F.date_format("finished_at", "yyyy-MM-dd HH:mm:ss").alias("finished")
     )
 )
-query("q16_clear_clusters", "SELECT count(*) AS n, count(CASE WHEN false THEN 1 END) AS assigned FROM tracks")(lambda c: U.clear_clusters(c.tracks()).agg(F.count("*").alias("n"), F.count("rec_cluster_id").alias("assigned")))
+query("q16_clear_clusters", "SELECT track_id, title, status, coalesce(rec_cluster_id, -1) AS before, true AS cleared, play_count FROM tracks")(
+    lambda c: U.clear_clusters(c.tracks()).join(c.tracks().select("track_id", F.coalesce("rec_cluster_id", F.lit(-1)).alias("before")), "track_id")
+    .select("track_id", "title", "status", "before", (F.col("rec_cluster_id").isNull() & F.col("catalog_cluster_id").isNull()).alias("cleared"), "play_count")
+)
 query("z08_indexed_to_tracks", "SELECT track_id, coalesce(CASE WHEN track_id % 2 = 0 THEN 77 ELSE rec_cluster_id END, -1) AS rec_cluster_id, track_id % 6 < 4 AS synced FROM (SELECT track_id, rec_cluster_id FROM tracks WHERE track_id % 6 < 4 AND track_id % 2 = 0 UNION ALL SELECT track_id, rec_cluster_id FROM tracks WHERE track_id % 2 = 1)")(
     lambda c: U.indexed_to_tracks(
         c.tracks().select("track_id", "rec_cluster_id").filter("track_id % 2 = 1 or track_id % 6 < 4"),

@@ -38,7 +38,7 @@ def test_text(spark):
     assert t(X.decision, 0.7, 0.01, False) == "medium"
     assert t(X.decision, 0.7, 0.01, True) == "high"
     assert t(X.decision, 0.4, 0.3, False) == "reject"
-    assert t(X.clean_lyrics, "a[x\ny]b,\nc\n\n\n\nd") == "ab, c\n\nd"
+    assert t(X.clean_lyrics, " [x\ny]\na b\n, c (\nd\n)\n  e\n\n\n\nf") == "a b, c (d)   e\n\nf"
     assert t(X.quoted_phrase_too_long, 'say "one two three four"') and not t(X.quoted_phrase_too_long, '"one two"')
     assert value(spark, X.merge_json(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3")))) == {"a": "1", "b": "3"}
     assert value(spark, X.ngrams(F.array(*map(F.lit, "abc")), 2)) == ["a b", "b c"]
