@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,3 +53,13 @@ def hint_score(best: Column) -> Column:
     """best: 0 to 100. Below 65: 0, then linear up to 1."""
     r = best / 100
     return F.when(r < 0.65, 0.0).otherwise((r - 0.65) / 0.35)
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode's compatibility composition, for which Spark has no function."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+    return run(text)

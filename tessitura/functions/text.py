@@ -30,6 +30,17 @@ def skeleton(word: Column) -> Column:
     return F.translate(letters, LATIN_VOWELS + CYRILLIC_VOWELS, "")
 
 
+#: Letters that sound alike, by their class; vowels, h and w have none.
+SOUNDS = ("bfpvcgjkqsxzdtlmnr", "111122222222334556")
+
+
+def phonetic_key(word: Column) -> Column:
+    """The first letter and the classes of the others, one for each run; accents folded. Other scripts: empty."""
+    letters = F.regexp_replace(F.translate(F.lower(word), *FOLD), r"[^\p{L}]", "")
+    classes = F.regexp_replace(F.translate(F.substring(letters, F.lit(2), F.length(letters)), *SOUNDS), "[a-z]", "")
+    return F.when(letters.rlike("^[a-z]+$"), F.concat(F.substring(letters, 1, 1), F.regexp_replace(classes, r"(\d)\1+", "$1"))).otherwise("")
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens joined by a space; fewer tokens: none."""
     return F.when(

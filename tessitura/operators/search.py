@@ -9,7 +9,7 @@ from pyspark.sql import window as W
 from ..functions.text import tokenize
 from ..functions.vectors import dot, normalized
 from .relational import HITS
-from .vectors import centroids, nearest
+from .vectors import against_all, centroids, nearest
 
 
 def _ranked(rows: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -58,8 +58,7 @@ def recommend_by_tag(requests: DataFrame, tags: DataFrame, tracks: DataFrame, au
     others = asked.join(own, "session_id", "left_anti")
     clusters = others.select("cluster_id").distinct()
     means = mean(both, "av", "cluster_id", "qa").join(mean(both, "lv", "cluster_id", "ql"), "cluster_id").join(clusters, "cluster_id")
-    # Queries against all rows: as many as there are clusters.
-    general = similar(corpus.select("track_id", "av", "lv").join(F.broadcast(means), F.lit(True))).select("cluster_id", "track_id", "a", "l")
+    general = similar(against_all(corpus.select("track_id", "av", "lv"), means)).select("cluster_id", "track_id", "a", "l")
     hits = _fused(personal, ["session_id", "tag_id"], 3 * limit, share).unionByName(
         others.join(_fused(general, ["cluster_id"], 3 * limit, share), "cluster_id").select("session_id", "tag_id", "track_id", "score")
     )

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.similarity import best_part_ratio, hint_score, similarity_ratio
-from ..functions.text import composite, decision, harmonic_mean, length_penalty, ngrams, tokenize
+from ..functions.similarity import best_part_ratio, hint_score, nfkc, similarity_ratio
+from ..functions.text import clean_for_match, composite, decision, harmonic_mean, length_penalty, ngrams, phonetic_key, skeleton, tokenize
+from ..sources.shared import written
 
 
 def grams(texts: DataFrame, n: int) -> DataFrame:
@@ -24,13 +25,19 @@ def document_frequency(texts: DataFrame, n: int) -> DataFrame:
     return grams(texts, n).groupBy("gram").agg(F.count("*").alias("df"))
 
 
+def _hashed_grams(texts: DataFrame, n: int) -> DataFrame:
+    """grams() with each n-gram as a 64-bit hash: joins and counts move numbers."""
+    return grams(texts, n).select("id", F.xxhash64("gram").alias("gram"))
+
+
 def candidate_pairs(requests: DataFrame, candidates: DataFrame, n: int = 4, max_df: int = 20, least: int = 3) -> DataFrame:
     """request_id, candidate_id, shared: other texts with at least `least` n-grams in common, of those that at most max_df
-    candidates hold. So a join key has at most max_df candidates: the pairs stay linear in the n-grams."""
-    own = grams(candidates, n)
+    candidates hold. So a join key has at most max_df candidates: the pairs stay linear in the n-grams. whole_pairs() is the
+    exact way for the rest."""
+    own = _hashed_grams(candidates, n)
     rare = own.groupBy("gram").agg(F.count("*").alias("df")).filter(F.col("df") <= max_df)
     right = own.join(rare.select("gram"), "gram", "left_semi").select("gram", F.col("id").alias("candidate_id"))
-    left = grams(requests, n).select("gram", F.col("id").alias("request_id"))
+    left = _hashed_grams(requests, n).select("gram", F.col("id").alias("request_id"))
     pairs = left.join(right, "gram").filter("request_id <> candidate_id").groupBy("request_id", "candidate_id").agg(F.count("*").alias("shared"))
     return pairs.filter(F.col("shared") >= least)
 
@@ -58,45 +65,120 @@ def whole_pairs(requests: DataFrame, candidates: DataFrame, n: int = 4, least: i
     return shared.join(asked, "request_class").join(held, "candidate_class").filter("request_id <> candidate_id").select("request_id", "candidate_id", "shared")
 
 
-def pair_measures(pairs: DataFrame, requests: DataFrame, candidates: DataFrame, n: int = 4) -> DataFrame:
-    """For each pair: shares of the distinct tokens that the other text holds too, n-gram Jaccard, anchor, length penalty."""
-    cols = lambda p: [F.array_distinct("t").alias(f"{p}_words"), F.array_distinct(ngrams(F.col("t"), n)).alias(f"{p}_grams"), F.size("t").alias(f"{p}_n")]
-    split = lambda x: x.select("id", tokenize(F.lower("text")).alias("t"))
-    r = split(requests).select(F.col("id").alias("request_id"), *cols("r"))
-    c = split(candidates).select(F.col("id").alias("candidate_id"), *cols("c"))
-    both = pairs.join(r, "request_id").join(c, "candidate_id")
-    common = F.size(F.array_intersect("r_words", "c_words"))
-    shared = F.size(F.array_intersect("r_grams", "c_grams"))
-    union = F.size("r_grams") + F.size("c_grams") - shared
+def measured(pairs: DataFrame, requests: DataFrame, candidates: DataFrame, n: int = 4, anchor_n: int = 5) -> DataFrame:
+    """pair_measures(), and for the anchor the longer n-grams that a pair shares and how many the candidate has. A text's words and
+    n-grams are arrays of 64-bit hashes, made once for each text; each pair meets both texts' arrays once."""
+    hashed = lambda x: F.array_distinct(F.transform(x, lambda g: F.xxhash64(g)))
+
+    def arrays(texts: DataFrame, side: str) -> DataFrame:
+        t = texts.select("id", tokenize(F.lower("text")).alias("t"))
+        return t.select(F.col("id").alias(f"{side}_id"), *(hashed(x).alias(f"{side}_{c}") for c, x in (("words", F.col("t")), ("grams", ngrams(F.col("t"), n)), ("long", ngrams(F.col("t"), anchor_n)))), F.size("t").alias(f"{side}_n"))
+
+    both = pairs.select("request_id", "candidate_id").join(arrays(requests, "request"), "request_id").join(arrays(candidates, "candidate"), "candidate_id")
+    common = F.size(F.array_intersect("request_words", "candidate_words"))
+    shared = F.size(F.array_intersect("request_grams", "candidate_grams"))
+    union = F.size("request_grams") + F.size("candidate_grams") - shared
     return both.select(
         "request_id", "candidate_id",
-        (common / F.size("r_words")).alias("coverage_request"), (common / F.size("c_words")).alias("coverage_candidate"),
-        (shared / union).alias("ngram"), length_penalty(F.col("c_n"), F.col("r_n")).alias("length"),
+        (common / F.size("request_words")).alias("coverage_request"), (common / F.size("candidate_words")).alias("coverage_candidate"),
+        (shared / union).alias("ngram"), length_penalty(F.col("candidate_n"), F.col("request_n")).alias("length"),
+        F.array_intersect("request_long", "candidate_long").alias("shared"), F.size("candidate_long").alias("size"),
     )
 
 
-def rare_anchor(pairs: DataFrame, requests: DataFrame, candidates: DataFrame, n: int = 5) -> DataFrame:
-    """The sum of 1 / df over the shared n-grams by the candidate's n-grams, then by the largest in the request's pool; df: how
-    many candidates of the pool hold the n-gram."""
-    pool = pairs.select("request_id", "candidate_id")
-    held = pool.join(grams(candidates, n).withColumnRenamed("id", "candidate_id"), "candidate_id")
-    sized = grams(candidates, n).groupBy(F.col("id").alias("candidate_id")).agg(F.count("*").alias("size"))
-    df = held.groupBy("request_id", "gram").agg(F.count("*").alias("df"))
-    asked = grams(requests, n).withColumnRenamed("id", "request_id")
-    sums = held.join(asked, ["request_id", "gram"]).join(df, ["request_id", "gram"]).groupBy("request_id", "candidate_id").agg(F.sum(1 / F.col("df")).alias("s"))
-    raw = pool.join(sums, ["request_id", "candidate_id"], "left").join(sized, "candidate_id", "left").select("request_id", "candidate_id", F.coalesce(F.col("s") / F.col("size"), F.lit(0.0)).alias("raw"))
+def pair_measures(pairs: DataFrame, requests: DataFrame, candidates: DataFrame, n: int = 4) -> DataFrame:
+    """For each pair: shares of the distinct tokens that the other text holds too, n-gram Jaccard, length penalty."""
+    return measured(pairs, requests, candidates, n).drop("shared", "size")
+
+
+def _anchors(rows: DataFrame) -> DataFrame:
+    """rows: of measured(). The sum of 1 / df over a pair's shared n-grams by the candidate's n-grams, then by the largest in the
+    request's pool; df: how many candidates of the pool hold the n-gram, which are those that share it with the request."""
+    each = rows.select("request_id", "candidate_id", F.explode("shared").alias("gram"))
+    df = F.count("*").over(W.Window.partitionBy("request_id", "gram"))
+    sums = each.withColumn("df", df).groupBy("request_id", "candidate_id").agg(F.sum(1 / F.col("df")).alias("s"))
+    raw = rows.select("request_id", "candidate_id", "size").join(sums, ["request_id", "candidate_id"], "left").withColumn("raw", F.coalesce(F.when(F.col("size") > 0, F.col("s") / F.col("size")), F.lit(0.0)))
     most = F.max("raw").over(W.Window.partitionBy("request_id"))
     return raw.select("request_id", "candidate_id", F.when(most > 0, F.col("raw") / most).otherwise(0.0).alias("anchor"))
 
 
+def rare_anchor(pairs: DataFrame, requests: DataFrame, candidates: DataFrame, n: int = 5) -> DataFrame:
+    return _anchors(written(measured(pairs, requests, candidates, anchor_n=n).select("request_id", "candidate_id", "shared", "size")))
+
+
 def scored(pairs: DataFrame, requests: DataFrame, candidates: DataFrame) -> DataFrame:
-    """request_id, candidate_id, score."""
-    m = pair_measures(pairs, requests, candidates).join(rare_anchor(pairs, requests, candidates), ["request_id", "candidate_id"])
+    """request_id, candidate_id, score, from equal words alone. match_words() below also takes words that look or sound alike."""
+    rows = written(measured(pairs, requests, candidates))
+    m = rows.join(_anchors(rows), ["request_id", "candidate_id"])
     f1 = harmonic_mean(F.col("coverage_request"), F.col("coverage_candidate"))
     score = composite(f1, F.col("coverage_request"), F.col("ngram"), F.col("anchor"), F.lit(0.0), F.col("length"))
     return m.select("request_id", "candidate_id", F.round(score, 9).alias("score"))
 
 
+def word_rows(texts: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """id, word, count and the word's features: lemma (of the lexicon: word, lemma; else the word), skeleton, phonetic key. Texts are
+    cleaned already."""
+    rows = texts.select("id", F.explode(tokenize(F.col("text"))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("count"))
+    if lexicon is not None:
+        rows = rows.join(lexicon.select("word", "lemma"), "word", "left")
+    lemma = F.coalesce("lemma", "word") if lexicon is not None else F.col("word")
+    return rows.select("id", "word", "count", lemma.alias("lemma"), skeleton(F.col("word")).alias("skeleton"), phonetic_key(F.col("word")).alias("phonetic"))
+
+
+def token_match(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """pairs: a, b; left, right: word_rows() of the texts a and b. A row for each distinct word of a that b lacks: a, b, word, count, found:
+    whether b has a word of the same lemma, skeleton or phonetic key. Words that both have are known from the two texts' word
+    lists and make no rows."""
+    words = lambda x, i: x.groupBy(F.col("id").alias(i)).agg(F.collect_list("word").alias(f"{i}_words"))
+    lacking = pairs.select("a", "b").join(words(left, "a"), "a").join(words(right, "b"), "b").select("a", "b", F.explode(F.array_except("a_words", "b_words")).alias("word"))
+    keys = lambda *c: F.filter(F.array(*(F.when(F.col(x) != "", F.concat(F.lit(x[0]), F.col(x))) for x in c)), lambda k: k.isNotNull())
+    rows = lacking.join(left.select(F.col("id").alias("a"), "word", "count", keys("lemma", "skeleton", "phonetic").alias("keys")), ["a", "word"])
+    index = right.select(F.col("id").alias("b"), F.explode(keys("lemma", "skeleton", "phonetic")).alias("key")).distinct()
+    hit = rows.select("a", "b", "word", F.explode("keys").alias("key")).join(index, ["b", "key"], "left_semi").select("a", "b", "word").distinct()
+    return rows.drop("keys").join(hit.withColumn("found", F.lit(True)), ["a", "b", "word"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def word_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, band: int = 2) -> DataFrame:
+    """a, b, coverage (share of the words of a that score 2 or more), rate (their scores by 3 a word): 3 for a word that b has, 2 for one that it
+    has by lemma, skeleton or sound or with a ratio of 80, 1 with a ratio of 60 to a word whose length differs by at most `band`."""
+    rows = written(token_match(pairs, left, right))
+    open_ = rows.filter(~F.col("found")).select("a", "b", "word")
+    cut = open_.withColumn("n", F.explode(F.sequence(F.length("word") - band, F.length("word") + band)))
+    others = right.select(F.col("id").alias("b"), F.col("word").alias("other"), F.length("word").alias("n"))
+    near = cut.join(others, ["b", "n"]).select("a", "b", "word", "other")
+    ratios = near.select("word", "other").distinct().withColumn("ratio", similarity_ratio(F.col("word"), F.col("other"))).filter("ratio >= 60")
+    best = near.join(ratios, ["word", "other"]).groupBy("a", "b", "word").agg(F.max("ratio").alias("ratio"))
+    score = F.when(F.col("found") | (F.col("ratio") >= 80), 2).when(F.col("ratio") >= 60, 1).otherwise(0)
+    lost = rows.join(best, ["a", "b", "word"], "left").withColumn("score", score).groupBy("a", "b").agg(
+        F.sum("count").alias("n"), F.sum(F.col("count") * F.col("score")).alias("points"), F.sum(F.when(F.col("score") >= 2, F.col("count")).otherwise(0)).alias("covered")
+    )
+    total = left.groupBy(F.col("id").alias("a")).agg(F.sum("count").alias("total"))
+    both = pairs.select("a", "b").join(total, "a").join(lost, ["a", "b"], "left").fillna(0, ["n", "points", "covered"])
+    return both.select("a", "b", ((F.col("total") - F.col("n") + F.col("covered")) / F.col("total")).alias("coverage"), ((3 * (F.col("total") - F.col("n")) + F.col("points")) / (3 * F.col("total"))).alias("rate"))
+
+
+def match_words(pairs: DataFrame, requests: DataFrame, candidates: DataFrame, names: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
+    """request_id, candidate_id, score: texts cleaned, both coverages and the rate from word_scores(), n-grams of skeletons, anchor, length; names:
+    id, name, of which the request's is the hint for the candidate's."""
+    clean = lambda x: written(x.select("id", clean_for_match(nfkc(F.col("text"))).alias("text")))
+    requests, candidates = clean(requests), clean(candidates)
+    left, right = written(word_rows(requests, lexicon)), written(word_rows(candidates, lexicon))
+    ab = written(pairs.select(F.col("request_id").alias("a"), F.col("candidate_id").alias("b")))
+    ways = word_scores(ab, left, right).join(word_scores(ab.select(F.col("b").alias("a"), F.col("a").alias("b")), right, left).select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("coverage").alias("back")), ["a", "b"])
+    bones = lambda x: x.select("id", F.array_join(F.transform(tokenize(F.col("text")), lambda w: F.when(skeleton(w) != "", skeleton(w)).otherwise("?")), " ").alias("text"))
+    sides = ab.select(F.col("a").alias("request_id"), F.col("b").alias("candidate_id"))
+    rows = written(measured(sides, requests, candidates).drop("ngram"))
+    by_bones = measured(sides, bones(requests), bones(candidates)).select("request_id", "candidate_id", F.coalesce("ngram", F.lit(0.0)).alias("ngram"))
+    m = rows.join(_anchors(rows), ["request_id", "candidate_id"]).join(by_bones, ["request_id", "candidate_id"]).join(ways.withColumnsRenamed({"a": "request_id", "b": "candidate_id"}), ["request_id", "candidate_id"])
+    hint = F.lit(0.0)
+    if names is not None:
+        named = sides.join(names.select(F.col("id").alias("request_id"), F.col("name").alias("hint")), "request_id").join(names.select(F.col("id").alias("candidate_id"), "name"), "candidate_id")
+        m = m.join(named, ["request_id", "candidate_id"], "left").join(hints(named).withColumnRenamed("score", "by_name"), ["hint", "name"], "left")
+        hint = F.coalesce("by_name", F.lit(0.0))
+    score = composite(harmonic_mean(F.col("coverage"), F.col("back")), F.col("rate"), F.col("ngram"), F.col("anchor"), hint, F.col("length"))
+    return m.select("request_id", "candidate_id", F.round(score, 9).alias("score"))
+
+
 def top_two(scores: DataFrame) -> DataFrame:
     """The best candidate of each request, and the gap to the second (null without one)."""
     w = W.Window.partitionBy("request_id").orderBy(F.desc("score"), "candidate_id")

@@ -16,14 +16,22 @@ def centroids(vectors: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.transform("p", lambda s: s["x"]).alias("centroid"), "n")
 
 
+def against_all(rows: DataFrame, few: DataFrame, most: int = 1 << 16, block: int = 1 << 12) -> DataFrame:
+    """Every row with each of a few: queries or centroids, whose number is checked first. Up to `most` of them are broadcast, so
+    that the rows stay where they are; more are dealt into blocks of about `block`, and each block is an equi-join."""
+    n = few.count()
+    if n <= most:
+        return rows.join(F.broadcast(few), F.lit(True))
+    blocks = -(-n // block)
+    dealt = few.withColumn("_block", F.pmod(F.xxhash64(*few.columns[:1]), F.lit(blocks)))
+    return rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_block", F.col("_block").cast("long")).join(dealt, "_block").drop("_block")
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, on: list[str] | None = None) -> DataFrame:
     """queries: query_id, query (unit length). The k most similar rows of the corpus for each, exactly. on: columns that must be
-    equal; the search is then an equi-join. Without them, every query meets every row: a stated set of queries, in
-    blocks of the corpus, of which each keeps k before the shuffle."""
-    if on:
-        pairs = corpus.join(queries, on)
-    else:
-        pairs = corpus.withColumn("_one", F.lit(1)).join(queries.withColumn("_one", F.lit(1)), "_one")
+    equal; the search is then an equi-join. Without them, every query meets every row: a stated set of queries. Each
+    partition keeps its k best of a query before the shuffle (a rank limit that Spark pushes below it)."""
+    pairs = corpus.join(queries, on) if on else against_all(corpus, queries)
     scored = pairs.select("query_id", "track_id", F.round(dot(F.col("vector"), F.col("query")), 9).alias("score"))
     w = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "track_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -44,6 +52,6 @@ def assign_cluster(audio: DataFrame, lyrics: DataFrame, clusters: DataFrame, aud
     are as many as a catalog has clusters."""
     scale = (audio_share / (1 - audio_share)) ** 0.5
     both = audio.select("track_id", F.col("vector").alias("a")).join(lyrics.select("track_id", F.col("vector").alias("l")), "track_id")
-    joined = both.select("track_id", normalized(weighted_concat(F.col("a"), F.col("l"), scale)).alias("v"), F.lit(1).alias("_one"))
-    scored = joined.join(clusters.withColumn("_one", F.lit(1)), "_one").withColumn("sim", F.round(dot(F.col("v"), F.col("centroid")), 9))
+    joined = both.select("track_id", normalized(weighted_concat(F.col("a"), F.col("l"), scale)).alias("v"))
+    scored = against_all(joined, clusters.select("cluster_id", "centroid")).withColumn("sim", F.round(dot(F.col("v"), F.col("centroid")), 9))
     return scored.groupBy("track_id").agg(F.max_by("cluster_id", F.struct("sim", -F.col("cluster_id"))).alias("cluster_id"))

@@ -26,25 +26,27 @@ class Catalog:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def tracks(self) -> DataFrame:
-        p, d, e = self.table("part"), self.table("documents"), self.table("embeddings")
-        plays = self.table("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("play_count"))
-        k = F.col("p_partkey")
-        tier = F.element_at(F.array(*map(F.lit, TIERS)), F.col("p_size") % 5 + 1)
-        return (
-            p.join(d.select(F.col("doc_id").alias("p_partkey"), "lang", "text", "source"), "p_partkey", "left")
-            .join(e.select(F.col("vec_id").alias("p_partkey"), "label"), "p_partkey", "left")
-            .join(plays, "p_partkey", "left")
-            .select(
-                k.alias("track_id"), F.col("p_brand").alias("artist"), F.col("p_name").alias("title"), (F.col("p_size") * 4 + 120).alias("duration_sec"),
-                F.col("lang").alias("language"), F.col("text").alias("lyrics_text"),
-                F.when(k % 10 == 0, "processing").when((k % 10 == 1) & (F.col("p_size") > 45), "error").otherwise("ready").alias("status"),
-                tier.alias("popularity_category"), F.coalesce("play_count", F.lit(0)).alias("play_count"),
-                F.col("label").alias("rec_cluster_id"), F.col("label").alias("catalog_cluster_id"),
-                F.when(F.col("p_size") % 7 == 0, "asr_fallback").otherwise(F.col("source")).alias("lyrics_source"),
-                F.when(k % 13 != 0, F.concat(F.lit("instrumentals/"), k.cast("string"), F.lit(".mp3"))).alias("mp3_key"),
-            )
-        )
+    def tracks(self, *columns: str) -> DataFrame:
+        """The columns named, or all; a table that none of them comes from is neither read nor joined."""
+        rows, k = self.table("part"), F.col("p_partkey")
+        made = {
+            "track_id": k, "artist": F.col("p_brand"), "title": F.col("p_name"), "duration_sec": F.col("p_size") * 4 + 120,
+            "language": F.col("lang"), "lyrics_text": F.col("text"),
+            "status": F.when(k % 10 == 0, "processing").when((k % 10 == 1) & (F.col("p_size") > 45), "error").otherwise("ready"),
+            "popularity_category": F.element_at(F.array(*map(F.lit, TIERS)), F.col("p_size") % 5 + 1), "play_count": F.coalesce("plays", F.lit(0)),
+            "rec_cluster_id": F.col("label"), "catalog_cluster_id": F.col("label"),
+            "lyrics_source": F.when(F.col("p_size") % 7 == 0, "asr_fallback").otherwise(F.col("source")),
+            "mp3_key": F.when(k % 13 != 0, F.concat(F.lit("instrumentals/"), k.cast("string"), F.lit(".mp3"))),
+        }
+        wanted = columns or tuple(made)
+        of_texts = [x for c, x in (("language", "lang"), ("lyrics_text", "text"), ("lyrics_source", "source")) if c in wanted]
+        if of_texts:
+            rows = rows.join(self.table("documents").select(F.col("doc_id").alias("p_partkey"), *of_texts), "p_partkey", "left")
+        if {"rec_cluster_id", "catalog_cluster_id"} & set(wanted):
+            rows = rows.join(self.table("embeddings").select(F.col("vec_id").alias("p_partkey"), "label"), "p_partkey", "left")
+        if "play_count" in wanted:
+            rows = rows.join(self.table("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("plays")), "p_partkey", "left")
+        return rows.select(*(made[c].alias(c) for c in wanted))
 
     def vectors(self, kind: str) -> DataFrame:
         """audio: positions 1 to 16 of an embedding, lyrics: 17 to 64, unit length."""

@@ -34,9 +34,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 # --- filters ---------------------------------------------------------------------------------------------------------------
 
-query("f01_filter_status", "SELECT track_id, artist, title FROM tracks WHERE status = 'ready'")(lambda c: R.ready(c.tracks()).select("track_id", "artist", "title"))
+query("f01_filter_status", "SELECT track_id, artist, title FROM tracks WHERE status = 'ready'")(lambda c: R.ready(c.tracks("track_id", "artist", "title", "status")).select("track_id", "artist", "title"))
 query("f02_filter_in", "SELECT track_id, popularity_category FROM tracks WHERE popularity_category IN ('eternal_hit', 'artist_best')")(
-    lambda c: c.tracks().filter(F.col("popularity_category").isin("eternal_hit", "artist_best")).select("track_id", "popularity_category")
+    lambda c: c.tracks("track_id", "popularity_category").filter(F.col("popularity_category").isin("eternal_hit", "artist_best")).select("track_id", "popularity_category")
 )
 query("f03_filter_not_in", "SELECT track_id, coalesce(rec_cluster_id, -1) AS rec_cluster_id FROM tracks WHERE rec_cluster_id IS NULL OR rec_cluster_id NOT IN (1, 2, 3)")(
     lambda c: R.filter_not_in(c.tracks(), "rec_cluster_id", [1, 2, 3]).select("track_id", F.coalesce("rec_cluster_id", F.lit(-1)).alias("rec_cluster_id"))
@@ -72,13 +72,13 @@ query(
     "SELECT session_id, id, played_at FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY played_at DESC, id DESC) AS k FROM play_history) WHERE k = 1",
 )(lambda c: R.first_by(c.play_history(), ["session_id"], F.desc("played_at"), F.desc("id")).select("session_id", "id", "played_at"))
 query("f13_search_item", "SELECT track_id, artist, title, duration_sec, status = 'ready' AS clip_ready FROM tracks")(
-    lambda c: c.tracks().select("track_id", "artist", "title", "duration_sec", (F.col("status") == "ready").alias("clip_ready"))
+    lambda c: c.tracks("track_id", "artist", "title", "duration_sec", "status").select("track_id", "artist", "title", "duration_sec", (F.col("status") == "ready").alias("clip_ready"))
 )
 query("f14_image_url", "SELECT track_id, CASE WHEN image_path <> '' THEN 'https://media/' || image_path END AS image_url FROM tracks LEFT JOIN artists ON name = artist")(
     lambda c: R.with_image(c.tracks(), c.artists()).select("track_id", "image_url")
 )
 query("f15_inexact_text", "SELECT track_id, coalesce(lyrics_source = 'asr_fallback', false) AS inexact FROM tracks")(
-    lambda c: c.tracks().select("track_id", F.coalesce(F.col("lyrics_source") == "asr_fallback", F.lit(False)).alias("inexact"))
+    lambda c: c.tracks("track_id", "lyrics_source").select("track_id", F.coalesce(F.col("lyrics_source") == "asr_fallback", F.lit(False)).alias("inexact"))
 )
 query(
     "f16_partial_update",
@@ -86,33 +86,33 @@ query(
     LEFT JOIN (SELECT track_id, CASE WHEN track_id % 2 = 0 THEN 'xx' END AS language, CASE WHEN track_id % 3 = 0 THEN 1 END AS duration_sec FROM tracks WHERE track_id % 5 < 3) p USING (track_id)""",
 )(
     lambda c: R.partial_update(
-        c.tracks().select("track_id", "language", "duration_sec"),
-        c.tracks().filter("track_id % 5 < 3").select("track_id", F.expr("CASE WHEN track_id % 2 = 0 THEN 'xx' END").alias("language"), F.expr("CASE WHEN track_id % 3 = 0 THEN 1 END").alias("duration_sec")),
+        c.tracks("track_id", "duration_sec", "language").select("track_id", "language", "duration_sec"),
+        c.tracks("track_id", "duration_sec", "language").filter("track_id % 5 < 3").select("track_id", F.expr("CASE WHEN track_id % 2 = 0 THEN 'xx' END").alias("language"), F.expr("CASE WHEN track_id % 3 = 0 THEN 1 END").alias("duration_sec")),
         "track_id",
         ["language", "duration_sec"],
     )
 )
 query("f18_object_key", "SELECT track_id, 'instrumentals/' || track_id || '.mp3' AS mp3_key FROM tracks")(
-    lambda c: c.tracks().select("track_id", R.object_key(F.concat(F.col("track_id").cast("string"), F.lit("_("), "title", F.lit(").mp3"))).alias("mp3_key"))
+    lambda c: c.tracks("track_id", "title", "mp3_key").select("track_id", R.object_key(F.concat(F.col("track_id").cast("string"), F.lit("_("), "title", F.lit(").mp3"))).alias("mp3_key"))
 )
 query("f19_safe_filename", r"""SELECT track_id, regexp_replace(regexp_replace(artist || ' - ' || title || '?.', '[\\/*?:"<>|]', '_', 'g'), '^[. ]+|[. ]+$', '', 'g') || '.mp3' AS name FROM tracks""")(
-    lambda c: c.tracks().select("track_id", R.safe_filename(F.col("artist"), F.concat("title", F.lit("?."))).alias("name"))
+    lambda c: c.tracks("track_id", "artist", "title").select("track_id", R.safe_filename(F.col("artist"), F.concat("title", F.lit("?."))).alias("name"))
 )
 
 # --- joins -----------------------------------------------------------------------------------------------------------------
 
 query("j01_queue_details", "SELECT q.id, q.participant_id, title, artist FROM queue_entries q LEFT JOIN tracks USING (track_id)")(
-    lambda c: c.queue_entries().join(c.tracks().select("track_id", "title", "artist"), "track_id", "left").select("id", "participant_id", "title", "artist")
+    lambda c: c.queue_entries().join(c.tracks("track_id", "artist", "title").select("track_id", "title", "artist"), "track_id", "left").select("id", "participant_id", "title", "artist")
 )
 query("j02_session_history", "SELECT h.id, h.session_id, title, CASE WHEN image_path <> '' THEN 'https://media/' || image_path END AS image_url, played_at FROM play_history h JOIN tracks USING (track_id) LEFT JOIN artists ON name = artist")(
-    lambda c: R.with_image(c.play_history().join(c.tracks().select("track_id", "title", "artist"), "track_id"), c.artists()).select("id", "session_id", "title", "image_url", "played_at")
+    lambda c: R.with_image(c.play_history().join(c.tracks("track_id", "artist", "title").select("track_id", "title", "artist"), "track_id"), c.artists()).select("id", "session_id", "title", "image_url", "played_at")
 )
 query("j03_playback_start", "SELECT q.id, CASE WHEN t.track_id IS NOT NULL THEN 'https://media/' || mp3_key END AS url, title, lyrics_source FROM queue_entries q LEFT JOIN tracks t USING (track_id)")(
     lambda c: c.queue_entries().join(c.tracks(), "track_id", "left").select("id", F.when(F.col("title").isNotNull(), F.concat(F.lit("https://media/"), "mp3_key")).alias("url"), "title", "lyrics_source")
 )
 CURRENT = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY status <> 'playing', order_position, id) AS k FROM queue_entries WHERE status IN ('playing', 'queued')) WHERE k = 1)"
 query("j04_next_performer", f"SELECT session_id, q.id, participant_id, title FROM {CURRENT} q LEFT JOIN tracks USING (track_id)")(
-    lambda c: R.current_entry(c.queue_entries()).join(c.tracks().select("track_id", "title"), "track_id", "left").select("session_id", "id", "participant_id", "title")
+    lambda c: R.current_entry(c.queue_entries()).join(c.tracks("track_id", "title").select("track_id", "title"), "track_id", "left").select("session_id", "id", "participant_id", "title")
 )
 PROFILE = "(SELECT session_id, list_sort(list(DISTINCT artist)) AS artists, list_sort(list(DISTINCT rec_cluster_id) FILTER (rec_cluster_id IS NOT NULL)) AS clusters FROM play_history JOIN tracks USING (track_id) GROUP BY 1)"
 query("j05_played_profile", f"SELECT session_id, array_to_string(artists, ',') AS artists, coalesce(array_to_string(clusters, ','), '') AS clusters FROM {PROFILE}")(
@@ -122,16 +122,16 @@ query("j06_both_vectors", "SELECT track_id FROM audio_vectors JOIN lyrics_vector
 query("j08_exclude_seen", "SELECT q.id, q.session_id, q.track_id FROM queue_entries q WHERE NOT EXISTS (SELECT 1 FROM play_history h WHERE h.session_id = q.session_id AND h.track_id = q.track_id)")(
     lambda c: c.queue_entries().select("id", "session_id", "track_id").join(c.play_history().select("session_id", "track_id"), ["session_id", "track_id"], "left_anti").select("id", "session_id", "track_id")
 )
-query("j10_tag_cluster", "SELECT tag_id, track_id FROM mood_tags m JOIN tracks t ON t.rec_cluster_id = m.cluster_id WHERE tag_id % 2 = 0")(
-    lambda c: c.mood_tags().filter("tag_id % 2 = 0").join(c.tracks().select("track_id", F.col("rec_cluster_id").alias("cluster_id")), "cluster_id").select("tag_id", "track_id")
+query("j10_tag_cluster", "SELECT tag_id, track_id FROM mood_tags m JOIN tracks t ON t.rec_cluster_id = m.cluster_id")(
+    lambda c: c.mood_tags().join(c.tracks("track_id", "rec_cluster_id").select("track_id", F.col("rec_cluster_id").alias("cluster_id")), "cluster_id").select("tag_id", "track_id")
 )
 query("j10_tag_cluster_all", "SELECT tag_id, track_id FROM mood_tags m JOIN tracks t ON t.rec_cluster_id = m.cluster_id")(
-    lambda c: c.mood_tags().join(c.tracks().select("track_id", F.col("rec_cluster_id").alias("cluster_id")), "cluster_id").select("tag_id", "track_id")
+    lambda c: c.mood_tags().join(c.tracks("track_id", "rec_cluster_id").select("track_id", F.col("rec_cluster_id").alias("cluster_id")), "cluster_id").select("tag_id", "track_id")
 )
 query(
     "j13_verify_object_refs",
     "SELECT count(*) AS rows, count(mp3_key) AS with_key, count(*) FILTER (status = 'ready' AND mp3_key IS NULL) AS ready_without_key FROM tracks",
-)(lambda c: c.tracks().agg(F.count("*").alias("rows"), F.count("mp3_key").alias("with_key"), F.count(F.when((F.col("status") == "ready") & F.col("mp3_key").isNull(), 1)).alias("ready_without_key")))
+)(lambda c: c.tracks("status", "mp3_key").agg(F.count("*").alias("rows"), F.count("mp3_key").alias("with_key"), F.count(F.when((F.col("status") == "ready") & F.col("mp3_key").isNull(), 1)).alias("ready_without_key")))
 
 # --- vectors ---------------------------------------------------------------------------------------------------------------
 
@@ -215,9 +215,9 @@ query(
     """SELECT session_id, arrival, coalesce(last, 0) + row_number() OVER (PARTITION BY session_id ORDER BY arrival) AS order_position
     FROM (SELECT session_id, id AS arrival FROM play_history) LEFT JOIN (SELECT session_id, max(order_position) AS last FROM queue_entries GROUP BY 1) USING (session_id)""",
 )(lambda c: R.next_positions(c.queue_entries(), c.play_history().select("session_id", F.col("id").alias("arrival"))))
-query("a09_distinct_artists", "SELECT DISTINCT artist FROM tracks WHERE language = 'de'")(lambda c: c.tracks().filter("language = 'de'").select("artist").distinct())
+query("a09_distinct_artists", "SELECT DISTINCT artist FROM tracks WHERE language = 'de'")(lambda c: c.tracks("artist", "language").filter("language = 'de'").select("artist").distinct())
 query("a10_covered_clusters", "SELECT DISTINCT session_id, catalog_cluster_id FROM play_history JOIN tracks USING (track_id) WHERE catalog_cluster_id IS NOT NULL")(
-    lambda c: c.play_history().join(c.tracks().select("track_id", "catalog_cluster_id"), "track_id").filter("catalog_cluster_id is not null").select("session_id", "catalog_cluster_id").distinct()
+    lambda c: c.play_history().join(c.tracks("track_id", "catalog_cluster_id").select("track_id", "catalog_cluster_id"), "track_id").filter("catalog_cluster_id is not null").select("session_id", "catalog_cluster_id").distinct()
 )
 query("a12_shown_twice", "SELECT session_id, track_id, count(*) AS shown FROM play_history GROUP BY ALL HAVING count(*) >= 2")(
     lambda c: c.play_history().groupBy("session_id", "track_id").agg(F.count("*").alias("shown")).filter("shown >= 2")
@@ -231,7 +231,7 @@ query("a14_median_gap", """SELECT track_id, round(median(gap), 6) AS median_gap
 query("a17_sweep_summary", """SELECT action, count(*) AS n FROM (SELECT CASE WHEN TIMESTAMP '2001-08-02' - created_at >= INTERVAL 86400 SECOND THEN 'fail' ELSE 'republish' END AS action FROM jobs
   WHERE status = 'pending' AND mp3_key IS NOT NULL AND updated_at < TIMESTAMP '2001-08-02' - INTERVAL 600 SECOND) GROUP BY 1""")(lambda c: R.sweep(c.jobs(), "2001-08-02").groupBy("action").agg(F.count("*").alias("n")))
 query("a20_catalog_counts", "SELECT count(*) AS rows, count(*) FILTER (status <> 'ready') AS skipped, count(*) FILTER (rec_cluster_id IS NULL) AS missing, count(mp3_key) AS with_key FROM tracks")(
-    lambda c: c.tracks().agg(F.count("*").alias("rows"), F.count(F.when(F.col("status") != "ready", 1)).alias("skipped"), F.count(F.when(F.col("rec_cluster_id").isNull(), 1)).alias("missing"), F.count("mp3_key").alias("with_key"))
+    lambda c: c.tracks("status", "rec_cluster_id", "mp3_key").agg(F.count("*").alias("rows"), F.count(F.when(F.col("status") != "ready", 1)).alias("skipped"), F.count(F.when(F.col("rec_cluster_id").isNull(), 1)).alias("missing"), F.count("mp3_key").alias("with_key"))
 )
 
 # --- windows ---------------------------------------------------------------------------------------------------------------
@@ -274,7 +274,7 @@ query("w18_slot_share", """SELECT session_id, cluster_id, rn, slots::BIGINT AS s
   (SELECT session_id, cluster_id, row_number() OVER (PARTITION BY session_id ORDER BY f, cluster_id) AS rn, count(*) OVER (PARTITION BY session_id) AS n
    FROM (SELECT session_id, rec_cluster_id AS cluster_id, min(played_at) AS f FROM play_history JOIN tracks USING (track_id) WHERE rec_cluster_id IS NOT NULL GROUP BY ALL))) WHERE slots > 0""")(
     lambda c: R.slot_share(
-        c.play_history().join(c.tracks().select("track_id", F.col("rec_cluster_id").alias("cluster_id")), "track_id").filter("cluster_id is not null").groupBy("session_id", "cluster_id").agg(F.min("played_at").alias("first_played")), 20
+        c.play_history().join(c.tracks("track_id", "rec_cluster_id").select("track_id", F.col("rec_cluster_id").alias("cluster_id")), "track_id").filter("cluster_id is not null").groupBy("session_id", "cluster_id").agg(F.min("played_at").alias("first_played")), 20
     )
 )
 query("j16_line_at", f"""SELECT track_id, t, coalesce((SELECT max(line) FROM {LINES} l WHERE l.track_id = q.track_id AND l.start <= q.t), 0)::BIGINT AS line FROM (SELECT DISTINCT track_id, n * 1.7::DOUBLE AS t FROM syllables) q""")(
@@ -297,7 +297,7 @@ query("t04_popular_mix", """SELECT track_id FROM (SELECT *, row_number() OVER (P
   WHERE language = 'en') WHERE k = 1 ORDER BY part, pos LIMIT 40""")(lambda c: R.popular_mix(c.tracks(), 40, 11, "en").select("track_id"))
 query("t06_rerank_mood", f"""SELECT query_id, track_id, tier, round(score, 6) AS score FROM (SELECT *, CASE WHEN popularity_category IN ('eternal_hit', 'current_hit', 'artist_best') THEN 0 WHEN rec_cluster_id IN (1, 2) THEN 1 ELSE 2 END AS tier
   FROM {NEAR.format(kind="lyrics", on="true", k=50)} JOIN tracks USING (track_id) WHERE query_id = 0) ORDER BY tier, score DESC, track_id LIMIT 15""")(
-    lambda c: R.rerank_mood(V.nearest(_queries(c, "lyrics"), c.vectors("lyrics"), 50).filter("query_id = 0").join(c.tracks().select("track_id", "popularity_category", "rec_cluster_id"), "track_id"), [1, 2], 15).select(
+    lambda c: R.rerank_mood(V.nearest(_queries(c, "lyrics"), c.vectors("lyrics"), 50).filter("query_id = 0").join(c.tracks("track_id", "popularity_category", "rec_cluster_id").select("track_id", "popularity_category", "rec_cluster_id"), "track_id"), [1, 2], 15).select(
         "query_id", "track_id", "tier", F.round("score", 6).alias("score")
     )
 )
@@ -320,7 +320,7 @@ query("u03_q11_mood_tags", f"""SELECT session_id, tag_id, cluster_id FROM (SELEC
     lambda c: R.mood_tags_for(c.queue_entries().select("session_id").distinct(), R.played_profile(c.play_history(), c.tracks()), c.mood_tags(), 5, 6).select("session_id", "tag_id", "cluster_id")
 )
 query("k01_upsert_points", "SELECT track_id, CASE WHEN track_id % 3 = 0 THEN 'new' ELSE artist END AS artist FROM tracks")(
-    lambda c: R.upsert(c.tracks().select("track_id", "artist"), c.tracks().filter("track_id % 3 = 0").select("track_id", F.explode(F.array(F.lit("old"), F.lit("new"))).alias("artist")).withColumn("seq", F.when(F.col("artist") == "new", 2).otherwise(1).cast("long")), "track_id")
+    lambda c: R.upsert(c.tracks("track_id", "artist").select("track_id", "artist"), c.tracks("track_id", "artist").filter("track_id % 3 = 0").select("track_id", F.explode(F.array(F.lit("old"), F.lit("new"))).alias("artist")).withColumn("seq", F.when(F.col("artist") == "new", 2).otherwise(1).cast("long")), "track_id")
 )
 query("k02_delete_points", "SELECT track_id FROM audio_vectors WHERE track_id NOT IN (SELECT track_id FROM play_history)")(lambda c: c.vectors("audio").select("track_id").join(c.play_history().select("track_id").distinct(), "track_id", "left_anti"))
 query("z07_sweep", """SELECT id, CASE WHEN TIMESTAMP '2001-08-02' - created_at >= INTERVAL 86400 SECOND THEN 'fail' ELSE 'republish' END AS action FROM jobs

@@ -226,7 +226,7 @@ def _lengths(c: Catalog) -> DataFrame:
 
 HIT_TIER = "popularity_category IN ('eternal_hit', 'current_hit', 'artist_best')"
 query("j09_ranked_fetch", f"SELECT query_id, track_id, rank, title FROM {NEAR.format(kind='audio', on='true', k=10)} JOIN tracks USING (track_id)")(
-    lambda c: S.ranked_fetch(V.nearest(_queries(c, "audio"), c.vectors("audio"), 10).select("query_id", "track_id", F.col("rank").cast("long").alias("rank")), c.tracks().select("track_id", "title"))
+    lambda c: S.ranked_fetch(V.nearest(_queries(c, "audio"), c.vectors("audio"), 10).select("query_id", "track_id", F.col("rank").cast("long").alias("rank")), c.tracks("track_id", "title").select("track_id", "title"))
 )
 query("t11_mood_search", f""", pl AS (SELECT DISTINCT session_id, rec_cluster_id FROM play_history JOIN tracks USING (track_id) WHERE rec_cluster_id IS NOT NULL),
   mr AS (SELECT n.query_id, n.track_id, n.score, t.artist, t.title, CASE WHEN {HIT_TIER} THEN 0 WHEN p.session_id IS NOT NULL THEN 1 ELSE 2 END AS tier

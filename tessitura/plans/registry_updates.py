@@ -24,8 +24,8 @@ def now():
 
 query("k03_set_payload", "SELECT track_id, artist, CASE WHEN track_id % 4 = 0 THEN 'changed' ELSE status END AS status, CASE WHEN track_id % 4 = 0 THEN 'yes' END AS extra FROM tracks")(
     lambda c: U.set_payload(
-        c.tracks().select("track_id", F.create_map(F.lit("artist"), "artist", F.lit("status"), "status").alias("payload")),
-        c.tracks().filter("track_id % 4 = 0").select("track_id", F.create_map(F.lit("status"), F.lit("changed"), F.lit("extra"), F.lit("yes")).alias("payload")), "track_id",
+        c.tracks("track_id", "artist", "status").select("track_id", F.create_map(F.lit("artist"), "artist", F.lit("status"), "status").alias("payload")),
+        c.tracks("track_id", "status").filter("track_id % 4 = 0").select("track_id", F.create_map(F.lit("status"), F.lit("changed"), F.lit("extra"), F.lit("yes")).alias("payload")), "track_id",
     ).select("track_id", *(F.try_element_at("payload", F.lit(k)).alias(k) for k in ("artist", "status", "extra")))
 )
 query(
@@ -35,7 +35,7 @@ query(
 )(
     lambda c: U.upsert_artist(
         c.artists().select("name", F.col("image_path").alias("image"), F.lit("seed").alias("source"), F.lit("2000-01-01").cast("timestamp_ntz").alias("created_at"), F.lit("2000-01-01").cast("timestamp_ntz").alias("updated_at")),
-        c.tracks().filter("track_id % 9 = 0").select(F.col("artist").alias("name"), F.lit("new.jpg").alias("image"), F.lit("web").alias("source")).distinct(), now(),
+        c.tracks("track_id", "artist").filter("track_id % 9 = 0").select(F.col("artist").alias("name"), F.lit("new.jpg").alias("image"), F.lit("web").alias("source")).distinct(), now(),
     ).select("name", "image", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"), F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated"))
 )
 query("k07_index_track", "SELECT track_id, 'ready' AS status, cluster_id AS rec_cluster_id, cluster_id AS catalog_cluster_id, popularity_category FROM tracks JOIN audio_vectors USING (track_id)")(
@@ -66,13 +66,13 @@ query(
     )
 )
 query("q16_clear_clusters", "SELECT track_id, title, status, coalesce(rec_cluster_id, -1) AS before, true AS cleared, play_count FROM tracks")(
-    lambda c: U.clear_clusters(c.tracks()).join(c.tracks().select("track_id", F.coalesce("rec_cluster_id", F.lit(-1)).alias("before")), "track_id")
+    lambda c: U.clear_clusters(c.tracks()).join(c.tracks("track_id", "rec_cluster_id").select("track_id", F.coalesce("rec_cluster_id", F.lit(-1)).alias("before")), "track_id")
     .select("track_id", "title", "status", "before", (F.col("rec_cluster_id").isNull() & F.col("catalog_cluster_id").isNull()).alias("cleared"), "play_count")
 )
 query("z08_indexed_to_tracks", "SELECT track_id, coalesce(CASE WHEN track_id % 2 = 0 THEN 77 ELSE rec_cluster_id END, -1) AS rec_cluster_id, track_id % 6 < 4 AS synced FROM (SELECT track_id, rec_cluster_id FROM tracks WHERE track_id % 6 < 4 AND track_id % 2 = 0 UNION ALL SELECT track_id, rec_cluster_id FROM tracks WHERE track_id % 2 = 1)")(
     lambda c: U.indexed_to_tracks(
-        c.tracks().select("track_id", "rec_cluster_id").filter("track_id % 2 = 1 or track_id % 6 < 4"),
-        c.tracks().filter("track_id % 6 < 4").select("track_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")).select("track_id", "seq", F.expr("CASE WHEN seq = 1 THEN 5 WHEN track_id % 2 = 0 THEN 77 END").alias("cluster_id")),
+        c.tracks("track_id", "rec_cluster_id").select("track_id", "rec_cluster_id").filter("track_id % 2 = 1 or track_id % 6 < 4"),
+        c.tracks("track_id").filter("track_id % 6 < 4").select("track_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")).select("track_id", "seq", F.expr("CASE WHEN seq = 1 THEN 5 WHEN track_id % 2 = 0 THEN 77 END").alias("cluster_id")),
     ).withColumn("rec_cluster_id", F.coalesce("rec_cluster_id", F.lit(-1)))
 )
 query("z10_job_results", "SELECT id, CASE WHEN id % 3 = 0 THEN 'failed' WHEN id % 3 = 1 THEN 'completed' ELSE status END AS status, CASE WHEN id % 3 = 2 THEN locked_by END AS locked_by, CASE WHEN id % 3 = 1 THEN 'ok' END AS result, CASE WHEN id % 3 = 0 THEN 'bad' END AS error_message FROM jobs")(
@@ -98,7 +98,7 @@ query("j18_a15_frames_in_span", """SELECT s.track_id, s.n AS span, max(rms) AS p
 )
 query("t05_hit_priority", f"""SELECT query_id, track_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN popularity_category IN ('eternal_hit', 'current_hit', 'artist_best') AND score >= 0.5 THEN 0 ELSE 1 END, score DESC, track_id) AS k
   FROM {NEAR.format(kind="audio", on="true", k=30)} JOIN tracks USING (track_id)) WHERE k <= 10""")(
-    lambda c: _hit_priority(V.nearest(_queries(c, "audio"), c.vectors("audio"), 30).join(c.tracks().select("track_id", "popularity_category"), "track_id"), 10)
+    lambda c: _hit_priority(V.nearest(_queries(c, "audio"), c.vectors("audio"), 30).join(c.tracks("track_id", "popularity_category").select("track_id", "popularity_category"), "track_id"), 10)
 )
 
 
@@ -107,8 +107,8 @@ def _hit_priority(hits: DataFrame, limit: int) -> DataFrame:
     return hits.withColumn("k", F.row_number().over(R.by("query_id").orderBy(first, F.desc("score"), "track_id"))).filter(F.col("k") <= limit).select("query_id", "track_id")
 
 
-query("x31_quoted_phrase", r"""SELECT doc_id, len(list_filter(regexp_extract_all(q, '"([^"]*)"', 1), lambda p: len(list_filter(regexp_split_to_array(p, '\s+'), lambda x: x <> '')) > 3)) > 0 AS too_long FROM (SELECT doc_id, '"' || text[1:20] || '" by someone' AS q FROM documents)""")(
-    lambda c: c.table("documents").select("doc_id", X.quoted_phrase_too_long(F.concat(F.lit('"'), F.left("text", F.lit(20)), F.lit('" by someone'))).alias("too_long"))
+query("x31_quoted_phrase", r"""SELECT doc_id, len(list_filter(regexp_extract_all(q, '"([^"]*)"', 1), lambda p: len(list_filter(regexp_split_to_array(p, '\s+'), lambda x: x <> '')) > 3)) > 0 AS too_long FROM (SELECT doc_id, '"' || text || '" by someone' AS q FROM documents)""")(
+    lambda c: c.table("documents").select("doc_id", X.quoted_phrase_too_long(F.concat(F.lit('"'), F.col("text"), F.lit('" by someone'))).alias("too_long"))
 )
 query("x31_quoted_phrase_whole", r"""SELECT doc_id, len(list_filter(regexp_extract_all(text, '"([^"]*)"', 1), lambda p: len(list_filter(regexp_split_to_array(p, '\s+'), lambda x: x <> '')) > 3)) > 0 AS too_long FROM documents""")(
     lambda c: c.table("documents").select("doc_id", X.quoted_phrase_too_long(F.col("text")).alias("too_long"))
