@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, HEAD, BODY, NEXT, END = "<s>", "[INST]", "[/INST]", "[NEXT]", "</s>"
+#: Code points of a stretch from which loss spans are cut.
+STRETCH = 8192
 #: First character of a control string, backslashes, the rest of it.
 CONTROL = r"([<\[])(\\*)(s>|/s>|INST\]|/INST\]|NEXT\])"
 ESCAPED = r"([<\[])\\(\\*)(s>|/s>|INST\]|/INST\]|NEXT\])"
@@ -94,5 +96,15 @@ def read_back(formatted: DataFrame) -> DataFrame:
         parts = F.split(F.substring(b, F.lit(len(HEAD) + 1), F.length(b)), r"\[/INST\]")
         return F.transform(F.split(F.get(parts, F.lit(1)), r"\[NEXT\]"), lambda t: F.struct(unescape(F.get(parts, F.lit(0))).alias("role"), unescape(t).alias("text")))
 
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"])))
-    return formatted.select("conv_id", "formatted", F.flatten(F.transform(blocks, turns)).alias("turns"), F.array_join(loss, "").alias("loss_text"))
+    # substring() walks from the start of its string: spans are cut from stretches of it. The stretches are exploded as one
+    # row, so that they are a value of their own and not worked out again for each span.
+    parts = F.transform(F.sequence(F.lit(0), F.length("formatted"), F.lit(STRETCH)), lambda i: F.substring(F.col("formatted"), i + 1, F.lit(STRETCH)))
+    cut = formatted.select("conv_id", "formatted", "loss_spans", F.explode(F.array(parts)).alias("_parts"))
+
+    def text(span: Column) -> Column:
+        first = F.floor(span["start"] / STRETCH).cast("int")
+        some = F.slice("_parts", first + 1, F.floor(span["end"] / STRETCH).cast("int") - first + 1)
+        return unescape(F.substring(F.array_join(some, ""), span["start"] - first * STRETCH + 1, span["end"] - span["start"]))
+
+    loss = F.array_join(F.transform("loss_spans", text), "")
+    return cut.select("conv_id", "formatted", F.flatten(F.transform(blocks, turns)).alias("turns"), loss.alias("loss_text"))

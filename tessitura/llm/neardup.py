@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes_of, id_and_text, in_slices, mixed, window_hashes, words_of, written
+from .common import gaps, hashes_of, id_and_text, in_slices, mixed, packed, unpacked, window_hashes, words_of, written
 
 SKETCH = "doc_id long, n_shingles long, print binary, bands array<long>, sig array<long>"
 
@@ -183,10 +183,11 @@ def _compared(groups: DataFrame, sets: DataFrame, part: int, whole: int) -> Data
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["asks", "id"], ascending=[False, True]).drop_duplicates("id")
-        got = links_in_group(pdf["id"].to_numpy(), pdf["label"].to_numpy(), pdf["asks"].to_numpy(), [np.frombuffer(x, np.uint64) for x in pdf["members"]], part, whole)
+        got = links_in_group(pdf["id"].to_numpy(), pdf["label"].to_numpy(), pdf["asks"].to_numpy(), [np.cumsum(unpacked(x, np.uint64)[0], dtype=np.uint64) for x in pdf["members"]], part, whole)
         return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
 
-    return groups.join(sets, "id").groupBy("g").applyInPandas(find, "a long, b long")
+    # By sort and merge at every size: what is small in one run is large in the next.
+    return groups.join(sets.hint("merge"), "id").groupBy("g").applyInPandas(find, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -205,7 +206,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, part: int = 80, whole: int = 100, bands: int = 24, rows: int = 4, bits: int = 4, margin: float = 0.25, block: int = 512
+    docs: DataFrame, shingle: int = 5, part: int = 80, whole: int = 100, bands: int = 24, rows: int = 4, bits: int = 4, margin: float = 0.25, block: int = 256
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept. Links: whole * intersection >= part * union, on full sets."""
     longs = bands * rows * bits // 64
@@ -225,9 +226,9 @@ def near_duplicates(
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in in_slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts, shingle)], pa.binary())], ["id", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([packed(gaps(s)) for s in shingle_sets(texts, shingle)], pa.binary())], ["id", "members"])
 
-    sets = written(id_and_text(docs).join(wanted, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(to_sets, "id long, members binary"))
+    sets = written(id_and_text(docs).join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(to_sets, "id long, members binary"))
 
     # Round 1: against the smallest id of each bucket.
     sig = classes.select("id", "sig", "n")
@@ -240,7 +241,7 @@ def near_duplicates(
     )
     close = written(close)
     many = written(close.groupBy("hub").agg(F.count("*").alias("of_hub")))
-    dealt = close.join(many, "hub").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("of_hub") / F.lit(block))))
+    dealt = close.join(many, "hub").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("of_hub") / F.lit(block // 2))))
     asked = dealt.select(F.xxhash64("hub", "salt").alias("g"), "id", F.col("id").alias("label"), F.lit(False).alias("asks"))
     asking = dealt.select(F.xxhash64("hub", "salt").alias("g"), F.col("hub").alias("id"), F.col("hub").alias("label"), F.lit(True).alias("asks")).distinct()
     links = written(_compared(asked.unionByName(asking), sets, part, whole))
