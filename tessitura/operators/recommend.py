@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.vectors import dot, normalized
-from .relational import HITS, slot_share
+from ..sources.shared import written
+from .relational import HITS, popular_mix, slot_share
 from .vectors import centroids
 
 
@@ -32,24 +33,40 @@ def greedy_artists(rows: DataFrame, limit: int) -> DataFrame:
     return rows.groupBy("session_id").applyInPandas(walk, "session_id long, track_id long, artist string, score double, position long")
 
 
-def cluster_hits(history: DataFrame, tracks: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
-    """For each session and each cluster that it played: its centroid's nearest ready tracks of the same cluster that it
-    hasn't played, three for each of the cluster's slots; well-known ones with a score of 0.5 or more first. Search is an
-    equi-join on the cluster, so that a session meets its own clusters' tracks only."""
-    played = history.select("session_id", "track_id", "played_at").join(vectors, "track_id")
-    cents = centroids(played.select("session_id", "cluster_id", "vector"), ["session_id", "cluster_id"]).select("session_id", "cluster_id", normalized(F.col("centroid")).alias("query"))
-    slots = slot_share(played.groupBy("session_id", "cluster_id").agg(F.min("played_at").alias("first_played")), limit)
-    corpus = vectors.join(tracks.filter("status = 'ready'").select("track_id", "artist", "popularity_category"), "track_id")
-    pairs = slots.join(cents, ["session_id", "cluster_id"]).join(corpus, "cluster_id").withColumn("score", F.round(dot(F.col("vector"), F.col("query")), 9)).drop("vector", "query")
+def cluster_hits(history: DataFrame, tracks: DataFrame, audio: DataFrame, lyrics: DataFrame, limit: int, audio_share: float = 0.7) -> DataFrame:
+    """For each session and each cluster that it played: the ready tracks of the same cluster that it hasn't played and that are
+    nearest to its centroids, by sound and by lyrics: the best three for each of the cluster's slots on either side as one list, an absent side counts 0;
+    well-known ones with a score of 0.5 or more first. Search is an equi-join on the cluster, so that a session meets its
+    own clusters' tracks only, and a row carries two numbers from there on."""
+    both = audio.select("track_id", "cluster_id", F.col("vector").alias("av")).join(lyrics.select("track_id", F.col("vector").alias("lv")), "track_id")
+    played = history.select("session_id", "track_id", "played_at").join(both, "track_id")
+    keys = ["session_id", "cluster_id"]
+    mean = lambda v, name: centroids(played.select(*keys, F.col(v).alias("vector")), keys).select(*keys, normalized(F.col("centroid")).alias(name))
+    slots = slot_share(played.groupBy(*keys).agg(F.min("played_at").alias("first_played")), limit)
+    corpus = both.join(tracks.filter("status = 'ready'").select("track_id"), "track_id")
+    pairs = slots.join(mean("av", "qa"), keys).join(mean("lv", "ql"), keys).join(corpus, "cluster_id")
+    pairs = pairs.select(*keys, "rn", "slots", "track_id", F.round(dot(F.col("av"), F.col("qa")), 9).alias("a"), F.round(dot(F.col("lv"), F.col("ql")), 9).alias("l"))
     fresh = pairs.join(history.select("session_id", "track_id").distinct(), ["session_id", "track_id"], "left_anti")
-    near = W.Window.partitionBy("session_id", "cluster_id").orderBy(F.desc("score"), "track_id")
-    cut = fresh.withColumn("near", F.row_number().over(near)).filter(F.col("near") <= 3 * F.col("slots"))
+    own = W.Window.partitionBy(*keys)
+    place = lambda c: F.row_number().over(own.orderBy(F.desc(c), "track_id"))
+    near = lambda place_, c: F.when(F.col(place_) <= 3 * F.col("slots"), F.col(c)).otherwise(0.0)
+    sides = fresh.withColumn("pa", place("a")).withColumn("pl", place("l")).filter((F.col("pa") <= 3 * F.col("slots")) | (F.col("pl") <= 3 * F.col("slots")))
+    cut = sides.withColumn("score", F.round(near("pa", "a") * audio_share + near("pl", "l") * (1 - audio_share), 9)).withColumn("near", place("score")).filter(F.col("near") <= 3 * F.col("slots"))
+    known = cut.join(tracks.select("track_id", "artist", "popularity_category"), "track_id")
     first = F.when(F.col("popularity_category").isin(*HITS) & (F.col("score") >= 0.5), 0).otherwise(1)
-    rank = F.row_number().over(W.Window.partitionBy("session_id", "cluster_id").orderBy(first, F.desc("score"), "track_id"))
-    return cut.select("session_id", F.col("rn").alias("cluster_rank"), rank.alias("rank"), "slots", "track_id", "artist", "score")
+    rank = F.row_number().over(own.orderBy(first, F.desc("score"), "track_id"))
+    return known.select("session_id", F.col("rn").alias("cluster_rank"), rank.alias("rank"), "slots", "track_id", "artist", "score")
 
 
-def recommend(history: DataFrame, tracks: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
+def recommend(history: DataFrame, tracks: DataFrame, audio: DataFrame, lyrics: DataFrame, limit: int, sessions: DataFrame | None = None, seed: int = 13) -> DataFrame:
+    """session_id, track_id, artist, score, position, strategy: by the clusters that a session played; a session without such tracks gets
+    the popular mix without what it has played (score 0). sessions: those to answer, all with a history by default."""
     artists = history.select("session_id", "track_id").join(tracks.select("track_id", "artist"), "track_id").groupBy("session_id").agg(F.collect_set("artist").alias("played_artists"))
-    return greedy_artists(cluster_hits(history, tracks, vectors, limit).join(artists, "session_id"), limit)
-
+    by_cluster = written(greedy_artists(cluster_hits(history, tracks, audio, lyrics, limit).join(artists, "session_id"), limit))
+    rest = (sessions if sessions is not None else history).select("session_id").distinct().join(by_cluster.select("session_id"), "session_id", "left_anti")
+    # The mix is one list of at most `limit` tracks.
+    mix = popular_mix(tracks, limit, seed).select("track_id", F.struct("part", "pos").alias("order")).join(tracks.select("track_id", "artist"), "track_id")
+    mixed = rest.join(F.broadcast(mix), F.lit(True)).join(history.select("session_id", "track_id").distinct(), ["session_id", "track_id"], "left_anti")
+    position = F.row_number().over(W.Window.partitionBy("session_id").orderBy("order", "track_id")).cast("long")
+    popular = mixed.select("session_id", "track_id", "artist", F.lit(0.0).alias("score"), position.alias("position"), F.lit("popular").alias("strategy"))
+    return by_cluster.withColumn("strategy", F.lit("cluster")).unionByName(popular)

@@ -142,7 +142,11 @@ query("t10_text_search", f"SELECT track_id, score FROM {SEARCH} ORDER BY score D
     lambda c: M.text_search(M.index_text(c.tracks()), "the Brand").orderBy(F.desc("score"), "track_id").offset(5).limit(20)
 )
 query("a01_count_matches", f"SELECT count(*) AS n FROM {SEARCH}")(lambda c: M.text_search(M.index_text(c.tracks()), "brand the").agg(F.count("*").alias("n")))
-query("q09_recommend")(lambda c: Q.recommend(c.play_history(), c.tracks(), c.vectors("audio"), 20))
+query("q09_recommend")(
+    lambda c: Q.recommend(
+        c.play_history(), c.tracks("track_id", "artist", "status", "popularity_category", "play_count", "language"), c.vectors("audio"), c.vectors("lyrics"), 20, c.table("customer").select(F.col("c_custkey").alias("session_id"))
+    )
+)
 query("q12_rotate", "SELECT id, session_id, track_id FROM queue_entries q WHERE NOT EXISTS (SELECT 1 FROM (SELECT session_id, track_id FROM play_history GROUP BY ALL HAVING count(*) >= 2) h WHERE h.session_id = q.session_id AND h.track_id = q.track_id)")(
     lambda c: c.queue_entries().select("id", "session_id", "track_id").join(c.play_history().groupBy("session_id", "track_id").count().filter("count >= 2"), ["session_id", "track_id"], "left_anti").select("id", "session_id", "track_id")
 )

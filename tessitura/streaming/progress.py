@@ -74,13 +74,15 @@ def emit_on_change(progress: DataFrame) -> DataFrame:
 
     def changed(key, batches, state):
         step, at = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        # Order needs a job's events of one trigger together: (ts, id, step, progress) of each, without their other columns.
+        rows = sorted(x for b in batches for x in zip(b["ts"], b["id"], b["step"], b["progress"], strict=True))
         out = []
-        for i, s, p in zip(rows["id"], rows["step"], rows["progress"], strict=True):
+        for _, i, s, p in rows:
             if (s, p) != (step, at):
                 out.append((key[0], i, s, p))
             step, at = s, p
-        state.update((step, int(at)))
+        if rows:
+            state.update((step, int(at)))
         yield pd.DataFrame(out, columns=["job_id", "id", "step", "progress"])
 
     return progress.groupBy("job_id").applyInPandasWithState(changed, "job_id long, id long, step string, progress long", "step string, progress long", "append", "NoTimeout")
@@ -90,10 +92,12 @@ def terminal_events(progress: DataFrame) -> DataFrame:
     """A stream of each job's first completed or failed event; what follows it is ignored. State: one flag for each job."""
 
     def ended(key, batches, state):
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        last = rows[rows["status"].isin(["completed", "failed"])].head(1)
-        if not state.exists and len(last):
+        first = None  # one event is held, however many come
+        for b in batches:
+            ends = b[b["status"].isin(["completed", "failed"])]
+            first = min([*([first] if first else []), *zip(ends["ts"], ends["id"], ends["status"], strict=True)], default=None)
+        if not state.exists and first:
             state.update((True,))
-            yield last[["id", "status"]].assign(job_id=key[0])[["job_id", "id", "status"]]
+            yield pd.DataFrame([(key[0], first[1], first[2])], columns=["job_id", "id", "status"])
 
     return progress.groupBy("job_id").applyInPandasWithState(ended, "job_id long, id long, status string", "ended boolean", "append", "NoTimeout")

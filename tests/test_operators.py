@@ -72,7 +72,11 @@ def test_timing_of_single_rows(spark):
 def test_recommendations_keep_their_rules(spark):
     c = Catalog(spark, SF)
     limit = 7
-    got = recommend.recommend(c.play_history(), c.tracks(), c.vectors("audio"), limit).toPandas()
+    sessions = c.table("customer").select(F.col("c_custkey").alias("session_id"))
+    everything = recommend.recommend(c.play_history(), c.tracks(), c.vectors("audio"), c.vectors("lyrics"), limit, sessions).toPandas()
+    got, rest = (everything[everything["strategy"] == x] for x in ("cluster", "popular"))
+    assert not set(got["session_id"]) & set(rest["session_id"]) and len(set(everything["session_id"])) == sessions.count()
+    assert (rest.groupby("session_id").size() <= limit).all() and not rest.duplicated(["session_id", "track_id"]).any()
     history, tracks = c.play_history().toPandas(), c.tracks().toPandas().set_index("track_id")
     assert len(got)
     for session, mine in got.groupby("session_id"):
@@ -95,3 +99,37 @@ def test_streams_equal_their_batch_twins(spark):
 def test_nearest_has_no_shuffle_of_the_corpus_beyond_the_top(spark):
     plan = registry.queries()["j11_knn"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
+
+
+def test_hits_of_both_sides_equal_brute_force(spark):
+    """Similarities, both cuts, their sum and the order, for every session and cluster over plain lists."""
+    c, limit = Catalog(spark, SF), 6
+    ready = {r["track_id"]: r["popularity_category"] for r in c.tracks("track_id", "status", "popularity_category").filter("status = 'ready'").collect()}
+    a, l = ({r["track_id"]: (r["cluster_id"], r["vector"]) for r in c.vectors(k).collect()} for k in ("audio", "lyrics"))
+    history = c.play_history().select("session_id", "track_id", "played_at").collect()
+    want = {}
+    for s in {r["session_id"] for r in history}:
+        mine = sorted((r for r in history if r["session_id"] == s), key=lambda r: r["played_at"])
+        clusters: dict = {}
+        for r in mine:
+            if r["track_id"] in a:
+                clusters.setdefault(a[r["track_id"]][0], []).append(r["track_id"])
+        firsts = sorted(clusters, key=lambda k: (min(r["played_at"] for r in mine if r["track_id"] in clusters[k]), k))
+        for n, k in enumerate(firsts):
+            slots = limit // len(firsts) + (n < limit % len(firsts))
+            if not slots:
+                continue
+            unit = lambda vs: (lambda m: [x / math.sqrt(sum(y * y for y in m)) for x in m])([sum(x) / len(vs) for x in zip(*vs, strict=True)])
+            qa, ql = (unit([v[t][1] for t in clusters[k]]) for v in (a, l))
+            free = [t for t in ready if t in a and a[t][0] == k and t not in {r["track_id"] for r in mine}]
+            sims = {t: tuple(round(sum(x * y for x, y in zip(q, v[t][1], strict=True)), 9) for q, v in ((qa, a), (ql, l))) for t in free}
+            best = [set(sorted(free, key=lambda t, i=i: (-sims[t][i], t))[: 3 * slots]) for i in (0, 1)]
+            score = {t: round(0.7 * sims[t][0] * (t in best[0]) + 0.3 * sims[t][1] * (t in best[1]), 9) for t in best[0] | best[1]}
+            near = sorted(score, key=lambda t: (-score[t], t))[: 3 * slots]
+            order = sorted(near, key=lambda t: (0 if ready[t] in ("eternal_hit", "current_hit", "artist_best") and score[t] >= 0.5 else 1, -score[t], t))
+            for rank, t in enumerate(order, 1):
+                want[s, n + 1, t] = (rank, round(score[t], 6))
+    rows = recommend.cluster_hits(c.play_history(), c.tracks(), c.vectors("audio"), c.vectors("lyrics"), limit).collect()
+    got = {(r["session_id"], r["cluster_rank"], r["track_id"]): (r["rank"], round(r["score"], 6)) for r in rows}
+    assert got.keys() == want.keys()
+    assert sum(got[k] != want[k] for k in got) == 0
