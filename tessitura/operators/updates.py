@@ -90,3 +90,14 @@ def job_results(jobs: DataFrame, results: DataFrame) -> DataFrame:
 
 def unexpired(dead: DataFrame, now: Column, hours: int = 72) -> DataFrame:
     return dead.filter(F.col("ts") > now - F.expr(f"INTERVAL {hours} HOURS"))
+
+
+def validated(rows: DataFrame, types: dict[str, str], allowed: dict[str, tuple]) -> DataFrame:
+    """Adds `error`: the first column whose text isn't of its type, or whose value isn't one of those allowed; null where all are
+    right. types: column to type name; a null is of every type."""
+    error = F.lit(None).cast("string")
+    for name, kind in reversed(types.items()):
+        error = F.when(F.col(name).isNotNull() & F.col(name).try_cast(kind).isNull(), F.lit(name)).otherwise(error)
+    for name, values in reversed(allowed.items()):
+        error = F.when(~F.col(name).isin(*values), F.lit(name)).otherwise(error)
+    return rows.withColumn("error", error)

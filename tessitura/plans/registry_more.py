@@ -12,7 +12,11 @@ from ..operators import alignment as A
 from ..operators import lyrics as L
 from ..operators import search as S
 from ..operators import timing as T
+from ..operators import updates as U
 from ..operators import vectors as V
+from ..sources import pages as P
+from ..sources.shared import shared_dir
+from ..streaming import progress as Z
 from .bind import BIND, Catalog
 from .registry import CENTROIDS, NEAR, SQL, _queries, query
 
@@ -304,3 +308,68 @@ def _normalized_by_stats(c: Catalog) -> DataFrame:
     stats = S.model_stats(side)
     done = rows.join(F.broadcast(stats), "pos").withColumn("z", (F.col("x") - F.col("mean")) / F.col("std"))
     return done.groupBy("track_id").agg(F.round(F.sum("z"), 4).alias("total"))
+
+
+# --- sources ---------------------------------------------------------------------------------------------------------------
+
+
+def _library(c: Catalog) -> DataFrame:
+    path = shared_dir(c.spark)
+    url = F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("http://media.example/"), "p_partkey"))
+    c.table("part").select(F.col("p_brand").alias("artist"), F.concat(F.lit('a "quoted", '), "p_name").alias("title"), url.alias("URL")).write.csv(path, header=True, escape='"')
+    return P.library_csv(c.spark, path)
+
+
+def _catalog(c: Catalog) -> DataFrame:
+    path = shared_dir(c.spark)
+    own = c.mood_tags().groupBy("cluster_id").agg(F.collect_list(F.struct(F.col("tag_id").alias("id"), "name", "cluster_id")).alias("tags"))
+    own.select(F.array(F.struct(F.col("cluster_id").alias("id"), F.concat(F.lit("cluster "), "cluster_id").alias("name"))).alias("clusters"), "tags").write.json(path)
+    clusters, tags = P.catalog_json(c.spark, path, lines=True)
+    return tags.withColumnRenamed("name", "tag").join(clusters.withColumnRenamed("id", "cluster_id"), "cluster_id")
+
+
+query("s06_library_csv", """SELECT p_brand AS artist, 'a "quoted", ' || p_name AS title, 'http://media.example/' || p_partkey AS "URL" FROM part WHERE p_partkey % 3 <> 0""")(_library)
+query("s04_catalog_json", "SELECT tag_id AS id, name AS tag, cluster_id, 'cluster ' || cluster_id AS name FROM mood_tags")(_catalog)
+query("s09_lyrics_blocks", "SELECT page_id, regexp_replace(url, '[<>]', '', 'g') || chr(10) || 'x' || chr(10) || page_id || chr(10) || 'y' AS text FROM pages")(
+    lambda c: c.table("pages").select(
+        "page_id",
+        P.lyrics_blocks(F.concat(F.lit('<div class="a" data-lyrics-container="true">7 Contributors<br/>Lyrics<br>'), F.regexp_replace("url", "[<>]", ""), F.lit('<br/><b>x</b></div><div>no</div><DIV data-lyrics-container="true" id="b">'), "page_id", F.lit("<i>\ny</i></DIV>"))).alias("text"),
+    )
+)
+
+
+def _topics(c: Catalog) -> DataFrame:
+    """Events as messages of the four topics: some broken, some without a field that they must have; counted by topic and error."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    e = c.table("events").select(F.col("event_id").alias("id"), "user_id", "event_type", k.alias("k"))
+    key = F.when(F.col("k") % 5 != 0, F.concat(F.lit("up/"), "k"))
+    bodies = {
+        "jobs": F.struct(F.col("user_id").alias("job_id"), key.alias("mp3_key")), "progress": F.struct(F.col("user_id").alias("job_id"), F.when(F.col("k") % 3 != 0, F.col("event_type")).alias("status"), F.col("k").alias("progress")),
+        "rec.index": F.struct(F.col("k").alias("track_id"), key.alias("mp3_key"), F.lit("la").alias("lyrics")), "rec.indexed": F.struct(F.when(F.col("k") % 7 != 0, F.col("user_id")).alias("track_id"), F.col("k").alias("rec_cluster_id")),
+    }
+    out = None
+    for topic, body in bodies.items():
+        m = e.select("id", F.when(F.col("id") % 11 == 0, F.lit("{broken")).otherwise(F.to_json(body)).alias("value"))
+        rows = Z.read_topic(m, topic)
+        first = rows.columns[1]
+        one = rows.groupBy(F.lit(topic).alias("topic"), F.coalesce("rejected", F.lit("")).alias("error")).agg(F.count("*").alias("n"), F.coalesce(F.sum(first), F.lit(0)).alias("ids"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_t = lambda topic, first, bad: f"SELECT '{topic}' AS topic, CASE WHEN event_id % 11 = 0 THEN 'broken' WHEN {bad} THEN 'missing' ELSE '' END AS error, count(*) AS n, coalesce(sum(CASE WHEN event_id % 11 <> 0 THEN {first} END), 0)::BIGINT AS ids FROM (SELECT *, (props::JSON ->> '$.k')::BIGINT AS k FROM events) GROUP BY ALL"
+query("s07_topics", " UNION ALL ".join([_t("jobs", "user_id", "k % 5 = 0"), _t("progress", "user_id", "k % 3 = 0"), _t("rec.index", "k", "k % 5 = 0"), _t("rec.indexed", "CASE WHEN k % 7 <> 0 THEN user_id END", "k % 7 = 0")]))(_topics)
+query("f17_validated", "SELECT o_orderkey, CASE WHEN o_orderstatus NOT IN ('O', 'P') THEN 'status' WHEN o_orderkey % 4 = 0 THEN 'total' ELSE '' END AS error FROM orders")(
+    lambda c: U.validated(
+        c.table("orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 4 == 0, F.concat("o_totalprice", F.lit("x"))).otherwise(F.col("o_totalprice").cast("string")).alias("total")), {"total": "double"}, {"status": ("O", "P")}
+    ).select("o_orderkey", F.coalesce("error", F.lit("")).alias("error"))
+)
+SQL["x27_merge_json"] = BIND + "SELECT event_id, 'a=' || CASE WHEN event_id % 2 = 0 THEN 'new' ELSE event_type END || ',b=' || user_id || CASE WHEN event_id % 2 = 0 THEN ',c=1' ELSE '' END AS merged FROM events"
+
+
+@query("x27_merge_json")
+def _merged(c: Catalog) -> DataFrame:
+    old = F.create_map(F.lit("a"), F.col("event_type"), F.lit("b"), F.col("user_id").cast("string"))
+    new = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("a"), F.lit("new"), F.lit("c"), F.lit("1"))).otherwise(F.expr("CAST(map() AS map<string, string>)"))
+    merged = F.array_sort(F.transform(F.map_entries(X.merge_json(old, new)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return c.table("events").select("event_id", F.array_join(merged, ",").alias("merged"))

@@ -178,7 +178,7 @@ query("z02_progress_latest_stream", "SELECT job_id, arg_max(step, (ts, id)) AS s
     ).select("job_id", "step", "progress")
 )
 query("z06_idempotent_claim_stream", "SELECT DISTINCT user_id AS job_id FROM events")(
-    lambda c: Z.run(Z.claims(Z.event_stream(c.spark, c.sf_dir).select(F.col("user_id").alias("job_id"), "ts"), "36500 days").select("job_id"))
+    lambda c: Z.run(Z.claims(Z.event_stream(c.spark, c.sf_dir).select(F.col("user_id").alias("job_id"), "ts")).select("job_id"))
 )
 query("f12_sessions_by_user", "SELECT session_id, count(*) AS n FROM play_history GROUP BY 1")(lambda c: c.play_history().groupBy("session_id").agg(F.count("*").alias("n")))
 query("w17_spread_pick", "SELECT track_id, i, round_even(i * (max_n / 4.0), 0)::BIGINT AS n FROM (SELECT track_id, max(n) AS max_n FROM syllables GROUP BY 1), (SELECT unnest(range(0, 5)) AS i)")(

@@ -53,7 +53,7 @@ def search_results(replies: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def library_csv(spark, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema="artist string, title string, URL string").filter(F.coalesce(F.trim("URL"), F.lit("")) != "")
+    return spark.read.csv(path, header=True, escape='"', schema="artist string, title string, URL string").filter(F.coalesce(F.trim("URL"), F.lit("")) != "")
 
 
 def object_listing(spark, path: str) -> DataFrame:
@@ -61,6 +61,7 @@ def object_listing(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.mp3").option("recursiveFileLookup", "true").load(path).select("path", "length").orderBy("path")
 
 
-def catalog_json(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    doc = spark.read.schema("clusters array<struct<id:long,name:string>>, tags array<struct<id:long,name:string,cluster_id:long>>").json(path, multiLine=True)
+def catalog_json(spark, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """clusters and tags of one JSON document, or of a document in each line."""
+    doc = spark.read.schema("clusters array<struct<id:long,name:string>>, tags array<struct<id:long,name:string,cluster_id:long>>").json(path, multiLine=not lines)
     return doc.select(F.explode("clusters").alias("c")).select("c.*"), doc.select(F.explode("tags").alias("t")).select("t.*")

@@ -8,14 +8,29 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_dir
 
-MESSAGE = "job_id long, mp3_key string, request_id string"
+#: Each topic's fields, and those without which a message is bad.
+TOPICS = {
+    "jobs": ("job_id long, mp3_key string, request_id string", ("job_id", "mp3_key")),
+    "progress": ("job_id long, status string, step string, progress long, error string", ("job_id", "status")),
+    "rec.index": ("track_id long, mp3_key string, lyrics string, request_id string", ("track_id", "mp3_key")),
+    "rec.indexed": ("track_id long, rec_cluster_id long", ("track_id",)),
+}
+
+
+def read_topic(messages: DataFrame, topic: str) -> DataFrame:
+    """messages: id, value; a batch or a stream. The topic's fields of each message; rejected says why one is bad: broken JSON or a
+    field missing that it must have."""
+    fields, needed = TOPICS[topic]
+    m = messages.withColumn("m", F.from_json("value", fields + ", _broken string", {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}))
+    missing = F.lit(False)
+    for name in needed:
+        missing = missing | F.col(f"m.{name}").isNull()
+    error = F.when(F.col("m").isNull() | F.col("m._broken").isNotNull(), "broken").when(missing, "missing")
+    return m.select("id", *(F.col(f"m.{f.split()[0]}").alias(f.split()[0]) for f in fields.split(", ")), error.alias("rejected"), "value")
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """messages: id, value. The fields of good messages; error says why a message is bad: broken JSON or a field missing."""
-    m = messages.withColumn("m", F.from_json("value", MESSAGE + ", _broken string", {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}))
-    error = F.when(F.col("m").isNull() | F.col("m._broken").isNotNull(), "broken").when(F.col("m.job_id").isNull() | F.col("m.mp3_key").isNull(), "missing")
-    return m.select("id", "m.job_id", "m.mp3_key", error.alias("error"), "value")
+    return read_topic(messages, "jobs").drop("request_id").withColumnRenamed("rejected", "error")
 
 
 def good(p: DataFrame) -> DataFrame:
