@@ -5,7 +5,9 @@ windows with the same minimiser travel as one packed string to the bucket of tha
 minimisers, so they meet in one bucket, where the windows of minimisers that came more than once are sorted with their places.
 All but the first place of a sequence are removed; equal hashes are compared word by word. A task packs what it sends to a bucket
 into one compressed value; a super-k-mer that equals an earlier one of the same slice is removed there and
-sends only its place, so that copies of a passage cost one text a slice, not one a document.
+sends only its place, so that copies of a passage cost one text a slice, not one a document. A minimiser that many
+different super-k-mers have is found by a count before: its windows are dealt by a second minimiser too, so that they
+spread over the buckets, and equal windows still meet.
 Earlier means: smaller doc_id, or the same document and an earlier start. The number of buckets follows the bytes of the
 input (`per_bucket` each), and so does the number of tasks that compare them.
 Defined results: null and empty texts and texts shorter than a window keep all words; every row is a document of its own, also
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes_of, id_and_text, in_slices, numbered, packed, unpacked, window_hashes, words_of
+from .common import hashes_of, id_and_text, in_slices, mixed, numbered, packed, unpacked, window_hashes, words_of, written
 
 KINDS = (np.uint64, np.int64, np.int64, np.int32, np.int32, None, np.int64, np.int64, np.int32)
 
@@ -34,46 +36,91 @@ def _ends(words: list[bytes]) -> np.ndarray:
     return np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
 
 
-def super_kmers(h: np.ndarray, last: np.ndarray, size: int, mini: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and minimiser of each super-k-mer. h: the words' hashes, text after text; last:
-    for each word, where its text ends."""
-    mm = window_hashes(h, mini)
-    reach = size - mini + 1
-    n = len(h) - size + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    at, wide = np.arange(len(mm)), 1
-    while wide < reach:  # the place of the leftmost least hash among the next 1, 2, 4 ...
+def _least(v: np.ndarray, reach: int) -> np.ndarray:
+    """For each place but the last ones: the place of the leftmost least value among the next `reach`."""
+    at, wide = np.arange(len(v)), 1
+    while wide < reach:  # among the next 1, 2, 4 ...
         step = min(wide, reach - wide)
         a, b = at[: len(at) - step], at[step:]
-        at, wide = np.where(mm[b] < mm[a], b, a), wide + step
-    starts = np.flatnonzero(np.arange(n) + size <= last[:n])
+        at, wide = np.where(v[b] < v[a], b, a), wide + step
+    return at
+
+
+def super_kmers(h: np.ndarray, last: np.ndarray, size: int, mini: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and key of each super-k-mer. h: the words' hashes, text after text; last: for each
+    word, where its text ends. The key is the minimiser; windows of a hot one (hot: sorted) also have to share a second
+    minimiser, by another order of the same runs, and their key is made of both."""
+    mm = window_hashes(h, mini)
+    n = len(h) - size + 1
+    starts = np.flatnonzero(np.arange(max(n, 0)) + size <= last[: max(n, 0)])
     if not len(starts):
         return starts, starts, np.empty(0, np.uint64)
-    place = at[starts]
-    fresh = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-    return starts[fresh], np.diff(np.append(fresh, len(starts))), mm[place[fresh]]
+    place = _least(mm, size - mini + 1)[starts]
+    key = mm[place]
+    fresh = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
+    if hot is not None and len(hot):
+        many = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+        if many.any():
+            other = mixed(mm, 1)
+            second = _least(other, size - mini + 1)[starts]
+            fresh |= many[1:] & (second[1:] != second[:-1])
+            key = np.where(many, mixed(key, other[second]), key)
+    fresh = np.flatnonzero(np.append(True, fresh))
+    return starts[fresh], np.diff(np.append(fresh, len(starts))), key[fresh]
+
+
+def _words_in_order(ids: list, texts: list[str], size: int) -> tuple[list[bytes], np.ndarray, list]:
+    """The words of the texts that hold a window, in the order of their ids; how many each has; its id."""
+    words, sizes, of = [], [], []
+    for k in sorted(range(len(ids)), key=ids.__getitem__):
+        w = words_of(texts[k])
+        if len(w) >= size:
+            words += w
+            sizes.append(len(w))
+            of.append(ids[k])
+    return words, np.array(sizes, np.int64), of
+
+
+def hot_minimisers(docs: DataFrame, size: int, mini: int, limit: int, least: int = 4096, most: int = 1 << 16) -> np.ndarray:
+    """Minimisers of more than `least` different super-k-mers, and of more than one in `most` of all: so there are `most` at most,
+    whatever the input. A slice counts its own and leaves out those with less than four."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in in_slices(batches, limit):
+            words, sizes, _ = _words_in_order(ids, texts, size)
+            if not words:
+                continue
+            h = hashes_of(words)
+            del words
+            start, n, mm = super_kmers(h, np.repeat(np.cumsum(sizes), sizes), size, mini)
+            own = mixed(window_hashes(h, size)[start], n.astype(np.uint64))
+            order = np.lexsort((own, mm))
+            mm, own = mm[order], own[order]
+            mm = mm[np.append(True, (mm[1:] != mm[:-1]) | (own[1:] != own[:-1]))]
+            first = np.flatnonzero(np.append(True, mm[1:] != mm[:-1]))
+            many = np.diff(np.append(first, len(mm)))
+            some = many >= 4
+            yield pa.RecordBatch.from_arrays([pa.array([None, *mm[first[some]].view(np.int64).tolist()], pa.int64()), pa.array([len(mm), *many[some].tolist()], pa.int64())], ["key", "n"])
+
+    counts = written(id_and_text(docs).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    total = counts.filter("key IS NULL").select("n").first()
+    bound = max(least, (total[0] if total else 0) // most)
+    return np.sort(np.array([r["key"] for r in counts.filter(F.col("key").isNotNull() & (F.col("n") > bound)).select("key").collect()], np.int64).view(np.uint64))
 
 
-def _dealt(docs: DataFrame, size: int, mini: int, buckets: int, limit: int) -> DataFrame:
+def _dealt(docs: DataFrame, size: int, mini: int, buckets: int, limit: int, hot: np.ndarray) -> DataFrame:
     """bucket, payload: what one slice of documents sends to one bucket."""
+    known = docs.sparkSession.sparkContext.broadcast(hot)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in in_slices(batches, limit):
-            words, sizes, of = [], [], []
-            for k in sorted(range(len(ids)), key=ids.__getitem__):
-                w = words_of(texts[k])
-                if len(w) >= size:
-                    words += w
-                    sizes.append(len(w))
-                    of.append(ids[k])
+            words, count, of = _words_in_order(ids, texts, size)
             if not words:
                 continue
-            count = np.array(sizes, np.int64)
             last = np.repeat(np.cumsum(count), count)
             first = np.repeat(np.cumsum(count) - count, count)
             doc = np.repeat(np.array(of, np.int64), count)
-            start, n, mm = super_kmers(hashes_of(words), last, size, mini)
+            start, n, mm = super_kmers(hashes_of(words), last, size, mini, known.value)
             end = _ends(words)
             text = b" ".join(words)
             del words
@@ -144,7 +191,7 @@ def _merged(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndar
     return doc[fresh], low[fresh], (far - lift)[ends]
 
 
-def repeated_ranges(docs: DataFrame, size: int = 20, mini: int = 5, limit: int = 8 << 20, per_bucket: int = 16 << 20) -> DataFrame:
+def repeated_ranges(docs: DataFrame, size: int = 20, mini: int = 5, limit: int = 8 << 20, per_bucket: int = 16 << 20, least: int = 4096) -> DataFrame:
     """key (a doc_id, unique and not null), low, high: ranges of words to remove, high excluded."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // per_bucket))
@@ -175,7 +222,8 @@ def repeated_ranges(docs: DataFrame, size: int = 20, mini: int = 5, limit: int =
         d, low, high = _merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
         return pd.DataFrame({"key": d, "low": low, "high": high})
 
-    return _dealt(docs, size, mini, buckets, limit).repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInPandas(compare, "key long, low long, high long")
+    hot = hot_minimisers(docs, size, mini, limit, least)
+    return _dealt(docs, size, mini, buckets, limit, hot).repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInPandas(compare, "key long, low long, high long")
 
 
 def remove_repeats(docs: DataFrame, size: int = 20, mini: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:

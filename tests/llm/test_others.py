@@ -211,3 +211,24 @@ def test_an_empty_table_and_buckets_by_bytes(spark):
         assert r["key"] == 2
         gone |= set(range(r["low"], r["high"]))
     assert gone == set(range(400))
+
+
+def test_windows_of_a_hot_minimiser_are_spread_and_still_meet(spark):
+    """With every minimiser hot, results are the same, and one that many texts share gets many keys."""
+    rnd = random.Random(2)
+    five = "very common five word run".split()
+    rows = [(d, " ".join([*(f"w{rnd.randrange(50)}" for _ in range(30)), *five, *(f"w{rnd.randrange(50)}" for _ in range(30))])) for d in range(60)]
+    rows += [(d + 100, t) for d, t in rows[:20]]
+    docs = documents(spark, rows)
+    got = {}
+    for least in (0, 10**9):
+        gone = {(r["key"], k) for r in substrings.repeated_ranges(docs, size=10, mini=3, least=least).collect() for k in range(r["low"], r["high"])}
+        got[least] = gone
+    assert got[0] == got[10**9] and len(got[0]) == 20 * 65
+    hot = substrings.hot_minimisers(docs, 10, 3, 1 << 20, least=10)
+    assert 0 < len(hot) < 200
+    h = substrings.hashes_of([w.encode() for d, t in rows for w in t.split()])
+    last = np.repeat(np.arange(1, len(rows) + 1) * 65, 65)
+    plain, spread = (substrings.super_kmers(h, last, 10, 3, x)[2] for x in (None, hot))
+    assert len(set(spread.tolist())) > len(set(plain.tolist()))
+    assert np.unique(spread, return_counts=True)[1].max() < np.unique(plain, return_counts=True)[1].max()
