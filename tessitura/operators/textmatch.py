@@ -25,19 +25,33 @@ def document_frequency(texts: DataFrame, n: int) -> DataFrame:
     return grams(texts, n).groupBy("gram").agg(F.count("*").alias("df"))
 
 
-def _hashed_grams(texts: DataFrame, n: int) -> DataFrame:
-    """grams() with each n-gram as a 64-bit hash: joins and counts move numbers."""
-    return grams(texts, n).select("id", F.xxhash64("gram").alias("gram"))
+def prepared(texts: DataFrame, n: int = 4, anchor_n: int = 5) -> DataFrame:
+    """texts: id, text. id, size (in words), words, grams (n words) and long (anchor_n words): distinct 64-bit hashes. An n-gram's hash is that
+    of its words' hashes, so that no string is joined or moved. Write it where it is used more than once."""
+    # One array, exploded as a row: a filter on what is made of it then stays above. Pushed below, it would cut the text anew
+    # for each n-gram.
+    hashed = texts.select("id", F.explode(F.array(F.transform(tokenize(F.lower("text")), lambda w: F.xxhash64(w)))).alias("w"))
+
+    def runs(k: int) -> Column:
+        at = F.sequence(F.lit(0), F.size("w") - k)
+        made = F.transform(at, lambda i: F.xxhash64(*(F.get(F.col("w"), i + j) for j in range(k))))
+        return F.when(F.size("w") >= k, F.array_distinct(made)).otherwise(F.array().cast("array<bigint>"))
+
+    return hashed.select("id", F.size("w").alias("size"), F.array_distinct("w").alias("words"), runs(n).alias("grams"), runs(anchor_n).alias("long"))
+
+
+def _arrays(texts: DataFrame, n: int = 4, anchor_n: int = 5) -> DataFrame:
+    return texts if "grams" in texts.columns else prepared(texts, n, anchor_n)
 
 
 def candidate_pairs(requests: DataFrame, candidates: DataFrame, n: int = 4, max_df: int = 20, least: int = 3) -> DataFrame:
     """request_id, candidate_id, shared: other texts with at least `least` n-grams in common, of those that at most max_df
     candidates hold. So a join key has at most max_df candidates: the pairs stay linear in the n-grams. whole_pairs() is the
-    exact way for the rest."""
-    own = _hashed_grams(candidates, n)
+    exact way for the rest. Both sides: id, text, or prepared()."""
+    own = _arrays(candidates, n).select("id", F.explode("grams").alias("gram"))
     rare = own.groupBy("gram").agg(F.count("*").alias("df")).filter(F.col("df") <= max_df)
     right = own.join(rare.select("gram"), "gram", "left_semi").select("gram", F.col("id").alias("candidate_id"))
-    left = _hashed_grams(requests, n).select("gram", F.col("id").alias("request_id"))
+    left = _arrays(requests, n).select(F.explode("grams").alias("gram"), F.col("id").alias("request_id"))
     pairs = left.join(right, "gram").filter("request_id <> candidate_id").groupBy("request_id", "candidate_id").agg(F.count("*").alias("shared"))
     return pairs.filter(F.col("shared") >= least)
 
@@ -66,22 +80,17 @@ def whole_pairs(requests: DataFrame, candidates: DataFrame, n: int = 4, least: i
 
 
 def measured(pairs: DataFrame, requests: DataFrame, candidates: DataFrame, n: int = 4, anchor_n: int = 5) -> DataFrame:
-    """pair_measures(), and for the anchor the longer n-grams that a pair shares and how many the candidate has. A text's words and
-    n-grams are arrays of 64-bit hashes, made once for each text; each pair meets both texts' arrays once."""
-    hashed = lambda x: F.array_distinct(F.transform(x, lambda g: F.xxhash64(g)))
-
-    def arrays(texts: DataFrame, side: str) -> DataFrame:
-        t = texts.select("id", tokenize(F.lower("text")).alias("t"))
-        return t.select(F.col("id").alias(f"{side}_id"), *(hashed(x).alias(f"{side}_{c}") for c, x in (("words", F.col("t")), ("grams", ngrams(F.col("t"), n)), ("long", ngrams(F.col("t"), anchor_n)))), F.size("t").alias(f"{side}_n"))
-
-    both = pairs.select("request_id", "candidate_id").join(arrays(requests, "request"), "request_id").join(arrays(candidates, "candidate"), "candidate_id")
+    """pair_measures(), and for the anchor the longer n-grams that a pair shares and how many the candidate has. Each pair meets both
+    texts' arrays once. Both sides: id, text, or prepared()."""
+    side = lambda x, name: _arrays(x, n, anchor_n).select(F.col("id").alias(f"{name}_id"), *(F.col(c).alias(f"{name}_{c}") for c in ("size", "words", "grams", "long")))
+    both = pairs.select("request_id", "candidate_id").join(side(requests, "request"), "request_id").join(side(candidates, "candidate"), "candidate_id")
     common = F.size(F.array_intersect("request_words", "candidate_words"))
     shared = F.size(F.array_intersect("request_grams", "candidate_grams"))
     union = F.size("request_grams") + F.size("candidate_grams") - shared
     return both.select(
         "request_id", "candidate_id",
         (common / F.size("request_words")).alias("coverage_request"), (common / F.size("candidate_words")).alias("coverage_candidate"),
-        (shared / union).alias("ngram"), length_penalty(F.col("candidate_n"), F.col("request_n")).alias("length"),
+        (shared / union).alias("ngram"), length_penalty(F.col("candidate_size"), F.col("request_size")).alias("length"),
         F.array_intersect("request_long", "candidate_long").alias("shared"), F.size("candidate_long").alias("size"),
     )
 

@@ -11,6 +11,7 @@ from ..operators import recommend as Q
 from ..operators import relational as R
 from ..operators import textmatch as M
 from ..sources import pages as P
+from ..sources.shared import written
 from ..streaming import progress as Z
 from .bind import Catalog
 from .registry import query
@@ -34,7 +35,18 @@ def candidates(c: Catalog) -> DataFrame:
 
 
 def pairs(c: Catalog) -> DataFrame:
-    return M.candidate_pairs(requests(c), candidates(c))
+    return M.candidate_pairs(*sides(c))
+
+
+def sides(c: Catalog) -> tuple[DataFrame, DataFrame]:
+    """Requests and candidates, their words and n-grams worked out once."""
+    both = written(M.prepared(candidates(c)))
+    return both.filter("id % 5 = 0"), both
+
+
+def with_pairs(c: Catalog, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    r, k = sides(c)
+    return whole_pairs(c) if whole else M.candidate_pairs(r, k), r, k
 
 
 def items(c: Catalog) -> DataFrame:
@@ -102,7 +114,7 @@ MEASURES = f"""(SELECT request_id, candidate_id, common / r.d AS coverage_reques
   JOIN (SELECT id, count(*) AS rg FROM d4 GROUP BY 1) a ON a.id = request_id JOIN (SELECT id, count(*) AS cg FROM d4 GROUP BY 1) b ON b.id = candidate_id)"""
 CTES = f", d4 AS MATERIALIZED {D4}, d5 AS MATERIALIZED {GRAMS.format(m=4, id='doc_id', table='documents')}, tok AS MATERIALIZED {TOKENS}, prs AS MATERIALIZED {PAIRS.format(r=R4, c='d4')}"
 query("a16_u02_pair_measures", f"{CTES} SELECT request_id, candidate_id, round(coverage_request, 6) AS coverage_request, round(coverage_candidate, 6) AS coverage_candidate, round(ngram, 6) AS ngram, round(length, 6) AS length FROM {MEASURES}")(
-    lambda c: M.pair_measures(pairs(c), requests(c), candidates(c)).select("request_id", "candidate_id", *(F.round(x, 6).alias(x) for x in ("coverage_request", "coverage_candidate", "ngram", "length")))
+    lambda c: M.pair_measures(*with_pairs(c)).select("request_id", "candidate_id", *(F.round(x, 6).alias(x) for x in ("coverage_request", "coverage_candidate", "ngram", "length")))
 )
 ANCHOR = """(SELECT request_id, candidate_id, CASE WHEN max(raw) OVER (PARTITION BY request_id) > 0 THEN raw / max(raw) OVER (PARTITION BY request_id) ELSE 0 END AS anchor
   FROM (SELECT p.request_id, p.candidate_id, coalesce(s / size, 0) AS raw FROM prs p
@@ -110,7 +122,7 @@ ANCHOR = """(SELECT request_id, candidate_id, CASE WHEN max(raw) OVER (PARTITION
   LEFT JOIN (SELECT id, count(*) AS size FROM d5 GROUP BY 1) z ON z.id = p.candidate_id))"""
 CTES2 = CTES + ", held AS (SELECT request_id, candidate_id, gram FROM prs JOIN d5 ON d5.id = candidate_id)"
 query("x16_rare_anchor", f"{CTES2} SELECT request_id, candidate_id, round(anchor, 6) AS anchor FROM {ANCHOR}")(
-    lambda c: M.rare_anchor(pairs(c), requests(c), candidates(c)).select("request_id", "candidate_id", F.round("anchor", 6).alias("anchor"))
+    lambda c: M.rare_anchor(*with_pairs(c)).select("request_id", "candidate_id", F.round("anchor", 6).alias("anchor"))
 )
 SCORES = f"""(SELECT request_id, candidate_id, round(greatest(0, least(1, 0.55::DOUBLE * CASE WHEN coverage_request + coverage_candidate > 0 THEN 2 * coverage_request * coverage_candidate / (coverage_request + coverage_candidate) ELSE 0 END
   + 0.15::DOUBLE * coverage_request + 0.10::DOUBLE * ngram + 0.20::DOUBLE * anchor - 0.10::DOUBLE * length)), 9) AS score FROM {MEASURES} JOIN {ANCHOR} USING (request_id, candidate_id))"""
@@ -118,22 +130,22 @@ query(
     "q07_lyrics_match",
     f"""{CTES2} SELECT request_id, candidate_id, round(score, 6) AS score, CASE WHEN score >= 0.65 AND (gap IS NULL OR gap >= 0.05) THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'reject' END AS decision
     FROM (SELECT *, round(score - lead(score) OVER w, 9) AS gap, row_number() OVER w AS k FROM {SCORES} WINDOW w AS (PARTITION BY request_id ORDER BY score DESC, candidate_id)) WHERE k = 1""",
-)(lambda c: M.decide(M.top_two(M.scored(pairs(c), requests(c), candidates(c)))).select("request_id", "candidate_id", F.round("score", 6).alias("score"), "decision"))
+)(lambda c: M.decide(M.top_two(M.scored(*with_pairs(c)))).select("request_id", "candidate_id", F.round("score", 6).alias("score"), "decision"))
 # The same over all pairs: no n-gram is too frequent to count.
 query("q07_whole_pairs_benchmark", f"SELECT request_id, candidate_id, shared FROM {ALL_PAIRS.format(r=B4, c=D4)}")(lambda c: M.whole_pairs(items(c), candidates(c)))
 query("q07_whole_pairs_documents", f"SELECT request_id, candidate_id, shared FROM {ALL_PAIRS.format(r=R4, c=D4)}")(whole_pairs)
 _all = lambda sql: sql.replace(PAIRS.format(r=R4, c="d4"), ALL_PAIRS.format(r=R4, c="d4"))
 query("a16_u02_whole_pair_measures", f"{_all(CTES)} SELECT request_id, candidate_id, round(coverage_request, 6) AS coverage_request, round(coverage_candidate, 6) AS coverage_candidate, round(ngram, 6) AS ngram, round(length, 6) AS length FROM {MEASURES}")(
-    lambda c: M.pair_measures(whole_pairs(c), requests(c), candidates(c)).select("request_id", "candidate_id", *(F.round(x, 6).alias(x) for x in ("coverage_request", "coverage_candidate", "ngram", "length")))
+    lambda c: M.pair_measures(*with_pairs(c, True)).select("request_id", "candidate_id", *(F.round(x, 6).alias(x) for x in ("coverage_request", "coverage_candidate", "ngram", "length")))
 )
 query("x16_whole_rare_anchor", f"{_all(CTES2)} SELECT request_id, candidate_id, round(anchor, 6) AS anchor FROM {ANCHOR}")(
-    lambda c: M.rare_anchor(whole_pairs(c), requests(c), candidates(c)).select("request_id", "candidate_id", F.round("anchor", 6).alias("anchor"))
+    lambda c: M.rare_anchor(*with_pairs(c, True)).select("request_id", "candidate_id", F.round("anchor", 6).alias("anchor"))
 )
 query(
     "q07_whole_lyrics_match",
     f"""{_all(CTES2)} SELECT request_id, candidate_id, round(score, 6) AS score, CASE WHEN score >= 0.65 AND (gap IS NULL OR gap >= 0.05) THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'reject' END AS decision
     FROM (SELECT *, round(score - lead(score) OVER w, 9) AS gap, row_number() OVER w AS k FROM {SCORES} WINDOW w AS (PARTITION BY request_id ORDER BY score DESC, candidate_id)) WHERE k = 1""",
-)(lambda c: M.decide(M.top_two(M.scored(whole_pairs(c), requests(c), candidates(c)))).select("request_id", "candidate_id", F.round("score", 6).alias("score"), "decision"))
+)(lambda c: M.decide(M.top_two(M.scored(*with_pairs(c, True)))).select("request_id", "candidate_id", F.round("score", 6).alias("score"), "decision"))
 _tok = r"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 SEARCH = f"""(SELECT track_id, round(sum(w), 6) AS score FROM (
   SELECT track_id, unnest({_tok.format(c="artist")}) AS token, 1.0::DOUBLE AS w FROM tracks UNION ALL SELECT track_id, unnest({_tok.format(c="title")}), 0.4::DOUBLE FROM tracks
