@@ -15,7 +15,7 @@ from ..operators import timing as T
 from ..operators import updates as U
 from ..operators import vectors as V
 from ..sources import pages as P
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, written
 from ..streaming import progress as Z
 from .bind import BIND, Catalog
 from .registry import CENTROIDS, NEAR, SQL, _queries, query
@@ -141,10 +141,11 @@ def onsets(c: Catalog) -> DataFrame:
     return spans(c).filter("word = 0 AND j = 2").select("track_id", (F.col("start_n") + 4).alias("onset_n"))
 
 
-def adjusted(c: Catalog) -> tuple[DataFrame, DataFrame, DataFrame]:
-    w, f = words(c), c.rms_frames()
-    trims = A.word_end_trim(w, f)
-    return A.line_start_shift(w, f, firsts(c)), trims, A.word_end_extend(w, f, trims)
+def adjusted(c: Catalog) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The words, their shifted starts, trimmed ends and extended ends. Words, frames and trims are used several times: written."""
+    w, f = written(words(c)), written(c.rms_frames())
+    trims = written(A.word_end_trim(w, f))
+    return w, A.line_start_shift(w, f, w.filter("word % 3 = 0")), trims, A.word_end_extend(w, f, trims)
 
 
 def _islands(areas: str) -> str:
@@ -189,14 +190,14 @@ SPANS = """, fr AS MATERIALIZED (SELECT * FROM rms_frames), sp AS MATERIALIZED (
 
 
 def timed(c: Catalog) -> DataFrame:
-    starts, trims, extensions = adjusted(c)
-    return A.syllable_timings(words(c), spans(c).select("track_id", "word", "j", "text"), firsts(c), starts, A.merge_adjustments(trims, extensions))
+    w, starts, trims, extensions = adjusted(c)
+    return A.syllable_timings(w, spans(c).select("track_id", "word", "j", "text"), w.filter("word % 3 = 0"), starts, A.merge_adjustments(trims, extensions))
 
 
 query("q03_line_start_shift", SPANS + "SELECT * FROM q03")(lambda c: A.line_start_shift(words(c), c.rms_frames(), firsts(c)))
 query("q04_word_end_trim", SPANS + "SELECT * FROM q04")(lambda c: A.word_end_trim(words(c), c.rms_frames()))
-query("q05_word_end_extend", SPANS + "SELECT * FROM q05")(lambda c: adjusted(c)[2])
-query("u05_merge_adjustments", SPANS + "SELECT * FROM u05")(lambda c: A.merge_adjustments(*adjusted(c)[1:]))
+query("q05_word_end_extend", SPANS + "SELECT * FROM q05")(lambda c: adjusted(c)[3])
+query("u05_merge_adjustments", SPANS + "SELECT * FROM u05")(lambda c: A.merge_adjustments(*adjusted(c)[2:]))
 query("w16_prefix_of_word", SPANS + "SELECT track_id, word, prefix FROM tm")(
     lambda c: words(c).select("track_id", "word", A.word_prefix(F.row_number().over(W.Window.partitionBy("track_id").orderBy("word")) == 1, F.col("word") % 3 == 0).alias("prefix"))
 )
