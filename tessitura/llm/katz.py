@@ -181,7 +181,7 @@ def _in_order(answers: pd.DataFrame, *types) -> list[np.ndarray]:
 
 
 @contextmanager
-def blocks_of(docs: DataFrame, held_out: Callable[[int | None], bool], limit: int = 16 << 20):
+def blocks_of(docs: DataFrame, held_out: Callable[[int | None], bool], limit: int = 8 << 20):
     """block, types, tokens, texts (the last two to learn from), payload: a table bucketed by block, so that joins by block move
     answers only, never the texts. Gone from the catalog when the context ends. A block has about `limit` characters."""
     spark = docs.sparkSession
@@ -525,7 +525,7 @@ def score(blocks: DataFrame, model: Model) -> DataFrame:
     return blocks.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(evaluate, SCORES)
 
 
-def fit_and_score(docs: DataFrame, held_out: Callable[[int | None], bool], limit: int = 16 << 20, per_bucket: int = 1 << 20, hot: int = 1 << 20) -> tuple[DataFrame, Model]:
+def fit_and_score(docs: DataFrame, held_out: Callable[[int | None], bool], limit: int = 8 << 20, per_bucket: int = 1 << 20, hot: int = 1 << 20) -> tuple[DataFrame, Model]:
     """A row for each document, and the stored model that the documents which aren't held out give."""
     with blocks_of(docs, held_out, limit) as blocks:
         model = fit(blocks, per_bucket, hot)
