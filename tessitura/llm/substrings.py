@@ -211,7 +211,7 @@ def repeated_ranges(docs: DataFrame, size: int = 20, mini: int = 5, limit: int =
         # Some minimisers at a time, so that what is unpacked at once stays small.
         at = 0
         while at < len(many):
-            end = min(at + 50_000, len(many))
+            end = min(at + 20_000, len(many))
             while end < len(many) and mm[many[end]] == mm[many[end - 1]]:
                 end += 1
             some = many[at:end]
@@ -222,7 +222,7 @@ def repeated_ranges(docs: DataFrame, size: int = 20, mini: int = 5, limit: int =
         d, low, high = _merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
         return pd.DataFrame({"key": d, "low": low, "high": high})
 
-    hot = hot_minimisers(docs, size, mini, limit, least)
+    hot = hot_minimisers(docs, size, mini, limit // 4, least)  # smaller slices: nothing is packed here
     return _dealt(docs, size, mini, buckets, limit, hot).repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInPandas(compare, "key long, low long, high long")
 
 
