@@ -79,5 +79,25 @@ SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_scor
 """
 
 
+#: CRC-32 by its table, which is made from the polynomial; near words by what is left when one code point goes.
+OP12 = r"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+               FROM (SELECT unnest(range(256)) AS i))),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{5,}')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM r GROUP BY ALL),
+b AS (SELECT run, n, list_transform(range(1, length(h) // 2 + 1), lambda i: 16 * (instr('0123456789ABCDEF', h[2 * i - 1]) - 1) + instr('0123456789ABCDEF', h[2 * i]) - 1) AS bytes FROM d),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS h FROM b, crc),
+w AS (SELECT * FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, sum(n)::BIGINT AS n FROM h GROUP BY ALL)
+      WHERE length(word) >= 5 AND n >= 3),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word AS a, b.word AS b, b.n FROM x a JOIN x b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+      UNION SELECT w.word, x.word, x.n FROM w JOIN x ON x.cut = w.word UNION SELECT x.word, w.word, w.n FROM w JOIN x ON x.cut = w.word),
+f AS (SELECT a AS word, count(*) AS n_near, max(n) AS most, arg_min(b, (-n, b)) AS best FROM p GROUP BY a),
+o AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN most >= 2 * w.n THEN best END AS form, CASE WHEN most >= 2 * w.n THEN most END::BIGINT AS form_n FROM w LEFT JOIN f USING (word)),
+c AS (SELECT word, word AS place, 0 AS k FROM o UNION ALL SELECT c.word, o.form, k + 1 FROM c JOIN o ON o.word = c.place WHERE o.form IS NOT NULL)
+SELECT o.word, form, place AS root, n, n_near, form_n FROM o JOIN (SELECT word, arg_max(place, k) AS place FROM c GROUP BY word) USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_neardup": OP6, "op7_chat_formatting": OP7, "op8_quality_rules": OP8, "op10_substring_dedup": OP10, "op11_hard_negatives": OP11}
+    return {"op6_minhash_neardup": OP6, "op7_chat_formatting": OP7, "op8_quality_rules": OP8, "op10_substring_dedup": OP10, "op11_hard_negatives": OP11, "op12_spelling_variants": OP12}
