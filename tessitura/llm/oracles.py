@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licences import TEMPLATES
 from .rules import STOP_WORDS, SYMBOLS, THRESHOLDS
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted({w for x in STOP_WORDS.values() for w in x.split()}))
@@ -99,5 +100,23 @@ SELECT o.word, form, place AS root, n, n_near, form_n FROM o JOIN (SELECT word,
 """
 
 
+_PLACES = ", ".join(f"({k}, '{t.label}', {t.base}, {len(t.words)}, {len(t.must)}, {q}, '{w.decode()}', {q in t.must})" for k, t in enumerate(TEMPLATES) for q, w in enumerate(t.words))
+
+#: Every template at every place of its words.
+OP13 = rf"""
+WITH p(t, label, base, size, all_must, q, word, must) AS (VALUES {_PLACES}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM d),
+m AS (SELECT r, t, label, base, size, all_must, i - q AS start, count(*) AS n FROM w JOIN p USING (word) GROUP BY ALL
+      HAVING 100 * count(*) >= 80 * size AND count(*) FILTER (must) = all_must),
+g AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, max(n / size) AS score,
+             list_sort(list(DISTINCT label) FILTER (base)) AS base_labels, list_sort(list(DISTINCT label)) AS labels FROM m GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(array_to_string(base_labels, ','), '') AS base_labels, coalesce(array_to_string(labels, ','), '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN g USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_neardup": OP6, "op7_chat_formatting": OP7, "op8_quality_rules": OP8, "op10_substring_dedup": OP10, "op11_hard_negatives": OP11, "op12_spelling_variants": OP12}
+    return {"op6_minhash_neardup": OP6, "op7_chat_formatting": OP7, "op8_quality_rules": OP8, "op10_substring_dedup": OP10, "op11_hard_negatives": OP11, "op12_spelling_variants": OP12, "op13_license_scans": OP13}

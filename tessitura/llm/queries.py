@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, katz, media, neardup, negatives, packing, rules, spellings, substrings, tokens
+from . import chat, classifier, katz, licences, media, neardup, negatives, packing, rules, spellings, substrings, tokens
 from .common import remainder, remainder_of, table
 
 
@@ -99,5 +99,9 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spellings.spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
