@@ -3,14 +3,15 @@
 A block is `[INST]role[/INST]text[NEXT]text</s>`; the whole string starts with `<s>`. Control strings inside
 roles and texts get a backslash after their first character (one more if some are there), which unescape() takes out
 again. Defined results: null texts and roles count as empty; turns are ordered by turn, role, text (null turns first);
-repeated rows are turns of their own; rows with a null conv_id form one conversation; an empty table gives no rows;
-extra columns are not read.
+repeated rows are turns of their own; rows with a null conv_id form one conversation, and any conversation is one string, which
+Spark bounds by 2 GB; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 START, HEAD, BODY, NEXT, END = "<s>", "[INST]", "[/INST]", "[NEXT]", "</s>"
 #: Code points of a stretch from which loss spans are cut.
@@ -31,14 +32,16 @@ def unescape(text: Column) -> Column:
 def format_conversations(turns: DataFrame, learn_from: str = "assistant") -> DataFrame:
     """conv_id, formatted, loss_spans: the places (from 0, end excluded, in code points) of the texts of role learn_from."""
     rows = turns.select(
-        "conv_id",
-        F.struct(
-            F.col("turn").alias("turn"),
-            escape(F.coalesce(F.col("role"), F.lit(""))).alias("role"),
-            escape(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
-        ).alias("t"),
+        "conv_id", F.col("turn").alias("turn"), escape(F.coalesce(F.col("role"), F.lit(""))).alias("role"), escape(F.coalesce(F.col("text"), F.lit(""))).alias("text")
     )
-    sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    # Where a text begins is a running sum over its conversation's rows, in the order of the sorted structs below.
+    order = W.Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    before = F.lag("role").over(order)
+    opening = F.length("role") + len(HEAD) + len(BODY)
+    behind = F.when(before.isNull(), opening + len(START)).when(before == F.col("role"), F.lit(len(NEXT))).otherwise(opening + len(END))
+    placed = rows.withColumn("behind", behind).withColumn("end", F.sum(F.col("behind") + F.length("text")).over(order.rowsBetween(W.Window.unboundedPreceding, 0)).cast("int"))
+    turn = F.struct("turn", "role", "text", (F.col("end") - F.length("text")).alias("start"), "end")
+    sorted_turns = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     # A turn opens a block where its role differs from the one before; blocks keep the order of their first turns.
     starts = F.filter(
         F.sequence(F.lit(0), F.size("turns") - 1),
@@ -52,39 +55,10 @@ def format_conversations(turns: DataFrame, learn_from: str = "assistant") -> Dat
             F.transform(F.slice(F.col("turns"), s["at"] + 1, s["n"]), lambda t: t["text"]).alias("texts"),
         ),
     )
-    merged = sorted_turns.withColumn("starts", starts).withColumn("spans", spans).select("conv_id", blocks.alias("blocks"))
-    rendered = F.transform(
-        "blocks",
-        lambda b: F.struct(
-            b["role"].alias("role"),
-            F.transform(b["texts"], lambda t: F.length(t)).alias("sizes"),
-            F.concat(F.lit(HEAD), b["role"], F.lit(BODY), F.array_join(b["texts"], NEXT), F.lit(END)).alias("text"),
-        ),
-    )
-    out = merged.select("conv_id", rendered.alias("blocks"))
-    empty = F.struct(F.lit(len(START)).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def place(acc: Column, b: Column) -> Column:
-        """Adds the block's spans: its texts lie behind its head, with NEXT between them."""
-        first = acc["at"] + F.lit(len(HEAD) + len(BODY)) + F.length(b["role"])
-        ends = F.aggregate(
-            b["sizes"],
-            F.struct(first.alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-            lambda a, n: F.struct(
-                (a["at"] + n + len(NEXT)).alias("at"),
-                F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), (a["at"] + n).alias("end")))).alias("spans"),
-            ),
-        )["spans"]
-        return F.struct(
-            (acc["at"] + F.length(b["text"])).alias("at"),
-            F.when(b["role"] == F.lit(learn_from), F.concat(acc["spans"], ends)).otherwise(acc["spans"]).alias("spans"),
-        )
-
-    return out.select(
-        "conv_id",
-        F.concat(F.lit(START), F.array_join(F.transform("blocks", lambda b: b["text"]), "")).alias("formatted"),
-        F.aggregate("blocks", empty, place)["spans"].alias("loss_spans"),
-    )
+    learnt = F.transform(F.filter("turns", lambda t: t["role"] == F.lit(learn_from)), lambda t: t.dropFields("turn", "role", "text"))
+    merged = sorted_turns.withColumn("starts", starts).withColumn("spans", spans).select("conv_id", blocks.alias("blocks"), learnt.alias("loss_spans"))
+    rendered = F.transform("blocks", lambda b: F.concat(F.lit(HEAD), b["role"], F.lit(BODY), F.array_join(b["texts"], NEXT), F.lit(END)))
+    return merged.select("conv_id", F.concat(F.lit(START), F.array_join(rendered, "")).alias("formatted"), "loss_spans")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -41,6 +41,8 @@ K = 5
 #: Id of a word that the model doesn't know.
 NO_ID = (1 << 32) - 1
 ODD = 0x9E3779B1
+#: Buckets of a stored table: below the number that Spark allows, and enough for any cluster.
+MOST_TASKS = 1 << 15
 MESSAGE = "block long, bucket int, payload binary"
 
 
@@ -181,12 +183,13 @@ def _in_order(answers: pd.DataFrame, *types) -> list[np.ndarray]:
 
 
 @contextmanager
-def blocks_of(docs: DataFrame, held_out: Callable[[int | None], bool], limit: int = 8 << 20):
+def blocks_of(docs: DataFrame, held_out: Callable[[int | None], bool], limit: int = 8 << 20, per_task: int = 16 << 20):
     """block, types, tokens, texts (the last two to learn from), payload: a table bucketed by block, so that joins by block move
-    answers only, never the texts. Gone from the catalog when the context ends. A block has about `limit` characters."""
+    answers only, never the texts. Gone from the catalog when the context ends. A block has about `limit` characters; a bucket
+    is a task of about `per_task` bytes, or more where there would be over MOST_TASKS of them: its blocks are taken one by one."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    partitions = max(1, -(-total // limit))
+    partitions = min(max(1, -(-total // per_task)), MOST_TASKS)
     name = f"llm_blocks_{uuid.uuid4().hex}"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

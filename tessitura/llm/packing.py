@@ -2,8 +2,8 @@
 
 A document longer than a sequence is cut into pieces of which only the first may be shorter; full pieces are sequences
 by themselves. The others are dealt into groups of about `group` pieces by a hash, so that a task's work is bounded and the
-number of groups follows the input. In a group, pieces go in the order of their documents (those over half a sequence
-first) into the fullest sequence that takes them. Then the local search empties sequences: the emptiest underfull one gives, and a fuller one takes a piece, or
+number of groups follows the input; equal rows are dealt like any others. In a group, pieces go in the order of their documents (those
+over half a sequence first) into the fullest sequence that takes them. Then the local search empties sequences: the emptiest underfull one gives, and a fuller one takes a piece, or
 one or two pieces for a smaller one of its own. Each exchange increases the sum of squared fills, so that the search ends; it ends
 when as few sequences are left as the tokens need, or when no underfull one can give anything to a fuller one.
 Defined results: a null text counts as empty: one end token; repeated rows are pieces of their own; an empty
@@ -179,8 +179,18 @@ def first_deal(lengths: list[int], size: int) -> list[list[int]]:
     return [[order[k] for k in b] for b in best_fit([lengths[i] for i in order], size)]
 
 
+def longest_first(lengths: list[int], size: int) -> list[list[int]]:
+    """Best fit of the pieces by length, the longest first."""
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    return [[order[k] for k in b] for b in best_fit([lengths[i] for i in order], size)]
+
+
 def pack_lengths(lengths: list[int], size: int) -> list[list[int]]:
-    return local_search(first_deal(lengths, size), lengths, size)
+    """The search from one start, and from the next one where that leaves more sequences than the tokens need."""
+    best = local_search(first_deal(lengths, size), lengths, size)
+    if len(best) > -(-sum(lengths) // size):
+        best = min(best, local_search(longest_first(lengths, size), lengths, size), key=len)
+    return best
 
 
 def pack_documents(docs: DataFrame, path: str, json_path: str, pattern: str, size: int = 2048, end: int = 0, group: int = 16384) -> DataFrame:
@@ -189,7 +199,8 @@ def pack_documents(docs: DataFrame, path: str, json_path: str, pattern: str, siz
     n = pieces.filter(F.col("length") < size).count()
     groups = max(1, -(-n // group))
     full = pieces.filter(F.col("length") == size).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    dealt = pieces.filter(F.col("length") < size).withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # By the row's number in the written table, so that equal rows are dealt too.
+    dealt = pieces.filter(F.col("length") < size).withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece"], kind="stable", ignore_index=True)

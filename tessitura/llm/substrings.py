@@ -4,8 +4,9 @@ Super-k-mer partitioning: each window has a minimiser, the least hash among its
 windows with the same minimiser travel as one packed string to the bucket of that minimiser. Equal windows have equal
 minimisers, so they meet in one bucket, where the windows of minimisers that came more than once are sorted with their places.
 All but the first place of a sequence are removed; equal hashes are compared word by word. A task packs what it sends to a bucket
-into one compressed value; a super-k-mer that equals an earlier one of the same slice is removed there and
-sends only its place, so that copies of a passage cost one text a slice, not one a document. A minimiser that many
+into one compressed value; a super-k-mer that equals an earlier one of the same slice is decided there: its range is
+sent to a bucket that depends on the slice alone, so that the copies of one passage, however many, are spread over all buckets, and only
+one text a slice goes to the passage's own. A minimiser that many
 different super-k-mers have is found by a count before: its windows are dealt by a second minimiser too, so that they
 spread over the buckets, and equal windows still meet.
 Earlier means: smaller doc_id, or the same document and an earlier start. The number of buckets follows the bytes of the
@@ -23,12 +24,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hashes_of, id_and_text, in_slices, mixed, numbered, packed, unpacked, window_hashes, words_of, written
 
-KINDS = (np.uint64, np.int64, np.int64, np.int32, np.int32, None, np.int64, np.int64, np.int32)
+#: Super-k-mers: key, document, place, number of windows, length of the text; the texts; ranges to remove: document, from, to.
+KINDS = (np.uint64, np.int64, np.int64, np.int32, np.int32, None, np.int64, np.int64, np.int64)
 
 
 def _ends(words: list[bytes]) -> np.ndarray:
@@ -113,6 +116,7 @@ def _dealt(docs: DataFrame, size: int, mini: int, buckets: int, limit: int, hot:
     known = docs.sparkSession.sparkContext.broadcast(hot)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         for ids, texts in in_slices(batches, limit):
             words, count, of = _words_in_order(ids, texts, size)
             if not words:
@@ -135,14 +139,21 @@ def _dealt(docs: DataFrame, size: int, mini: int, buckets: int, limit: int, hot:
             place, of_doc = start - first[start], doc[start]
             new = earliest == np.arange(len(parts))
             copy = (of_doc != of_doc[earliest]) | (place != place[earliest])
-            out_to, out = [], []
+            out_to, out, ranges = [], [], (of_doc[:0], place[:0], place[:0])
             for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
                 mine = order[a:b]
-                fresh, gone = mine[new[mine]], mine[copy[mine]]
+                fresh = mine[new[mine]]
+                if not len(fresh):
+                    continue
                 own = [parts[k] for k in fresh.tolist()]
                 lengths = np.fromiter(map(len, own), np.int32, len(own))
                 out_to.append(int(to[mine[0]]))
-                out.append(packed(mm[fresh], of_doc[fresh], place[fresh], n[fresh].astype(np.int32), lengths, b"".join(own), of_doc[gone], place[gone], n[gone].astype(np.int32)))
+                out.append(packed(mm[fresh], of_doc[fresh], place[fresh], n[fresh].astype(np.int32), lengths, b"".join(own), *(x[:0] for x in ranges)))
+            gone = np.flatnonzero(copy)
+            if len(gone):
+                ranges = _merged(of_doc[gone], place[gone], place[gone] + n[gone] + size - 1)
+                out_to.append(int(mixed(of_doc[:1].view(np.uint64), part)[0] % np.uint64(buckets)))
+                out.append(packed(mm[:0], of_doc[:0], place[:0], np.empty(0, np.int32), np.empty(0, np.int32), b"", *ranges))
             yield pa.RecordBatch.from_arrays([pa.array(out_to, pa.int32()), pa.array(out, pa.binary())], ["bucket", "payload"])
 
     return id_and_text(docs).mapInArrow(deal, "bucket int, payload binary")
@@ -207,7 +218,7 @@ def repeated_ranges(docs: DataFrame, size: int = 20, mini: int = 5, limit: int =
         fresh = np.flatnonzero(np.append(True, mm[order][1:] != mm[order][:-1])) if len(mm) else np.empty(0, np.int64)
         sizes = np.diff(np.append(fresh, len(mm)))
         many = order[np.repeat(sizes > 1, sizes)]
-        found = [(np.concatenate(cols[6]), np.concatenate(cols[7]), np.concatenate(cols[7]) + np.concatenate(cols[8]) + size - 1)]
+        found = [tuple(np.concatenate(c) for c in cols[6:])]
         # Some minimisers at a time, so that what is unpacked at once stays small.
         at = 0
         while at < len(many):

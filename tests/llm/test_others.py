@@ -3,7 +3,9 @@ from __future__ import annotations
 import hashlib
 import random
 import struct
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -232,3 +234,34 @@ def test_windows_of_a_hot_minimiser_are_spread_and_still_meet(spark):
     plain, spread = (substrings.super_kmers(h, last, 10, 3, x)[2] for x in (None, hot))
     assert len(set(spread.tolist())) > len(set(plain.tolist()))
     assert np.unique(spread, return_counts=True)[1].max() < np.unique(plain, return_counts=True)[1].max()
+
+
+def test_a_passage_in_every_document_is_spread_over_the_buckets(spark):
+    """Copies are decided where they are read: the passage's own bucket gets one text a slice."""
+    passage = " ".join(f"line{k}" for k in range(80))
+    rows = [(k, f"{passage} own{k} a{k} b{k}") for k in range(300)]
+    docs = documents(spark, rows).repartition(3)
+    dealt = substrings._dealt(docs.select("doc_id", "text"), 20, 5, 16, 2000, np.empty(0, np.uint64)).collect()
+    got = [(r["bucket"], substrings.unpacked(r["payload"], *substrings.KINDS)) for r in dealt]
+    with_ranges = [b for b, x in got if len(x[6])]
+    assert len(set(with_ranges)) > 8
+    texts_of = Counter(part for _, x in got for part in cut(x[5], x[4]) if part.startswith(b"line0 "))
+    slices = len(with_ranges)
+    assert max(texts_of.values()) <= 2 * slices < 300
+    out = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(docs).collect()}
+    assert out == {k: 80 if k else 0 for k in range(300)}
+
+
+def cut(text, lengths):
+    ends = np.cumsum(lengths)
+    return [text[b - n : b] for b, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+
+
+def test_many_turns_cost_in_proportion(spark):
+    """A conversation of 10^5 turns; the fold that it once was took 22 s for 32,000."""
+    rows = spark.range(100_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 3 = 0, 'user', 'assistant') AS role", "concat('t', id, ' </s>') AS text")
+    began = time.time()
+    r = chat.read_back(chat.format_conversations(rows)).select(F.size("turns").alias("n"), "loss_text").first()
+    assert r["n"] == 100_000
+    assert r["loss_text"] == "".join(f"t{k} </s>" for k in range(100_000) if k % 3)
+    assert time.time() - began < 60

@@ -195,3 +195,40 @@ def test_packing_reads_neither_clashing_columns_nor_nulls(spark):
     assert len(got) == 4
     assert {r["sequence_id"] for r in got} == {got[0]["sequence_id"]}
     assert sorted(r["offset"] for r in got)[0] == 0
+
+
+def test_most_texts_are_stitched_from_chunks(spark):
+    """The query's own chunks: what is encoded are stitched pieces, more of them than texts."""
+    enc, joins, known = tokens.encoding(MULTI, P.PATTERN), 0, tokens.known_ids(MULTI, P.PATTERN)
+    all_texts = [t or "" for t in texts(spark).values()]
+    for text in all_texts:
+        cut = tokens.chunks(text, 896, 128)
+        assert all(len(t) <= 1024 for _, t in cut)
+        pieces = tokens.stitch([(s, t, tokens.boundaries(t, P.PATTERN)) for s, t in cut], P.PATTERN)
+        assert "".join(t for t, _ in pieces) == text and len(pieces) == max(len(cut), 1) if text else not pieces
+        assert b"".join(tokens.encode_piece(t, ends, known) for t, ends in pieces) == tokens.id_bytes(enc.encode_ordinary(text))
+        joins += max(len(pieces) - 1, 0)
+    assert joins > len(all_texts)
+
+
+def test_dealt_chunks_give_the_same_ids(spark):
+    rows = [x for x in ODD if len(x[1] or "") < 30_000]
+    got = [{(r["doc_id"], bytes(r["ids"])) for r in tokens.encode_documents(documents(spark, rows), MULTI, P.PATTERN, 50, 10, deal).collect()} for deal in (0, 100, 1 << 20)]
+    assert got[0] == got[1] == got[2]
+
+
+def test_not_above_longest_first_and_equal_rows_are_dealt(spark):
+    rnd = random.Random(9)
+    for _ in range(5):
+        lengths = [min(int(rnd.paretovariate(0.9) * 60), 2047) for _ in range(3000)]
+        assert len(packing.pack_lengths(lengths, 2048)) <= len(packing.longest_first(lengths, 2048))
+    docs = documents(spark, [(1, "one two three")] * 400)
+    got = packing.pack_documents(docs, RANKS, JSON, P.PATTERN, size=64, group=40).collect()
+    assert len(got) == 400 and len({r["sequence_id"] >> 31 for r in got}) > 5
+
+
+def test_the_sample_of_frequent_pre_tokens_is_bounded_for_equal_rows(spark):
+    docs = documents(spark, [(1, "alpha beta")] * 3000)
+    pieces, _ = tokens.frequent_lengths(docs, RANKS, P.PATTERN, sample=100)
+    assert b"alpha" in pieces
+    assert tokens.count_tokens(docs, RANKS, JSON, P.PATTERN, sample=100).agg(F.count_distinct("n_tokens")).first()[0] == 1
