@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.similarity import best_part_ratio, hint_score, nfkc, similarity_ratio
+from ..functions.similarity import best_part_ratio, hint_score, nfkc
 from ..functions.text import clean_for_match, composite, decision, harmonic_mean, length_penalty, ngrams, phonetic_key, skeleton, tokenize
 from ..sources.shared import written
+from .wordmatch import fuzzy_words, word_scores
 
 
 def grams(texts: DataFrame, n: int) -> DataFrame:
@@ -58,25 +59,37 @@ def candidate_pairs(requests: DataFrame, candidates: DataFrame, n: int = 4, max_
 
 def whole_pairs(requests: DataFrame, candidates: DataFrame, n: int = 4, least: int = 3, block: int = 1024) -> DataFrame:
     """request_id, candidate_id, shared: all other texts with at least `least` n-grams in common, however frequent those are;
-    shared counts all of them. Each class of equal texts is compared once, and its members take over the result. An
-    n-gram's classes are dealt into blocks of about `block` on both sides, so that no join key holds more; counts are sums
-    over the blocks. Classes that share n-grams with many others cost a row for each pair and n-gram."""
-
-    def sides(texts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        named = texts.select("id", "text", F.sha2(F.array_join(tokenize(F.lower("text")), " ").cast("binary"), 256).alias("class"))
-        one = named.groupBy("class").agg(F.first("text").alias("text")).select(F.col("class").alias("id"), "text")
-        return named.select(F.col("id").alias(f"{name}_id"), F.col("class").alias(f"{name}_class")), grams(one, n).withColumnRenamed("id", f"{name}_class")
-
-    asked, left = sides(requests, "request")
-    held, right = sides(candidates, "candidate")
+    shared counts all of them. Both sides: id, text, or prepared(). Each class of texts with equal n-grams is compared once, and its
+    members take over the result. Classes with fewer than `least` n-grams have no partner. In each class the `least` - 1 most frequent
+    n-grams lie behind its prefix: a pair that shares enough shares one of both prefixes, so that a candidate's n-grams behind it meet
+    no list, but are looked for in the requests that its prefix finds. An n-gram's classes are dealt into blocks of about `block` on
+    both sides, so that no join key holds more; counts are sums over the blocks. Classes that share n-grams with many others
+    cost a row for each pair and n-gram."""
+
+    def side(texts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        rows = _arrays(texts, n).filter(F.size("grams") >= least).select("id", F.array_sort("grams").alias("grams"))
+        named = written(rows.withColumn("class", F.md5(F.array_join("grams", " ").cast("binary"))))
+        one = named.groupBy("class").agg(F.first("grams").alias("grams")).select(F.col("class").alias(f"{name}_class"), F.explode("grams").alias("gram"))
+        return named.select(F.col("id").alias(f"{name}_id"), F.col("class").alias(f"{name}_class")), one
+
+    asked, left = side(requests, "request")
+    held, right = side(candidates, "candidate")
+    counts = right.groupBy("gram").agg(F.count("*").alias("df"))
+    by_rarity = W.Window.partitionBy("candidate_class").orderBy(F.desc("df"), "gram")
+    ranked = written(right.join(counts, "gram").withColumn("behind", F.row_number().over(by_rarity)))
+    prefix = ranked.filter(F.col("behind") >= least).select("gram", "candidate_class")
     blocks = lambda x, c: x.groupBy("gram").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(c))
-    sizes = blocks(left, "nl").join(blocks(right, "nr"), "gram")
+    sizes = blocks(left, "nl").join(blocks(prefix, "nr"), "gram")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     deal = lambda x, c: F.pmod(F.xxhash64(x), F.col(c))
-    left = left.join(sizes, "gram").select("gram", "request_class", deal("request_class", "nl").alias("i"), each("nr").alias("j"))
-    right = right.join(sizes, "gram").select("gram", "candidate_class", deal("candidate_class", "nr").alias("j"), each("nl").alias("i"))
-    shared = left.join(right, ["gram", "i", "j"]).groupBy("request_class", "candidate_class").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
-    return shared.join(asked, "request_class").join(held, "candidate_class").filter("request_id <> candidate_id").select("request_id", "candidate_id", "shared")
+    asks = left.join(sizes, "gram").select("gram", "request_class", deal("request_class", "nl").alias("i"), each("nr").alias("j"))
+    lists = prefix.join(sizes, "gram").select("gram", "candidate_class", deal("candidate_class", "nr").alias("j"), each("nl").alias("i"))
+    found = written(asks.join(lists, ["gram", "i", "j"]).groupBy("request_class", "candidate_class").agg(F.count("*").alias("shared")))
+    # What lies behind the prefixes: `least` - 1 n-grams for each pair found.
+    more = found.join(ranked.filter(F.col("behind") < least).select("candidate_class", "gram"), "candidate_class").join(left, ["request_class", "gram"], "left_semi")
+    shared = found.unionByName(more.groupBy("request_class", "candidate_class").agg(F.count("*").alias("shared"))).groupBy("request_class", "candidate_class").agg(F.sum("shared").alias("shared"))
+    enough = shared.filter(F.col("shared") >= least)
+    return enough.join(asked, "request_class").join(held, "candidate_class").filter("request_id <> candidate_id").select("request_id", "candidate_id", "shared")
 
 
 def measured(pairs: DataFrame, requests: DataFrame, candidates: DataFrame, n: int = 4, anchor_n: int = 5) -> DataFrame:
@@ -147,25 +160,6 @@ def token_match(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFram
     return rows.drop("keys").join(hit.withColumn("found", F.lit(True)), ["a", "b", "word"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def word_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, band: int = 2) -> DataFrame:
-    """a, b, coverage (share of the words of a that score 2 or more), rate (their scores by 3 a word): 3 for a word that b has, 2 for one that it
-    has by lemma, skeleton or sound or with a ratio of 80, 1 with a ratio of 60 to a word whose length differs by at most `band`."""
-    rows = written(token_match(pairs, left, right))
-    open_ = rows.filter(~F.col("found")).select("a", "b", "word")
-    cut = open_.withColumn("n", F.explode(F.sequence(F.length("word") - band, F.length("word") + band)))
-    others = right.select(F.col("id").alias("b"), F.col("word").alias("other"), F.length("word").alias("n"))
-    near = cut.join(others, ["b", "n"]).select("a", "b", "word", "other")
-    ratios = near.select("word", "other").distinct().withColumn("ratio", similarity_ratio(F.col("word"), F.col("other"))).filter("ratio >= 60")
-    best = near.join(ratios, ["word", "other"]).groupBy("a", "b", "word").agg(F.max("ratio").alias("ratio"))
-    score = F.when(F.col("found") | (F.col("ratio") >= 80), 2).when(F.col("ratio") >= 60, 1).otherwise(0)
-    lost = rows.join(best, ["a", "b", "word"], "left").withColumn("score", score).groupBy("a", "b").agg(
-        F.sum("count").alias("n"), F.sum(F.col("count") * F.col("score")).alias("points"), F.sum(F.when(F.col("score") >= 2, F.col("count")).otherwise(0)).alias("covered")
-    )
-    total = left.groupBy(F.col("id").alias("a")).agg(F.sum("count").alias("total"))
-    both = pairs.select("a", "b").join(total, "a").join(lost, ["a", "b"], "left").fillna(0, ["n", "points", "covered"])
-    return both.select("a", "b", ((F.col("total") - F.col("n") + F.col("covered")) / F.col("total")).alias("coverage"), ((3 * (F.col("total") - F.col("n")) + F.col("points")) / (3 * F.col("total"))).alias("rate"))
-
-
 def match_words(pairs: DataFrame, requests: DataFrame, candidates: DataFrame, names: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """request_id, candidate_id, score: texts cleaned, both coverages and the rate from word_scores(), n-grams of skeletons, anchor, length; names:
     id, name, of which the request's is the hint for the candidate's."""
@@ -217,16 +211,11 @@ def text_search(index: DataFrame, q: str) -> DataFrame:
 
 def fuzzy_tokens(pairs: DataFrame, requests: DataFrame, candidates: DataFrame, band: int = 2) -> DataFrame:
     """request_id, candidate_id, token, best: for each distinct word of a request the highest similarity ratio among the
-    candidate's words whose length differs by at most `band`. The join is on pair and length; a ratio is
-    computed once for each distinct pair of words, equal words need none."""
-    words = lambda x, i, w: x.select(F.col("id").alias(i), F.explode(F.array_distinct(tokenize(F.lower("text")))).alias(w))
-    left = pairs.select("request_id", "candidate_id").join(words(requests, "request_id", "token"), "request_id")
-    left = left.withColumn("n", F.explode(F.sequence(F.length("token") - band, F.length("token") + band)))
-    right = pairs.select("request_id", "candidate_id").join(words(candidates, "candidate_id", "other"), "candidate_id").withColumn("n", F.length("other"))
-    both = left.join(right, ["request_id", "candidate_id", "n"]).select("request_id", "candidate_id", "token", "other")
-    ratios = both.select("token", "other").filter("token <> other").distinct().withColumn("ratio", similarity_ratio(F.col("token"), F.col("other")))
-    scored_ = both.join(ratios, ["token", "other"], "left").withColumn("ratio", F.coalesce("ratio", F.lit(100.0)))
-    return scored_.groupBy("request_id", "candidate_id", "token").agg(F.round(F.max("ratio"), 6).alias("best"))
+    candidate's words whose length differs by at most `band`. A row is a word of a pair only in the result."""
+    words = lambda x: x.select("id", F.explode(F.array_distinct(tokenize(F.lower("text")))).alias("word"))
+    ab = pairs.select(F.col("request_id").alias("a"), F.col("candidate_id").alias("b"))
+    best = fuzzy_words(ab, words(requests), words(candidates), band)
+    return best.select(F.col("a").alias("request_id"), F.col("b").alias("candidate_id"), F.col("word").alias("token"), F.round("best", 6).alias("best"))
 
 
 def hints(pairs: DataFrame) -> DataFrame:
