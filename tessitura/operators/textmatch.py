@@ -193,22 +193,6 @@ def decide(best: DataFrame, chosen: Column | None = None) -> DataFrame:
     return best.withColumn("decision", decision(F.col("score"), F.round("gap", 9), chosen if chosen is not None else F.lit(False)))
 
 
-def index_text(tracks: DataFrame) -> DataFrame:
-    """An inverted index: token, track_id, field, tf."""
-    fields = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(c).alias("text")) for f, c in (("artist", "artist"), ("title", "title"), ("lyrics", "lyrics_text")))))
-    rows = tracks.select("track_id", fields.alias("f")).select("track_id", "f.field", F.explode(F.split(F.lower("f.text"), r"[^\p{L}\p{N}]+")).alias("token"))
-    return rows.filter("token <> ''").groupBy("token", "track_id", "field").agg(F.count("*").alias("tf"))
-
-
-def text_search(index: DataFrame, q: str) -> DataFrame:
-    """track_id, score of the tracks in which every word of q occurs; weights: artist 1, title 0.4, lyrics 0.1 by occurrence.
-    A list stored by token reads the asked tokens only."""
-    tokens = sorted({t for t in q.lower().split() if t})
-    weight = F.when(F.col("field") == "artist", 1.0).when(F.col("field") == "title", 0.4).otherwise(0.1)
-    hits = index.filter(F.col("token").isin(tokens)).groupBy("track_id").agg(F.count_distinct("token").alias("n"), F.round(F.sum(weight * F.col("tf")), 6).alias("score"))
-    return hits.filter(F.col("n") == len(tokens)).select("track_id", "score")
-
-
 def fuzzy_tokens(pairs: DataFrame, requests: DataFrame, candidates: DataFrame, band: int = 2) -> DataFrame:
     """request_id, candidate_id, token, best: for each distinct word of a request the highest similarity ratio among the
     candidate's words whose length differs by at most `band`. A row is a word of a pair only in the result."""

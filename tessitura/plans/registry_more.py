@@ -331,14 +331,6 @@ def _catalog(c: Catalog) -> DataFrame:
 
 query("s06_library_csv", """SELECT p_brand AS artist, 'a "quoted", ' || p_name AS title, 'http://media.example/' || p_partkey AS "URL" FROM part WHERE p_partkey % 3 <> 0""")(_library)
 query("s04_catalog_json", "SELECT tag_id AS id, name AS tag, cluster_id, 'cluster ' || cluster_id AS name FROM mood_tags")(_catalog)
-query("s09_lyrics_blocks", "SELECT page_id, regexp_replace(url, '[<>]', '', 'g') || chr(10) || 'x' || chr(10) || page_id || chr(10) || 'y' AS text FROM pages")(
-    lambda c: c.table("pages").select(
-        "page_id",
-        P.lyrics_blocks(F.concat(F.lit('<div class="a" data-lyrics-container="true">7 Contributors<br/>Lyrics<br>'), F.regexp_replace("url", "[<>]", ""), F.lit('<br/><b>x</b></div><div>no</div><DIV data-lyrics-container="true" id="b">'), "page_id", F.lit("<i>\ny</i></DIV>"))).alias("text"),
-    )
-)
-
-
 def _topics(c: Catalog) -> DataFrame:
     """Events as messages of the four topics: some broken, some without a field that they must have; counted by topic and error."""
     k = F.get_json_object("props", "$.k").cast("long")

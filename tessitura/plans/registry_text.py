@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.similarity import nfkc
+from ..operators import fulltext as FT
 from ..operators import recommend as Q
 from ..operators import relational as R
 from ..operators import textmatch as M
 from ..operators.wordmatch import lacking_words
 from ..sources import pages as P
-from ..sources.shared import written
+from ..sources.shared import shared_dir, written
 from ..streaming import progress as Z
 from .bind import Catalog
 from .registry import query
@@ -82,19 +83,6 @@ query("s02_syllables_json", """SELECT track_id, count(*) AS n, round(sum("end" -
 query("s03_vector_json", "SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")(
     lambda c: c.table("embeddings").select("vec_id", F.round(F.aggregate(P.vector_array(F.to_json("embedding")), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 )
-_drop = "html"
-for _p in (r"(?s)<!--.*?-->", *(rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>" for t in P.DROPPED)):
-    _drop = f"regexp_replace({_drop}, '{_p}', ' ', 'g')"
-_drop = f"regexp_replace({_drop}, '(?s)<[^>]*>', chr(10), 'g')"
-for _a, _b in P.ENTITIES:
-    _drop = f"replace({_drop}, '{_a}', '{_b.replace(chr(39), chr(39) * 2)}')"
-_lines = rf"list_filter(list_transform(string_split({_drop}, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'))), lambda x: x <> '')"
-query("s08_read_pages", f"SELECT page_id, md5(CASE WHEN length(t) > 12000 THEN t[1:12000] || '…' ELSE t END) AS digest, length(t) > 12000 AS cut FROM (SELECT page_id, array_to_string({_lines}, chr(10)) AS t FROM pages)")(
-    lambda c: c.table("pages").select("page_id", P.page_text(F.col("html")).alias("t")).select("page_id", F.md5("t").alias("digest"), (F.length("t") > 12000).alias("cut"))
-)
-query("s12_embedded_json", "SELECT event_id, (props::JSON ->> '$.k')::INT AS k FROM events")(
-    lambda c: c.table("events").select("event_id", F.get_json_object(P.embedded_json(F.concat(F.lit("Here it is: "), "props", F.lit(" as asked."))), "$.k").cast("int").alias("k"))
-)
 query("a11_document_frequency", f"SELECT gram, count(*) AS df FROM {GRAMS.format(m=4, id='doc_id', table='documents')} GROUP BY 1 HAVING count(*) > 2")(lambda c: M.document_frequency(candidates(c), 5).filter("df > 2"))
 query("w05_token_ngrams", f"SELECT id, count(*) AS n FROM {B4} GROUP BY 1")(lambda c: M.grams(c.table("benchmark").select(F.col("item_id").alias("id"), "text"), 4).groupBy("id").agg(F.count("*").alias("n")))
 # Each of these has two names: the second one dates from when the first had a bound on how many candidates hold an n-gram.
@@ -130,13 +118,38 @@ for _name in ("q07_lyrics_match", "q07_whole_lyrics_match"):
         FROM (SELECT *, round(score - lead(score) OVER w, 9) AS gap, row_number() OVER w AS k FROM {SCORES} WINDOW w AS (PARTITION BY request_id ORDER BY score DESC, candidate_id)) WHERE k = 1""",
     )(lambda c: M.decide(M.top_two(M.scored(*with_pairs(c)))).select("request_id", "candidate_id", F.round("score", 6).alias("score"), "decision"))
 _tok = r"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-SEARCH = f"""(SELECT track_id, round(sum(w), 6) AS score FROM (
-  SELECT track_id, unnest({_tok.format(c="artist")}) AS token, 1.0::DOUBLE AS w FROM tracks UNION ALL SELECT track_id, unnest({_tok.format(c="title")}), 0.4::DOUBLE FROM tracks
-  UNION ALL SELECT track_id, unnest({_tok.format(c="lyrics_text")}), 0.1::DOUBLE FROM tracks) WHERE token IN ('the', 'brand') GROUP BY track_id HAVING count(DISTINCT token) = 2)"""
+TOKEN_WEIGHTS = f"""(SELECT track_id, token, sum(w) AS w FROM (
+  SELECT track_id, unnest({_tok.format(c="artist")}) AS token, 1.0::DOUBLE AS w FROM tracks WHERE status = 'ready' UNION ALL SELECT track_id, unnest({_tok.format(c="title")}), 0.4::DOUBLE FROM tracks WHERE status = 'ready'
+  UNION ALL SELECT track_id, unnest({_tok.format(c="lyrics_text")}), 0.1::DOUBLE FROM tracks WHERE status = 'ready') GROUP BY ALL)"""
+SEARCH = f"(SELECT track_id, round(sum(w), 6) AS score FROM {TOKEN_WEIGHTS} WHERE token IN ('the', 'brand') GROUP BY track_id HAVING count(*) = 2)"
+_ASKED = """(SELECT track_id AS query_id, artist || ' (' || title || ')' AS q FROM tracks WHERE track_id % 20 = 0
+  UNION ALL SELECT -1 - track_id, 'THE, ' || split_part(title, ' ', 1) || '''s' FROM tracks WHERE track_id % 20 = 0)"""
+
+
+def text_index(c: Catalog) -> FT.Index:
+    """A stored index of all tracks, in two batches."""
+    tracks = c.tracks("track_id", "status", "artist", "title", "lyrics_text")
+    return FT.Index(c.spark, shared_dir(c.spark), 64, 16).add(tracks.filter("track_id % 2 = 0")).add(tracks.filter("track_id % 2 = 1"))
+
+
+def one_query(c: Catalog, q: str) -> DataFrame:
+    return c.spark.createDataFrame([(1, q)], "query_id long, q string")
+
+
+def _searches(c: Catalog) -> DataFrame:
+    t = c.tracks("track_id", "artist", "title").filter("track_id % 20 = 0")
+    return t.select(F.col("track_id").alias("query_id"), F.concat("artist", F.lit(" ("), "title", F.lit(")")).alias("q")).unionAll(
+        t.select(-1 - F.col("track_id"), F.concat(F.lit("THE, "), F.split_part("title", F.lit(" "), F.lit(1)), F.lit("'s")))
+    )
+
+
 query("t10_text_search", f"SELECT track_id, score FROM {SEARCH} ORDER BY score DESC, track_id LIMIT 20 OFFSET 5")(
-    lambda c: M.text_search(M.index_text(c.tracks()), "the Brand").orderBy(F.desc("score"), "track_id").offset(5).limit(20)
+    lambda c: text_index(c).top(one_query(c, "the Brand"), 20, 5).select("track_id", "score")
 )
-query("a01_count_matches", f"SELECT count(*) AS n FROM {SEARCH}")(lambda c: M.text_search(M.index_text(c.tracks()), "brand the").agg(F.count("*").alias("n")))
+query("t10_many_searches", f"""SELECT query_id, rank, track_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, track_id))::INT AS rank FROM (
+  SELECT query_id, track_id, round(sum(w), 6) AS score FROM (SELECT query_id, len(ws) AS n, unnest(ws) AS token FROM (SELECT query_id, list_distinct({_tok.format(c='q')}) AS ws FROM {_ASKED}))
+  JOIN {TOKEN_WEIGHTS} USING (token) GROUP BY query_id, n, track_id HAVING count(*) = n)) WHERE rank <= 5""")(lambda c: text_index(c).top(_searches(c), 5))
+query("a01_count_matches", f"SELECT count(*) AS n FROM {SEARCH}")(lambda c: text_index(c).matches(one_query(c, "brand the")).agg(F.count("*").alias("n")))
 query("q09_recommend")(
     lambda c: Q.recommend(
         c.play_history(), c.tracks("track_id", "artist", "status", "popularity_category", "play_count", "language"), c.vectors("audio"), c.vectors("lyrics"), 20, c.table("customer").select(F.col("c_custkey").alias("session_id"))

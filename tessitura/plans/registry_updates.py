@@ -113,11 +113,6 @@ query("x31_quoted_phrase", r"""SELECT doc_id, len(list_filter(regexp_extract_all
 query("x31_quoted_phrase_whole", r"""SELECT doc_id, len(list_filter(regexp_extract_all(text, '"([^"]*)"', 1), lambda p: len(list_filter(regexp_split_to_array(p, '\s+'), lambda x: x <> '')) > 3)) > 0 AS too_long FROM documents""")(
     lambda c: c.table("documents").select("doc_id", X.quoted_phrase_too_long(F.col("text")).alias("too_long"))
 )
-query("s11_search_results", "SELECT user_id AS id, least(count(*), 10) AS n FROM events GROUP BY 1")(
-    lambda c: P.search_results(
-        c.table("events").groupBy(F.col("user_id").alias("id")).agg(F.to_json(F.collect_list(F.struct(F.col("event_type").alias("title"), F.lit("http://x").alias("href"), F.col("props").alias("body")))).alias("reply"))
-    ).groupBy("id").agg(F.count("*").alias("n"))
-)
 query("j20_variants_product", "SELECT user_id, a, b FROM (SELECT DISTINCT user_id, event_type AS a FROM events) JOIN (SELECT DISTINCT user_id, event_type AS b FROM events) USING (user_id)")(
     lambda c: c.table("events").groupBy("user_id").agg(F.collect_set("event_type").alias("v")).select("user_id", "v", F.explode("v").alias("a")).select("user_id", "a", F.explode("v").alias("b"))
 )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 #: Elements whose content isn't text, and the entities that are decoded.
 DROPPED = ("script", "style", "nav", "header", "footer", "aside", "iframe", "noscript")
@@ -11,7 +12,7 @@ ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 
 
 def page_text(html: Column, limit: int = 12_000, marker: str = "…") -> Column:
-    """Text lines of a page, joined by line feeds, cut to `limit` characters with a marker."""
+    """Text lines of a fragment without nested dropped elements, as one expression; html.page_texts() takes whole pages."""
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     for tag in DROPPED:
         out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
@@ -24,17 +25,55 @@ def page_text(html: Column, limit: int = 12_000, marker: str = "…") -> Column:
 
 
 def lyrics_blocks(html: Column) -> Column:
+    """Marked blocks of a fragment that hold no further block elements, as one expression; html.lyrics_containers() takes whole pages."""
     blocks = F.regexp_extract_all(html, F.lit(r'(?is)<div[^>]*data-lyrics-container="true"[^>]*>(.*?)</div>'), F.lit(1))
     text = F.transform(blocks, lambda b: F.regexp_replace(F.regexp_replace(b, r"(?i)<br\s*/?>", "\n"), r"(?s)<[^>]*>", ""))
     first = F.regexp_replace(F.regexp_replace(F.get(text, F.lit(0)), r"(?s)^.*?Lyrics\n", ""), r"(?s)^.*?Read More", "")
     return F.array_join(F.concat(F.array(first), F.slice(text, 2, F.greatest(F.size(text) - 1, F.lit(0)))), "\n")
 
 
+#: Fixed value: the least length of a text that counts as lyrics.
+LEAST = 20
+
+
+def _valid(text: Column) -> Column:
+    return F.when(F.try_parse_json(text).isNotNull() & text.rlike(r"^\s*[\[{]"), text)
+
+
+def balanced(text: Column) -> Column:
+    """The text from its first bracket to where that is closed, brackets inside strings not counted; null where it never is. One
+    pass over the text's pieces: strings, brackets and what lies between."""
+    tail = F.regexp_extract(text, r"(?s)[\[{].*$", 0)
+    pieces = F.regexp_extract_all(tail, F.lit(r'(?s)"(?:[^"\\]++|\\.)*+"|[\[{]|[\]}]|[^"\[\]{}]++|"'), F.lit(0))
+
+    def step(state: Column, piece: Column) -> Column:
+        depth = state["depth"] + F.when(piece.isin("{", "["), 1).when(piece.isin("}", "]"), -1).otherwise(0)
+        at = state["at"] + F.length(piece)
+        ended = state["end"].isNull() & (depth == 0)
+        return F.struct(at.alias("at"), depth.alias("depth"), F.coalesce(state["end"], F.when(ended, at)).alias("end"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("end"))
+    end = F.aggregate(pieces, start, step)["end"]
+    return F.when(end.isNotNull(), F.substring(tail, F.lit(1), end))
+
+
 def embedded_json(text: Column) -> Column:
-    """The text itself where it is JSON, else its first object or list of objects, else null; as a string."""
-    found = F.regexp_extract(text, r"(?s)(\[\s*\{.*\}\s*\]|\{.*?\})", 1)
-    valid = lambda t: F.when(F.try_parse_json(t).isNotNull() & t.rlike(r"^\s*[\[{]"), t)
-    return F.coalesce(valid(text), valid(F.when(found != "", found)))
+    """The text itself where it is JSON, else what lies between its first and last brace where that is, else its first balanced object or
+    list, else null; as a string."""
+    span = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.coalesce(_valid(text), _valid(F.when(span != "", span)), _valid(balanced(text)))
+
+
+def candidates(replies: DataFrame, least: int = LEAST) -> DataFrame:
+    """replies: id, reply: text with a JSON list in it. id, pos, artist, title, lyrics of the items that are objects with lyrics of at least
+    `least` characters, blanks off; names that are missing are Unknown."""
+    json = F.coalesce(_valid(F.col("reply")), _valid(balanced(F.col("reply"))))
+    items = replies.select("id", F.posexplode(F.from_json(F.when(F.trim(json).startswith("["), json), "array<string>")).alias("n", "item")).filter(F.col("item").startswith("{"))
+    field = lambda x: F.trim(F.coalesce(F.get_json_object("item", f"$.{x}"), F.lit("")))
+    rows = items.select("id", "n", *(field(x).alias(x) for x in ("artist", "title", "lyrics"))).filter(F.length("lyrics") >= least)
+    known = lambda x: F.when(F.col(x) != "", F.col(x)).otherwise("Unknown").alias(x)
+    order = W.Window.partitionBy("id").orderBy("n")
+    return rows.select("id", (F.row_number().over(order) - 1).alias("pos"), known("artist"), known("title"), "lyrics")
 
 
 def syllable_array(value: Column) -> Column:
@@ -52,6 +91,14 @@ def search_results(replies: DataFrame, limit: int = 10) -> DataFrame:
     return parsed.filter(F.col("pos") < limit).select("id", "pos", "r.*")
 
 
+def lyrics_hits(replies: DataFrame, limit: int = 3, least: int = LEAST) -> DataFrame:
+    """replies: id, reply (JSON list of title, text). The first `limit` hits whose text has at least `least` characters, blanks off."""
+    rows = replies.select("id", F.posexplode(F.from_json("reply", "array<struct<title:string,text:string>>")).alias("n", "r"))
+    long = rows.select("id", "n", "r.title", F.trim("r.text").alias("text")).filter(F.length("text") >= least)
+    ranked = long.withColumn("pos", F.row_number().over(W.Window.partitionBy("id").orderBy("n")) - 1)
+    return ranked.filter(F.col("pos") < limit).select("id", "pos", "title", "text")
+
+
 def library_csv(spark, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, escape='"', schema="artist string, title string, URL string").filter(F.coalesce(F.trim("URL"), F.lit("")) != "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from tessitura.plans import registry, registry_more, registry_text, registry_updates  # noqa: F401  the others add their queries
+from tessitura.plans import registry, registry_more, registry_pages, registry_text, registry_updates  # noqa: F401  the others add their queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
