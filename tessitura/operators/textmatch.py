@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.similarity import best_part_ratio, hint_score, nfkc
-from ..functions.text import clean_for_match, composite, decision, harmonic_mean, length_penalty, ngrams, phonetic_key, skeleton, tokenize
+from ..functions.stems import metaphone, stem
+from ..functions.text import FOLD, clean_for_match, composite, decision, harmonic_mean, length_penalty, ngrams, phonetic_key, skeleton, tokenize
 from ..sources.shared import written
 from .wordmatch import fuzzy_words, word_scores
 
@@ -137,14 +138,16 @@ def scored(pairs: DataFrame, requests: DataFrame, candidates: DataFrame) -> Data
     return m.select("request_id", "candidate_id", F.round(score, 9).alias("score"))
 
 
-def word_rows(texts: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
-    """id, word, count and the word's features: lemma (of the lexicon: word, lemma; else the word), skeleton, phonetic key. Texts are
-    cleaned already."""
+def word_rows(texts: DataFrame, lexicon: DataFrame | None = None, language: str | None = None) -> DataFrame:
+    """id, word, count and the word's features: lemma, skeleton, phonetic key, worked out once for each distinct word. The lemma is that of
+    the lexicon (word, lemma), else the stem of the language (en, ru), else the word; with a language the key is the metaphone. Texts are cleaned already."""
     rows = texts.select("id", F.explode(tokenize(F.col("text"))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("count"))
+    sound = metaphone(F.translate("word", *FOLD)) if language else phonetic_key(F.col("word"))
+    words = rows.select("word").distinct().select("word", stem(F.col("word"), language).alias("own"), skeleton(F.col("word")).alias("skeleton"), sound.alias("phonetic"))
     if lexicon is not None:
-        rows = rows.join(lexicon.select("word", "lemma"), "word", "left")
-    lemma = F.coalesce("lemma", "word") if lexicon is not None else F.col("word")
-    return rows.select("id", "word", "count", lemma.alias("lemma"), skeleton(F.col("word")).alias("skeleton"), phonetic_key(F.col("word")).alias("phonetic"))
+        words = words.join(lexicon.select("word", "lemma"), "word", "left")
+    lemma = F.coalesce("lemma", "own") if lexicon is not None else F.col("own")
+    return rows.join(words.select("word", lemma.alias("lemma"), "skeleton", "phonetic"), "word").select("id", "word", "count", "lemma", "skeleton", "phonetic")
 
 
 def token_match(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -160,12 +163,12 @@ def token_match(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFram
     return rows.drop("keys").join(hit.withColumn("found", F.lit(True)), ["a", "b", "word"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def match_words(pairs: DataFrame, requests: DataFrame, candidates: DataFrame, names: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
+def match_words(pairs: DataFrame, requests: DataFrame, candidates: DataFrame, names: DataFrame | None = None, lexicon: DataFrame | None = None, language: str | None = None) -> DataFrame:
     """request_id, candidate_id, score: texts cleaned, both coverages and the rate from word_scores(), n-grams of skeletons, anchor, length; names:
     id, name, of which the request's is the hint for the candidate's."""
     clean = lambda x: written(x.select("id", clean_for_match(nfkc(F.col("text"))).alias("text")))
     requests, candidates = clean(requests), clean(candidates)
-    left, right = written(word_rows(requests, lexicon)), written(word_rows(candidates, lexicon))
+    left, right = written(word_rows(requests, lexicon, language)), written(word_rows(candidates, lexicon, language))
     ab = written(pairs.select(F.col("request_id").alias("a"), F.col("candidate_id").alias("b")))
     ways = word_scores(ab, left, right).join(word_scores(ab.select(F.col("b").alias("a"), F.col("a").alias("b")), right, left).select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("coverage").alias("back")), ["a", "b"])
     bones = lambda x: x.select("id", F.array_join(F.transform(tokenize(F.col("text")), lambda w: F.when(skeleton(w) != "", skeleton(w)).otherwise("?")), " ").alias("text"))
