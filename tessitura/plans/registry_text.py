@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.similarity import nfkc
 from ..functions.stems import metaphone, stem
+from ..functions.vectors import normalized, weighted_concat
 from ..operators import fulltext as FT
 from ..operators import recommend as Q
 from ..operators import relational as R
 from ..operators import textmatch as M
+from ..operators import vectors as V
 from ..operators.wordmatch import lacking_words
 from ..sources import pages as P
 from ..sources.shared import shared_dir, written
 from ..streaming import progress as Z
-from .bind import Catalog
-from .registry import query
+from ..streaming import sinks as S
+from ..streaming import timers as T
+from .bind import BIND, Catalog
+from .registry import SQL, query
 
 WS = r"list_filter(regexp_split_to_array({t}, '\s+'), lambda x: x <> '')"
 GRAMS = "(SELECT DISTINCT id, array_to_string(ws[i:i + {m}], ' ') AS gram FROM (SELECT id, ws, unnest(range(1, len(ws) - {m} + 1)) AS i FROM (SELECT {id} AS id, " + WS.format(t="lower(text)") + " AS ws FROM {table})))"
@@ -205,12 +209,45 @@ def progress_stream(c: Catalog) -> DataFrame:
     )
 
 
-query("z03_emit_on_change_stream", "SELECT id FROM (SELECT *, lag(step) OVER w AS s, lag(progress) OVER w AS p FROM progress WINDOW w AS (PARTITION BY job_id ORDER BY ts, id)) WHERE s IS NULL OR s <> step OR p <> progress")(
-    lambda c: Z.run(Z.emit_on_change(progress_stream(c))).select("id")
+#: The stream forgets a job that is quiet for so long.
+KEEP = 7 * 86400
+query("z03_emit_on_change_stream", "SELECT id FROM (SELECT *, lag(step) OVER w AS s, lag(progress) OVER w AS p, lag(ts) OVER w AS before FROM progress WINDOW w AS (PARTITION BY job_id ORDER BY ts, id)) WHERE s IS NULL OR s <> step OR p <> progress OR ts - before >= INTERVAL 7 DAY")(
+    lambda c: Z.run(T.emit_on_change(progress_stream(c), KEEP)).select("id")
 )
 query("z04_terminal_event_stream", "SELECT job_id, arg_min(id, (ts, id)) AS id, arg_min(status, (ts, id)) AS status FROM progress WHERE status <> 'running' GROUP BY 1")(
-    lambda c: Z.run(Z.terminal_events(progress_stream(c))).select("job_id", "id", "status")
+    lambda c: Z.run(T.terminal_events(progress_stream(c), 3650 * 86400)).select("job_id", "id", "status")
 )
+# The watermark ends at the last event, and so do the time-outs that have fired.
+query(
+    "z05_inactivity_stream",
+    """SELECT job_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts) + INTERVAL 300 SECOND, '%Y-%m-%d %H:%M:%S') AS timed_out, count(*) AS n FROM (SELECT *, sum(CASE WHEN ts - before < INTERVAL 300 SECOND THEN 0 ELSE 1 END) OVER (PARTITION BY job_id ORDER BY ts, id) AS s
+    FROM (SELECT *, lag(ts) OVER (PARTITION BY job_id ORDER BY ts, id) AS before FROM progress)) GROUP BY job_id, s HAVING max(ts) + INTERVAL 300 SECOND < (SELECT max(ts) FROM progress)""",
+)(lambda c: Z.run(T.inactivity(progress_stream(c))).select("job_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), F.date_format("timed_out", "yyyy-MM-dd HH:mm:ss").alias("timed_out"), "n"))
+
+
+def _indexed(c: Catalog) -> DataFrame:
+    """Index messages as a stream into the two vector tables, answers and dead letters; then the points, the dead by error, and plays a cluster."""
+    key, k = F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("up/"), "event_id")), F.get_json_object("props", "$.k").cast("long")
+    body = F.to_json(F.struct(k.alias("track_id"), key.alias("mp3_key")))
+    messages = Z.event_stream(c.spark, c.sf_dir).select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 11 == 0, F.lit("{broken")).otherwise(body).alias("value"))
+    audio, lyrics, tables = c.vectors("audio"), c.vectors("lyrics"), S.Tables(c.spark, shared_dir(c.spark))
+    means = V.centroids(audio, ["cluster_id"]).select("cluster_id", F.col("centroid").alias("a")).join(V.centroids(lyrics, ["cluster_id"]).select("cluster_id", F.col("centroid").alias("l")), "cluster_id")
+    centroids = means.select("cluster_id", normalized(weighted_concat(F.col("a"), F.col("l"), (0.3 / 0.7) ** 0.5)).alias("centroid"))
+    S.drive(messages, shared_dir(c.spark), tables, S.index_messages(audio, lyrics, centroids, c.tracks("track_id", "popularity_category")))
+    points = [S.newest(tables.read(t, S.POINT), "track_id").select(F.lit(t).alias("kind"), "track_id", "rec_cluster_id", F.col("popularity_category").alias("detail"), F.lit(1).cast("long").alias("n")) for t in ("audio", "lyrics")]
+    dead = tables.read("dead", S.DEAD).groupBy("error").agg(F.count("*").alias("n")).select(F.lit("dead").alias("kind"), F.lit(-1).cast("long").alias("track_id"), F.lit(-1).cast("long").alias("rec_cluster_id"), F.col("error").alias("detail"), "n")
+    base = audio.groupBy(F.col("cluster_id").cast("long").alias("rec_cluster_id")).agg(F.count("*").alias("n"))
+    counted = S.counters(base, tables.read("indexed", S.INDEXED).groupBy("rec_cluster_id").agg(F.count("*").alias("n")), "rec_cluster_id")
+    return points[0].unionByName(points[1]).unionByName(dead).unionByName(counted.select(F.lit("count").alias("kind"), F.lit(-1).cast("long").alias("track_id"), "rec_cluster_id", F.lit("").alias("detail"), "n"))
+
+
+_J12 = SQL["j12_assign_cluster"].removeprefix(BIND)
+query("k07_index_stream", f""", msg AS (SELECT event_id AS id, (props::JSON ->> '$.k')::BIGINT AS track_id, CASE WHEN event_id % 11 = 0 THEN 'broken' WHEN event_id % 5 = 0 THEN 'missing' ELSE '' END AS error FROM events),
+  pts AS (SELECT DISTINCT m.track_id, j.cluster_id::BIGINT AS rec_cluster_id, coalesce(popularity_category, 'regular') AS detail FROM msg m JOIN ({_J12}) j USING (track_id) LEFT JOIN tracks USING (track_id) WHERE error = '')
+  SELECT 'audio' AS kind, track_id, rec_cluster_id, detail, 1::BIGINT AS n FROM pts UNION ALL SELECT 'lyrics', track_id, rec_cluster_id, detail, 1 FROM pts
+  UNION ALL SELECT 'dead', -1, -1, error, count(*) FROM msg WHERE error <> '' GROUP BY error
+  UNION ALL SELECT 'dead', -1, -1, 'no vectors', count(*) AS n FROM (SELECT DISTINCT track_id FROM msg WHERE error = '' AND track_id NOT IN (SELECT track_id FROM pts)) HAVING count(*) > 0
+  UNION ALL SELECT 'count', -1, rec_cluster_id, '', sum(n)::BIGINT FROM (SELECT rec_cluster_id, 1 AS n FROM pts UNION ALL SELECT cluster_id, 1 FROM audio_vectors) GROUP BY rec_cluster_id""")(_indexed)
 query("j15_fuzzy_tokens")(lambda c: M.fuzzy_tokens(M.whole_pairs(items(c), candidates(c)), items(c), candidates(c)))
 query("x11_x12_hints")(lambda c: M.hints(c.tracks("artist", "title").select(F.col("artist").alias("hint"), F.col("title").alias("name"))))
 

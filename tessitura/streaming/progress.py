@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,37 +81,3 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # A pattern: the stream source takes a single file as well as a folder by it.
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-def emit_on_change(progress: DataFrame) -> DataFrame:
-    """A stream of the events whose step or progress differs from the job's last one. State: one row for each job."""
-
-    def changed(key, batches, state):
-        step, at = state.get if state.exists else (None, None)
-        # Order needs a job's events of one trigger together: (ts, id, step, progress) of each, without their other columns.
-        rows = sorted(x for b in batches for x in zip(b["ts"], b["id"], b["step"], b["progress"], strict=True))
-        out = []
-        for _, i, s, p in rows:
-            if (s, p) != (step, at):
-                out.append((key[0], i, s, p))
-            step, at = s, p
-        if rows:
-            state.update((step, int(at)))
-        yield pd.DataFrame(out, columns=["job_id", "id", "step", "progress"])
-
-    return progress.groupBy("job_id").applyInPandasWithState(changed, "job_id long, id long, step string, progress long", "step string, progress long", "append", "NoTimeout")
-
-
-def terminal_events(progress: DataFrame) -> DataFrame:
-    """A stream of each job's first completed or failed event; what follows it is ignored. State: one flag for each job."""
-
-    def ended(key, batches, state):
-        first = None  # one event is held, however many come
-        for b in batches:
-            ends = b[b["status"].isin(["completed", "failed"])]
-            first = min([*([first] if first else []), *zip(ends["ts"], ends["id"], ends["status"], strict=True)], default=None)
-        if not state.exists and first:
-            state.update((True,))
-            yield pd.DataFrame([(key[0], first[1], first[2])], columns=["job_id", "id", "status"])
-
-    return progress.groupBy("job_id").applyInPandasWithState(ended, "job_id long, id long, status string", "ended boolean", "append", "NoTimeout")
