@@ -168,9 +168,9 @@ def syllable_timings(words: DataFrame, parts: DataFrame, firsts: DataFrame, star
 
 
 def alignment_stats(timed: DataFrame) -> DataFrame:
-    """track_id, words, split: words with times, and those split in proportion: every one that has parts."""
+    """track_id, words, split: words with times, and those whose time is split among several parts."""
     own = timed.groupBy("track_id", "word").agg(F.count("*").alias("parts"))
-    return own.groupBy("track_id").agg(F.count("*").alias("words"), F.count(F.when(F.col("parts") > 0, 1)).alias("split"))
+    return own.groupBy("track_id").agg(F.count("*").alias("words"), F.count(F.when(F.col("parts") > 1, 1)).alias("split"))
 
 
 def reduction(intervals: DataFrame, frames: DataFrame) -> DataFrame:

@@ -16,10 +16,14 @@ BRACKETED = r"(?iu)\s*[\(\[]\s*" + _COUNT + r"\s*[\)\]]\s*$"
 BARE = r"\s+(?:×\s*(\d+)|(\d+)\s*×)\s*$"
 
 
+#: The greatest count that is written out; larger ones, whatever their length, count as this.
+MOST = 1000
+
+
 def _count(text: Column, pattern: str, groups: int) -> Column:
-    """The largest number that the pattern's groups find, 1 at least."""
+    """The largest number that the pattern's groups find, 1 at least and MOST at most."""
     found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in range(1, groups + 1)]
-    return F.array_max(F.concat(F.array(F.lit(1)), F.transform(F.filter(F.concat(*found), lambda x: x != ""), lambda x: x.cast("int"))))
+    return F.array_max(F.concat(F.array(F.lit(1)), F.transform(F.filter(F.concat(*found), lambda x: x != ""), lambda x: F.least(F.coalesce(x.try_cast("int"), F.lit(MOST)), F.lit(MOST)))))
 
 
 def section_ids(sheets: DataFrame) -> DataFrame:

@@ -84,9 +84,9 @@ query("x22_search_fragments", rf""", f0 AS (SELECT doc_id AS id, text, {_ws("tex
     lambda c: L.search_fragments(c.table("documents").select(F.col("doc_id").alias("id"), "text")).select("id", F.size("fragments").cast("long").alias("n"), F.md5(F.array_join("fragments", "|")).alias("digest"))
 )
 _skip = r"list_filter(regexp_split_to_array(l, '\s+'), lambda w: regexp_matches(w, '[\p{L}'']'))"
-query("x35_lyric_words", rf"SELECT doc_id, len(flatten(ls))::BIGINT AS words, len(list_filter(ls, lambda x: len(x) > 0))::BIGINT AS firsts, md5(array_to_string(list_transform(ls, lambda x: array_to_string(x, ' ')), chr(10))) IS NOT NULL AS ok, md5(array_to_string(flatten(ls), ' ')) AS digest FROM (SELECT doc_id, list_transform(regexp_split_to_array(text, '\r\n|\n|\r'), lambda l: {_skip}) AS ls FROM documents)")(
+query("x35_lyric_words", rf"SELECT doc_id, len(flatten(ls))::BIGINT AS words, len(list_filter(ls, lambda x: len(x) > 0))::BIGINT AS firsts, md5(array_to_string(flatten(ls), ' ')) AS digest FROM (SELECT doc_id, list_transform(regexp_split_to_array(text, '\r\n|\n|\r'), lambda l: {_skip}) AS ls FROM documents)")(
     lambda c: c.table("documents").select("doc_id", A.lyric_words(F.col("text")).alias("w")).select(
-        "doc_id", F.size("w").cast("long").alias("words"), F.size(F.filter("w", lambda x: x["first"])).cast("long").alias("firsts"), F.lit(True).alias("ok"), F.md5(F.array_join(F.transform("w", lambda x: x["word"]), " ")).alias("digest")
+        "doc_id", F.size("w").cast("long").alias("words"), F.size(F.filter("w", lambda x: x["first"])).cast("long").alias("firsts"), F.md5(F.array_join(F.transform("w", lambda x: x["word"]), " ")).alias("digest")
     )
 )
 
@@ -202,7 +202,7 @@ query("w16_prefix_of_word", SPANS + "SELECT track_id, word, prefix FROM tm")(
     lambda c: words(c).select("track_id", "word", A.word_prefix(F.row_number().over(W.Window.partitionBy("track_id").orderBy("word")) == 1, F.col("word") % 3 == 0).alias("prefix"))
 )
 query("q06_syllable_timings", SPANS + "SELECT * FROM q06")(timed)
-query("a18_alignment_stats", SPANS + "SELECT track_id, count(DISTINCT word) AS words, count(DISTINCT word) AS split FROM q06 GROUP BY 1")(lambda c: A.alignment_stats(timed(c)))
+query("a18_alignment_stats", SPANS + "SELECT track_id, count(*) AS words, count(*) FILTER (parts > 1) AS split FROM (SELECT track_id, word, count(*) AS parts FROM q06 GROUP BY ALL) GROUP BY 1")(lambda c: A.alignment_stats(timed(c)))
 query("q02_refine_onset", SPANS + """, ons AS (SELECT track_id, start_n + 4 AS onset_n FROM sp WHERE word = 0 AND j = 2),
   lv AS (SELECT track_id, median(rms) AS median, max(rms) AS most FROM ons JOIN fr USING (track_id) WHERE n >= onset_n AND n < onset_n + 25 GROUP BY 1 HAVING max(rms) >= 1e-5 AND median(rms) >= 1e-6),
   bk AS (SELECT track_id, n, rms < median / 10 AS silent, lead(rms < median / 10) OVER (PARTITION BY track_id ORDER BY n) AS then_ FROM ons JOIN lv USING (track_id) JOIN fr USING (track_id) WHERE n < onset_n AND n >= onset_n - 60)
@@ -321,11 +321,29 @@ def _library(c: Catalog) -> DataFrame:
     return P.library_csv(c.spark, path)
 
 
+def _centroids(c: Catalog) -> DataFrame:
+    """The clusters' joined centroids as a side document, written, read back and used to assign; nothing is assigned without the document."""
+    path = shared_dir(c.spark)
+    one = c.vectors("audio").select("cluster_id", F.posexplode("vector").alias("pos", "x")).groupBy("cluster_id", "pos").agg(F.round(F.avg("x"), 6).alias("x"))
+    rows = one.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).select("cluster_id", F.transform("v", lambda x: x["x"]).alias("v"))
+    rows.groupBy().agg(F.array_sort(F.collect_list(F.struct("cluster_id", "v"))).alias("c")).select(F.col("c.v").alias("centroids")).write.json(path)
+    read = P.centroids_json(c.spark, path)
+    missing = P.centroids_json(c.spark, path + "-none")
+    scored = c.vectors("audio").select("track_id", "vector").join(F.broadcast(read.unionByName(missing)))  # as many as a catalog has clusters
+    dot = F.round(F.aggregate(F.zip_with("vector", "centroid", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 6)
+    return scored.groupBy("track_id").agg(F.max_by("position", F.struct(dot, -F.col("position"))).cast("long").alias("nearest"))
+
+
+query("s05_centroids", """, m AS (SELECT cluster_id, list(x ORDER BY pos) AS v FROM (SELECT cluster_id, pos, round(avg(x), 6) AS x FROM (SELECT cluster_id, unnest(vector) AS x, generate_subscripts(vector, 1) AS pos FROM audio_vectors) GROUP BY ALL) GROUP BY 1),
+  n AS (SELECT row_number() OVER (ORDER BY cluster_id) - 1 AS position, v FROM m)
+  SELECT track_id, arg_max(position, (round(list_dot_product(vector, v), 6), -position)) AS nearest FROM audio_vectors, n GROUP BY 1""")(_centroids)
+
+
 def _catalog(c: Catalog) -> DataFrame:
     path = shared_dir(c.spark)
     own = c.mood_tags().groupBy("cluster_id").agg(F.collect_list(F.struct(F.col("tag_id").alias("id"), "name", "cluster_id")).alias("tags"))
     own.select(F.array(F.struct(F.col("cluster_id").alias("id"), F.concat(F.lit("cluster "), "cluster_id").alias("name"))).alias("clusters"), "tags").write.json(path)
-    clusters, tags = P.catalog_json(c.spark, path, lines=True)
+    clusters, tags = (a.unionByName(b) for a, b in zip(P.catalog_json(c.spark, path, lines=True), P.catalog_json(c.spark, path + "-none"), strict=True))
     return tags.withColumnRenamed("name", "tag").join(clusters.withColumnRenamed("id", "cluster_id"), "cluster_id")
 
 

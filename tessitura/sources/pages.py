@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -108,7 +109,30 @@ def object_listing(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.mp3").option("recursiveFileLookup", "true").load(path).select("path", "length").orderBy("path")
 
 
+def _json_or_nothing(spark, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """A JSON document, or one in each line; no rows where there is no such file."""
+    try:
+        return spark.read.schema(schema).json(path, multiLine=not lines)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def centroids_json(spark, path: str) -> DataFrame:
+    """position, centroid of a document {"centroids": [[...], ...]}; a missing one has none."""
+    doc = _json_or_nothing(spark, path, "centroids array<array<double>>")
+    return doc.select(F.posexplode("centroids").alias("position", "centroid"))
+
+
+def stats_json(spark, path: str) -> DataFrame:
+    """pos, mean, std of a document {"mean": [...], "std": [...]}; a std below 1e-8 is 1; a missing document has none."""
+    doc = _json_or_nothing(spark, path, "mean array<double>, std array<double>")
+    rows = doc.select(F.posexplode(F.arrays_zip("mean", "std")).alias("pos", "s"))
+    return rows.select("pos", "s.mean", F.when(F.col("s.std") < 1e-8, 1.0).otherwise(F.col("s.std")).alias("std"))
+
+
 def catalog_json(spark, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """clusters and tags of one JSON document, or of a document in each line."""
-    doc = spark.read.schema("clusters array<struct<id:long,name:string>>, tags array<struct<id:long,name:string,cluster_id:long>>").json(path, multiLine=not lines)
+    """clusters and tags of one JSON document, or of a document in each line; both empty where there is no such file."""
+    doc = _json_or_nothing(spark, path, "clusters array<struct<id:long,name:string>>, tags array<struct<id:long,name:string,cluster_id:long>>", lines)
     return doc.select(F.explode("clusters").alias("c")).select("c.*"), doc.select(F.explode("tags").alias("t")).select("t.*")

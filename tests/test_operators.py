@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import text as X
 from tessitura.functions import vectors as V
-from tessitura.operators import recommend, relational, timing
+from tessitura.operators import lyrics, recommend, relational, timing
 from tessitura.plans import registry
 from tessitura.plans.bind import Catalog
 from tessitura.sources import pages
@@ -133,3 +133,23 @@ def test_hits_of_both_sides_equal_brute_force(spark):
     got = {(r["session_id"], r["cluster_rank"], r["track_id"]): (r["rank"], round(r["score"], 6)) for r in rows}
     assert got.keys() == want.keys()
     assert sum(got[k] != want[k] for k in got) == 0
+
+
+def test_hostile_repeat_counts(spark):
+    sheet = spark.createDataFrame([(1, "la (99999999999x)\nna x2 ×3"), (2, "[Chorus 99999999999999999999x]\nho")], "id long, text string")
+    got = {r["id"]: r["text"] for r in lyrics.expand_repeats(sheet).collect()}
+    assert got[1].count("la") == lyrics.MOST and got[2].count("ho") == lyrics.MOST
+
+
+def test_missing_side_documents_are_empty(spark, tmp_path):
+    assert [x.count() for x in pages.catalog_json(spark, f"file://{tmp_path}/none.json")] == [0, 0]
+    assert pages.centroids_json(spark, f"file://{tmp_path}/none.json").count() == pages.stats_json(spark, f"file://{tmp_path}/none.json").count() == 0
+    (tmp_path / "s.json").write_text('{"mean": [1.0, 2.0],\n "std": [0.0, 3.0]}')
+    assert [tuple(r) for r in pages.stats_json(spark, f"file://{tmp_path}/s.json").collect()] == [(0, 1.0, 1.0), (1, 2.0, 3.0)]
+    (tmp_path / "c.json").write_text('{"centroids": [[1.0, 0.0],\n [0.0, 1.0]]}')
+    assert [tuple(r) for r in pages.centroids_json(spark, f"file://{tmp_path}/c.json").collect()] == [(0, [1.0, 0.0]), (1, [0.0, 1.0])]
+
+
+def test_json_in_prose(spark):
+    for text, want in (('here {"a":{"b":1}} end', '{"a":{"b":1}}'), ('x {"s": "}{\\" ["} y } z', '{"s": "}{\\" ["}'), ('[{"a":[{"b":1}]}] (2 items)', '[{"a":[{"b":1}]}]'), ("{ never", None), ("", None)):
+        assert value(spark, pages.embedded_json(F.lit(text))) == want, text
