@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.stems import bound
+
 #: Elements whose content isn't text, and the entities that are decoded.
 DROPPED = ("script", "style", "nav", "header", "footer", "aside", "iframe", "noscript")
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -41,10 +43,10 @@ def _valid(text: Column) -> Column:
     return F.when(F.try_parse_json(text).isNotNull() & text.rlike(r"^\s*[\[{]"), text)
 
 
-def balanced(text: Column) -> Column:
-    """The text from its first bracket to where that is closed, brackets inside strings not counted; null where it never is. One
+def balanced(text: Column, opening: str = r"[\[{]") -> Column:
+    """The text from its first opening bracket to where that is closed, brackets inside strings not counted; null where it never is. One
     pass over the text's pieces: strings, brackets and what lies between."""
-    tail = F.regexp_extract(text, r"(?s)[\[{].*$", 0)
+    tail = F.regexp_extract(text, f"(?s){opening}.*$", 0)
     pieces = F.regexp_extract_all(tail, F.lit(r'(?s)"(?:[^"\\]++|\\.)*+"|[\[{]|[\]}]|[^"\[\]{}]++|"'), F.lit(0))
 
     def step(state: Column, piece: Column) -> Column:
@@ -54,21 +56,19 @@ def balanced(text: Column) -> Column:
         return F.struct(at.alias("at"), depth.alias("depth"), F.coalesce(state["end"], F.when(ended, at)).alias("end"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("end"))
-    end = F.aggregate(pieces, start, step)["end"]
-    return F.when(end.isNotNull(), F.substring(tail, F.lit(1), end))
+    return bound(F.aggregate(pieces, start, step)["end"], lambda end: F.when(end.isNotNull(), F.substring(tail, F.lit(1), end)))
 
 
 def embedded_json(text: Column) -> Column:
-    """The text itself where it is JSON, else what lies between its first and last brace where that is, else its first balanced object or
-    list, else null; as a string."""
-    span = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.coalesce(_valid(text), _valid(F.when(span != "", span)), _valid(balanced(text)))
+    """The first balanced object or list of a text, which is all of it where it is JSON; else the first balanced object; else null. As a
+    string."""
+    return F.coalesce(bound(balanced(text), _valid), bound(balanced(text, r"\{"), _valid))
 
 
 def candidates(replies: DataFrame, least: int = LEAST) -> DataFrame:
     """replies: id, reply: text with a JSON list in it. id, pos, artist, title, lyrics of the items that are objects with lyrics of at least
     `least` characters, blanks off; names that are missing are Unknown."""
-    json = F.coalesce(_valid(F.col("reply")), _valid(balanced(F.col("reply"))))
+    json = bound(balanced(F.col("reply")), _valid)
     items = replies.select("id", F.posexplode(F.from_json(F.when(F.trim(json).startswith("["), json), "array<string>")).alias("n", "item")).filter(F.col("item").startswith("{"))
     field = lambda x: F.trim(F.coalesce(F.get_json_object("item", f"$.{x}"), F.lit("")))
     rows = items.select("id", "n", *(field(x).alias(x) for x in ("artist", "title", "lyrics"))).filter(F.length("lyrics") >= least)
