@@ -11,7 +11,8 @@ from ..operators import timing as T
 from ..operators import search as S
 from ..operators import updates as U
 from ..operators import vectors as V
-from ..sources import pages as P
+from ..sources.shared import shared_dir
+from ..sources.tables import KeyedTable
 from .bind import Catalog
 from .registry import DOT, LINES, NEAR, _queries, query  # noqa: F401
 
@@ -120,3 +121,18 @@ query("w06_top2_gap", f"SELECT query_id, round(score, 6) AS best, round(score -
     lambda c: V.nearest(_queries(c, "lyrics"), c.vectors("lyrics"), 2).withColumn("second", F.lead("score").over(R.by("query_id").orderBy(F.desc("score"), "track_id"))).filter("rank = 1")
     .select("query_id", F.round("score", 6).alias("best"), F.round(F.col("score") - F.col("second"), 6).alias("gap"))
 )
+
+
+def _committed(c: Catalog) -> DataFrame:
+    """The tracks as a versioned table: ready ones put in, hits' counts patched, error ones put in and out again."""
+    t = KeyedTable(c.spark, shared_dir(c.spark), "track_id long, artist string, status string, play_count long", "track_id", 16)
+    tracks = c.tracks("track_id", "artist", "status", "play_count").select("track_id", "artist", "status", F.col("play_count").cast("long").alias("play_count"))
+    t.upsert(tracks.filter("status = 'ready'"))
+    t.patch(tracks.filter("track_id % 9 = 0").select("track_id", F.when(F.col("track_id") % 2 == 0, F.upper("artist")).alias("artist"), F.lit("patched").alias("status")))
+    t.upsert(tracks.filter("status <> 'ready'"))
+    t.delete(tracks.filter("status = 'error' OR track_id % 50 = 3"))
+    return t.read()
+
+
+query("k01_committed_table", """SELECT track_id, CASE WHEN status = 'ready' AND track_id % 9 = 0 AND track_id % 2 = 0 THEN upper(artist) ELSE artist END AS artist,
+  CASE WHEN status = 'ready' AND track_id % 9 = 0 THEN 'patched' ELSE status END AS status, play_count FROM tracks WHERE status <> 'error' AND track_id % 50 <> 3""")(_committed)
