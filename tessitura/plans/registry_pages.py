@@ -86,8 +86,8 @@ def _reply(c: Catalog) -> DataFrame:
     return c.table("pages").select("page_id", F.when(F.col("page_id") % 7 == 0, inner).when(F.col("page_id") % 7 == 1, F.lit("no { object")).otherwise(prose).alias("reply"))
 
 
-query("s12_embedded_json", "SELECT page_id, page_id AS k, url AS u, '}{ \"[' AS s FROM pages WHERE page_id % 7 <> 1 UNION ALL SELECT page_id, NULL, NULL, NULL FROM pages WHERE page_id % 7 = 1")(
-    lambda c: _reply(c).withColumn("j", P.embedded_json(F.col("reply"))).select("page_id", F.get_json_object("j", "$.n.k").cast("long").alias("k"), F.get_json_object("j", "$.u").alias("u"), F.get_json_object("j", "$.s").alias("s"))
+query("s12_embedded_json", "SELECT page_id, page_id::VARCHAR AS k, url AS u, '}{ \"[' AS s FROM pages WHERE page_id % 7 <> 1 UNION ALL SELECT page_id, NULL, NULL, NULL FROM pages WHERE page_id % 7 = 1")(
+    lambda c: _reply(c).withColumn("j", P.embedded_json(F.col("reply"))).select("page_id", F.get_json_object("j", "$.n.k").alias("k"), F.get_json_object("j", "$.u").alias("u"), F.get_json_object("j", "$.s").alias("s"))
 )
 
 
