@@ -9,7 +9,7 @@ def spark(tmp_path_factory):
     root = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[4]")
-        .config("spark.driver.memory", "6g")
+        .config("spark.driver.memory", "10g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "4")
