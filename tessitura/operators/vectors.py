@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -27,12 +32,52 @@ def against_all(rows: DataFrame, few: DataFrame, most: int = 1 << 16, block: int
     return rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_block", F.col("_block").cast("long")).join(dealt, "_block").drop("_block")
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, on: list[str] | None = None) -> DataFrame:
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    n = len(column)
+    return pc.list_flatten(column).to_numpy().reshape(n, -1) if n else np.empty((0, 0))
+
+
+def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's k highest scores, ties by smaller id."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        r, c = np.nonzero(scores >= least[:, None])
+    else:
+        r, c = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((ids[c], -scores[r, c], r))
+    r, c = r[order], c[order]
+    first = np.searchsorted(r, np.arange(scores.shape[0]))
+    some = np.arange(len(r)) - first[r] < k
+    return r[some], c[some]
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, on: list[str] | None = None, block: int = 1 << 14) -> DataFrame:
     """queries: query_id, query (unit length). The k most similar rows of the corpus for each, exactly. on: columns that must be
-    equal; the search is then an equi-join. Without them, every query meets every row: a stated set of queries. Each
-    partition keeps its k best of a query before the shuffle (a rank limit that Spark pushes below it)."""
-    pairs = corpus.join(queries, on) if on else against_all(corpus, queries)
-    scored = pairs.select("query_id", "track_id", F.round(dot(F.col("vector"), F.col("query")), 9).alias("score"))
+    equal. Without them, every query meets every row: a stated set of queries. Both sides are dealt into blocks of about `block`; a cell
+    is one product of two matrices, and only each query's k best of a cell leave it."""
+    keys = on or []
+    most = lambda x: (x.groupBy(*keys).count().agg(F.max("count")).first()[0] if keys else x.count()) or 1
+    nc = most(corpus)
+    ni, nj = -(-most(queries) // block), max(-(-nc // block), min(8, -(-nc // (block >> 4 or 1))))
+    kind = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["track_id"]
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asks = queries.filter("query IS NOT NULL").select(*keys, deal("query_id", ni).alias("i"), every(nj).alias("j"), "query_id", F.lit(None).cast(kind[1]).alias("track_id"), F.col("query").alias("v"))
+    rows = corpus.filter("vector IS NOT NULL").select(*keys, every(ni).alias("i"), deal("track_id", nj).alias("j"), F.lit(None).cast(kind[0]).alias("query_id"), "track_id", F.col("vector").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        left, right = table.filter(pc.is_valid(table["query_id"])), table.filter(pc.is_valid(table["track_id"]))
+        if not len(left) or not len(right):
+            return
+        a, b, ids = _vectors(left["v"]), _vectors(right["v"]).T, right["track_id"].to_numpy()
+        asked, step = left["query_id"].combine_chunks(), max(1, (1 << 21) // len(right))
+        for low in range(0, len(left), step):
+            scores = np.round(a[low : low + step] @ b, 9)
+            r, c = best(scores, ids, k)
+            yield pa.RecordBatch.from_arrays([asked.take(pa.array(r + low)), pa.array(ids[c]), pa.array(scores[r, c])], ["query_id", "track_id", "score"])
+
+    scored = asks.unionByName(rows).groupBy(*keys, "i", "j").applyInArrow(run, f"query_id {kind[0]}, track_id {kind[1]}, score double")
     w = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "track_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
