@@ -74,3 +74,23 @@ def test_ranges_below_a_page_are_not_opened(spark):
     index._hits = lambda ranges, lists: opened.append(ranges.count()) or hits(ranges, lists)
     assert [(r["track_id"], r["score"]) for r in index.top(queries, 3).orderBy("rank").collect()] == [(0, 4.0), (1, 4.0), (2, 4.0)]
     assert opened == [1, 1]
+
+
+def test_any_status_is_searched_where_none_is_named(spark):
+    rows = [(k, ("ready", "processing", "error")[k % 3], "the brand", None, "x") for k in range(9)]
+    index = FT.Index(spark, shared_dir(spark), 4).add(spark.createDataFrame(rows, COLUMNS))
+    queries = spark.createDataFrame([(1, "Brand the")], "query_id long, q string")
+    assert sorted(r["track_id"] for r in index.matches(queries, None).collect()) == list(range(9))
+    assert [r["track_id"] for r in index.top(queries, 4, 2, None).orderBy("rank").collect()] == [2, 3, 4, 5]
+
+
+def test_lists_are_moved_once_for_all_queries(spark):
+    """No join makes a row of a list for each query: lists and queries meet in their range."""
+    rows = [(k, "ready", f"artist{k % 5}", "x", "") for k in range(40)]
+    index = FT.Index(spark, shared_dir(spark), 16).add(spark.createDataFrame(rows, COLUMNS))
+    queries = spark.createDataFrame([(k, f"x artist{k % 2}") for k in range(30)], "query_id long, q string")
+    seen = []
+    hits = index._hits
+    index._hits = lambda ranges, lists: seen.append((ranges.select("query_id").distinct().count(), lists.count())) or hits(ranges, lists)
+    assert len(index.top(queries, 3).collect()) == 90
+    assert {q for q, _ in seen} == {2} and all(n == 9 for _, n in seen)
