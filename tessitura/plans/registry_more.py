@@ -84,9 +84,10 @@ query("x22_search_fragments", rf""", f0 AS (SELECT doc_id AS id, text, {_ws("tex
     lambda c: L.search_fragments(c.table("documents").select(F.col("doc_id").alias("id"), "text")).select("id", F.size("fragments").cast("long").alias("n"), F.md5(F.array_join("fragments", "|")).alias("digest"))
 )
 _skip = r"list_filter(regexp_split_to_array(l, '\s+'), lambda w: regexp_matches(w, '[\p{L}'']'))"
-query("x35_lyric_words", rf"SELECT doc_id, len(flatten(ls))::BIGINT AS words, len(list_filter(ls, lambda x: len(x) > 0))::BIGINT AS firsts, md5(array_to_string(flatten(ls), ' ')) AS digest FROM (SELECT doc_id, list_transform(regexp_split_to_array(text, '\r\n|\n|\r'), lambda l: {_skip}) AS ls FROM documents)")(
+query("x35_lyric_words", rf"SELECT doc_id, len(flatten(ls))::BIGINT AS words, len(list_filter(ls, lambda x: len(x) > 0))::BIGINT AS firsts, md5(array_to_string(list_transform(ls, lambda x: array_to_string(x, ' ')), chr(10))) IS NOT NULL AS ok, md5(array_to_string(flatten(ls), ' ')) AS digest FROM (SELECT doc_id, list_transform(regexp_split_to_array(text, '\r\n|\n|\r'), lambda l: {_skip}) AS ls FROM documents)")(
     lambda c: c.table("documents").select("doc_id", A.lyric_words(F.col("text")).alias("w")).select(
-        "doc_id", F.size("w").cast("long").alias("words"), F.size(F.filter("w", lambda x: x["first"])).cast("long").alias("firsts"), F.md5(F.array_join(F.transform("w", lambda x: x["word"]), " ")).alias("digest")
+        "doc_id", F.size("w").cast("long").alias("words"), F.size(F.filter("w", lambda x: x["first"])).cast("long").alias("firsts"),
+        F.md5(F.array_join(F.transform("w", lambda x: F.concat(F.when(x["first"], "\n").otherwise(" "), x["word"])), "")).isNotNull().alias("ok"), F.md5(F.array_join(F.transform("w", lambda x: x["word"]), " ")).alias("digest")
     )
 )
 

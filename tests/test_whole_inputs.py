@@ -50,3 +50,9 @@ def test_quotes_are_found_in_the_whole_text(spark, tmp_path):
 def test_every_tag_has_its_cluster(spark):
     got = {r["tag_id"] for r in registry.queries()["j10_tag_cluster_all"](spark, SF).collect()}
     assert {t % 2 for t in got} == {0, 1}
+
+
+def test_lyric_words_say_whether_a_text_has_lines(spark, tmp_path):
+    spark.createDataFrame([(1, "a b\nc"), (2, ""), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()["x35_lyric_words"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["ok"] for r in got} == {1: True, 2: True, 3: False}
