@@ -10,6 +10,7 @@ import pytest
 
 from tessitura.operators import paircells
 from tessitura.operators import textmatch as M
+from tessitura.operators.wordmatch import lacking_words
 
 PLAIN = ("coverage_request", "coverage_candidate", "ngram", "length")
 
@@ -79,3 +80,19 @@ def test_no_row_is_a_pair_before_the_result(spark):
     assert got.count() == 300 * 299
     assert plan.index("InArrow") < min([plan.index(x) for x in ("Join", "Aggregate") if x in plan], default=len(plan))
     assert "request_class" not in plan and "Join Inner, (gram" not in plan
+
+
+@pytest.mark.parametrize("block,places", [(None, 1 << 22), (7, 5)])
+def test_lacking_words_of_cells_equal_those_of_given_pairs(spark, monkeypatch, block, places):
+    for name in ("COUNTERS", "PLACES", "ROWS"):
+        monkeypatch.setattr(paircells, name, places)
+    rnd = random.Random(6)
+    texts = {k: " ".join([rnd.choice("lane line lines alone stone stones tone ten net tin 12 漢字".split()) for _ in range(rnd.randrange(12))] + [*"the same stock phrase here now".split()][: rnd.choice([5, 6, 6])]) for k in range(30)}
+    frame = spark.createDataFrame(list(texts.items()), "id long, text string")
+    some = frame.filter("id % 3 = 0")
+    pairs = spark.createDataFrame([p for p in expected([k for k in texts if k % 3 == 0], texts)], "a long, b long")
+    words = M.word_rows(frame)
+    want = {(r["a"], r["b"]): (r["words"], r["occurrences"], r["found"]) for r in lacking_words(pairs, words, words).collect()}
+    got = M.whole_lacking(some, frame, block=block).collect()
+    assert len(got) == len(want) > 50 and {(r["request_id"], r["candidate_id"]): (r["words"], r["occurrences"], r["found"]) for r in got} == want
+    assert any(f for _, _, f in want.values())
