@@ -49,7 +49,10 @@ def latest(progress: DataFrame) -> DataFrame:
 def inactivity(progress: DataFrame, seconds: int = 300, late: str = "0 seconds") -> DataFrame:
     """A row for each stretch of events of a job that no event followed for `seconds`: the time of the time-out."""
     marked = progress.withWatermark("ts", late)
-    return marked.groupBy("job_id", F.session_window("ts", f"{seconds} seconds").alias("w")).agg(F.count("*").alias("n")).select("job_id", F.col("w.start").alias("started"), F.col("w.end").alias("timed_out"), "n")
+    # Sessions that touch are one; an event just as late as the time-out begins a new stretch.
+    w = F.session_window("ts", f"{seconds} seconds -1 microseconds").alias("w")
+    end = F.timestamp_micros(F.unix_micros("w.end") + 1)
+    return marked.groupBy("job_id", w).agg(F.count("*").alias("n")).select("job_id", F.col("w.start").alias("started"), end.alias("timed_out"), "n")
 
 
 def claims(messages: DataFrame, within: str = "3 days") -> DataFrame:

@@ -58,3 +58,16 @@ def test_changes_and_ends_equal_their_tables(spark):
         if status != "running":
             first.setdefault(job, (job, i, status))
     assert got == sorted(first.values())
+
+
+def test_inactivity_at_its_bounds_and_without_python(spark):
+    at = lambda s: START + timedelta(seconds=s)
+    # Just as late as the time-out: a new stretch; a moment before: the same; job 3 ends with the last event, job 4 before it.
+    rows = [(1, 0), (1, 300), (2, 0), (2, 299.9999), (3, 1000), (4, 999.99), (9, 1300)]
+    rows = [(k, job, "running", "a", 0, at(s)) for k, (job, s) in enumerate(rows)]
+    want = [(1, at(0), at(300), 1), (1, at(300), at(600), 1), (2, at(0), at(599.9999), 2), (4, at(999.99), at(1299.99), 1)]
+    assert streamed(spark, rows, T.inactivity, 1)[0] == want
+    table = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(tuple(r) for r in Z.inactivity(table).filter("job_id IN (1, 2, 4)").collect()) == want
+    plan = T.inactivity(table)._jdf.queryExecution().toString()
+    assert "session_window" in plan and "Pandas" not in plan
