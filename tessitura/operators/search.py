@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.text import tokenize
-from ..functions.vectors import dot, normalized
+from ..functions.vectors import normalized
+from ..sources.shared import written
 from .relational import HITS
-from .vectors import against_all, centroids, nearest
+from .vectors import centroids, nearest, width
 
 
 def _ranked(rows: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -34,10 +35,9 @@ def mood_search(queries: DataFrame, vectors: DataFrame, tracks: DataFrame, histo
     return ranked_fetch(cut.filter(F.col("rank") > offset).select("query_id", "track_id", "tier", "score", "rank", "total"), tracks.select("track_id", "artist", "title"))
 
 
-def _fused(pairs: DataFrame, keys: list[str], limit: int, share: float) -> DataFrame:
-    """pairs: keys, track_id, a, l (similarities). The best `limit` of each side, an absent side counts 0, then the best of both."""
-    side = lambda c: _ranked(pairs, keys, F.desc(c), "track_id").filter(F.col("rank") <= limit).select(*keys, "track_id", c)
-    both = side("a").join(side("l"), [*keys, "track_id"], "full_outer")
+def _fused(a: DataFrame, l: DataFrame, keys: list[str], limit: int, share: float) -> DataFrame:  # noqa: E741
+    """a, l: keys, track_id, score, the best of each side. An absent side counts 0; the best `limit` of both."""
+    both = a.select(*keys, "track_id", F.col("score").alias("a")).join(l.select(*keys, "track_id", F.col("score").alias("l")), [*keys, "track_id"], "full_outer")
     score = F.round(F.coalesce("a", F.lit(0.0)) * share + F.coalesce("l", F.lit(0.0)) * (1 - share), 9)
     return _ranked(both.withColumn("score", score), keys, F.desc("score"), "track_id").filter(F.col("rank") <= limit).select(*keys, "track_id", "score")
 
@@ -47,21 +47,25 @@ def recommend_by_tag(requests: DataFrame, tags: DataFrame, tracks: DataFrame, au
     that it has played; any other with the cluster's own centroid among all, found once for each cluster. Three times
     `limit` hits, well-known ones with a score of 0.5 or more first, each artist once."""
     both = audio.select("track_id", "cluster_id", F.col("vector").alias("av")).join(lyrics.select("track_id", F.col("vector").alias("lv")), "track_id")
-    corpus = both.join(tracks.filter("status = 'ready'").select("track_id", "artist", "popularity_category"), "track_id")
-    mean = lambda rows, v, key, name: centroids(rows.select(key, F.col(v).alias("vector")), [key]).select(key, normalized(F.col("centroid")).alias(name))
+    corpus = written(both.join(tracks.filter("status = 'ready'").select("track_id", "artist", "popularity_category"), "track_id"))
+    sizes = {"av": width(audio), "lv": width(lyrics)}
+    mean = lambda rows, v, key, name: centroids(rows.select(key, F.col(v).alias("vector")), [key], sizes[v]).select(key, normalized(F.col("centroid")).alias(name))
     asked = requests.join(tags.select("tag_id", "cluster_id"), "tag_id")
     played = history.select("session_id", "track_id").join(both, "track_id")
     own = mean(played, "av", "session_id", "qa").join(mean(played, "lv", "session_id", "ql"), "session_id")
-    similar = lambda pairs: pairs.withColumn("a", F.round(dot(F.col("av"), F.col("qa")), 9)).withColumn("l", F.round(dot(F.col("lv"), F.col("ql")), 9))
-    personal = similar(asked.join(own, "session_id").join(corpus.select("track_id", "cluster_id", "av", "lv"), "cluster_id"))
-    personal = personal.join(history.select("session_id", "track_id").distinct(), ["session_id", "track_id"], "left_anti").select("session_id", "tag_id", "track_id", "a", "l")
+    # Each session asks a cluster once, whatever the number of its tags; rows of a pair are only each side's best.
+    personal = written(asked.select("session_id", "cluster_id").distinct().join(own, "session_id"))
+    heard = history.select(F.col("session_id").alias("query_id"), "track_id")
+    near = lambda x, q, v: nearest(x.withColumnRenamed(q, "query"), corpus.select("cluster_id", "track_id", F.col(v).alias("vector")), 3 * limit, ["cluster_id"], without=heard)
+    sides = [near(personal.select(F.col("session_id").alias("query_id"), "cluster_id", q), q, v) for q, v in (("qa", "av"), ("ql", "lv"))]
+    of_sessions = _fused(*sides, ["query_id", "cluster_id"], 3 * limit, share).withColumnRenamed("query_id", "session_id")
     others = asked.join(own, "session_id", "left_anti")
-    clusters = others.select("cluster_id").distinct()
-    means = mean(both, "av", "cluster_id", "qa").join(mean(both, "lv", "cluster_id", "ql"), "cluster_id").join(clusters, "cluster_id")
-    general = similar(against_all(corpus.select("track_id", "av", "lv"), means)).select("cluster_id", "track_id", "a", "l")
-    hits = _fused(personal, ["session_id", "tag_id"], 3 * limit, share).unionByName(
-        others.join(_fused(general, ["cluster_id"], 3 * limit, share), "cluster_id").select("session_id", "tag_id", "track_id", "score")
-    )
+    means = mean(both, "av", "cluster_id", "qa").join(mean(both, "lv", "cluster_id", "ql"), "cluster_id").join(others.select("cluster_id").distinct(), "cluster_id")
+    general = written(means.withColumnRenamed("cluster_id", "query_id"))
+    sides = [nearest(general.select("query_id", F.col(q).alias("query")), corpus.select("track_id", F.col(v).alias("vector")), 3 * limit) for q, v in (("qa", "av"), ("ql", "lv"))]
+    of_clusters = _fused(*sides, ["query_id"], 3 * limit, share).withColumnRenamed("query_id", "cluster_id")
+    columns = "session_id", "tag_id", "track_id", "score"
+    hits = asked.join(of_sessions, ["session_id", "cluster_id"]).select(*columns).unionByName(others.join(of_clusters, "cluster_id").select(*columns))
     known = hits.join(corpus.select("track_id", "artist", "popularity_category"), "track_id")
     first = F.when(F.col("popularity_category").isin(*HITS) & (F.col("score") >= 0.5), 0).otherwise(1)
     once = _ranked(known.withColumn("first", first), ["session_id", "tag_id", "artist"], "first", F.desc("score"), "track_id").filter("rank = 1")

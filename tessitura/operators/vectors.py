@@ -14,11 +14,18 @@ from pyspark.sql import window as W
 from ..functions.vectors import dot, normalized, weighted_concat
 
 
-def centroids(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """The mean vector and the number of rows of each key. Sums are taken by position, so that they add up map-side."""
-    parts = vectors.select(*keys, F.posexplode("vector").alias("pos", "x")).groupBy(*keys, "pos").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
-    rows = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("p"), F.max("n").alias("n"))
-    return rows.select(*keys, F.transform("p", lambda s: s["x"]).alias("centroid"), "n")
+def width(vectors: DataFrame, column: str = "vector") -> int:
+    return vectors.agg(F.max(F.size(column))).first()[0] or 0
+
+
+def centroids(vectors: DataFrame, keys: list[str], dimension: int | None = None) -> DataFrame:
+    """The mean vector and the number of rows of each key. Sums by position are columns of a key's row: they add up map-side, and no row is a position. dimension:
+    the longest vector's length, looked up if it isn't given."""
+    some = vectors.filter(F.size("vector") > 0)
+    n = width(some) if dimension is None else dimension
+    sums = some.groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d"), *(F.avg(F.get("vector", F.lit(k))).alias(f"x{k}") for k in range(n)))
+    mean = F.array(*(F.col(f"x{k}") for k in range(n))) if n else F.expr("CAST(array() AS array<double>)")
+    return sums.select(*keys, F.slice(mean, F.lit(1), F.col("d")).alias("centroid"), "n")
 
 
 def against_all(rows: DataFrame, few: DataFrame, most: int = 1 << 16, block: int = 1 << 12) -> DataFrame:
@@ -51,10 +58,10 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return r[some], c[some]
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, on: list[str] | None = None, block: int = 1 << 14) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, on: list[str] | None = None, block: int = 1 << 14, without: DataFrame | None = None) -> DataFrame:
     """queries: query_id, query (unit length). The k most similar rows of the corpus for each, exactly. on: columns that must be
-    equal. Without them, every query meets every row: a stated set of queries. Both sides are dealt into blocks of about `block`; a cell
-    is one product of two matrices, and only each query's k best of a cell leave it."""
+    equal; the result has them too. Without them, every query meets every row: a stated set of queries. Both sides are dealt into blocks of about `block`; a cell
+    is one product of two matrices, and only each query's k best of a cell leave it. without: query_id, track_id, pairs that don't count."""
     keys = on or []
     most = lambda x: (x.groupBy(*keys).count().agg(F.max("count")).first()[0] if keys else x.count()) or 1
     nc = most(corpus)
@@ -62,23 +69,42 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, on: list[str] | None
     kind = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["track_id"]
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asks = queries.filter("query IS NOT NULL").select(*keys, deal("query_id", ni).alias("i"), every(nj).alias("j"), "query_id", F.lit(None).cast(kind[1]).alias("track_id"), F.col("query").alias("v"))
-    rows = corpus.filter("vector IS NOT NULL").select(*keys, every(ni).alias("i"), deal("track_id", nj).alias("j"), F.lit(None).cast(kind[0]).alias("query_id"), "track_id", F.col("vector").alias("v"))
+    asked = queries.filter("query IS NOT NULL").select(*keys, "query_id", "query")
+    if without is None:
+        asked = asked.withColumn("out", F.lit(None).cast(f"array<{kind[1]}>"))
+    else:  # a query carries what it leaves out; with keys only tracks under the same ones
+        gone = without.select("query_id", "track_id").join(corpus.select(*keys, "track_id"), "track_id") if keys else without
+        asked = asked.join(gone.groupBy(*keys, "query_id").agg(F.collect_set("track_id").alias("out")), [*keys, "query_id"], "left")
+    asks = asked.select(*keys, deal("query_id", ni).alias("i"), every(nj).alias("j"), "query_id", F.lit(None).cast(kind[1]).alias("track_id"), F.col("query").alias("v"), "out")
+    rows = corpus.filter("vector IS NOT NULL").select(*keys, every(ni).alias("i"), deal("track_id", nj).alias("j"), F.lit(None).cast(kind[0]).alias("query_id"), "track_id", F.col("vector").alias("v"), F.lit(None).cast(f"array<{kind[1]}>").alias("out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         left, right = table.filter(pc.is_valid(table["query_id"])), table.filter(pc.is_valid(table["track_id"]))
         if not len(left) or not len(right):
             return
+        right = right.sort_by("track_id")
         a, b, ids = _vectors(left["v"]), _vectors(right["v"]).T, right["track_id"].to_numpy()
-        asked, step = left["query_id"].combine_chunks(), max(1, (1 << 21) // len(right))
+        asked, step = left.select([*keys, "query_id"]).combine_chunks(), max(1, (1 << 21) // len(right))
         for low in range(0, len(left), step):
             scores = np.round(a[low : low + step] @ b, 9)
+            out = left["out"].slice(low, step)
+            n, gone = pc.fill_null(pc.list_value_length(out), 0).to_numpy(), pc.list_flatten(out).to_numpy()
+            if len(gone):
+                first, last = np.searchsorted(ids, gone), np.searchsorted(ids, gone, "right")
+                wide = last - first  # places of equal ids, none where the cell lacks one
+                at = np.arange(wide.sum()) + np.repeat(first - (np.cumsum(wide) - wide), wide)
+                scores[np.repeat(np.repeat(np.arange(len(n)), n), wide), at] = -np.inf
             r, c = best(scores, ids, k)
-            yield pa.RecordBatch.from_arrays([asked.take(pa.array(r + low)), pa.array(ids[c]), pa.array(scores[r, c])], ["query_id", "track_id", "score"])
-
-    scored = asks.unionByName(rows).groupBy(*keys, "i", "j").applyInArrow(run, f"query_id {kind[0]}, track_id {kind[1]}, score double")
-    w = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "track_id")
+            some = scores[r, c] > -np.inf
+            r, c = r[some], c[some]
+            of = asked.take(pa.array(r + low)).combine_chunks()
+            yield from pa.table([*of.columns, pa.array(ids[c]), pa.array(scores[r, c])], [*of.column_names, "track_id", "score"]).to_batches()
+
+    types = dict(queries.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keys), f"query_id {kind[0]}", f"track_id {kind[1]}", "score double"])
+    scored = asks.unionByName(rows).groupBy(*keys, "i", "j").applyInArrow(run, schema)
+    w = W.Window.partitionBy(*keys, "query_id").orderBy(F.desc("score"), "track_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

@@ -260,7 +260,7 @@ query("q10_recommend_by_tag", f""", bo AS (SELECT a.track_id, a.cluster_id, a.ve
   an AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, tag_id, artist ORDER BY f, score DESC, track_id) AS rk FROM kn) WHERE rk = 1)
   SELECT session_id, tag_id, track_id, artist, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id, tag_id ORDER BY f, score DESC, track_id) AS rank FROM an) WHERE rank <= 5""")(
     lambda c: S.recommend_by_tag(
-        c.table("events").select(F.col("user_id").alias("session_id"), (F.col("user_id") % 20).alias("tag_id")).distinct(), c.mood_tags(), c.tracks(), c.vectors("audio"), c.vectors("lyrics"), c.play_history(), 5
+        c.table("events").select(F.col("user_id").alias("session_id"), (F.col("user_id") % 20).alias("tag_id")).distinct(), c.mood_tags(), c.tracks("track_id", "artist", "status", "popularity_category"), c.vectors("audio"), c.vectors("lyrics"), c.play_history(), 5
     ).withColumn("score", F.round("score", 6))
 )
 

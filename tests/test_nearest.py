@@ -33,3 +33,31 @@ def test_only_the_best_leave_a_cell(spark):
     queries = corpus.selectExpr("track_id AS query_id", "vector AS query")
     plan = V.nearest(queries, corpus, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "FlatMapGroupsInArrow" in plan.split("Window")[-1]
+
+
+@pytest.mark.parametrize("block", [1 << 14, 7])
+def test_nearest_without_some_pairs(spark, block):
+    rnd = np.random.default_rng(6)
+    v = rnd.normal(size=(60, 5))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    corpus = spark.createDataFrame([(k, k % 3, v[k].tolist()) for k in range(60)], "track_id long, cluster_id int, vector array<double>")
+    queries = corpus.filter("track_id < 6").selectExpr("track_id % 2 AS query_id", "cluster_id", "vector AS query")  # an id under several keys
+    out = [(q, k) for q in range(2) for k in range(60) if (k + q) % 4 == 0] + [(0, 999)] + [(1, k) for k in range(0, 60, 3)]  # 1 keeps none of cluster 0
+    rows = V.nearest(queries, corpus, 5, ["cluster_id"], block, spark.createDataFrame(out, "query_id long, track_id long")).collect()
+    got = {(r["query_id"], r["cluster_id"], r["rank"]): r["track_id"] for r in rows}
+    want = {}
+    for t in range(6):
+        free = [k for k in range(60) if k % 3 == t % 3 and (t % 2, k) not in out]
+        for rank, k in enumerate(sorted(free, key=lambda k: (-round(float(v[k] @ v[t]), 9), k))[:5], 1):  # noqa: B023
+            want[t % 2, t % 3, rank] = k
+    assert got == want and len(want) == 25
+
+
+def test_centroids_take_a_row_for_each_key_only(spark):
+    rows = [(1, [1.0, 2.0]), (1, [3.0]), (2, [None, 4.0]), (2, [6.0, 8.0]), (3, []), (4, None)]
+    df = spark.createDataFrame(rows, "k long, vector array<double>")
+    want = [(1, [2.0, 2.0], 2), (2, [6.0, 6.0], 2)]
+    for dimension in (None, 2):
+        got = V.centroids(df, ["k"], dimension)
+        assert sorted((r["k"], r["centroid"], r["n"]) for r in got.collect()) == want
+        assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
