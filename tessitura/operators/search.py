@@ -101,7 +101,7 @@ def chunks(texts: DataFrame, size: int = 256) -> DataFrame:
 
 def chunk_means(texts: DataFrame, chunk_vectors: DataFrame, dimension: int) -> DataFrame:
     """chunk_vectors: id, chunk, vector. id, n, vector: the plain mean of a text's chunks, zeros for one without."""
-    means = centroids(chunk_vectors.select("id", "vector"), ["id"])
+    means = centroids(chunk_vectors.select("id", "vector"), ["id"], dimension)
     zeros = F.array_repeat(F.lit(0.0), dimension)
     return texts.select("id").join(means, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("centroid", zeros).alias("vector"))
 
