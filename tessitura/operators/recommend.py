@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.vectors import dot, normalized
+from ..functions.vectors import normalized
 from ..sources.shared import written
 from .relational import HITS, popular_mix, slot_share
-from .vectors import centroids
+from .vectors import centroids, nearest, width
 
 
 def greedy_artists(rows: DataFrame, limit: int) -> DataFrame:
@@ -36,22 +36,28 @@ def greedy_artists(rows: DataFrame, limit: int) -> DataFrame:
 def cluster_hits(history: DataFrame, tracks: DataFrame, audio: DataFrame, lyrics: DataFrame, limit: int, audio_share: float = 0.7) -> DataFrame:
     """For each session and each cluster that it played: the ready tracks of the same cluster that it hasn't played and that are
     nearest to its centroids, by sound and by lyrics: the best three for each of the cluster's slots on either side as one list, an absent side counts 0;
-    well-known ones with a score of 0.5 or more first. Search is an equi-join on the cluster, so that a session meets its
-    own clusters' tracks only, and a row carries two numbers from there on."""
+    well-known ones with a score of 0.5 or more first. A session meets its own clusters' tracks only, in products of blocks: no row is a
+    session and a track before each side's best."""
     both = audio.select("track_id", "cluster_id", F.col("vector").alias("av")).join(lyrics.select("track_id", F.col("vector").alias("lv")), "track_id")
     played = history.select("session_id", "track_id", "played_at").join(both, "track_id")
     keys = ["session_id", "cluster_id"]
-    mean = lambda v, name: centroids(played.select(*keys, F.col(v).alias("vector")), keys).select(*keys, normalized(F.col("centroid")).alias(name))
+    sizes = {"av": width(audio), "lv": width(lyrics)}
+    mean = lambda v, name: centroids(played.select(*keys, F.col(v).alias("vector")), keys, sizes[v]).select(*keys, normalized(F.col("centroid")).alias(name))
     slots = slot_share(played.groupBy(*keys).agg(F.min("played_at").alias("first_played")), limit)
-    corpus = both.join(tracks.filter("status = 'ready'").select("track_id"), "track_id")
-    pairs = slots.join(mean("av", "qa"), keys).join(mean("lv", "ql"), keys).join(corpus, "cluster_id")
-    pairs = pairs.select(*keys, "rn", "slots", "track_id", F.round(dot(F.col("av"), F.col("qa")), 9).alias("a"), F.round(dot(F.col("lv"), F.col("ql")), 9).alias("l"))
-    fresh = pairs.join(history.select("session_id", "track_id").distinct(), ["session_id", "track_id"], "left_anti")
+    corpus = written(both.join(tracks.filter("status = 'ready'").select("track_id"), "track_id"))
+    asked = written(slots.join(mean("av", "qa"), keys).join(mean("lv", "ql"), keys).select(*keys, "rn", "slots", "qa", "ql"))
+    heard = history.select(F.col("session_id").alias("query_id"), "track_id")
+
+    def side(query: str, vector: str, name: str) -> DataFrame:
+        queries = asked.select(F.col("session_id").alias("query_id"), "cluster_id", F.col(query).alias("query"))
+        hits = nearest(queries, corpus.select("cluster_id", "track_id", F.col(vector).alias("vector")), 3 * limit, ["cluster_id"], without=heard)
+        return hits.select(F.col("query_id").alias("session_id"), "cluster_id", "track_id", "rank", F.col("score").alias(name)).join(asked.select(*keys, "rn", "slots"), keys).filter(F.col("rank") <= 3 * F.col("slots")).drop("rank")
+
     own = W.Window.partitionBy(*keys)
-    place = lambda c: F.row_number().over(own.orderBy(F.desc(c), "track_id"))
-    near = lambda place_, c: F.when(F.col(place_) <= 3 * F.col("slots"), F.col(c)).otherwise(0.0)
-    sides = fresh.withColumn("pa", place("a")).withColumn("pl", place("l")).filter((F.col("pa") <= 3 * F.col("slots")) | (F.col("pl") <= 3 * F.col("slots")))
-    cut = sides.withColumn("score", F.round(near("pa", "a") * audio_share + near("pl", "l") * (1 - audio_share), 9)).withColumn("near", place("score")).filter(F.col("near") <= 3 * F.col("slots"))
+    place = F.row_number().over(own.orderBy(F.desc("score"), "track_id"))
+    both_sides = side("qa", "av", "a").join(side("ql", "lv", "l"), [*keys, "rn", "slots", "track_id"], "full_outer")
+    score = F.round(F.coalesce("a", F.lit(0.0)) * audio_share + F.coalesce("l", F.lit(0.0)) * (1 - audio_share), 9)
+    cut = both_sides.withColumn("score", score).withColumn("near", place).filter(F.col("near") <= 3 * F.col("slots"))
     known = cut.join(tracks.select("track_id", "artist", "popularity_category"), "track_id")
     first = F.when(F.col("popularity_category").isin(*HITS) & (F.col("score") >= 0.5), 0).otherwise(1)
     rank = F.row_number().over(own.orderBy(first, F.desc("score"), "track_id"))
