@@ -96,3 +96,16 @@ def test_lacking_words_of_cells_equal_those_of_given_pairs(spark, monkeypatch, b
     got = M.whole_lacking(some, frame, block=block).collect()
     assert len(got) == len(want) > 50 and {(r["request_id"], r["candidate_id"]): (r["words"], r["occurrences"], r["found"]) for r in got} == want
     assert any(f for _, _, f in want.values())
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_only_classes_that_can_be_pairs_stay(spark, monkeypatch, few):
+    """However few the requests: n-grams that no request has keep no text, nor do copies among candidates alone."""
+    monkeypatch.setattr(paircells, "FEW", few)
+    texts = {1: "a b c d e f g", 2: "x a b c d e f g", 3: "k l m n o p q", 4: "k l m n o p q", 5: "k l m n o p q r", 6: "u v w x y z a", 7: "u v w x y z a"}
+    frame = spark.createDataFrame(list(texts.items()), "id long, text string")
+    grid = paircells.Grid(frame.filter("id IN (1, 6)"), frame)
+    assert sorted(r["text"] for r in grid.rows.join(grid.texts.select("class", "text"), "class").collect()) == ["a b c d e f g", "u v w x y z a", "x a b c d e f g"]
+    assert {(r["request_id"], r["candidate_id"], r["shared"]) for r in grid.pairs().collect()} == {(1, 2, 4), (6, 7, 4)}
+    best = {(r["request_id"], r["candidate_id"], r["token"]) for r in M.whole_fuzzy(frame.filter("id IN (1, 6)"), frame).collect()}
+    assert best == {(a, b, w) for a, b in ((1, 2), (6, 7)) for w in texts[a].split()}
