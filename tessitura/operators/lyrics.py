@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.stems import bound
 from ..functions.text import tokenize
 
 #: How a repeat is written. Latin x, Cyrillic х and the multiplication sign; "times" in two languages.
@@ -14,6 +15,9 @@ HEADER = r"^\s*\[\s*([^\[\]\n]+?)\s*\]\s*$"
 COUNT = "(?iu)" + _COUNT
 BRACKETED = r"(?iu)\s*[\(\[]\s*" + _COUNT + r"\s*[\)\]]\s*$"
 BARE = r"\s+(?:×\s*(\d+)|(\d+)\s*×)\s*$"
+#: What both of these end in. Blanks, and line ends that $ looks past.
+ENDS = r"[)\]×0-9]\s*$"
+BLANKS, LINE_ENDS = " \t\n\x0b\f\r", "\x85\u2028\u2029"
 
 
 #: The greatest count that is written out; larger ones, whatever their length, count as this.
@@ -26,6 +30,16 @@ def _count(text: Column, pattern: str, groups: int) -> Column:
     return F.array_max(F.concat(F.array(F.lit(1)), F.transform(F.filter(F.concat(*found), lambda x: x != ""), lambda x: F.least(F.coalesce(x.try_cast("int"), F.lit(MOST)), F.lit(MOST)))))
 
 
+def _last_in(text: Column, letters: str) -> Column:
+    """Whether the last letter is one of these; an empty text has none of others. Far cheaper than a pattern, which is then asked of few."""
+    return F.lit(letters).contains(F.substring(text, F.lit(-1), F.lit(1)))
+
+
+def _trimmed(text: Column) -> Column:
+    pattern = F.lit(BLANKS).contains(F.substring(text, F.lit(1), F.lit(1))) | _last_in(text, BLANKS + LINE_ENDS)
+    return F.when(pattern, F.regexp_replace(text, r"^\s+|\s+$", "")).otherwise(text)
+
+
 def section_ids(sheets: DataFrame) -> DataFrame:
     """sheets: id, text. A row for each line: id, pos, line, header (null without one), section: how many headers so far."""
     lines = sheets.select("id", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("pos", "line"))
@@ -36,11 +50,20 @@ def section_ids(sheets: DataFrame) -> DataFrame:
 
 def sections(sheets: DataFrame) -> DataFrame:
     """id, section, label (lower case without counts, null without one), count, body (its lines, blank ends off)."""
-    rows = section_ids(sheets).withColumn("line", F.when(F.col("header").isNull(), F.col("line")))
-    one = rows.groupBy("id", "section").agg(F.max("header").alias("header"), F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("pos", "line")))).alias("lines"))
+    # Arrays exploded as rows are worked out once; no line is a row.
+    lines = sheets.select("id", F.explode(F.array(F.split("text", r"\r\n|\n|\r"))).alias("ls"))
+    found = F.transform("ls", lambda x, i: F.struct(i.alias("at"), F.when(x.contains("[") & x.rlike(HEADER), F.regexp_extract(x, HEADER, 1)).alias("header")))
+    start = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("header")))
+    heads = lines.select("id", "ls", F.explode(F.array(F.concat(start, F.filter(found, lambda h: h["header"].isNotNull())))).alias("hs"))
+
+    def part(h: Column, k: Column) -> Column:
+        n = F.coalesce(F.get("hs", k + 1)["at"], F.size("ls")) - h["at"] - 1
+        body = bound(F.array_join(F.slice("ls", h["at"] + 2, n), "\n"), _trimmed)
+        return F.struct(k.cast("long").alias("section"), h["header"].alias("header"), body.alias("body"), ((k > 0) | (n > 0)).alias("there"))
+
+    one = heads.select("id", F.inline(F.transform("hs", part))).filter("there")
     label = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace("header", COUNT, ""), r"\s+", " "), r"^[ :;,-]+|[ :;,-]+$", ""))
-    body = F.regexp_replace(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
-    return one.select("id", "section", F.when(label != "", label).alias("label"), F.coalesce(_count(F.col("header"), COUNT, 4), F.lit(1)).alias("count"), body.alias("body"))
+    return one.select("id", "section", F.when(label != "", label).alias("label"), F.coalesce(_count(F.col("header"), COUNT, 4), F.lit(1)).alias("count"), "body")
 
 
 def last_body_by_label(rows: DataFrame) -> DataFrame:
@@ -54,21 +77,29 @@ def _repeated_lines(body: Column) -> Column:
     """Lines that end in a repeat count as often as that says, without it; lines of nothing else go."""
 
     def lines(line: Column) -> Column:
-        bracketed, bare = line.rlike(BRACKETED), line.rlike(BARE)
-        n = F.when(bracketed, _count(line, BRACKETED, 4)).when(bare, _count(line, BARE, 2)).otherwise(1)
-        base = F.when(bracketed, F.regexp_replace(line, BRACKETED, "")).when(bare, F.regexp_replace(line, BARE, "")).otherwise(line)
-        base = F.when(bracketed | bare, F.regexp_replace(base, r"\s+$", "")).otherwise(base)
-        gone = (bracketed | bare) & (F.trim(base) == "")
-        return F.when(gone, F.array().cast("array<string>")).otherwise(F.array_repeat(base, n))
+        # Most lines don't end as a repeat does; of others each value is worked out once.
+        may = _last_in(line, ")]×0123456789" + BLANKS + LINE_ENDS) & line.rlike(ENDS)
+        return F.when(may, ending(line, BRACKETED, ending(line, BARE, F.array(line)))).otherwise(F.array(line))
+
+    def ending(line: Column, pattern: str, other: Column) -> Column:
+        return bound(F.regexp_extract(line, pattern, 0), lambda m: F.when(m != "", repeated(line, m, pattern)).otherwise(other))
+
+    def repeated(line: Column, match: Column, pattern: str) -> Column:
+        """match: what the pattern finds; it has one number."""
+        n = F.greatest(F.lit(1), F.least(F.coalesce(F.regexp_extract(match, r"\d+", 0).try_cast("int"), F.lit(MOST)), F.lit(MOST)))
+        base = F.regexp_replace(F.regexp_replace(line, pattern, ""), r"\s+$", "")
+        return bound(base, lambda x: F.when(F.trim(x) == "", F.array().cast("array<string>")).otherwise(F.array_repeat(x, n)))
 
     return F.array_join(F.flatten(F.transform(F.split(body, "\n"), lines)), "\n")
 
 
 def expand_repeats(sheets: DataFrame) -> DataFrame:
     """id, text: every section as often as its header says, references filled in, repeated lines written out; a blank line between."""
-    rows = last_body_by_label(sections(sheets)).withColumn("block", _repeated_lines(F.col("body"))).filter(F.trim("block") != "")
-    whole = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("section", "count", "block"))).alias("s"))
-    text = F.array_join(F.flatten(F.transform("s", lambda x: F.array_repeat(x["block"], x["count"]))), "\n\n")
+    rows = last_body_by_label(sections(sheets).repartition("id")).withColumn("block", _repeated_lines(F.col("body")))
+    whole = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("section", "count", "block"))).alias("s"))
+    # Blank blocks go here: a filter on rows would work out each block twice.
+    some = F.filter("s", lambda x: F.trim(x["block"]) != "")
+    text = F.array_join(F.flatten(F.transform(some, lambda x: F.array_repeat(x["block"], x["count"]))), "\n\n")
     return sheets.select("id").join(whole.select("id", text.alias("text")), "id", "left").select("id", F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -141,6 +141,19 @@ def test_hostile_repeat_counts(spark):
     assert got[1].count("la") == lyrics.MOST and got[2].count("ho") == lyrics.MOST
 
 
+def test_sections_are_cut_in_their_row(spark):
+    """Odd ends and empty sheets; before the bodies are dealt by id nothing is shuffled or sorted."""
+    texts = ["[A]\nx\r\n y (2x) \n\n[B x2]\r[a]\n[C]", "no header\rat all ×2\nend (3x)\x0b", "\n[A]\n\n", "", None, "[A][B]\n[ D ]\n(x2)\n \u2028", "[x] y\nla (2 times)\x85\nlo (2x) (3x)"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = lyrics.sections(frame)
+    assert not any(x in rows._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Window", "Sort"))
+    assert sorted((r["id"], r["section"], r["label"], r["count"], r["body"]) for r in rows.collect() if r["id"] < 4) == [
+        (0, 1, "a", 1, "x\n y (2x)"), (0, 2, "b", 2, ""), (0, 3, "a", 1, ""), (0, 4, "c", 1, ""), (1, 0, None, 1, "no header\nat all ×2\nend (3x)"), (2, 0, None, 1, ""), (2, 1, "a", 1, ""), (3, 0, None, 1, ""),
+    ]
+    got = {r["id"]: r["text"] for r in lyrics.expand_repeats(frame).collect()}
+    assert got == {0: "x\n y\n y\n\nx\n y\n y", 1: "no header\nat all\nat all\nend\nend\nend", 2: "", 3: "", 4: "", 5: "[A][B]\n\n\u2028\n\u2028", 6: "[x] y\nla\x85\nla\x85\nlo (2x)\nlo (2x)\nlo (2x)"}
+
+
 def test_missing_side_documents_are_empty(spark, tmp_path):
     assert [x.count() for x in pages.catalog_json(spark, f"file://{tmp_path}/none.json")] == [0, 0]
     assert pages.centroids_json(spark, f"file://{tmp_path}/none.json").count() == pages.stats_json(spark, f"file://{tmp_path}/none.json").count() == 0
