@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import functools
 import random
+import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -47,3 +49,15 @@ def test_hint_score(spark):
     got = {r["hint"]: r["score"] for r in textmatch.hints(rows).collect()}
     assert got["ABBA"] == 1.0 and got["abc"] == 0.0
     assert rows.select(S.similarity_ratio(F.col("hint"), F.col("name")).alias("x")).filter("x is null").count() == 1
+
+
+def test_texts_that_composition_leaves_alone_stay_in_spark(spark):
+    """Every letter of UNCHANGED by itself and behind others; texts with any other letter are composed."""
+    inside = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000 and re.match(f"[{S.UNCHANGED}]", chr(k))]
+    assert len(inside) > 30000
+    assert all(unicodedata.normalize("NFKC", a + x) == a + x and not unicodedata.combining(x) for x in inside for a in ("", "a", "か", "가"))
+    texts = [None, "", "plain", "été “да” — 漢字", "été", "ﬁn … ½", "각", "が", "a b", "𝔸", "y" * 5000 + "²"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = frame.select("id", S.nfkc(F.col("text")).alias("text"), F.col("text").rlike(f"[^{S.UNCHANGED}]").alias("sent")).collect()
+    assert {r["id"]: r["text"] for r in got} == {k: t and unicodedata.normalize("NFKC", t) for k, t in enumerate(texts)}
+    assert [r["sent"] for r in sorted(got)] == [None, False, False, False] + [True] * 7
