@@ -75,16 +75,15 @@ def recommend_by_tag(requests: DataFrame, tags: DataFrame, tracks: DataFrame, au
 def cascade(requests: DataFrame, *stages: DataFrame, least: int = 20) -> DataFrame:
     """requests: id, text; stages: request_id, candidate_id, decision. The first stage that doesn't reject a request answers it; then
     its own text does, if long enough, marked as such and low; else it isn't found."""
-    left, found = requests.select("id", "text"), []
+    rows = requests.select("id", "text", F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("candidate_id"), F.lit(None).cast("string").alias("confidence"))
     for k, stage in enumerate(stages, 1):
-        got = stage.filter("decision <> 'reject'").select(F.col("request_id").alias("id"), F.col("candidate_id"), F.col("decision").alias("confidence"), F.lit(f"stage_{k}").alias("source"))
-        found.append(left.select("id").join(got, "id"))
-        left = left.join(got.select("id"), "id", "left_anti")
+        got = stage.filter("decision <> 'reject'").select(F.col("request_id").alias("_id"), F.col("candidate_id").alias("_candidate"), F.col("decision").alias("_decision"), F.lit(f"stage_{k}").alias("_stage"))
+        # What is found already meets no row of a later stage: each stage is read once.
+        rows = rows.join(got, (F.col("id") == F.col("_id")) & F.col("source").isNull(), "left")
+        rows = rows.select("id", "text", F.coalesce("source", "_stage").alias("source"), F.when(F.col("source").isNull(), F.col("_candidate")).otherwise(F.col("candidate_id")).alias("candidate_id"), F.coalesce("confidence", "_decision").alias("confidence"))
     enough = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")) >= least
-    rest = left.select("id", F.lit(None).cast("long").alias("candidate_id"), F.when(enough, "low").otherwise("none").alias("confidence"), F.when(enough, "asr_fallback").otherwise("not_found").alias("source"))
-    for f in found:
-        rest = rest.unionByName(f)
-    return rest
+    rest = lambda long, short: F.when(enough, long).otherwise(short)
+    return rows.select("id", "candidate_id", F.coalesce("confidence", rest("low", "none")).alias("confidence"), F.coalesce("source", rest("asr_fallback", "not_found")).alias("source"))
 
 
 def first_variants(names: Column) -> Column:

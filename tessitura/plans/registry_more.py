@@ -265,9 +265,20 @@ query("q10_recommend_by_tag", f""", bo AS (SELECT a.track_id, a.cluster_id, a.ve
 )
 
 
-def _stage(c: Catalog, parity: int) -> DataFrame:
+#: Line items of a task of the cascade.
+LINES = 1 << 18
+
+
+def _cascade(c: Catalog) -> DataFrame:
+    # Requests and stages are dealt alike, by the request, over tasks that follow the line items: the joins move nothing more.
+    tasks = max(1, -(-c.table("lineitem").count() // LINES))
+    orders = c.table("orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", "o_orderpriority", F.expr("repeat('la ', CAST(o_orderkey % 9 AS INT))")).alias("text"))
+    return S.cascade(orders.repartition(tasks, "id"), _stage(c, 0, tasks), _stage(c, 1, tasks)).withColumn("candidate_id", F.coalesce("candidate_id", F.lit(-1)))
+
+
+def _stage(c: Catalog, parity: int, tasks: int) -> DataFrame:
     """Decisions about orders by their largest line item of one parity."""
-    rows = c.table("lineitem").filter(F.col("l_partkey") % 2 == parity)
+    rows = c.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity").filter(F.col("l_partkey") % 2 == parity).repartition(tasks, "l_orderkey")
     best = rows.groupBy("l_orderkey").agg(F.max_by("l_partkey", F.struct("l_quantity", "l_partkey")).alias("candidate_id"), F.max("l_quantity").alias("q"))
     return best.select(F.col("l_orderkey").alias("request_id"), "candidate_id", F.when(F.col("q") > 40, "high").when(F.col("q") > 20, "medium").otherwise("reject").alias("decision"))
 
@@ -277,9 +288,7 @@ query("q08_search_cascade", f"""SELECT id, coalesce(CASE WHEN a.confidence <> 'r
   CASE WHEN a.confidence <> 'reject' THEN a.confidence WHEN b.confidence <> 'reject' THEN b.confidence WHEN length(trim(t)) >= 20 THEN 'low' ELSE 'none' END AS confidence,
   CASE WHEN a.confidence <> 'reject' THEN 'stage_1' WHEN b.confidence <> 'reject' THEN 'stage_2' WHEN length(trim(t)) >= 20 THEN 'asr_fallback' ELSE 'not_found' END AS source
   FROM (SELECT o_orderkey AS id, o_orderpriority || ' ' || repeat('la ', (o_orderkey % 9)::INT) AS t FROM orders) LEFT JOIN {_st(0)} a USING (id) LEFT JOIN {_st(1)} b USING (id)""")(
-    lambda c: S.cascade(
-        c.table("orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", "o_orderpriority", F.expr("repeat('la ', CAST(o_orderkey % 9 AS INT))")).alias("text")), _stage(c, 0), _stage(c, 1)
-    ).withColumn("candidate_id", F.coalesce("candidate_id", F.lit(-1)))
+    _cascade
 )
 query("w08_first_variant", "SELECT p_partkey, array_to_string(list_filter(ns, lambda x, i: trim(x) <> '' AND list_position(ks, lower(trim(x))) = i), '|') AS names FROM (SELECT *, list_transform(ns, lambda x: lower(trim(x))) AS ks FROM (SELECT p_partkey, [p_name, upper(p_name), ' ' || p_brand || ' ', '', p_type, p_brand] AS ns FROM part))")(
     lambda c: c.table("part").select("p_partkey", F.array_join(S.first_variants(F.array(F.col("p_name"), F.upper("p_name"), F.concat(F.lit(" "), "p_brand", F.lit(" ")), F.lit(""), F.col("p_type"), F.col("p_brand"))), "|").alias("names"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import text as X
 from tessitura.functions import vectors as V
-from tessitura.operators import lyrics, recommend, relational, timing
+from tessitura.operators import lyrics, recommend, relational, search, timing
 from tessitura.plans import registry
 from tessitura.plans.bind import Catalog
 from tessitura.sources import pages
@@ -154,6 +154,20 @@ def test_sections_are_cut_in_their_row(spark):
     assert got == {0: "x\n y\n y\n\nx\n y\n y", 1: "no header\nat all\nat all\nend\nend\nend", 2: "", 3: "", 4: "", 5: "[A][B]\n\n\u2028\n\u2028", 6: "[x] y\nla\x85\nla\x85\nlo (2x)\nlo (2x)\nlo (2x)"}
 
 
+def test_cascade_reads_each_stage_once(spark):
+    """Whatever is null or repeated: a request has the rows of the first stage that doesn't reject it."""
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, "x" * 20), (4, None), (5, "e"), (None, " y ")], "id long, text string")
+    kind = "request_id long, candidate_id long, decision string"
+    one = spark.createDataFrame([(1, 10, "high"), (1, 11, "medium"), (2, 12, "reject"), (5, None, "high"), (None, 9, "high"), (4, 8, None)], kind)
+    two = spark.createDataFrame([(1, 20, "high"), (2, 21, "medium"), (2, 22, "high"), (5, 23, "high"), (7, 24, "high")], kind)
+    out = search.cascade(asked, one, two)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([
+        (1, 10, "high", "stage_1"), (1, 11, "medium", "stage_1"), (2, 21, "medium", "stage_2"), (2, 22, "high", "stage_2"), (3, None, "low", "asr_fallback"),
+        (4, None, "none", "not_found"), (5, None, "high", "stage_1"), (None, None, "none", "not_found"),
+    ], key=str)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
 def test_missing_side_documents_are_empty(spark, tmp_path):
     assert [x.count() for x in pages.catalog_json(spark, f"file://{tmp_path}/none.json")] == [0, 0]
     assert pages.centroids_json(spark, f"file://{tmp_path}/none.json").count() == pages.stats_json(spark, f"file://{tmp_path}/none.json").count() == 0
