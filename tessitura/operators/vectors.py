@@ -45,27 +45,28 @@ def _vectors(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of each row's k highest scores, ties by smaller id."""
+    """Rows and columns of each row's k highest scores by nine decimals, ties by smaller id."""
     if scores.shape[1] > k:
         least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        r, c = np.nonzero(scores >= least[:, None])
+        r, c = np.nonzero(scores >= (least - 2e-9)[:, None])  # what may be rounded to the k-th; the others needn't be rounded
     else:
         r, c = (x.ravel() for x in np.indices(scores.shape))
-    order = np.lexsort((ids[c], -scores[r, c], r))
+    order = np.lexsort((ids[c], -np.round(scores[r, c], 9), r))
     r, c = r[order], c[order]
     first = np.searchsorted(r, np.arange(scores.shape[0]))
     some = np.arange(len(r)) - first[r] < k
     return r[some], c[some]
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, on: list[str] | None = None, block: int = 1 << 14, without: DataFrame | None = None) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, on: list[str] | None = None, block: int | None = None, without: DataFrame | None = None) -> DataFrame:
     """queries: query_id, query (unit length). The k most similar rows of the corpus for each, exactly. on: columns that must be
-    equal; the result has them too. Without them, every query meets every row: a stated set of queries. Both sides are dealt into blocks of about `block`; a cell
-    is one product of two matrices, and only each query's k best of a cell leave it. without: query_id, track_id, pairs that don't count."""
+    equal; the result has them too. Without them, every query meets every row. Both sides are dealt into blocks of about `block` (16,384 to 65,536, so that there are some 256
+    cells: each row is copied to as many as the other side has blocks); a cell is one product of two matrices, and only each query's k best of a cell leave it. without: query_id, track_id, pairs that don't count."""
     keys = on or []
     most = lambda x: (x.groupBy(*keys).count().agg(F.max("count")).first()[0] if keys else x.count()) or 1
-    nc = most(corpus)
-    ni, nj = -(-most(queries) // block), max(-(-nc // block), min(8, -(-nc // (block >> 4 or 1))))
+    nq, nc = most(queries), most(corpus)
+    block = block or min(max(1 << 14, int((nq * nc) ** 0.5) >> 4), 1 << 16)
+    ni, nj = -(-nq // block), max(-(-nc // block), min(8, -(-nc // (block >> 4 or 1))))
     kind = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["track_id"]
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -87,7 +88,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, on: list[str] | None
         a, b, ids = _vectors(left["v"]), _vectors(right["v"]).T, right["track_id"].to_numpy()
         asked, step = left.select([*keys, "query_id"]).combine_chunks(), max(1, (1 << 21) // len(right))
         for low in range(0, len(left), step):
-            scores = np.round(a[low : low + step] @ b, 9)
+            scores = a[low : low + step] @ b
             out = left["out"].slice(low, step)
             n, gone = pc.fill_null(pc.list_value_length(out), 0).to_numpy(), pc.list_flatten(out).to_numpy()
             if len(gone):
@@ -99,7 +100,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, on: list[str] | None
             some = scores[r, c] > -np.inf
             r, c = r[some], c[some]
             of = asked.take(pa.array(r + low)).combine_chunks()
-            yield from pa.table([*of.columns, pa.array(ids[c]), pa.array(scores[r, c])], [*of.column_names, "track_id", "score"]).to_batches()
+            yield from pa.table([*of.columns, pa.array(ids[c]), pa.array(np.round(scores[r, c], 9))], [*of.column_names, "track_id", "score"]).to_batches()
 
     types = dict(queries.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keys), f"query_id {kind[0]}", f"track_id {kind[1]}", "score double"])

@@ -6,6 +6,10 @@ import numpy as np
 import pytest
 
 from tessitura.operators import vectors as V
+from tessitura.plans import registry, registry_updates  # noqa: F401  the second adds its queries
+from tessitura.plans.bind import BIND, Catalog
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("on", [None, ["cluster_id"]])
@@ -61,3 +65,29 @@ def test_centroids_take_a_row_for_each_key_only(spark):
         got = V.centroids(df, ["k"], dimension)
         assert sorted((r["k"], r["centroid"], r["n"]) for r in got.collect()) == want
         assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_that_differ_beyond_nine_decimals_are_ties():
+    scores = np.array([[0.5, 0.5 + 2e-10, 0.5 + 3e-10, 0.1, 0.5 - 3e-10], [0.1, 0.2, 0.3, 0.4, -np.inf]])
+    r, c = V.best(scores, np.array([7, 9, 8, 1, 3]), 2)
+    assert r.tolist() == [0, 0, 1, 1] and c.tolist() == [4, 0, 3, 2]
+
+
+@pytest.mark.parametrize(("name", "kind", "k"), [("j11_knn", "audio", 10)])
+def test_every_vector_is_a_query(spark, name, kind, k):
+    rows = Catalog(spark, SF).vectors(kind).collect()
+    got = {}
+    for r in registry.queries()[name](spark, SF).collect():
+        got.setdefault(r["query_id"], []).append(r)
+    assert got.keys() == {r["track_id"] for r in rows} and "% 20" not in registry.SQL[name].removeprefix(BIND)
+    v, ids = np.array([r["vector"] for r in rows]), np.array([r["track_id"] for r in rows])
+    cluster = np.array([r["cluster_id"] for r in rows])
+    for q, scores in zip(rows, np.round(v @ v.T, 9), strict=True):
+        some = cluster == q["cluster_id"] if "cluster" in name else np.full(len(ids), True)
+        top = np.lexsort((ids[some], -scores[some]))[:k]
+        mine = got[q["track_id"]]
+        if name == "w06_top2_gap":
+            best, second = scores[some][top]
+            assert abs(mine[0]["best"] - best) < 2e-6 and abs(mine[0]["gap"] - (best - second)) < 2e-6
+        else:
+            assert sorted(r["track_id"] for r in mine) == sorted(ids[some][top].tolist())
