@@ -14,7 +14,7 @@ from ..operators import vectors as V
 from ..sources.shared import shared_dir
 from ..sources.tables import KeyedTable
 from .bind import Catalog
-from .registry import DOT, LINES, NEAR, _queries, query  # noqa: F401
+from .registry import DOT, LINES, NEAR, NEAR_ALL, _every_query, _queries, query  # noqa: F401
 
 NOW = "2001-08-02 00:00:00"
 
@@ -117,8 +117,8 @@ query("x31_quoted_phrase_whole", r"""SELECT doc_id, len(list_filter(regexp_extra
 query("j20_variants_product", "SELECT user_id, a, b FROM (SELECT DISTINCT user_id, event_type AS a FROM events) JOIN (SELECT DISTINCT user_id, event_type AS b FROM events) USING (user_id)")(
     lambda c: c.table("events").groupBy("user_id").agg(F.collect_set("event_type").alias("v")).select("user_id", "v", F.explode("v").alias("a")).select("user_id", "a", F.explode("v").alias("b"))
 )
-query("w06_top2_gap", f"SELECT query_id, round(score, 6) AS best, round(score - second, 6) AS gap FROM (SELECT *, lead(score) OVER (PARTITION BY query_id ORDER BY score DESC, track_id) AS second FROM {NEAR.format(kind='lyrics', on='true', k=2)}) WHERE rank = 1")(
-    lambda c: V.nearest(_queries(c, "lyrics"), c.vectors("lyrics"), 2).withColumn("second", F.lead("score").over(R.by("query_id").orderBy(F.desc("score"), "track_id"))).filter("rank = 1")
+query("w06_top2_gap", f"SELECT query_id, round(score, 6) AS best, round(score - second, 6) AS gap FROM (SELECT *, lead(score) OVER (PARTITION BY query_id ORDER BY score DESC, track_id) AS second FROM {NEAR_ALL.format(kind='lyrics', on='true', k=2)}) WHERE rank = 1")(
+    lambda c: V.nearest(_every_query(c, "lyrics"), c.vectors("lyrics"), 2).withColumn("second", F.lead("score").over(R.by("query_id").orderBy(F.desc("score"), "track_id"))).filter("rank = 1")
     .select("query_id", F.round("score", 6).alias("best"), F.round(F.col("score") - F.col("second"), 6).alias("gap"))
 )
 

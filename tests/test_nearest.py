@@ -73,7 +73,7 @@ def test_scores_that_differ_beyond_nine_decimals_are_ties():
     assert r.tolist() == [0, 0, 1, 1] and c.tolist() == [4, 0, 3, 2]
 
 
-@pytest.mark.parametrize(("name", "kind", "k"), [("j11_knn", "audio", 10), ("j11_knn_in_cluster", "lyrics", 10)])
+@pytest.mark.parametrize(("name", "kind", "k"), [("j11_knn", "audio", 10), ("j11_knn_in_cluster", "lyrics", 10), ("w06_top2_gap", "lyrics", 2)])
 def test_every_vector_is_a_query(spark, name, kind, k):
     rows = Catalog(spark, SF).vectors(kind).collect()
     got = {}
