@@ -6,6 +6,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessitura.operators import paircells
@@ -109,3 +111,37 @@ def test_only_classes_that_can_be_pairs_stay(spark, monkeypatch, few):
     assert {(r["request_id"], r["candidate_id"], r["shared"]) for r in grid.pairs().collect()} == {(1, 2, 4), (6, 7, 4)}
     best = {(r["request_id"], r["candidate_id"], r["token"]) for r in M.whole_fuzzy(frame.filter("id IN (1, 6)"), frame).collect()}
     assert best == {(a, b, w) for a, b in ((1, 2), (6, 7)) for w in texts[a].split()}
+
+
+def cell_of(rnd, lists, n_left, n_right):
+    side = lambda asks, n: [{"asks": asks, "class": k, "is_held": False, "ids": [k], "n_grams": 0, "grams": lists(rnd)} for k in range(n)]
+    return paircells.Cell(iter(pa.Table.from_pylist(side(True, n_left) + [r | {"class": 1000 + r["class"]} for r in side(False, n_right)]).to_batches()), 3)
+
+
+@pytest.mark.parametrize("limit", [1 << 22, 7])
+def test_sums_over_common_values_equal_one_pair_at_a_time(monkeypatch, limit):
+    for name in ("COUNTERS", "PLACES"):
+        monkeypatch.setattr(paircells, name, limit)
+    passage = list(range(100, 150))
+    cell = cell_of(random.Random(4), lambda rnd: rnd.sample(range(60), rnd.randrange(12)) + (passage if rnd.random() < 0.5 else []), 9, 14)
+    left, right = cell.r["grams"].to_pylist(), cell.c["grams"].to_pylist()
+    sums, (r, c) = paircells.Sums(cell, "grams"), np.divmod(np.arange(9 * 14), 14)
+    assert len(sums.lists) <= 61  # the passage is one group
+    weights = np.arange(sum(map(len, left))) + 0.5
+    at = np.cumsum([0, *map(len, left)])
+    assert sums.of(r, c).tolist() == [len(set(left[a]) & set(right[b])) for a, b in zip(r, c, strict=True)]
+    want = [sum(weights[at[a] + k] for k, v in enumerate(left[a]) if v in right[b]) for a, b in zip(r, c, strict=True)]
+    assert np.allclose(sums.of(r, c, weights), want)
+    some = (r + c) % 3 > 0
+    got = np.zeros(len(weights), np.int64)
+    sums.members(r[some], c[some], got)
+    assert got.tolist() == [sum(v in right[b] for b in range(14) if (a + b) % 3) for a in range(9) for v in left[a]]
+    for bits in (2048, 64, 1):
+        assert paircells.Common(cell, "grams", bits).of(r[some], c[some]).tolist() == sums.of(r[some], c[some]).tolist()
+
+
+def test_leading_pairs_hold_each_rows_best_levels():
+    r, scores = np.array([2, 2, 2, 2, 2, 5, 7, 7]), np.array([0.1, 0.9, 0.5, 0.9, 0.3, 0.2, 0.4, 0.4])
+    assert paircells._leading(r, scores, 3).tolist() == [1, 2, 3, 4, 5, 6, 7]
+    assert paircells._leading(r, scores, 1).tolist() == [1, 3, 5, 6, 7]
+    assert not len(paircells._leading(r[:0], scores[:0], 3))
