@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import partial_ratio, ratio
 from ..functions.text import skeleton
 from ..sources.shared import written
-from .paircells import NONE, ROWS, Cell, Grid, Lists, Raw, Sums, _common, _each, _hashed, _runs
+from .paircells import ROWS, Cell, Grid, Lists, Raw, Sums, _each, _hashed, _runs, with_lists
 from .wordmatch import KEYS, Words, best_ratios
 
 #: Bits compared at a time; words of more letters than LONG are compared one at a time.
@@ -213,12 +213,12 @@ def best_matches(grid: Grid, words: DataFrame, names: DataFrame | None = None, k
     clean, bones = (some.select("class", "asked", "held", F.col(c).alias("text")) for c in ("clean", "bones"))
     count = lambda t, k, name: _hashed(t).select("class", F.when(F.size("w") >= k, F.size(_runs(F.col("w"), k))).otherwise(0).alias(name))
     sizes = clean.select("class", F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", " "))).alias("clean_size"))
-    rows = grid.rows.drop("size", "n_words", "n_long").join(sizes, "class").join(count(clean, grid.anchor_n, "n_long"), "class").join(_common(clean, grid.anchor_n, "long", grid.few), "class", "left")
-    rows = written(rows.withColumn("long", F.coalesce("long", F.expr(NONE))))
+    rows = grid.rows.drop("size", "n_words", "n_long").join(sizes, "class").join(count(clean, grid.anchor_n, "n_long"), "class")
+    rows = written(with_lists(rows, grid.common(clean, grid.anchor_n, "long"), "long"))
     pools = grid._pools(rows)
     hashed = [F.when(F.col(k) != "", F.xxhash64(F.lit(k[0]), k)).otherwise(0).alias(k) for k in KEYS]
     packed = words.select("id", F.struct("word", "count", *hashed).alias("x")).groupBy("id").agg(F.collect_list("x").alias("x"))
-    rows = rows.join(count(bones, grid.n, "n_bones"), "class").join(_common(bones, grid.n, "bones", grid.few), "class", "left").withColumn("bones", F.coalesce("bones", F.expr(NONE)))
+    rows = with_lists(rows.join(count(bones, grid.n, "n_bones"), "class"), grid.common(bones, grid.n, "bones"), "bones")
     rows = rows.join(packed.select(F.col("id").alias("class"), F.col("x.word").alias("words"), *(F.col(f"x.{c}").alias(c) for c in ("count", *KEYS))), "class", "left")
     rows = rows.withColumns({c: F.coalesce(c, F.expr(f"CAST(array() AS {'array<string>' if c == 'words' else 'array<bigint>'})")) for c in ("words", "count", *KEYS)})
     if names is not None:

@@ -114,7 +114,7 @@ def test_only_classes_that_can_be_pairs_stay(spark, monkeypatch, few):
 
 
 def cell_of(rnd, lists, n_left, n_right):
-    side = lambda asks, n: [{"asks": asks, "class": k, "is_held": False, "ids": [k], "n_grams": 0, "grams": lists(rnd)} for k in range(n)]
+    side = lambda asks, n: [{"asks": asks, "class": k, "is_held": False, "ids": [k], "n_grams": 0, "grams": (v := lists(rnd)), "grams_n": [1] * len(v)} for k in range(n)]
     return paircells.Cell(iter(pa.Table.from_pylist(side(True, n_left) + [r | {"class": 1000 + r["class"]} for r in side(False, n_right)]).to_batches()), 3)
 
 
@@ -145,3 +145,14 @@ def test_leading_pairs_hold_each_rows_best_levels():
     assert paircells._leading(r, scores, 3).tolist() == [1, 2, 3, 4, 5, 6, 7]
     assert paircells._leading(r, scores, 1).tolist() == [1, 3, 5, 6, 7]
     assert not len(paircells._leading(r[:0], scores[:0], 3))
+
+
+def test_ngrams_that_the_same_texts_have_are_one_value(spark):
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = {1: f"a b {passage} c", 2: f"{passage} d e f", 3: f"{passage}", 4: f"x {passage} p0 p1 p2 p3 p4", 6: "p0 p1 p2 p3 p4 p5"}
+    frame = spark.createDataFrame(list(texts.items()), "id long, text string")
+    grid = paircells.Grid(frame.filter("id IN (1, 4)"), frame)
+    rows = grid.rows.join(grid.texts.select("class", "text"), "class").collect()
+    assert {r["text"]: sorted(r["grams_n"]) for r in rows} == {t: [3] if k == 6 else [3, 34] for k, t in texts.items()}
+    shared = {(r["request_id"], r["candidate_id"]): r["shared"] for r in grid.pairs().collect()}
+    assert shared == {(a, b): 3 if b == 6 else 37 for a in (1, 4) for b in texts if a != b}
