@@ -156,3 +156,15 @@ def test_ngrams_that_the_same_texts_have_are_one_value(spark):
     assert {r["text"]: sorted(r["grams_n"]) for r in rows} == {t: [3] if k == 6 else [3, 34] for k, t in texts.items()}
     shared = {(r["request_id"], r["candidate_id"]): r["shared"] for r in grid.pairs().collect()}
     assert shared == {(a, b): 3 if b == 6 else 37 for a in (1, 4) for b in texts if a != b}
+
+
+def test_packed_rows_come_back_and_hold_each_value_once():
+    big = 1 << 60
+    rows = [{"block": k % 3, "class": k, "asks": k < 4, "words": None if k == 5 else [big + v for v in range(k % 4 * 500)], "names": ["a", None][: k % 3], "named": [{"id": k, "name": "n"}]} for k in range(40)]
+    kind = pa.schema([("block", pa.int32()), ("class", pa.int64()), ("asks", pa.bool_()), ("words", pa.list_(pa.int64())), ("names", pa.list_(pa.string())), ("named", pa.list_(pa.struct([("id", pa.int64()), ("name", pa.string())])))])
+    table = pa.Table.from_pylist(rows, kind)
+    pieces = [r for b in paircells._packed(iter([*table.slice(0, 7).to_batches(), *table.slice(7).to_batches()])) for r in b.to_pylist()]
+    assert [r["block"] for r in pieces] == [0, 1, 2]
+    got = [r | {"block": p["block"]} for p in pieces for r in paircells._unpacked(pa.py_buffer(p["packed"])).to_pylist()]
+    assert sorted(got, key=lambda r: r["class"]) == rows
+    assert sum(len(r["packed"]) for r in pieces) < table["words"].nbytes / 3
